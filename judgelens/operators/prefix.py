@@ -6,8 +6,8 @@ group or stratum holds a third of the data. Here the rows are range-partitioned
 keys are packed together), each partition computes its running values locally in one sorted
 pass, and values are carried across partition boundaries through a table with one row per
 partition (its first key and its last key). That table is bounded by the partition count, so
-broadcasting it is safe. The local result is checkpointed before it is read twice, so both
-reads see the same range bounds and a lost executor recomputes from the checkpoint.
+broadcasting it is safe. Keys small enough for one task (checked per key) keep the plain
+window, which is one sort-based stage.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from pyspark import StorageLevel
 
 _FNS = ("sum", "min", "max")
 
@@ -136,14 +136,63 @@ def _same_key(a: tuple, b: tuple) -> bool:
     return True
 
 
+def max_key_rows(spark) -> int:
+    """Largest key that may be handled by one window task (rows)."""
+    return int(spark.conf.get("judgelens.maxKeyRows", "1000000"))
+
+
+def _null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]):
+    r = right.select(*[F.col(k).alias("_k_" + k) for k in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col("_k_" + k))
+        cond = c if cond is None else cond & c
+    return r, cond
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Running],
-            partitions: int | None = None) -> DataFrame:
+            partitions: int | None = None, key_rows: int | None = None,
+            small: bool | None = None) -> DataFrame:
     """Add one column per spec holding the running aggregate within ``keys`` in ``order``.
 
-    Rows that tie on ``(keys, order)`` are taken in an arbitrary but fixed order, so callers
-    make the order unique (or aggregate ties first, as :func:`prefix_before` does).
+    Keys with at most ``key_rows`` rows use a plain window, one task per key; larger keys take
+    the range-partitioned path, which spreads one key over many tasks. Whether any key is
+    that large is checked first with one small aggregate job (it returns at most one row);
+    callers that already checked a bound on every key pass ``small=True`` / ``False``. Rows that tie on ``(keys, order)`` are taken in an arbitrary but fixed order, so
+    callers make the order unique (or aggregate ties first, as :func:`prefix_before` does).
     """
-    spark = df.sparkSession
+    limit = key_rows or max_key_rows(df.sparkSession)
+    if not keys:
+        out = running(df.withColumn("_all_", F.lit(0)), ["_all_"], order, specs, partitions, limit, small)
+        return out.drop("_all_")
+    if small:
+        return _running_window(df, keys, order, specs)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.filter(F.col("_rows") > F.lit(limit)).select(*keys)
+    if small is None and hot.isEmpty():
+        # Every key fits one task: the plain window is the cheapest exact plan.
+        return _running_window(df, keys, order, specs)
+    r, cond = _null_safe_keys(df, hot, keys)
+    cold_rows = df.join(r, cond, "left_anti")
+    hot_rows = df.join(r, cond, "left_semi")
+    return _running_window(cold_rows, keys, order, specs).unionByName(
+        _running_ranged(hot_rows, keys, order, specs, partitions))
+
+
+def _running_window(df: DataFrame, keys: list[str], order: list[str], specs: list[Running]) -> DataFrame:
+    base = Window.partitionBy(*keys).orderBy(*order)
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}
+    cols = []
+    for s in specs:
+        w = base.rowsBetween(Window.unboundedPreceding, Window.currentRow if s.inclusive else -1)
+        v = agg[s.fn](F.col(s.column).cast("double")).over(w)
+        cols.append((F.coalesce(v, F.lit(0.0)) if s.fn == "sum" else v).alias(s.out))
+    keep = [c for c in df.columns if c not in {s.out for s in specs}]
+    return df.select(*keep, *cols)
+
+
+def _running_ranged(df: DataFrame, keys: list[str], order: list[str], specs: list[Running],
+                    partitions: int | None = None) -> DataFrame:
     n = _partitions(df, partitions)
     ranged = (df.repartitionByRange(n, *keys, *order)
               .sortWithinPartitions(*keys, *order)
@@ -153,15 +202,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Runnin
         extra += [T.StructField(s.out, T.DoubleType()), T.StructField("_tail_" + s.out, T.DoubleType())]
     schema = T.StructType(ranged.schema.fields + extra + [
         T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
-    local = cut_lineage(ranged.mapInPandas(_local_pass(keys, specs), schema))
+    # Persisted, so the carry table and the rows read one materialisation with one set of
+    # range bounds; a lost block is recomputed from the same shuffle dependency.
+    local = ranged.mapInPandas(_local_pass(keys, specs), schema).persist(StorageLevel.MEMORY_AND_DISK)
 
     # Carry table: one head row and one tail row per partition, so its size is bounded by n.
     tails = local.filter("_last").select("_pid", *keys, F.lit(1).alias("_kind"),
                                          *[F.col("_tail_" + s.out).alias(s.out) for s in specs])
     heads = local.filter("_first").select("_pid", *keys, F.lit(0).alias("_kind"),
                                           *[F.lit(None).cast("double").alias(s.out) for s in specs])
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    w = w.orderBy("_pid", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy("_pid", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     agg = {"sum": F.sum, "min": F.min, "max": F.max}
     carried = (tails.unionByName(heads)
                .select("_pid", "_kind", *keys,
@@ -185,8 +235,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Runnin
     return joined.select(*keep, *cols)
 
 
+def all_keys_small(df: DataFrame, keys: list[str], key_rows: int | None = None) -> bool:
+    """True when no key of ``df`` has more rows than one window task may take."""
+    limit = key_rows or max_key_rows(df.sparkSession)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else \
+        df.agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.filter(F.col("_rows") > F.lit(limit)).isEmpty()
+
+
 def prefix_before(points: DataFrame, keys: list[str], order: str | list[str], weights: list[str],
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """For each distinct ``(keys, order)`` value: the sum of every weight at that value
     (``<w>``) and over strictly smaller values of the same key (``<w>_before``).
 
@@ -195,4 +253,4 @@ def prefix_before(points: DataFrame, keys: list[str], order: str | list[str], we
     order = [order] if isinstance(order, str) else list(order)
     agg = points.groupBy(*keys, *order).agg(*[F.sum(w).cast("double").alias(w) for w in weights])
     specs = [Running(w + "_before", "sum", w, inclusive=False) for w in weights]
-    return running(agg, keys, order, specs, partitions)
+    return running(agg, keys, order, specs, partitions, small=small)
