@@ -105,7 +105,7 @@ def strength_tier(lr: Column, initial_lr: float) -> Column:
 
 def extract_score(reply: Column) -> tuple[Column, Column]:
     """(score, used_fallback) for a judge reply: first matching pattern, else 5.0."""
-    found = [F.try_cast(F.nullif(F.regexp_extract(reply, p, 1), F.lit("")), "double")
+    found = [F.nullif(F.regexp_extract(reply, p, 1), F.lit("")).try_cast("double")
              for p in SCORE_PATTERNS]
     score = F.coalesce(*found)
     return F.coalesce(score, F.lit(FALLBACK_SCORE)), score.isNull()

@@ -159,3 +159,24 @@ def split_summary(df: DataFrame, keys: list[str], score: str = "human_score") ->
     """Rows, min, max and mean score per group (e.g. per split)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("min_score"),
                                  F.max(score).alias("max_score"), F.avg(score).alias("mean_score"))
+
+
+def composite_loss_all(df: DataFrame, keys: list[str], alpha: float = 1.0, beta: float = 1.0,
+                       human: str = "human_score", judge: str = "judge_score") -> DataFrame:
+    """The composite loss for every rank-loss type, one row per (group, loss_type), from one
+    pass over the pairs and one rank pass."""
+    src, k, dropped = _keyed(df, keys)
+    mae = src.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
+    pm = ranking.pair_metrics(src, k, human, judge).select(*k, "pairwise_loss", "kendall_tau_loss")
+    sp = ranking.spearman_rho(src, k, human, judge).select(*k, "spearman_loss")
+    j = mae.join(pm, k).join(sp, k)
+    per_type = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("loss_type"), F.col(c).alias("rank_loss_component"))
+        for t, c in (("pairwise", "pairwise_loss"), ("kendall", "kendall_tau_loss"),
+                     ("spearman", "spearman_loss"))])).alias("_t")
+    out = j.select(*k, "mae_component", per_type).select(
+        *k, F.col("_t.loss_type").alias("loss_type"),
+        (F.lit(alpha) * F.col("mae_component") + F.lit(beta) * F.col("_t.rank_loss_component"))
+        .alias("total_loss"),
+        "mae_component", F.col("_t.rank_loss_component").alias("rank_loss_component"))
+    return _done(out, dropped)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import (CATEGORY_LABELS, CLIP_SAMPLE_CHARS, EMPTY_CATEGORY_FORMAT,
                                SAMPLE_FORMAT, clip_text)
@@ -78,7 +79,7 @@ def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "
     return out if keys else out.drop("_all")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _sample_line(rank: pd.Series, text: pd.Series, human: pd.Series, judge: pd.Series) -> pd.Series:
     # Python's own %-formatting, so rounding of the printed scores matches the reference exactly.
     return pd.Series([SAMPLE_FORMAT % (int(r), t, h, j, j - h)

@@ -60,7 +60,7 @@ def pair_scores(spark: SparkSession, d: str) -> DataFrame:
 def eval_history(spark: SparkSession, d: str) -> DataFrame:
     """Events as evaluation logs: one run per user, steps numbered in (ts, event_id) order."""
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "value", "props")
-    k = F.try_cast(F.nullif(F.regexp_extract("props", r"([0-9]+)", 1), F.lit("")), "int")
+    k = F.nullif(F.regexp_extract("props", r"([0-9]+)", 1), F.lit("")).try_cast("int")
     base = ev.select(
         F.col("user_id").alias("run_id"), "event_id", "ts", F.col("value").alias("val_loss"),
         ((k - F.lit(50)) / F.lit(50.0)).alias("kendall_tau"),
