@@ -74,8 +74,10 @@ def _histories(x: DataFrame, keys: list[str], step: str, cols: dict[str, str], s
     sel = [*keys, step]
     specs = []
     for name, col in cols.items():
-        sel += [F.col(col).alias(f"_x_{name}"), F.col(col).isNotNull().cast("double").alias(f"_c_{name}"),
-                F.coalesce(F.col(col), F.lit(0.0)).alias(f"_v_{name}")]
+        # A missing metric (NULL or NaN) does not enter its history.
+        v = F.when(F.isnan(F.col(col)), F.lit(None).cast("double")).otherwise(F.col(col).cast("double"))
+        sel += [v.alias(f"_x_{name}"), v.isNotNull().cast("double").alias(f"_c_{name}"),
+                F.coalesce(v, F.lit(0.0)).alias(f"_v_{name}")]
         specs += [Running(f"_c_{name}", "sum", f"_c_{name}"), Running(f"_s_{name}", "sum", f"_v_{name}")]
     y = running(x.select(*sel), keys, [step], specs, small=small)
     tables = {name: y.filter(F.col(f"_x_{name}").isNotNull()).select(

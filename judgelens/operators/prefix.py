@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pyspark import StorageLevel
+from ..session import cut_lineage
 
 _FNS = ("sum", "min", "max")
 
@@ -108,7 +108,7 @@ def _local_pass(keys: list[str], specs: list[Running]):
                         res[0] = carry[s.out]
                     if s.fn == "sum":
                         res = np.nan_to_num(res, nan=0.0)
-                out[s.out] = res
+                out["_o_" + s.out] = res
                 out["_tail_" + s.out] = inc
                 new_carry[s.out] = inc[-1]
             out["_first"] = False
@@ -175,8 +175,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Runnin
     r, cond = _null_safe_keys(df, hot, keys)
     cold_rows = df.join(r, cond, "left_anti")
     hot_rows = df.join(r, cond, "left_semi")
-    return _running_window(cold_rows, keys, order, specs).unionByName(
+    out = _running_window(cold_rows, keys, order, specs).unionByName(
         _running_ranged(hot_rows, keys, order, specs, partitions))
+    return cut_lineage(out)
 
 
 def _running_window(df: DataFrame, keys: list[str], order: list[str], specs: list[Running]) -> DataFrame:
@@ -199,12 +200,13 @@ def _running_ranged(df: DataFrame, keys: list[str], order: list[str], specs: lis
               .withColumn("_pid", F.spark_partition_id()))
     extra = []
     for s in specs:
-        extra += [T.StructField(s.out, T.DoubleType()), T.StructField("_tail_" + s.out, T.DoubleType())]
+        extra += [T.StructField("_o_" + s.out, T.DoubleType()), T.StructField("_tail_" + s.out, T.DoubleType())]
     schema = T.StructType(ranged.schema.fields + extra + [
         T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
-    # Persisted, so the carry table and the rows read one materialisation with one set of
-    # range bounds; a lost block is recomputed from the same shuffle dependency.
-    local = ranged.mapInPandas(_local_pass(keys, specs), schema).persist(StorageLevel.MEMORY_AND_DISK)
+    # Checkpointed (reliably, into spark.checkpoint.dir): the carry table and the rows then read
+    # one materialisation with one set of range bounds, a lost executor recomputes nothing
+    # upstream, and later plans start from this scan instead of repeating the lineage.
+    local = cut_lineage(ranged.mapInPandas(_local_pass(keys, specs), schema))
 
     # Carry table: one head row and one tail row per partition, so its size is bounded by n.
     tails = local.filter("_last").select("_pid", *keys, F.lit(1).alias("_kind"),
@@ -224,7 +226,7 @@ def _running_ranged(df: DataFrame, keys: list[str], order: list[str], specs: lis
     joined = local.join(F.broadcast(c), on=cond, how="left")
     cols = []
     for s in specs:
-        c, v = F.col("_c_carry_" + s.out), F.col(s.out)
+        c, v = F.col("_c_carry_" + s.out), F.col("_o_" + s.out)
         if s.fn == "sum":
             cols.append((v + F.coalesce(c, F.lit(0.0))).alias(s.out))
         elif s.fn == "min":
