@@ -134,11 +134,9 @@ def evaluation_report(df: DataFrame, keys: list[str], loss_type: str = "pairwise
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.stddev_pop(judge).alias("score_std"),
         (F.avg(variance) if variance else F.lit(None).cast("double")).alias("mean_self_consistency_var"))
-    kt = ranking.pair_metrics(src, k, human, judge).select(*k, "kendall_tau", "kendall_tau_loss",
-                                                           "pairwise_loss")
-    sr = ranking.spearman_rho(src, k, human, judge).select(*k, "spearman_rho", "spearman_loss")
+    rs = ranking.rank_statistics(src, k, human, judge).drop("n", "clear_pairs")
     en = score_entropy(src, k, judge).select(*k, "score_entropy")
-    out = base.join(kt, k).join(sr, k).join(en, k)
+    out = base.join(rs, k).join(en, k)
     if loss_type == "pairwise":
         rank = F.col("pairwise_loss")
     elif loss_type == "kendall":
@@ -167,9 +165,9 @@ def composite_loss_all(df: DataFrame, keys: list[str], alpha: float = 1.0, beta:
     pass over the pairs and one rank pass."""
     src, k, dropped = _keyed(df, keys)
     mae = src.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
-    pm = ranking.pair_metrics(src, k, human, judge).select(*k, "pairwise_loss", "kendall_tau_loss")
-    sp = ranking.spearman_rho(src, k, human, judge).select(*k, "spearman_loss")
-    j = mae.join(pm, k).join(sp, k)
+    rs = ranking.rank_statistics(src, k, human, judge).select(*k, "pairwise_loss", "kendall_tau_loss",
+                                                              "spearman_loss")
+    j = mae.join(rs, k)
     per_type = F.explode(F.array(*[
         F.struct(F.lit(t).alias("loss_type"), F.col(c).alias("rank_loss_component"))
         for t, c in (("pairwise", "pairwise_loss"), ("kendall", "kendall_tau_loss"),

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .prefix import Running, all_keys_small, prefix_before, running
 
 
@@ -59,45 +60,37 @@ def _group_totals(cells: DataFrame, keys: list[str]) -> DataFrame:
     return _join_keys(out, tie_pairs("_j", "n_j_ties"), keys)
 
 
-def _h_prefix(cells: DataFrame, keys: list[str], small: bool) -> DataFrame:
-    """Per distinct (group, h): W (rows at h), WH, and the same sums over smaller h."""
-    return prefix_before(cells, keys, "_h", ["_w", "_wh"], small=small)
-
-
-def _dense_rank(cells: DataFrame, keys: list[str], col: str, out: str, small: bool) -> DataFrame:
-    distinct = cells.groupBy(*keys, col).agg(F.lit(1.0).alias("_one"))
-    ranked = running(distinct, keys, [col], [Running(out, "sum", "_one", inclusive=False)], small=small)
-    return ranked.select(*keys, col, F.col(out).cast("bigint").alias(out))
-
-
-@_grouped
-def pair_sums(df: DataFrame, keys: list[str], human: str = "human_score",
-              judge: str = "judge_score") -> DataFrame:
-    """Per group: n, n_pairs, tie counts, S = concordant - discordant, clear pairs and the
-    summed mismatch loss of the pairwise ranking loss (margin 0)."""
-    cells = _cells(df, keys, human, judge)
+def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman: bool = True) -> DataFrame:
+    """Per group: n, n_pairs, tie counts, S = concordant - discordant, clear pairs, the summed
+    mismatch loss of the pairwise ranking loss (margin 0) and, optionally, Spearman's sums."""
+    # Cells are read by every pass below: materialise them once in the checkpoint folder.
+    cells = cut_lineage(_cells(df, keys, human, judge))
     # Every prefix below is keyed by the group or a refinement of it and has at most one row
     # per cell, so one check on cells per group bounds them all.
     small = all_keys_small(cells, keys)
 
-    # Sums over pairs with h_a < h_b (per b, weighted by b's rows).
-    hp = _h_prefix(cells, keys, small)
+    # Per distinct h: rows at h (_w), rows below h (_w_before) and their sum of h.
+    hp = prefix_before(cells, keys, "_h", ["_w", "_wh"], small=small)
     a_lh = hp.groupBy(*keys).agg(
         F.sum(F.col("_w") * F.col("_w_before")).alias("a_lh"),          # sum_b w_b LH(b)
         F.sum(F.col("_wh") * F.col("_w_before")).alias("b_lh"),         # sum_b w_b h_b LH(b)
         F.sum(F.col("_w") * F.col("_wh_before")).alias("c_lh"))         # sum_b w_b HLH(b)
 
+    # Per distinct j: rows below j and the dense rank of j, in one pass.
+    jd = cells.groupBy(*keys, "_j").agg(F.sum("_w").alias("_w"), F.lit(1.0).alias("_one"))
+    jp = running(jd, keys, ["_j"], [Running("_w_before", "sum", "_w", inclusive=False),
+                                    Running("_jr", "sum", "_one", inclusive=False)], small=small)
+
     # Pairs with h_a < h_b and equal j.
     ej = prefix_before(cells, keys + ["_j"], "_h", ["_w"], small=small)
     a_ej = ej.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_w_before")).alias("a_ej"))
 
     # Pairs with h_a < h_b and j_a < j_b, by bit level of the dense rank of j.
-    jr = _dense_rank(cells, keys, "_j", "_jr", small)
-    ranked = _join_keys(cells, jr, keys + ["_j"])
-    top = ranked.groupBy(*keys).agg(F.max("_jr").alias("_maxr"))
+    ranked = _join_keys(cells, jp.select(*keys, "_j", F.col("_jr").cast("bigint").alias("_jr")), keys + ["_j"])
+    top = jp.groupBy(*keys).agg(F.max("_jr").alias("_maxr"))
     levels = F.when(F.col("_maxr") >= 1, F.floor(F.log2(F.col("_maxr") + F.lit(0.5))).cast("int") + 1) \
         .otherwise(F.lit(0))
-    ranked = _join_keys(ranked, top.withColumn("_levels", levels), keys)
+    ranked = _join_keys(ranked, top.withColumn("_levels", levels).drop("_maxr"), keys)
     exploded = (ranked.filter(F.col("_levels") > 0)
                 .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_levels") - 1)))
                 .withColumn("_pk", F.expr("shiftright(_jr, _l + 1)"))
@@ -119,30 +112,81 @@ def pair_sums(df: DataFrame, keys: list[str], human: str = "human_score",
     out = _join_keys(out, a_ej, keys, "left")
     out = _join_keys(out, a_ll, keys, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return out.select(
-        *keys, "n",
-        (F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"), "n_h_ties", "n_j_ties",
-        (F.lit(2.0) * z("a_ll") - F.col("a_lh") + z("a_ej")).alias("s"),
-        F.col("a_lh").alias("clear_pairs"),
-        ((F.col("b_lh") - z("b_ll")) - (F.col("c_lh") - z("c_ll"))).alias("mismatch_loss"))
+    cols = [(F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"), "n_h_ties", "n_j_ties",
+            (F.lit(2.0) * z("a_ll") - F.col("a_lh") + z("a_ej")).alias("s"),
+            F.col("a_lh").alias("clear_pairs"),
+            ((F.col("b_lh") - z("b_ll")) - (F.col("c_lh") - z("c_ll"))).alias("mismatch_loss")]
+    if spearman:
+        # Average ranks from the two prefixes; centred so the sums stay well conditioned.
+        rh = hp.select(*keys, "_h", (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias("_rh"))
+        rj = jp.select(*keys, "_j", (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias("_rj"))
+        c = _join_keys(_join_keys(cells, rh, keys + ["_h"]), rj, keys + ["_j"])
+        c = _join_keys(c, out.select(*keys, "n"), keys)
+        mid = (F.col("n") + F.lit(1.0)) / F.lit(2.0)
+        c = c.withColumn("_ch", F.col("_rh") - mid).withColumn("_cj", F.col("_rj") - mid)
+        sums = c.groupBy(*keys).agg(
+            F.sum(F.col("_w") * F.col("_ch") * F.col("_cj")).alias("sxy"),
+            F.sum(F.col("_w") * F.col("_ch") * F.col("_ch")).alias("sxx"),
+            F.sum(F.col("_w") * F.col("_cj") * F.col("_cj")).alias("syy"))
+        out = _join_keys(out, sums, keys)
+        cols += ["sxy", "sxx", "syy"]
+    return out.select(*keys, "n", *cols)
 
 
-def _tau_b(p: DataFrame) -> Column:
+@_grouped
+def pair_sums(df: DataFrame, keys: list[str], human: str = "human_score",
+              judge: str = "judge_score") -> DataFrame:
+    """Per group: n, n_pairs, tie counts, S = concordant - discordant, clear pairs and the
+    summed mismatch loss of the pairwise ranking loss (margin 0)."""
+    return _statistics(df, keys, human, judge, spearman=False)
+
+
+def _tau_b() -> Column:
     den = F.sqrt((F.col("n_pairs") - F.col("n_h_ties")) * (F.col("n_pairs") - F.col("n_j_ties")))
     return F.try_divide(F.col("s"), den)
 
 
+def _rho() -> Column:
+    rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
+    return F.when((F.col("sxx") > 0) & (F.col("syy") > 0), rho)
+
+
+def _metric_cols(spearman: bool) -> list[Column]:
+    small = F.col("n") < 2
+    tau = _tau_b()
+    cols = [F.col("n").cast("bigint").alias("n"),
+            F.when(small, 0.0).otherwise(F.coalesce(tau, F.lit(0.0))).alias("kendall_tau"),
+            F.when(small, 0.0).otherwise(F.coalesce(F.lit(1.0) - tau, F.lit(1.0))).alias("kendall_tau_loss"),
+            F.col("clear_pairs").cast("bigint").alias("clear_pairs"),
+            (F.col("mismatch_loss") / F.greatest(F.col("clear_pairs"), F.lit(1.0))).alias("pairwise_loss")]
+    if spearman:
+        rho = _rho()
+        cols += [F.when(small, 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman_rho"),
+                 F.when(small, 0.0).otherwise(F.coalesce(F.lit(1.0) - rho, F.lit(1.0))).alias("spearman_loss")]
+    return cols
+
+
+@_grouped
+def rank_statistics(df: DataFrame, keys: list[str], human: str = "human_score",
+                    judge: str = "judge_score") -> DataFrame:
+    """Kendall tau-b and its loss, the pairwise ranking loss and Spearman rho and its loss,
+    all from one set of passes. Metrics are 0.0 when undefined or n < 2; losses are 1 - metric
+    (1.0 when undefined; 0.0 for n < 2)."""
+    return _statistics(df, keys, human, judge, spearman=True).select(*keys, *_metric_cols(True))
+
+
+@_grouped
+def pair_metrics(df: DataFrame, keys: list[str], human: str = "human_score",
+                 judge: str = "judge_score") -> DataFrame:
+    """Kendall tau-b, its loss and the pairwise ranking loss from one pass over the pairs."""
+    return _statistics(df, keys, human, judge, spearman=False).select(*keys, *_metric_cols(False))
+
+
 @_grouped
 def kendall_tau(df: DataFrame, keys: list[str], human: str = "human_score",
                 judge: str = "judge_score") -> DataFrame:
     """Kendall tau-b per group; metric 0.0 when undefined or n < 2, loss 1 - tau (1.0 when undefined)."""
-    p = pair_sums(df, keys, human, judge)
-    tau = _tau_b(p)
-    small = F.col("n") < 2
-    return p.select(*keys, F.col("n").cast("bigint").alias("n"),
-                    F.when(small, 0.0).otherwise(F.coalesce(tau, F.lit(0.0))).alias("kendall_tau"),
-                    F.when(small, 0.0).otherwise(F.coalesce(F.lit(1.0) - tau, F.lit(1.0)))
-                    .alias("kendall_tau_loss"))
+    return pair_metrics(df, keys, human, judge).select(*keys, "n", "kendall_tau", "kendall_tau_loss")
 
 
 @_grouped
@@ -151,56 +195,11 @@ def pairwise_ranking_loss(df: DataFrame, keys: list[str], human: str = "human_sc
     """Mean over clear pairs of |dh| where the judge disagrees (ties included); 0.0 for n < 2."""
     if margin != 0.0:
         raise NotImplementedError("only margin 0 (the value every loss computation uses) is supported")
-    p = pair_sums(df, keys, human, judge)
-    return p.select(*keys, F.col("n").cast("bigint").alias("n"),
-                    F.col("clear_pairs").cast("bigint").alias("clear_pairs"),
-                    (F.col("mismatch_loss") / F.greatest(F.col("clear_pairs"), F.lit(1.0)))
-                    .alias("pairwise_loss"))
+    return pair_metrics(df, keys, human, judge).select(*keys, "n", "clear_pairs", "pairwise_loss")
 
 
 @_grouped
 def spearman_rho(df: DataFrame, keys: list[str], human: str = "human_score",
                  judge: str = "judge_score") -> DataFrame:
     """Spearman rho from average ranks; metric 0.0 when undefined or n < 2, loss 1 - rho."""
-    cells = _cells(df, keys, human, judge)
-    small = all_keys_small(cells, keys)
-
-    def avg_rank(col: str, out: str) -> DataFrame:
-        pref = prefix_before(cells.withColumnRenamed(col, "_v"), keys, "_v", ["_w"], small=small)
-        return pref.select(*keys, F.col("_v").alias(col),
-                           (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias(out))
-
-    n = cells.groupBy(*keys).agg(F.sum("_w").alias("n"))
-    c = _join_keys(cells, avg_rank("_h", "_rh"), keys + ["_h"])
-    c = _join_keys(c, avg_rank("_j", "_rj"), keys + ["_j"])
-    c = _join_keys(c, n, keys)
-    mid = (F.col("n") + F.lit(1.0)) / F.lit(2.0)
-    c = c.withColumn("_ch", F.col("_rh") - mid).withColumn("_cj", F.col("_rj") - mid)
-    agg = c.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.sum(F.col("_w") * F.col("_ch") * F.col("_cj")).alias("sxy"),
-        F.sum(F.col("_w") * F.col("_ch") * F.col("_ch")).alias("sxx"),
-        F.sum(F.col("_w") * F.col("_cj") * F.col("_cj")).alias("syy"))
-    rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
-    rho = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), rho)
-    small = F.col("n") < 2
-    return agg.select(*keys, F.col("n").cast("bigint").alias("n"),
-                      F.when(small, 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman_rho"),
-                      F.when(small, 0.0).otherwise(F.coalesce(F.lit(1.0) - rho, F.lit(1.0)))
-                      .alias("spearman_loss"))
-
-
-@_grouped
-def pair_metrics(df: DataFrame, keys: list[str], human: str = "human_score",
-                 judge: str = "judge_score") -> DataFrame:
-    """Kendall tau-b, its loss and the pairwise ranking loss from one pass over the pairs."""
-    p = pair_sums(df, keys, human, judge)
-    tau = _tau_b(p)
-    small = F.col("n") < 2
-    return p.select(*keys, F.col("n").cast("bigint").alias("n"),
-                    F.when(small, 0.0).otherwise(F.coalesce(tau, F.lit(0.0))).alias("kendall_tau"),
-                    F.when(small, 0.0).otherwise(F.coalesce(F.lit(1.0) - tau, F.lit(1.0)))
-                    .alias("kendall_tau_loss"),
-                    F.col("clear_pairs").cast("bigint").alias("clear_pairs"),
-                    (F.col("mismatch_loss") / F.greatest(F.col("clear_pairs"), F.lit(1.0)))
-                    .alias("pairwise_loss"))
+    return rank_statistics(df, keys, human, judge).select(*keys, "n", "spearman_rho", "spearman_loss")

@@ -22,14 +22,18 @@ def _keyed(df: DataFrame, keys: list[str]):
     return df.withColumn("_all", F.lit(0)), ["_all"], True
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[float],
+                      small: bool | None = None) -> DataFrame:
     """Per group, the linear-interpolation percentiles of ``col`` (the common default rule).
 
     Distinct values with their cumulative counts come from :func:`prefix_before`; each
     requested position is matched to the value whose rank range covers it.
     """
     src, k, dropped = _keyed(df.filter(F.col(col).isNotNull()), keys)
-    pref = prefix_before(src.select(*k, F.col(col).alias("_v"), F.lit(1.0).alias("_c")), k, "_v", ["_c"])
+    if small is None:
+        small = all_keys_small(src, k)
+    pref = prefix_before(src.select(*k, F.col(col).alias("_v"), F.lit(1.0).alias("_c")), k, "_v", ["_c"],
+                         small=small)
     n = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     out = n
     for i, p in enumerate(probs):
@@ -59,7 +63,7 @@ def _pname(p: float) -> str:
 
 
 def score_strata(df: DataFrame, keys: list[str] | None = None, score: str = "human_score",
-                 high: float = 0.75, low: float = 0.25) -> DataFrame:
+                 high: float = 0.75, low: float = 0.25, small: bool | None = None) -> DataFrame:
     """``stratum`` = high (score >= p_high), low (score <= p_low), else mid.
 
     When both thresholds coincide a row qualifies for both; it goes to high, so every row is in
@@ -67,7 +71,7 @@ def score_strata(df: DataFrame, keys: list[str] | None = None, score: str = "hum
     """
     keys = list(keys or [])
     src, k, dropped = _keyed(df, keys)
-    q = exact_percentiles(src, k, score, [low, high]).select(
+    q = exact_percentiles(src, k, score, [low, high], small=small).select(
         *k, F.col(_pname(low)).alias("low_threshold"), F.col(_pname(high)).alias("high_threshold"))
     j = src.join(q, k)
     s = F.col(score)
@@ -84,7 +88,8 @@ def train_val_split(df: DataFrame, keys: list[str] | None = None, id_col: str =
     src, k, dropped = _keyed(df, keys)
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
     x = src.withColumn("_h", h).withColumn("_one", F.lit(1.0))
-    pos = running(x, k, ["_h", id_col], [Running("_pos", "sum", "_one", inclusive=False)])
+    pos = running(x, k, ["_h", id_col], [Running("_pos", "sum", "_one", inclusive=False)],
+                  small=all_keys_small(src, k))
     n = src.groupBy(*k).agg(F.floor(F.count(F.lit(1)) * F.lit(float(val_fraction))).alias("n_val"))
     out = pos.join(n, k).withColumn(
         "split", F.when(F.col("_pos") < F.col("n_val"), "val").otherwise("train")).drop("_h", "_one", "_pos", "n_val")
@@ -111,7 +116,10 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
         raise ValueError("batch_size and epochs must be positive")
     keys = list(keys or [])
     src, k, dropped = _keyed(df, keys)
-    strata = score_strata(src, k, score).select(*k, id_col, score, "stratum")
+    # Every key below (group, group+epoch, group+epoch+stratum) has at most as many rows as
+    # its group, so one check on the input bounds them all.
+    small = all_keys_small(src, k)
+    strata = score_strata(src, k, score, small=small).select(*k, id_col, score, "stratum")
     n = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
     x = (strata.join(n, k)
          .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") <= batch_size, F.lit(0))
@@ -119,7 +127,6 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
          .withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                              F.col(id_col).cast("string"))))
          .withColumn("_one", F.lit(1.0)))
-    small = all_keys_small(x, k + ["epoch"])
     p = running(x, k + ["epoch", "stratum"], ["_h", id_col], [Running("_p", "sum", "_one", inclusive=False)],
                 small=small)
     q = quotas(batch_size)
@@ -136,13 +143,17 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
 
 
 def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per (epoch, batch): rows in the batch, rows seen so far in the epoch, and progress."""
+    """Per (epoch, batch): rows in the batch, rows seen so far in the epoch, and progress.
+
+    Positions inside an epoch are contiguous from 0, so the rows seen up to a batch are its
+    largest position plus one: a plain aggregate, no running pass needed.
+    """
     keys = list(keys or [])
     src, k, dropped = _keyed(batches, keys)
-    per = src.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).cast("double").alias("batch_rows"))
+    per = src.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).alias("batch_rows"),
+                                                   (F.max("position") + 1).alias("seen"))
     n = src.filter(F.col("epoch") == 0).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    seen = running(per, k + ["epoch"], ["batch_no"], [Running("seen", "sum", "batch_rows")])
-    out = seen.join(n, k).select(
+    out = per.join(n, k).select(
         *k, "epoch", "batch_no", F.col("batch_rows").cast("bigint").alias("batch_rows"),
         F.col("seen").cast("bigint").alias("seen"),
         F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("seen") / F.col("_n")).alias("progress"))
