@@ -41,12 +41,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local"):
+        # A machine-local folder would not survive executor loss on a cluster.
+        raise RuntimeError("set spark.checkpoint.dir to a shared (distributed) folder")
     path = tempfile.mkdtemp(prefix="judgelens-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives executor loss;
+    later plans start from the checkpointed data instead of repeating the lineage)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
