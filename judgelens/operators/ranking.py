@@ -22,7 +22,7 @@ is that two human scores closer than 1e-6 but unequal still count as a clear pai
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -69,57 +69,67 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
     # per cell, so one check on cells per group bounds them all.
     small = all_keys_small(cells, keys)
 
-    # Per distinct h: rows at h (_w), rows below h (_w_before) and their sum of h.
-    hp = prefix_before(cells, keys, "_h", ["_w", "_wh"], small=small)
-    a_lh = hp.groupBy(*keys).agg(
-        F.sum(F.col("_w") * F.col("_w_before")).alias("a_lh"),          # sum_b w_b LH(b)
-        F.sum(F.col("_wh") * F.col("_w_before")).alias("b_lh"),         # sum_b w_b h_b LH(b)
-        F.sum(F.col("_w") * F.col("_wh_before")).alias("c_lh"))         # sum_b w_b HLH(b)
-
-    # Per distinct j: rows below j and the dense rank of j, in one pass.
-    jd = cells.groupBy(*keys, "_j").agg(F.sum("_w").alias("_w"), F.lit(1.0).alias("_one"))
-    jp = running(jd, keys, ["_j"], [Running("_w_before", "sum", "_w", inclusive=False),
-                                    Running("_jr", "sum", "_one", inclusive=False)], small=small)
-
-    # Pairs with h_a < h_b and equal j.
-    ej = prefix_before(cells, keys + ["_j"], "_h", ["_w"], small=small)
-    a_ej = ej.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_w_before")).alias("a_ej"))
-
-    # Pairs with h_a < h_b and j_a < j_b, by bit level of the dense rank of j.
-    ranked = _join_keys(cells, jp.select(*keys, "_j", F.col("_jr").cast("bigint").alias("_jr")), keys + ["_j"])
-    top = jp.groupBy(*keys).agg(F.max("_jr").alias("_maxr"))
+    # Per cell: dense rank of j (_jr), its largest value in the group (_maxr) and the rows with
+    # a smaller j (_jb, for Spearman).
+    if small:
+        # Every group fits one task (checked): windows over the cells, one shuffle by group.
+        g = Window.partitionBy(*keys)
+        ranked = (cells.withColumn("_jr", (F.dense_rank().over(g.orderBy("_j")) - 1).cast("bigint"))
+                  .withColumn("_maxr", F.max("_jr").over(g))
+                  .withColumn("_jb", F.sum("_w").over(g.orderBy("_j").rangeBetween(Window.unboundedPreceding, 0))
+                              - F.sum("_w").over(Window.partitionBy(*keys, "_j"))))
+    else:
+        # Hot groups: distributed running pass over the distinct j values, joined back.
+        jd = cells.groupBy(*keys, "_j").agg(F.sum("_w").alias("_w"), F.lit(1.0).alias("_one"))
+        jp = running(jd, keys, ["_j"], [Running("_jb", "sum", "_w", inclusive=False),
+                                        Running("_jr", "sum", "_one", inclusive=False)], small=False)
+        jp = jp.select(*keys, "_j", "_jb", F.col("_jr").cast("bigint").alias("_jr"))
+        top = jp.groupBy(*keys).agg(F.max("_jr").alias("_maxr"))
+        ranked = _join_keys(_join_keys(cells, jp, keys + ["_j"]), top, keys)
+
+    # All pair sums come from one prefix over h, keyed by (group, level, part):
+    #   level -2, part = rank(j): pairs with h_a < h_b and equal j;
+    #   level -1, part = 0:       pairs with h_a < h_b;
+    #   level l >= 0, part = rank(j) >> (l + 1): pairs with h_a < h_b and j_a < j_b, split by
+    #   the bit level at which the two dense ranks first differ.
+    # Each row carries point weights (_p, _ph) and query weights (_q, _qh).
     levels = F.when(F.col("_maxr") >= 1, F.floor(F.log2(F.col("_maxr") + F.lit(0.5))).cast("int") + 1) \
         .otherwise(F.lit(0))
-    ranked = _join_keys(ranked, top.withColumn("_levels", levels).drop("_maxr"), keys)
-    exploded = (ranked.filter(F.col("_levels") > 0)
-                .withColumn("_l", F.explode(F.sequence(F.lit(0), F.col("_levels") - 1)))
-                .withColumn("_pk", F.expr("shiftright(_jr, _l + 1)"))
-                .withColumn("_bit", F.expr("shiftright(_jr, _l) & 1")))
-    zero, one = F.col("_bit") == 0, F.col("_bit") == 1
+    ranked = ranked.withColumn("_levels", levels)
+    exploded = (ranked.withColumn("_l", F.explode(F.sequence(F.lit(-2), F.col("_levels") - 1)))
+                .withColumn("_pk", F.when(F.col("_l") == -2, F.col("_jr")).when(F.col("_l") == -1, F.lit(0))
+                            .otherwise(F.expr("shiftright(_jr, _l + 1)")))
+                .withColumn("_bit", F.when(F.col("_l") < 0, F.lit(-1)).otherwise(F.expr("shiftright(_jr, _l) & 1"))))
+    point, query = F.col("_bit") != 1, F.col("_bit") != 0
     pts = exploded.select(
         *keys, "_l", "_pk", "_h",
-        F.when(zero, F.col("_w")).otherwise(F.lit(0.0)).alias("_p"),
-        F.when(zero, F.col("_wh")).otherwise(F.lit(0.0)).alias("_ph"),
-        F.when(one, F.col("_w")).otherwise(F.lit(0.0)).alias("_q"),
-        F.when(one, F.col("_wh")).otherwise(F.lit(0.0)).alias("_qh"))
+        F.when(point, F.col("_w")).otherwise(F.lit(0.0)).alias("_p"),
+        F.when(point, F.col("_wh")).otherwise(F.lit(0.0)).alias("_ph"),
+        F.when(query, F.col("_w")).otherwise(F.lit(0.0)).alias("_q"),
+        F.when(query, F.col("_wh")).otherwise(F.lit(0.0)).alias("_qh"))
     lv = prefix_before(pts, keys + ["_l", "_pk"], "_h", ["_p", "_ph", "_q", "_qh"], small=small)
-    a_ll = lv.groupBy(*keys).agg(
-        F.sum(F.col("_q") * F.col("_p_before")).alias("a_ll"),          # sum_b w_b LL(b)
-        F.sum(F.col("_qh") * F.col("_p_before")).alias("b_ll"),         # sum_b w_b h_b LL(b)
-        F.sum(F.col("_q") * F.col("_ph_before")).alias("c_ll"))         # sum_b w_b HLL(b)
-
-    out = _join_keys(_group_totals(cells, keys), a_lh, keys)
-    out = _join_keys(out, a_ej, keys, "left")
-    out = _join_keys(out, a_ll, keys, "left")
+    lvl = F.col("_l")
+    sums = lv.groupBy(*keys).agg(
+        F.sum(F.when(lvl == -1, F.col("_q") * F.col("_p_before"))).alias("a_lh"),    # sum_b w_b LH(b)
+        F.sum(F.when(lvl == -1, F.col("_qh") * F.col("_p_before"))).alias("b_lh"),   # sum_b w_b h_b LH(b)
+        F.sum(F.when(lvl == -1, F.col("_q") * F.col("_ph_before"))).alias("c_lh"),   # sum_b w_b HLH(b)
+        F.sum(F.when(lvl == -2, F.col("_q") * F.col("_p_before"))).alias("a_ej"),    # equal j, h below
+        F.sum(F.when(lvl >= 0, F.col("_q") * F.col("_p_before"))).alias("a_ll"),     # sum_b w_b LL(b)
+        F.sum(F.when(lvl >= 0, F.col("_qh") * F.col("_p_before"))).alias("b_ll"),    # sum_b w_b h_b LL(b)
+        F.sum(F.when(lvl >= 0, F.col("_q") * F.col("_ph_before"))).alias("c_ll"))    # sum_b w_b HLL(b)
+
+    out = _join_keys(_group_totals(cells, keys), sums, keys)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     cols = [(F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"), "n_h_ties", "n_j_ties",
-            (F.lit(2.0) * z("a_ll") - F.col("a_lh") + z("a_ej")).alias("s"),
-            F.col("a_lh").alias("clear_pairs"),
-            ((F.col("b_lh") - z("b_ll")) - (F.col("c_lh") - z("c_ll"))).alias("mismatch_loss")]
+            (F.lit(2.0) * z("a_ll") - z("a_lh") + z("a_ej")).alias("s"),
+            z("a_lh").alias("clear_pairs"),
+            ((z("b_lh") - z("b_ll")) - (z("c_lh") - z("c_ll"))).alias("mismatch_loss")]
     if spearman:
         # Average ranks from the two prefixes; centred so the sums stay well conditioned.
-        rh = hp.select(*keys, "_h", (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias("_rh"))
-        rj = jp.select(*keys, "_j", (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias("_rj"))
+        rh = lv.filter(lvl == -1).select(
+            *keys, "_h", (F.col("_p_before") + (F.col("_p") + F.lit(1.0)) / F.lit(2.0)).alias("_rh"))
+        jw = ranked.groupBy(*keys, "_j").agg(F.first("_jb").alias("_jb"), F.sum("_w").alias("_jw"))
+        rj = jw.select(*keys, "_j", (F.col("_jb") + (F.col("_jw") + F.lit(1.0)) / F.lit(2.0)).alias("_rj"))
         c = _join_keys(_join_keys(cells, rh, keys + ["_h"]), rj, keys + ["_j"])
         c = _join_keys(c, out.select(*keys, "n"), keys)
         mid = (F.col("n") + F.lit(1.0)) / F.lit(2.0)
