@@ -40,18 +40,21 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
         raise NotImplementedError("min_delta > 0 is a recurrence: use judgelens.streaming.monitor_stream")
     keys = list(keys or ["run_id"])
     x = _monitor_base(history, keys, step, loss)
-    small = all_keys_small(x, keys)
+    small = all_keys_small(history, keys)
+    # Pass 1: row number, best loss before / up to each row, and the metric histories.
+    hist_sel, hist_specs = _history_columns({"tau": tau, "ent": entropy, "var": variance})
     specs = [Running("_rn", "sum", "_one"), Running("_best_before", "min", "_loss", inclusive=False),
-             Running("best_loss", "min", "_loss")]
-    x = running(x, keys, [step], specs, small=small)
+             Running("best_loss", "min", "_loss")] + hist_specs
+    x = running(x.select("*", *hist_sel), keys, [step], specs, small=small)
     improved = F.col("_loss").isNotNull() & (F.col("_best_before").isNull() | (F.col("_loss") < F.col("_best_before")))
     x = (x.withColumn("improved", improved)
          .withColumn("_imp_rn", F.when(F.col("improved"), F.col("_rn")))
          .withColumn("_imp_step", F.when(F.col("improved"), F.col(step).cast("double"))))
+    warn = _warnings(x, keys, step, tau, entropy, variance, entropy_threshold, variance_threshold,
+                     monitor_rank_corr, monitor_entropy, monitor_variance, small, rows=x)
+    # Pass 2: the last improving row (needs pass 1's "improved").
     x = running(x, keys, [step], [Running("_last_imp_rn", "max", "_imp_rn"),
                                   Running("_best_step", "max", "_imp_step")], small=small)
-    warn = _warnings(x, keys, step, tau, entropy, variance, entropy_threshold, variance_threshold,
-                     monitor_rank_corr, monitor_entropy, monitor_variance, small)
     x = x.join(warn, [*keys, step], "left")
     counter = (F.col("_rn") - F.coalesce(F.col("_last_imp_rn"), F.lit(0.0))).cast("bigint")
     x = x.withColumn("counter", counter)
@@ -68,22 +71,30 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
         "first_stop_step")
 
 
-def _histories(x: DataFrame, keys: list[str], step: str, cols: dict[str, str], small: bool):
-    """One running pass: per row, how many non-null values of each metric were seen so far and
-    their running sum; plus, per metric, a table from (key, count) to that sum and value."""
-    sel = [*keys, step]
-    specs = []
+def _history_columns(cols: dict[str, str]):
+    """Select expressions and running specs for metric histories: per row, how many non-null
+    values of each metric were seen so far and their running sum."""
+    sel, specs = [], []
     for name, col in cols.items():
         # A missing metric (NULL or NaN) does not enter its history.
         v = F.when(F.isnan(F.col(col)), F.lit(None).cast("double")).otherwise(F.col(col).cast("double"))
         sel += [v.alias(f"_x_{name}"), v.isNotNull().cast("double").alias(f"_c_{name}"),
                 F.coalesce(v, F.lit(0.0)).alias(f"_v_{name}")]
         specs += [Running(f"_c_{name}", "sum", f"_c_{name}"), Running(f"_s_{name}", "sum", f"_v_{name}")]
-    y = running(x.select(*sel), keys, [step], specs, small=small)
-    tables = {name: y.filter(F.col(f"_x_{name}").isNotNull()).select(
+    return sel, specs
+
+
+def _history_tables(y: DataFrame, keys: list[str], cols: dict[str, str]) -> dict[str, DataFrame]:
+    """Per metric, a table from (key, count) to the running sum and the value at that count."""
+    return {name: y.filter(F.col(f"_x_{name}").isNotNull()).select(
         *keys, F.col(f"_c_{name}").alias("_idx"), F.col(f"_s_{name}").alias("_sum"),
         F.col(f"_x_{name}").alias("_val")) for name in cols}
-    return y, tables
+
+
+def _histories(x: DataFrame, keys: list[str], step: str, cols: dict[str, str], small: bool):
+    sel, specs = _history_columns(cols)
+    y = running(x.select(*keys, step, *sel), keys, [step], specs, small=small)
+    return y, _history_tables(y, keys, cols)
 
 
 def _at(rows: DataFrame, table: DataFrame, keys: list[str], idx_col, prefix: str) -> DataFrame:
@@ -94,8 +105,14 @@ def _at(rows: DataFrame, table: DataFrame, keys: list[str], idx_col, prefix: str
 
 def _warnings(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str, variance: str,
               entropy_threshold: float, variance_threshold: float, rank_on: bool, ent_on: bool,
-              var_on: bool, small: bool) -> DataFrame:
-    rows, t = _histories(x, keys, step, {"tau": tau, "ent": entropy, "var": variance}, small)
+              var_on: bool, small: bool, rows: DataFrame | None = None) -> DataFrame:
+    """Warning flags per row; ``rows`` may already carry the running history columns."""
+    cols = {"tau": tau, "ent": entropy, "var": variance}
+    if rows is None:
+        rows, t = _histories(x, keys, step, cols, small)
+    else:
+        t = _history_tables(rows, keys, cols)
+    rows = rows.select(*keys, step, *[f"_{p}_{n}" for n in cols for p in ("c", "s")])
     t_tau, t_ent, t_var = t["tau"], t["ent"], t["var"]
     c = F.col("_c_tau")
     rows = _at(rows, t_tau, keys, c - 3, "_m3")

@@ -211,5 +211,37 @@ def pairwise_ranking_loss(df: DataFrame, keys: list[str], human: str = "human_sc
 @_grouped
 def spearman_rho(df: DataFrame, keys: list[str], human: str = "human_score",
                  judge: str = "judge_score") -> DataFrame:
-    """Spearman rho from average ranks; metric 0.0 when undefined or n < 2, loss 1 - rho."""
-    return rank_statistics(df, keys, human, judge).select(*keys, "n", "spearman_rho", "spearman_loss")
+    """Spearman rho from average ranks; metric 0.0 when undefined or n < 2, loss 1 - rho.
+
+    Needs only the two rank columns, not the pair sums: windows over the cells for groups that
+    fit one task (checked), prefix sums otherwise.
+    """
+    cells = cut_lineage(_cells(df, keys, human, judge))
+    small = all_keys_small(cells, keys)
+    if small:
+        g = Window.partitionBy(*keys)
+        upto = lambda c: F.sum("_w").over(g.orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+        at = lambda c: F.sum("_w").over(Window.partitionBy(*keys, c))
+        c = (cells.withColumn("_rh", upto("_h") - at("_h") + (at("_h") + F.lit(1.0)) / F.lit(2.0))
+             .withColumn("_rj", upto("_j") - at("_j") + (at("_j") + F.lit(1.0)) / F.lit(2.0))
+             .withColumn("n", F.sum("_w").over(g)))
+    else:
+        def avg_rank(col: str, out: str) -> DataFrame:
+            pref = prefix_before(cells.select(*keys, col, "_w"), keys, col, ["_w"], small=False)
+            return pref.select(*keys, col, (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias(out))
+        n = cells.groupBy(*keys).agg(F.sum("_w").alias("n"))
+        c = _join_keys(_join_keys(_join_keys(cells, avg_rank("_h", "_rh"), keys + ["_h"]),
+                                  avg_rank("_j", "_rj"), keys + ["_j"]), n, keys)
+    mid = (F.col("n") + F.lit(1.0)) / F.lit(2.0)
+    c = c.withColumn("_ch", F.col("_rh") - mid).withColumn("_cj", F.col("_rj") - mid)
+    sums = c.groupBy(*keys).agg(
+        F.first("n").alias("n"),
+        F.sum(F.col("_w") * F.col("_ch") * F.col("_cj")).alias("sxy"),
+        F.sum(F.col("_w") * F.col("_ch") * F.col("_ch")).alias("sxx"),
+        F.sum(F.col("_w") * F.col("_cj") * F.col("_cj")).alias("syy"))
+    small_n = F.col("n") < 2
+    rho = _rho()
+    return sums.select(*keys, F.col("n").cast("bigint").alias("n"),
+                       F.when(small_n, 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman_rho"),
+                       F.when(small_n, 0.0).otherwise(F.coalesce(F.lit(1.0) - rho, F.lit(1.0)))
+                       .alias("spearman_loss"))
