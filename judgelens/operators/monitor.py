@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lr_at
+from ..session import cut_lineage
 from .prefix import Running, all_keys_small, running
 
 
@@ -45,7 +46,8 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
     hist_sel, hist_specs = _history_columns({"tau": tau, "ent": entropy, "var": variance})
     specs = [Running("_rn", "sum", "_one"), Running("_best_before", "min", "_loss", inclusive=False),
              Running("best_loss", "min", "_loss")] + hist_specs
-    x = running(x.select("*", *hist_sel), keys, [step], specs, small=small)
+    # Materialised: read by the warnings, the second pass and the stop summary.
+    x = cut_lineage(running(x.select("*", *hist_sel), keys, [step], specs, small=small))
     improved = F.col("_loss").isNotNull() & (F.col("_best_before").isNull() | (F.col("_loss") < F.col("_best_before")))
     x = (x.withColumn("improved", improved)
          .withColumn("_imp_rn", F.when(F.col("improved"), F.col("_rn")))

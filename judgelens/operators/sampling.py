@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .prefix import Running, all_keys_small, prefix_before, running
 
-STRATUM_ORDER = {"high": 0, "low": 1, "mid": 2}
-
-
 def _keyed(df: DataFrame, keys: list[str]):
     if keys:
         return df, list(keys), False
@@ -152,7 +149,8 @@ def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFra
     src, k, dropped = _keyed(batches, keys)
     per = src.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).alias("batch_rows"),
                                                    (F.max("position") + 1).alias("seen"))
-    n = src.filter(F.col("epoch") == 0).groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    # Group size from the (small) per-batch table, so the batches are derived once.
+    n = per.filter(F.col("epoch") == 0).groupBy(*k).agg(F.sum("batch_rows").alias("_n"))
     out = per.join(n, k).select(
         *k, "epoch", "batch_no", F.col("batch_rows").cast("bigint").alias("batch_rows"),
         F.col("seen").cast("bigint").alias("seen"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import md5_normal, round_half_up
+from ..functions.exprs import round_half_up
 from ..operators import audit, metrics, monitor, prompts, ranking, samples, sampling, scoring
 from ..operators.prefix import Running, running
 from ..sources import scored_files, synthetic

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_unit, round_half_up
 from ..operators.prefix import Running, running
+from ..session import cut_lineage
 from ..sources.tables import table
 
 SECTIONS = (("1-URGENT", 1, True), ("2-HIGH", 2, False), ("3-MEDIUM", 3, False))
@@ -69,7 +70,8 @@ def eval_history(spark: SparkSession, d: str) -> DataFrame:
         .alias("mean_self_consistency_var"),
         k.alias("k"), "props", F.lit(1.0).alias("_one"))
     numbered = running(base, ["run_id"], ["ts", "event_id"], [Running("step", "sum", "_one")])
-    return numbered.select("run_id", F.col("step").cast("bigint").alias("step"), "val_loss",
+    # Materialised once: every monitor query reads the run log several times.
+    return cut_lineage(numbered).select("run_id", F.col("step").cast("bigint").alias("step"), "val_loss",
                            "kendall_tau", "score_entropy", "mean_self_consistency_var", "ts", "k",
                            "props")
 

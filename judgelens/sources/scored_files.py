@@ -46,8 +46,7 @@ def parse_required_fields(raw: DataFrame, prompt_field: str = "prompt", response
 
 def load_scored(spark: SparkSession, path: str, **fields) -> tuple[DataFrame, DataFrame]:
     """(samples, quarantine) from a JSON-lines path; samples get a stable ``sample_id``."""
-    parsed = parse_required_fields(read_scored_lines(spark, path, **fields), **{
-        k: v for k, v in fields.items()})
+    parsed = parse_required_fields(read_scored_lines(spark, path, **fields), **fields)
     ok = parsed.filter(F.col("status") == "ok")
     samples = ok.select(F.xxhash64("file_path", "prompt", "response", "score").alias("sample_id"),
                         "prompt", "response", F.col("score").alias("human_score"))
