@@ -32,26 +32,24 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     pref = prefix_before(src.select(*k, F.col(col).alias("_v"), F.lit(1.0).alias("_c")), k, "_v", ["_c"],
                          small=small)
     n = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    out = n
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_n") - F.lit(1)).cast("double")
-        want = n.select(*k, pos.alias("_pos")).select(
-            *k, F.floor("_pos").cast("double").alias("_lo"), F.ceil("_pos").cast("double").alias("_hi"),
-            (F.col("_pos") - F.floor("_pos")).alias("_t"))
-
-        def value_at(rank_col: str, name: str) -> DataFrame:
-            j = pref.join(want, k).filter((F.col("_c_before") <= F.col(rank_col)) &
-                                          (F.col(rank_col) < F.col("_c_before") + F.col("_c")))
-            return j.select(*k, F.col("_v").alias(name), "_t")
-        lo = value_at("_lo", "_a")
-        hi = value_at("_hi", "_b").drop("_t")
-        both = lo.join(hi, k)
-        diff = F.col("_b") - F.col("_a")
-        val = F.when(F.col("_t") >= 0.5, F.col("_b") - diff * (F.lit(1.0) - F.col("_t"))) \
-            .otherwise(F.col("_a") + diff * F.col("_t"))
-        out = out.join(both.select(*k, val.alias(f"p{i}")), k)
-    cols = [F.col(f"p{i}").alias(_pname(p)) for i, p in enumerate(probs)]
-    out = out.select(*k, F.col("_n").alias("n"), *cols)
+    # One small table of wanted ranks (two per probability), joined once to the prefix table.
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_n") - F.lit(1)).cast("double")).alias("_pos"))
+        for i, p in enumerate(probs)])).alias("_w")
+    want = (n.select(*k, wanted).select(*k, "_w._i", "_w._pos")
+            .withColumn("_lo", F.floor("_pos").cast("double")).withColumn("_hi", F.ceil("_pos").cast("double"))
+            .withColumn("_t", F.col("_pos") - F.floor("_pos")))
+    covers = lambda r: (F.col("_c_before") <= F.col(r)) & (F.col(r) < F.col("_c_before") + F.col("_c"))
+    hits = pref.join(want, k).filter(covers("_lo") | covers("_hi"))
+    ab = hits.groupBy(*k, "_i", "_t").agg(F.max(F.when(covers("_lo"), F.col("_v"))).alias("_a"),
+                                         F.max(F.when(covers("_hi"), F.col("_v"))).alias("_b"))
+    diff = F.col("_b") - F.col("_a")
+    val = F.when(F.col("_t") >= 0.5, F.col("_b") - diff * (F.lit(1.0) - F.col("_t"))) \
+        .otherwise(F.col("_a") + diff * F.col("_t"))
+    per = ab.select(*k, "_i", val.alias("_val"))
+    wide = per.groupBy(*k).agg(*[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(_pname(p))
+                                 for i, p in enumerate(probs)])
+    out = n.join(wide, k).select(*k, F.col("_n").alias("n"), *[_pname(p) for p in probs])
     return out.drop("_all") if dropped else out
 
 
