@@ -155,7 +155,8 @@ def q_length_judge(spark, d):
 
 
 def q_extract_score(spark, d):
-    return r6(scoring.extract_scores(fx.judge_replies(spark, d)).select("sample_id", "score", "used_fallback"))
+    # Parsed numbers, no arithmetic: returned as parsed (rounding would only blur huge values).
+    return scoring.extract_scores(fx.judge_replies(spark, d)).select("sample_id", "score", "used_fallback")
 
 
 def q_unscored_pairs(spark, d):

@@ -393,7 +393,7 @@ _PATS = [r"(?:score|Score|SCORE)[" + PY_SPACE + r":：]*" + _NUM,
          r"(?m)^" + _NUM + r"$",
          _NUM]
 _found = ", ".join(f"TRY_CAST(NULLIF(regexp_extract(reply, '{p}', 1), '') AS DOUBLE)" for p in _PATS)
-Q["extract_score"] = sql(["judge_replies"], [], f"""SELECT sample_id, {r(f'coalesce({_found}, 5e0)', 'score')},
+Q["extract_score"] = sql(["judge_replies"], [], f"""SELECT sample_id, coalesce({_found}, 5e0) AS score,
   coalesce({_found}) IS NULL AS used_fallback FROM judge_replies""")
 
 Q["unscored_pairs"] = """WITH cand AS (SELECT v.prompt_version, d.doc_id AS sample_id FROM documents d, (VALUES (1), (2)) v(prompt_version)),
