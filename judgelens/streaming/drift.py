@@ -27,6 +27,8 @@ def drift_stream(stream: DataFrame, ts: str = "ts", human: str = "human_score",
                  width: str = "1 day", watermark: str = "2 days", keys: list[str] | None = None) -> DataFrame:
     """Streaming form: append mode emits a window once the watermark has passed its end."""
     keys = list(keys or [])
+    # Watermarks need TIMESTAMP (local time zone) event time; parquet may carry TIMESTAMP_NTZ.
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     g = (stream.withWatermark(ts, watermark)
          .groupBy(F.window(ts, width).alias("w"), *keys).agg(*_drift_aggs(human, judge)))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
