@@ -47,6 +47,23 @@ def error_metrics(df: DataFrame, keys: list[str], human: str = "human_score",
         F.avg(e).alias("mean_error"))
 
 
+def error_metrics_rollup(df: DataFrame, levels: list[str], human: str = "human_score",
+                         judge: str = "judge_score") -> DataFrame:
+    """The decomposable metrics (n, MAE, MSE, RMSE, bias, score std) at every rollup level of
+    ``levels`` (e.g. source, then source + lang, plus the grand total) in one aggregation.
+    ``grouping_level`` is the grouping id (0 = most detailed). Rank metrics are not
+    decomposable and are computed per level with :func:`evaluation_report`."""
+    e = F.col(judge) - F.col(human)
+    return df.rollup(*levels).agg(
+        F.grouping_id().alias("grouping_level"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.abs(e)).alias("mae"),
+        F.avg(e * e).alias("mse"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(e).alias("mean_error"),
+        F.stddev_pop(judge).alias("score_std"))
+
+
 def huber_loss(df: DataFrame, keys: list[str], human: str = "human_score",
                judge: str = "judge_score", delta: float = 1.0) -> DataFrame:
     return df.groupBy(*keys).agg(

@@ -42,6 +42,10 @@ def q_error_metrics(spark, d):
     return r6(metrics.error_metrics(fx.judged_versions(spark, d), GROUP))
 
 
+def q_error_metrics_rollup(spark, d):
+    return r6(metrics.error_metrics_rollup(fx.judged_docs(spark, d), ["source", "lang"]))
+
+
 def q_huber_loss(spark, d):
     return r6(metrics.huber_loss(fx.judged_versions(spark, d), GROUP, delta=1.0))
 

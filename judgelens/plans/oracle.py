@@ -218,6 +218,11 @@ Q["error_columns"] = sql(["judged_docs"], [], f"""SELECT sample_id, source, {r('
 Q["error_metrics"] = _basic(f"{r(f'avg(abs{ERR})', 'mae')}, {r(f'avg({ERR} * {ERR})', 'mse')}, "
                             f"{r(f'sqrt(avg({ERR} * {ERR}))', 'rmse')}, {r(f'avg{ERR}', 'mean_error')}")
 
+Q["error_metrics_rollup"] = sql(["judged_docs"], [], f"""SELECT source, lang,
+  CAST(grouping_id(source, lang) AS BIGINT) AS grouping_level, count(*) AS n, {r(f'avg(abs{ERR})', 'mae')},
+  {r(f'avg({ERR} * {ERR})', 'mse')}, {r(f'sqrt(avg({ERR} * {ERR}))', 'rmse')}, {r(f'avg{ERR}', 'mean_error')},
+  {r('stddev_pop(judge_score)', 'score_std')} FROM judged_docs GROUP BY ROLLUP (source, lang)""")
+
 Q["huber_loss"] = _basic(r(f"avg(CASE WHEN abs{ERR} <= 1e0 THEN 0.5e0 * abs{ERR} * abs{ERR} "
                            f"ELSE 1e0 * (abs{ERR} - 0.5e0) END)", "huber_loss"))
 
