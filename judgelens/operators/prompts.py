@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import CLIP_DIFF_CHARS, CLIP_LOG_CHARS, clip_text
+from ..session import cut_lineage
 
 
 def section_classes(sections: DataFrame) -> DataFrame:
@@ -43,8 +44,11 @@ def apply_edits(sections: DataFrame, edits: DataFrame, new_version: int | None =
     """
     base = sections.select("prompt_id", "version", "pos", "section", "content", "is_meta")
     meta = base.filter("is_meta").select("prompt_id", F.col("section").alias("section_name"))
-    e = (edits.filter(F.col("action").isin("edit", "add", "remove"))
-         .join(meta, ["prompt_id", "section_name"], "left_anti"))
+    # Read twice below (history and reinsertion point): materialise once, so an expensive
+    # upstream (the proposal audit) is not derived twice.
+    e = cut_lineage(edits.filter(F.col("action").isin("edit", "add", "remove"))
+                    .join(meta, ["prompt_id", "section_name"], "left_anti")
+                    .select("prompt_id", "seq", "action", "section_name", "content"))
     upsert = F.col("action").isin("edit", "add")
     hist = e.groupBy("prompt_id", F.col("section_name").alias("section")).agg(
         F.max_by("action", "seq").alias("_last_action"),
