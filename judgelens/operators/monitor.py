@@ -34,12 +34,14 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
     :func:`degeneration_warnings`); stop_now: counter >= patience or >= 2 warnings;
     stopped: sticky once true. ``patience = 0`` disables everything but best tracking.
     Rows after the first stop are flagged, not dropped. ``min_delta > 0`` makes "best" a true
-    recurrence; that case runs in the streaming monitor
-    (:mod:`judgelens.streaming.monitor_stream`).
+    recurrence; that case runs the per-run state function of the streaming monitor
+    (:mod:`judgelens.streaming.monitor_stream`) on the batch.
     """
-    if min_delta != 0.0:
-        raise NotImplementedError("min_delta > 0 is a recurrence: use judgelens.streaming.monitor_stream")
     keys = list(keys or ["run_id"])
+    if min_delta != 0.0:
+        return _early_stop_recurrence(history, keys, step, loss, patience, min_delta, monitor_rank_corr,
+                                      monitor_entropy, monitor_variance, entropy_threshold,
+                                      variance_threshold, tau, entropy, variance)
     x = _monitor_base(history, keys, step, loss)
     small = all_keys_small(history, keys)
     # Pass 1: row number, best loss before / up to each row, and the metric histories.
@@ -73,6 +75,26 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
         "first_stop_step")
 
 
+def _early_stop_recurrence(history, keys, step, loss, patience, min_delta, rank_on, ent_on, var_on,
+                           entropy_threshold, variance_threshold, tau, entropy, variance) -> DataFrame:
+    """With ``min_delta > 0`` "best" only moves on improvement, a sequential recurrence per run
+    (its steps do not compose into a running aggregate). It runs as the per-run state function
+    of the streaming monitor, applied per run to the batch (``applyInPandas``)."""
+    from ..streaming.monitor_stream import monitor_batch
+
+    if keys != ["run_id"]:
+        raise ValueError("the recurrence form is keyed by run_id")
+    cols = history.select("run_id", step, loss, tau, entropy, variance).toDF(
+        "run_id", "step", "val_loss", "kendall_tau", "score_entropy", "mean_self_consistency_var")
+    out = cut_lineage(monitor_batch(cols, patience=patience, min_delta=min_delta,
+                                     entropy_threshold=entropy_threshold, variance_threshold=variance_threshold,
+                                     monitor_rank_corr=rank_on, monitor_entropy=ent_on, monitor_variance=var_on))
+    first = out.filter("stop_now").groupBy("run_id").agg(F.min("step").alias("first_stop_step"))
+    return out.join(first, "run_id", "left").select(
+        "run_id", F.col("step").alias(step), F.col("val_loss").alias(loss), "improved", "best_step",
+        "best_loss", "counter", "stop_now", "stopped", "first_stop_step")
+
+
 def _history_columns(cols: dict[str, str]):
     """Select expressions and running specs for metric histories: per row, how many non-null
     values of each metric were seen so far and their running sum."""

@@ -158,8 +158,9 @@ def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Runnin
     Keys with at most ``key_rows`` rows use a plain window, one task per key; larger keys take
     the range-partitioned path, which spreads one key over many tasks. Whether any key is
     that large is checked first with one small aggregate job (it returns at most one row);
-    callers that already checked a bound on every key pass ``small=True`` / ``False``. Rows that tie on ``(keys, order)`` are taken in an arbitrary but fixed order, so
-    callers make the order unique (or aggregate ties first, as :func:`prefix_before` does).
+    callers that already checked a bound on every key pass ``small=True`` / ``False``.
+    Rows that tie on ``(keys, order)`` are taken in an arbitrary but fixed order, so callers
+    make the order unique (or aggregate ties first, as :func:`prefix_before` does).
     """
     limit = key_rows or max_key_rows(df.sparkSession)
     if not keys:

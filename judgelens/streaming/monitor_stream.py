@@ -39,58 +39,65 @@ def _present(v) -> bool:
     return v is not None and not (isinstance(v, float) and math.isnan(v))
 
 
-def monitor_function(patience: int = 5, min_delta: float = 0.0, entropy_threshold: float = 0.5,
-                     variance_threshold: float = 0.1, monitor_rank_corr: bool = True,
-                     monitor_entropy: bool = True, monitor_variance: bool = True):
-    """The per-run state update, one evaluation at a time."""
+FRESH_STATE = (None, 0, 0, None, [], 0, 0, None, 0, None, False, 0)
 
-    def update(key, batches, state):
-        if state.exists:
-            (best, best_step, counter, last_step, taus, n_tau, n_ent, last_ent, n_var, last_var,
-             stopped, dropped) = state.get
-            taus = list(taus or [])
-            best = math.inf if best is None else best
+
+def advance(key, pdf: pd.DataFrame, state: tuple, patience: int = 5, min_delta: float = 0.0,
+            entropy_threshold: float = 0.5, variance_threshold: float = 0.1, monitor_rank_corr: bool = True,
+            monitor_entropy: bool = True, monitor_variance: bool = True) -> tuple[pd.DataFrame, tuple]:
+    """Apply one run's new evaluation rows (sorted by step) to its state; returns the decision
+    rows and the new state."""
+    (best, best_step, counter, last_step, taus, n_tau, n_ent, last_ent, n_var, last_var,
+     stopped, dropped) = state
+    taus = list(taus or [])
+    best = math.inf if best is None else best
+    out = []
+    for row in pdf.sort_values("step", kind="stable").itertuples(index=False):
+        step = int(row.step)
+        if last_step is not None and step <= last_step:
+            dropped += 1
+            continue
+        last_step = step
+        loss = float(row.val_loss) if row.val_loss is not None else math.nan
+        improved = loss < best - min_delta
+        if improved:
+            best, best_step, counter = loss, step, 0
         else:
-            best, best_step, counter, last_step = math.inf, 0, 0, None
-            taus, n_tau, n_ent, last_ent, n_var, last_var, stopped, dropped = [], 0, 0, None, 0, None, False, 0
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("step", kind="stable")
-        out = []
-        for row in pdf.itertuples(index=False):
-            step = int(row.step)
-            if last_step is not None and step <= last_step:
-                dropped += 1
-                continue
-            last_step = step
-            loss = float(row.val_loss) if row.val_loss is not None else math.nan
-            improved = loss < best - min_delta
-            if improved:
-                best, best_step, counter = loss, step, 0
-            else:
-                counter += 1
-            rank = ent = var = False
-            stop_now = False
-            if patience != 0:
-                if _present(row.kendall_tau):
-                    taus = (taus + [float(row.kendall_tau)])[-6:]
-                    n_tau += 1
-                if _present(row.score_entropy):
-                    n_ent, last_ent = n_ent + 1, float(row.score_entropy)
-                if _present(row.mean_self_consistency_var):
-                    n_var, last_var = n_var + 1, float(row.mean_self_consistency_var)
-                if monitor_rank_corr and n_tau > 5:
-                    recent = sum(taus[-3:]) / 3.0
-                    earlier = sum(taus[-6:-3]) / 3.0
-                    rank = recent < earlier - 0.05
-                ent = monitor_entropy and n_ent >= 2 and last_ent < entropy_threshold
-                var = monitor_variance and n_var >= 2 and last_var > variance_threshold
-                stop_now = counter >= patience or (rank + ent + var) >= 2
-                stopped = stopped or stop_now
-            out.append((int(key[0]), step, loss, improved, int(best_step),
-                        None if math.isinf(best) else best, counter, rank, ent, var,
-                        int(rank) + int(ent) + int(var), stop_now, stopped))
-        state.update((None if math.isinf(best) else best, int(best_step), int(counter), last_step, taus,
-                      n_tau, n_ent, last_ent, n_var, last_var, stopped, dropped))
-        yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+            counter += 1
+        rank = ent = var = False
+        stop_now = False
+        if patience != 0:
+            if _present(row.kendall_tau):
+                taus = (taus + [float(row.kendall_tau)])[-6:]
+                n_tau += 1
+            if _present(row.score_entropy):
+                n_ent, last_ent = n_ent + 1, float(row.score_entropy)
+            if _present(row.mean_self_consistency_var):
+                n_var, last_var = n_var + 1, float(row.mean_self_consistency_var)
+            if monitor_rank_corr and n_tau > 5:
+                recent = sum(taus[-3:]) / 3.0
+                earlier = sum(taus[-6:-3]) / 3.0
+                rank = recent < earlier - 0.05
+            ent = monitor_entropy and n_ent >= 2 and last_ent < entropy_threshold
+            var = monitor_variance and n_var >= 2 and last_var > variance_threshold
+            stop_now = counter >= patience or (rank + ent + var) >= 2
+            stopped = stopped or stop_now
+        out.append((int(key[0]), step, loss, improved, int(best_step),
+                    None if math.isinf(best) else best, counter, rank, ent, var,
+                    int(rank) + int(ent) + int(var), stop_now, stopped))
+    new_state = (None if math.isinf(best) else best, int(best_step), int(counter), last_step, taus,
+                 n_tau, n_ent, last_ent, n_var, last_var, stopped, dropped)
+    return pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields]), new_state
+
+
+def monitor_function(**params):
+    """The streaming state update: per run, the new rows of a micro-batch in step order."""
+
+    def update(key, batches, state):
+        current = state.get if state.exists else FRESH_STATE
+        rows, new_state = advance(key, pd.concat(list(batches), ignore_index=True), current, **params)
+        state.update(new_state)
+        yield rows
 
     return update
 
@@ -102,3 +109,16 @@ def monitor_stream(evals: DataFrame, **params) -> DataFrame:
                         "mean_self_consistency_var")
     return cols.groupBy("run_id").applyInPandasWithState(
         monitor_function(**params), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def monitor_batch(evals: DataFrame, **params) -> DataFrame:
+    """The same rules over a batch of evaluation rows: each run starts from a fresh state.
+    The recurrence is sequential per run, so one run's rows are processed together."""
+    cols = evals.select("run_id", "step", "val_loss", "kendall_tau", "score_entropy",
+                        "mean_self_consistency_var")
+
+    def per_run(key, pdf):
+        rows, _ = advance(key, pdf, FRESH_STATE, **params)
+        return rows
+
+    return cols.groupBy("run_id").applyInPandas(per_run, OUTPUT_SCHEMA)

@@ -82,3 +82,13 @@ def test_lr_trace(spark):
     assert lr.loc[1, "learning_rate"] == pytest.approx(0.01)
     assert lr.loc[11, "learning_rate"] == pytest.approx(0.1)
     assert lr.loc[100, "learning_rate"] < lr.loc[50, "learning_rate"] < 0.1
+
+
+def test_min_delta_recurrence_in_batch(spark):
+    pdf = _history(seed=11)
+    got = monitor.early_stop_trace(spark.createDataFrame(pdf), patience=4, min_delta=0.02).toPandas()
+    exp = _expected(pdf, patience=4, min_delta=0.02)
+    m = exp.merge(got, on=["run_id", "step"], suffixes=("", "_g"))
+    assert len(m) == len(pdf)
+    for c in ["improved", "best_step", "counter", "stop_now", "stopped"]:
+        assert (m[c].astype("int64") == m[c + "_g"].astype("int64")).all(), c
