@@ -209,6 +209,11 @@ def q_clean_section_text(spark, d):
     return a.select("proposal_id", "new_content")
 
 
+def q_parse_gradient_replies(spark, d):
+    mods, _ = audit.parse_gradient_replies(fx.gradient_replies(spark, d), keys=["reply_id", "prompt_id"])
+    return mods
+
+
 def q_fallback_direction(spark, d):
     sec = fx.prompt_sections(spark, d)
     stats = table(spark, d, "customer").select(

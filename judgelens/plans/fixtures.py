@@ -157,3 +157,20 @@ def raw_scored_rows(spark: SparkSession, d: str) -> DataFrame:
     prompt = F.when(md5_unit(F.lit("prm"), F.col("sample_id")) < 0.2,
                     F.lit(None).cast("string")).otherwise(F.col("prompt"))
     return r.select("sample_id", prompt.alias("prompt"), resp.alias("response"), score.alias("score"))
+
+
+def gradient_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Free-text replies carrying a JSON list of prompt modifications, one per order: fenced
+    JSON, JSON inside prose with a Python literal and trailing commas, several edits, or none."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    k, prio = F.col("o_orderkey"), F.col("o_orderpriority")
+    reply = (F.when(k % 4 == 0, F.concat(
+                F.lit('```json\n{"modifications": [{"action": "edit", "section_name": "'), prio,
+                F.lit('", "opti_direction": "be stricter"}]}\n```')))
+             .when(k % 4 == 1, F.concat(
+                F.lit('Here is the gradient: {"modifications": [{"action": "add", "section_name": "Extra '),
+                (k % 7).cast("string"), F.lit('", "opti_direction": "add rules", "structural": True},]} done')))
+             .when(k % 4 == 2, F.lit('{"modifications": [{"action": "remove", "section_name": "3-MEDIUM"}, '
+                                     '{"action": "edit", "section_name": "2-HIGH", "opti_direction": "tighten"}]}'))
+             .otherwise(F.concat(F.lit("no json in this reply for "), prio)))
+    return o.select(k.alias("reply_id"), F.col("o_custkey").alias("prompt_id"), reply.alias("reply"))

@@ -99,6 +99,16 @@ SELECT sample_id,
   CASE WHEN u < 0.1e0 THEN NULL WHEN u < 0.2e0 THEN 'abc' WHEN u < 0.3e0 THEN 'true'
        ELSE printf('%.2f', {half_up("1e0 + 9e0 * u", 2)}) END AS score
 FROM (SELECT *, {md5u("'raw'", "sample_id")} AS u FROM responses)""",
+    "gradient_replies": f"""
+SELECT o_orderkey AS reply_id, o_custkey AS prompt_id, CASE o_orderkey % 4
+  WHEN 0 THEN '```json' || {NL} || '{{"modifications": [{{"action": "edit", "section_name": "' || o_orderpriority
+              || '", "opti_direction": "be stricter"}}]}}' || {NL} || '```'
+  WHEN 1 THEN 'Here is the gradient: {{"modifications": [{{"action": "add", "section_name": "Extra '
+              || CAST(o_orderkey % 7 AS VARCHAR) || '", "opti_direction": "add rules", "structural": True}},]}} done'
+  WHEN 2 THEN '{{"modifications": [{{"action": "remove", "section_name": "3-MEDIUM"}}, '
+              || '{{"action": "edit", "section_name": "2-HIGH", "opti_direction": "tighten"}}]}}'
+  ELSE 'no json in this reply for ' || o_orderpriority END AS reply
+FROM orders""",
 }
 
 DEPS = {"judged_versions": ["judged_docs"], "raw_scored_rows": ["responses"]}
@@ -613,3 +623,23 @@ Q["synthetic_scores"] = sql(["responses"], [
 FROM qq""")
 
 ORACLE_SQL: dict[str, str] = dict(Q)
+
+_t1 = strip("reply")
+_fence_open = "'^```(?:json)?[" + PY_SPACE + "]*\\n?'"
+_fence_close = "'\\n?```[" + PY_SPACE + "]*$'"
+_unfenced = (f"CASE WHEN starts_with({_t1}, '```') THEN "
+             f"{strip(f'regexp_replace(regexp_replace({_t1}, {_fence_open}, {chr(39) * 2}), {_fence_close}, {chr(39) * 2})')} "
+             f"ELSE {_t1} END")
+_MODS = '[{"action":"VARCHAR","section_name":"VARCHAR","opti_direction":"VARCHAR"}]'
+Q["parse_gradient_replies"] = sql(["gradient_replies"], [
+    ("sp", f"""SELECT reply_id, prompt_id,
+  CASE WHEN regexp_matches(t, '[{{]') THEN regexp_extract(t, '(?s)[{{].*[}}]', 0) ELSE t END AS j0
+FROM (SELECT reply_id, prompt_id, {_unfenced} AS t FROM gradient_replies)"""),
+    ("rp", f"""SELECT reply_id, prompt_id, regexp_replace(replace(replace(replace(replace(j0, ': True', ': true'),
+  ': False', ': false'), ':True', ':true'), ':False', ':false'), ',([{PY_SPACE}]*[}}\\]])', '\\1', 'g') AS j FROM sp"""),
+    ("parsed", f"""SELECT reply_id, prompt_id, CASE WHEN json_valid(j) AND json_type(json_extract(j, '$.modifications')) = 'ARRAY'
+  THEN from_json(json_extract(j, '$.modifications'), '{_MODS}') END AS mods FROM rp"""),
+    ("ex", "SELECT reply_id, prompt_id, mods, unnest(generate_series(1, len(mods))) AS i FROM parsed WHERE mods IS NOT NULL")],
+    """SELECT reply_id, prompt_id, CAST(i - 1 AS BIGINT) AS seq, mods[i].action AS action,
+  mods[i].section_name AS section_name, mods[i].opti_direction AS opti_direction FROM ex""")
+ORACLE_SQL["parse_gradient_replies"] = Q["parse_gradient_replies"]
