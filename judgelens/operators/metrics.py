@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import huber
 from . import ranking
+from .keys import join_on
 
 LOSS_TYPES = ("pairwise", "kendall", "spearman")
 
@@ -94,12 +95,12 @@ def score_entropy(df: DataFrame, keys: list[str], judge: str = "judge_score",
     st = (st.withColumn("_lo", F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")))
             .withColumn("_hi", F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx")))
             .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))))
-    x = src.select(*keys, judge).join(st.select(*keys, "_lo", "_step"), keys)
+    x = join_on(src.select(*keys, judge), st.select(*keys, "_lo", "_step"), keys)
     bin_ = reduce(lambda a, b: a + b, [
         (F.col(judge) >= F.lit(float(i)) * F.col("_step") + F.col("_lo")).cast("int")
         for i in range(1, n_bins)])
     counts = x.groupBy(*keys, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    p = counts.join(st.select(*keys, "n"), keys).withColumn("_p", F.col("_c") / F.col("n"))
+    p = join_on(counts, st.select(*keys, "n"), keys).withColumn("_p", F.col("_c") / F.col("n"))
     ent = p.groupBy(*keys).agg(F.first("n").alias("n"),
                                F.sum(-F.col("_p") * F.log(F.col("_p"))).alias("_e"))
     out = ent.select(*keys, F.col("n").cast("bigint").alias("n"),
@@ -128,7 +129,7 @@ def composite_loss(df: DataFrame, keys: list[str], loss_type: str = "pairwise",
     src, k, dropped = _keyed(df, keys)
     mae = src.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
     rl = rank_loss(src, k, loss_type, human, judge).withColumnRenamed("rank_loss", "rank_loss_component")
-    out = mae.join(rl, k).select(
+    out = join_on(mae, rl, k).select(
         *k, F.lit(loss_type).alias("loss_type"),
         (F.lit(alpha) * F.col("mae_component") + F.lit(beta) * F.col("rank_loss_component"))
         .alias("total_loss"), "mae_component", "rank_loss_component")
@@ -153,7 +154,7 @@ def evaluation_report(df: DataFrame, keys: list[str], loss_type: str = "pairwise
         (F.avg(variance) if variance else F.lit(None).cast("double")).alias("mean_self_consistency_var"))
     rs = ranking.rank_statistics(src, k, human, judge).drop("n", "clear_pairs")
     en = score_entropy(src, k, judge).select(*k, "score_entropy")
-    out = base.join(rs, k).join(en, k)
+    out = join_on(join_on(base, rs, k), en, k)
     if loss_type == "pairwise":
         rank = F.col("pairwise_loss")
     elif loss_type == "kendall":
@@ -184,7 +185,7 @@ def composite_loss_all(df: DataFrame, keys: list[str], alpha: float = 1.0, beta:
     mae = src.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
     rs = ranking.rank_statistics(src, k, human, judge).select(*k, "pairwise_loss", "kendall_tau_loss",
                                                               "spearman_loss")
-    j = mae.join(rs, k)
+    j = join_on(mae, rs, k)
     per_type = F.explode(F.array(*[
         F.struct(F.lit(t).alias("loss_type"), F.col(c).alias("rank_loss_component"))
         for t, c in (("pairwise", "pairwise_loss"), ("kendall", "kendall_tau_loss"),

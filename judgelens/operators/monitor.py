@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import lr_at
 from ..session import cut_lineage
+from .keys import join_on
 from .prefix import Running, all_keys_small, running
 
 
@@ -59,14 +60,14 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
     # Pass 2: the last improving row (needs pass 1's "improved").
     x = running(x, keys, [step], [Running("_last_imp_rn", "max", "_imp_rn"),
                                   Running("_best_step", "max", "_imp_step")], small=small)
-    x = x.join(warn, [*keys, step], "left")
+    x = join_on(x, warn, [*keys, step], "left")
     counter = (F.col("_rn") - F.coalesce(F.col("_last_imp_rn"), F.lit(0.0))).cast("bigint")
     x = x.withColumn("counter", counter)
     stop_now = F.lit(False) if patience == 0 else (
         (F.col("counter") >= F.lit(patience)) | (F.col("n_warnings") >= 2))
     x = x.withColumn("stop_now", stop_now)
     first = x.filter("stop_now").groupBy(*keys).agg(F.min(step).alias("first_stop_step"))
-    x = x.join(first, keys, "left")
+    x = join_on(x, first, keys, "left")
     return x.select(
         *keys, step, loss, "improved",
         F.coalesce(F.col("_best_step"), F.lit(0.0)).cast("bigint").alias("best_step"),
@@ -124,7 +125,7 @@ def _histories(x: DataFrame, keys: list[str], step: str, cols: dict[str, str], s
 def _at(rows: DataFrame, table: DataFrame, keys: list[str], idx_col, prefix: str) -> DataFrame:
     t = table.select(*keys, F.col("_idx").alias(prefix + "idx"), F.col("_sum").alias(prefix + "sum"),
                      F.col("_val").alias(prefix + "val"))
-    return rows.withColumn(prefix + "idx", idx_col).join(t, [*keys, prefix + "idx"], "left")
+    return join_on(rows.withColumn(prefix + "idx", idx_col), t, [*keys, prefix + "idx"], "left")
 
 
 def _warnings(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str, variance: str,
@@ -192,7 +193,7 @@ def eval_cadence(history: DataFrame, every: int, keys: list[str] | None = None,
     """Rows at evaluation steps: every ``every`` steps and always the last step of the run."""
     keys = list(keys or ["run_id"])
     last = last_step if last_step is not None else history.groupBy(*keys).agg(F.max(step).alias("_last"))
-    j = history.join(last, keys)
+    j = join_on(history, last, keys)
     return j.filter((F.col(step) % every == 0) | (F.col(step) == F.col("_last"))).drop("_last")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .keys import join_on
 from .prefix import Running, all_keys_small, prefix_before, running
 
 
@@ -37,7 +38,7 @@ def _cells(df: DataFrame, keys: list[str], human: str, judge: str) -> DataFrame:
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    return left.join(right, keys, how)
+    return join_on(left, right, keys, how)
 
 
 def _grouped(fn):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keys import join_on
 from ..functions.exprs import (CATEGORY_LABELS, CLIP_SAMPLE_CHARS, EMPTY_CATEGORY_FORMAT,
                                SAMPLE_FORMAT, clip_text)
 
@@ -67,7 +68,7 @@ def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "
         F.count(F.when(e > 0, 1)).alias("over_total"),
         F.count(F.when(e < 0, 1)).alias("under_total"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    out = overall.join(chosen, k_cols, "left").select(
+    out = join_on(overall, chosen, k_cols, "left").select(
         *k_cols, "total_samples",
         F.coalesce(F.col("over_count"), F.lit(0)).cast("bigint").alias("over_count"),
         z("over_mean_error"), z("over_max_error"),
@@ -101,7 +102,7 @@ def format_error_samples(df: DataFrame, keys: list[str], k: int = 3, id_col: str
     cats = F.explode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("category")
     groups = src.select(*k_cols).distinct().select(*k_cols, cats)
     label = F.create_map(*[x for c in CATEGORIES for x in (F.lit(c), F.lit(CATEGORY_LABELS[c]))])
-    out = groups.join(blocks, [*k_cols, "category"], "left").select(
+    out = join_on(groups, blocks, [*k_cols, "category"], "left").select(
         *k_cols, "category",
         F.coalesce(F.col("text"), F.format_string(EMPTY_CATEGORY_FORMAT, label[F.col("category")]))
         .alias("text"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import join_on
 from .prefix import Running, all_keys_small, prefix_before, running
 
 def _keyed(df: DataFrame, keys: list[str]):
@@ -40,7 +41,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
             .withColumn("_lo", F.floor("_pos").cast("double")).withColumn("_hi", F.ceil("_pos").cast("double"))
             .withColumn("_t", F.col("_pos") - F.floor("_pos")))
     covers = lambda r: (F.col("_c_before") <= F.col(r)) & (F.col(r) < F.col("_c_before") + F.col("_c"))
-    hits = pref.join(want, k).filter(covers("_lo") | covers("_hi"))
+    hits = join_on(pref, want, k).filter(covers("_lo") | covers("_hi"))
     ab = hits.groupBy(*k, "_i", "_t").agg(F.max(F.when(covers("_lo"), F.col("_v"))).alias("_a"),
                                          F.max(F.when(covers("_hi"), F.col("_v"))).alias("_b"))
     diff = F.col("_b") - F.col("_a")
@@ -49,7 +50,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     per = ab.select(*k, "_i", val.alias("_val"))
     wide = per.groupBy(*k).agg(*[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(_pname(p))
                                  for i, p in enumerate(probs)])
-    out = n.join(wide, k).select(*k, F.col("_n").alias("n"), *[_pname(p) for p in probs])
+    out = join_on(n, wide, k).select(*k, F.col("_n").alias("n"), *[_pname(p) for p in probs])
     return out.drop("_all") if dropped else out
 
 
@@ -68,7 +69,7 @@ def score_strata(df: DataFrame, keys: list[str] | None = None, score: str = "hum
     src, k, dropped = _keyed(df, keys)
     q = exact_percentiles(src, k, score, [low, high], small=small).select(
         *k, F.col(_pname(low)).alias("low_threshold"), F.col(_pname(high)).alias("high_threshold"))
-    j = src.join(q, k)
+    j = join_on(src, q, k)
     s = F.col(score)
     out = j.withColumn("stratum", F.when(s >= F.col("high_threshold"), "high")
                        .when(s <= F.col("low_threshold"), "low").otherwise("mid"))
@@ -86,7 +87,7 @@ def train_val_split(df: DataFrame, keys: list[str] | None = None, id_col: str =
     pos = running(x, k, ["_h", id_col], [Running("_pos", "sum", "_one", inclusive=False)],
                   small=all_keys_small(src, k))
     n = src.groupBy(*k).agg(F.floor(F.count(F.lit(1)) * F.lit(float(val_fraction))).alias("n_val"))
-    out = pos.join(n, k).withColumn(
+    out = join_on(pos, n, k).withColumn(
         "split", F.when(F.col("_pos") < F.col("n_val"), "val").otherwise("train")).drop("_h", "_one", "_pos", "n_val")
     return out.drop("_all") if dropped else out
 
@@ -116,7 +117,7 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
     small = all_keys_small(src, k)
     strata = score_strata(src, k, score, small=small).select(*k, id_col, score, "stratum")
     n = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    x = (strata.join(n, k)
+    x = (join_on(strata, n, k)
          .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") <= batch_size, F.lit(0))
                                                    .otherwise(F.lit(epochs - 1)))))
          .withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
@@ -149,7 +150,7 @@ def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFra
                                                    (F.max("position") + 1).alias("seen"))
     # Group size from the (small) per-batch table, so the batches are derived once.
     n = per.filter(F.col("epoch") == 0).groupBy(*k).agg(F.sum("batch_rows").alias("_n"))
-    out = per.join(n, k).select(
+    out = join_on(per, n, k).select(
         *k, "epoch", "batch_no", F.col("batch_rows").cast("bigint").alias("batch_rows"),
         F.col("seen").cast("bigint").alias("seen"),
         F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("seen") / F.col("_n")).alias("progress"))

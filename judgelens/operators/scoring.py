@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import extract_score, md5_normal
+from .keys import join_on
 
 Scorer = Column | Callable[[Column, Column], Column]
 
@@ -86,7 +87,7 @@ def prompt_version_compare(df: DataFrame, version_a, version_b, keys: list[str]
         *keys, id_col, human, F.col(judge).alias("score_a"))
     b = df.filter(F.col(version_col) == F.lit(version_b)).select(
         *keys, id_col, F.col(judge).alias("score_b"))
-    j = a.join(b, [*keys, id_col])
+    j = join_on(a, b, [*keys, id_col])
     ea, eb = F.abs(F.col("score_a") - F.col(human)), F.abs(F.col("score_b") - F.col(human))
     return j.select(*keys, id_col, human, "score_a", "score_b", ea.alias("abs_error_a"),
                     eb.alias("abs_error_b"), (eb - ea).alias("abs_error_delta"),

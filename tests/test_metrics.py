@@ -80,3 +80,14 @@ def test_entropy_matches_histogram_rule(spark):
     hist, _ = np.histogram(x, bins=10)
     p = hist[hist > 0] / len(x)
     assert got == pytest.approx(float(-(p * np.log(p)).sum()))
+
+
+def test_null_group_key_is_kept(spark):
+    pdf = pd.DataFrame({"g": [None, None, None, "a", "a"], "judge_score": [1.0, 2.0, 3.0, 2.0, 1.0],
+                        "human_score": [1.0, 3.0, 2.0, 1.0, 2.0]})
+    r = metrics.evaluation_report(spark.createDataFrame(pdf), ["g"]).toPandas()
+    assert len(r) == 2
+    null_row = r[r.g.isna()].iloc[0]
+    exp = pair_stats(pdf.judge_score[:3].to_numpy(), pdf.human_score[:3].to_numpy())
+    assert null_row.kendall_tau == pytest.approx(exp["kendall_tau"])
+    assert null_row.spearman_rho == pytest.approx(exp["spearman_rho"])
