@@ -77,3 +77,25 @@ def test_synthetic_generator(spark):
     assert low.score.between(1, 4).all() and low.response.str.count("Short response.").between(1, 2).all()
     high = g[g.quality == "high"]
     assert high.score.between(7, 10).all()
+
+
+def test_prompt_round_trip_and_version_table(spark, tmpdir_path):
+    import pandas as pd
+    from judgelens.operators import prompts
+    sections = spark.createDataFrame(pd.DataFrame({
+        "prompt_id": ["p1"] * 3, "version": [1] * 3, "pos": [1, 2, 3], "section": ["Criteria", "Scale", "Format"],
+        "content": ["评分 rules", "1-10", "Score: n"], "is_meta": [False, True, True]}))
+    out = os.path.join(tmpdir_path, "prompt_out")
+    scored_files.write_prompt_files(sections, out)
+    back, quarantine = scored_files.read_prompt_files(spark, out)
+    b = back.toPandas().sort_values("pos")
+    assert b.section.tolist() == ["Criteria", "Scale", "Format"]
+    assert b.content.tolist() == ["评分 rules", "1-10", "Score: n"] and b.is_meta.tolist() == [False, True, True]
+    assert quarantine.count() == 0
+    rendered = prompts.render_prompt(sections).toPandas().text.iloc[0]
+    assert rendered == "## Criteria\n评分 rules\n\n## Scale\n1-10\n\n## Format\nScore: n\n"
+    table = os.path.join(tmpdir_path, "versions")
+    v = spark.createDataFrame(pd.DataFrame({"run_id": [1, 1], "step": [5, 10], "val_loss": [0.5, 0.4]}))
+    prompts.append_versions(v, table)
+    prompts.append_versions(v.selectExpr("run_id", "step + 10 AS step", "val_loss"), table)
+    assert sorted(r.step for r in spark.read.parquet(table).collect()) == [5, 10, 15, 20]
