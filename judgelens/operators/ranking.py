@@ -75,10 +75,17 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
     if small:
         # Every group fits one task (checked): windows over the cells, one shuffle by group.
         g = Window.partitionBy(*keys)
+        jw = F.sum("_w").over(Window.partitionBy(*keys, "_j"))
+        hw = F.sum("_w").over(Window.partitionBy(*keys, "_h"))
         ranked = (cells.withColumn("_jr", (F.dense_rank().over(g.orderBy("_j")) - 1).cast("bigint"))
                   .withColumn("_maxr", F.max("_jr").over(g))
                   .withColumn("_jb", F.sum("_w").over(g.orderBy("_j").rangeBetween(Window.unboundedPreceding, 0))
-                              - F.sum("_w").over(Window.partitionBy(*keys, "_j"))))
+                              - jw)
+                  # rows sharing this cell's j / h: sum over cells of w * (W - 1) / 2 = tied pairs
+                  .withColumn("_tj", F.col("_w") * (jw - F.lit(1.0)) / F.lit(2.0))
+                  .withColumn("_th", F.col("_w") * (hw - F.lit(1.0)) / F.lit(2.0)))
+        totals = ranked.groupBy(*keys).agg(F.sum("_w").alias("n"), F.sum("_th").alias("n_h_ties"),
+                                           F.sum("_tj").alias("n_j_ties"))
     else:
         # Hot groups: distributed running pass over the distinct j values, joined back.
         jd = cells.groupBy(*keys, "_j").agg(F.sum("_w").alias("_w"), F.lit(1.0).alias("_one"))
@@ -87,6 +94,7 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
         jp = jp.select(*keys, "_j", "_jb", F.col("_jr").cast("bigint").alias("_jr"))
         top = jp.groupBy(*keys).agg(F.max("_jr").alias("_maxr"))
         ranked = _join_keys(_join_keys(cells, jp, keys + ["_j"]), top, keys)
+        totals = _group_totals(cells, keys)
 
     # All pair sums come from one prefix over h, keyed by (group, level, part):
     #   level -2, part = rank(j): pairs with h_a < h_b and equal j;
@@ -119,7 +127,7 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
         F.sum(F.when(lvl >= 0, F.col("_qh") * F.col("_p_before"))).alias("b_ll"),    # sum_b w_b h_b LL(b)
         F.sum(F.when(lvl >= 0, F.col("_q") * F.col("_ph_before"))).alias("c_ll"))    # sum_b w_b HLL(b)
 
-    out = _join_keys(_group_totals(cells, keys), sums, keys)
+    out = _join_keys(totals, sums, keys)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     cols = [(F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"), "n_h_ties", "n_j_ties",
             (F.lit(2.0) * z("a_ll") - z("a_lh") + z("a_ej")).alias("s"),
