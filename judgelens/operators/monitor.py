@@ -8,7 +8,7 @@ no per-run list is ever collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lr_at
@@ -46,7 +46,7 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
     x = _monitor_base(history, keys, step, loss)
     small = all_keys_small(history, keys)
     # Pass 1: row number, best loss before / up to each row, and the metric histories.
-    hist_sel, hist_specs = _history_columns({"tau": tau, "ent": entropy, "var": variance})
+    hist_sel, hist_specs = ([], []) if small else _history_columns({"tau": tau, "ent": entropy, "var": variance})
     specs = [Running("_rn", "sum", "_one"), Running("_best_before", "min", "_loss", inclusive=False),
              Running("best_loss", "min", "_loss")] + hist_specs
     # Materialised: read by the warnings, the second pass and the stop summary.
@@ -56,7 +56,7 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
          .withColumn("_imp_rn", F.when(F.col("improved"), F.col("_rn")))
          .withColumn("_imp_step", F.when(F.col("improved"), F.col(step).cast("double"))))
     warn = _warnings(x, keys, step, tau, entropy, variance, entropy_threshold, variance_threshold,
-                     monitor_rank_corr, monitor_entropy, monitor_variance, small, rows=x)
+                     monitor_rank_corr, monitor_entropy, monitor_variance, small, rows=None if small else x)
     # Pass 2: the last improving row (needs pass 1's "improved").
     x = running(x, keys, [step], [Running("_last_imp_rn", "max", "_imp_rn"),
                                   Running("_best_step", "max", "_imp_step")], small=small)
@@ -128,10 +128,55 @@ def _at(rows: DataFrame, table: DataFrame, keys: list[str], idx_col, prefix: str
     return join_on(rows.withColumn(prefix + "idx", idx_col), t, [*keys, prefix + "idx"], "left")
 
 
+def _flags(rank, ent, var, rank_on: bool, ent_on: bool, var_on: bool):
+    rank = rank if rank_on else F.lit(False)
+    ent = ent if ent_on else F.lit(False)
+    var = var if var_on else F.lit(False)
+    return [F.coalesce(rank, F.lit(False)).alias("rank_decline"),
+            F.coalesce(ent, F.lit(False)).alias("entropy_collapse"),
+            F.coalesce(var, F.lit(False)).alias("variance_increase")]
+
+
+def _with_count(out: DataFrame) -> DataFrame:
+    n = (F.col("rank_decline").cast("int") + F.col("entropy_collapse").cast("int")
+         + F.col("variance_increase").cast("int"))
+    return out.withColumn("n_warnings", n.cast("bigint"))
+
+
+def _warnings_window(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str, variance: str,
+                     entropy_threshold: float, variance_threshold: float, rank_on: bool, ent_on: bool,
+                     var_on: bool) -> DataFrame:
+    """Runs that fit one task (checked): windows over each run, no lookups."""
+    clean = lambda c: F.when(F.isnan(F.col(c)), F.lit(None).cast("double")).otherwise(F.col(c).cast("double"))
+    y = x.select(*keys, step, clean(tau).alias("_t"), clean(entropy).alias("_e"), clean(variance).alias("_v"))
+    run = Window.partitionBy(*keys).orderBy(step)
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Means over the non-null tau history: the last 3 and the 3 before, computed on the tau rows
+    # and carried forward to the rows without a tau.
+    t = y.filter(F.col("_t").isNotNull())
+    t = t.select(*keys, step, F.count(F.lit(1)).over(upto).alias("_ct"),
+                 F.avg("_t").over(run.rowsBetween(-2, 0)).alias("_r3"),
+                 F.avg("_t").over(run.rowsBetween(-5, -3)).alias("_e3"))
+    y = join_on(y, t, [*keys, step], "left")
+    y = y.select(*keys, step,
+                 F.last("_ct", ignorenulls=True).over(upto).alias("_ct"),
+                 F.last("_r3", ignorenulls=True).over(upto).alias("_r3"),
+                 F.last("_e3", ignorenulls=True).over(upto).alias("_e3"),
+                 F.count("_e").over(upto).alias("_ce"), F.last("_e", ignorenulls=True).over(upto).alias("_le"),
+                 F.count("_v").over(upto).alias("_cv"), F.last("_v", ignorenulls=True).over(upto).alias("_lv"))
+    rank = (F.col("_ct") > 5) & (F.col("_r3") < F.col("_e3") - F.lit(0.05))
+    ent = (F.col("_ce") >= 2) & (F.col("_le") < F.lit(entropy_threshold))
+    var = (F.col("_cv") >= 2) & (F.col("_lv") > F.lit(variance_threshold))
+    return _with_count(y.select(*keys, step, *_flags(rank, ent, var, rank_on, ent_on, var_on)))
+
+
 def _warnings(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str, variance: str,
               entropy_threshold: float, variance_threshold: float, rank_on: bool, ent_on: bool,
               var_on: bool, small: bool, rows: DataFrame | None = None) -> DataFrame:
     """Warning flags per row; ``rows`` may already carry the running history columns."""
+    if small:
+        return _warnings_window(x, keys, step, tau, entropy, variance, entropy_threshold,
+                                variance_threshold, rank_on, ent_on, var_on)
     cols = {"tau": tau, "ent": entropy, "var": variance}
     if rows is None:
         rows, t = _histories(x, keys, step, cols, small)
@@ -151,15 +196,7 @@ def _warnings(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str,
     rows = _at(rows, t_var, keys, F.col("_c_var"), "_v")
     ent = (F.col("_c_ent") >= 2) & (F.col("_eval") < F.lit(entropy_threshold))
     var = (F.col("_c_var") >= 2) & (F.col("_vval") > F.lit(variance_threshold))
-    rank = rank if rank_on else F.lit(False)
-    ent = ent if ent_on else F.lit(False)
-    var = var if var_on else F.lit(False)
-    out = rows.select(*keys, step, F.coalesce(rank, F.lit(False)).alias("rank_decline"),
-                      F.coalesce(ent, F.lit(False)).alias("entropy_collapse"),
-                      F.coalesce(var, F.lit(False)).alias("variance_increase"))
-    n = (F.col("rank_decline").cast("int") + F.col("entropy_collapse").cast("int")
-         + F.col("variance_increase").cast("int"))
-    return out.withColumn("n_warnings", n.cast("bigint"))
+    return _with_count(rows.select(*keys, step, *_flags(rank, ent, var, rank_on, ent_on, var_on)))
 
 
 def degeneration_warnings(history: DataFrame, keys: list[str] | None = None, step: str = "step",
