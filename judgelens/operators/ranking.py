@@ -6,18 +6,20 @@ a prefix sum over one ordered key and computed with :func:`prefix_before`, which
 keys across tasks:
 
 * rows are first collapsed to cells ``(group, h, j) -> w`` (map-side combine, so tied scores
-  cost nothing);
+  cost nothing), and the cells are checkpointed once because every pass reads them;
 * "h_a < h_b" alone is a prefix over ``h`` within the group;
 * "h_a < h_b and j_a == j_b" is a prefix over ``h`` within ``(group, j)``;
 * "h_a < h_b and j_a < j_b" (2-D dominance) is split over the bits of the dense rank of ``j``:
   ``r_a < r_b`` holds at exactly one bit level ``l`` where ``r_a`` and ``r_b`` agree above
   ``l``, ``r_a`` has 0 and ``r_b`` has 1. So per level it is a prefix over ``h`` within
-  ``(group, l, r >> (l+1))``. Work is O(cells * log(distinct j)), all in range-partitioned
-  sorted passes.
-
-Spearman uses average ranks from the same prefix over ``h`` (and over ``j``), then a centred
-Pearson correlation. All results are exact; the one documented difference from the reference
-is that two human scores closer than 1e-6 but unequal still count as a clear pair.
+  ``(group, l, r >> (l+1))``. Work is O(cells * log(distinct j)).
+
+All three prefixes run as one pass over ``(group, level, part)`` keys (the first two as two
+extra pseudo-levels). Dense ranks, tie counts and Spearman's average ranks come from windows
+over the cells when every group fits one task (checked first), and from distributed running
+passes otherwise. Spearman is then a centred Pearson correlation of the average ranks. All
+results are exact; the one documented difference from the reference is that two human scores
+closer than 1e-6 but unequal still count as a clear pair.
 """
 
 from __future__ import annotations
