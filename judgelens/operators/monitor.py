@@ -1,9 +1,11 @@
 """Run monitoring over evaluation logs: early stopping, degeneration warnings, best checkpoint,
 evaluation cadence and the learning-rate schedule.
 
-Per-run sequences are computed with :func:`running` (exact running aggregates that keep a very
-long run spread over many tasks) and equi-joins on ``(run, index)`` for "value k entries ago";
-no per-run list is ever collected.
+Per-run sequences are computed with :func:`running`: a window when every run fits one task
+(checked first), else a range-partitioned pass that spreads a very long run over many tasks.
+For hot runs, "value k entries ago" is an equi-join on ``(run, index)`` rather than a window.
+No per-run list is ever collected. The one exception is ``min_delta > 0``, a sequential
+recurrence evaluated per run by the streaming monitor's state function.
 """
 
 from __future__ import annotations
