@@ -138,7 +138,7 @@ def _same_key(a: tuple, b: tuple) -> bool:
 
 def max_key_rows(spark) -> int:
     """Largest key that may be handled by one window task (rows)."""
-    return int(spark.conf.get("judgelens.maxKeyRows", "1000000"))
+    return int(spark.conf.get("judgelens.maxKeyRows", "250000"))
 
 
 def _null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]):
