@@ -6,10 +6,14 @@ render order, so it is a real column and never a map key.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.exprs import CLIP_DIFF_CHARS, CLIP_LOG_CHARS, clip_text
+from ..functions.exprs import (CLIP_DIFF_CHARS, CLIP_LOG_CHARS, VERSION_METRIC_LINE, VERSION_METRICS,
+                               VERSION_RATIONALE, VERSION_SUMMARY, VERSION_TITLE, VERSION_TRAIN_LOSS,
+                               VERSION_VAL_LOSS, clip_text)
 from ..session import cut_lineage
 
 
@@ -99,11 +103,39 @@ def section_diff(old: DataFrame, new: DataFrame) -> DataFrame:
                     clip_text(F.col("new_content"), CLIP_DIFF_CHARS).alias("new_preview"))
 
 
-def version_log(evals: DataFrame, summary: str = "gradient_summary",
-                rationale: str = "rationale") -> DataFrame:
-    """Version-log rows with the summary and rationale clipped to 200 characters plus ``...``."""
-    return evals.select("*", clip_text(F.col(summary), CLIP_LOG_CHARS).alias("summary_clipped"),
-                        clip_text(F.col(rationale), CLIP_LOG_CHARS).alias("rationale_clipped"))
+def _message_udf(metric_names: list[str]):
+    @F.pandas_udf(T.StringType())
+    def message(step: pd.Series, train: pd.Series, val: pd.Series, summary: pd.Series,
+                rationale: pd.Series, *metrics: pd.Series) -> pd.Series:
+        # Python's own %-formatting, so the 4-decimal values read as the reference writes them.
+        out = []
+        for i in range(len(step)):
+            lines = [VERSION_TITLE % int(step.iat[i]), "", VERSION_TRAIN_LOSS % train.iat[i],
+                     VERSION_VAL_LOSS % val.iat[i], "", VERSION_METRICS]
+            for name, col in zip(metric_names, metrics):
+                if not pd.isna(col.iat[i]):
+                    lines.append(VERSION_METRIC_LINE % (name, col.iat[i]))
+            lines += ["", VERSION_SUMMARY, summary.iat[i]]
+            if rationale.iat[i]:
+                lines += ["", VERSION_RATIONALE, rationale.iat[i]]
+            out.append("\n".join(lines))
+        return pd.Series(out, dtype=object)
+    return message
+
+
+def version_log(evals: DataFrame, summary: str = "gradient_summary", rationale: str = "rationale",
+                step: str = "step", train_loss: str = "train_loss", val_loss: str = "val_loss",
+                metrics: list[str] | None = None) -> DataFrame:
+    """Version-log rows: summary and rationale clipped to 200 characters plus ``...``, and the
+    version message (title, both losses, the metrics present, summary, rationale if any)."""
+    metrics = list(metrics or [])
+    out = evals.select("*", clip_text(F.col(summary), CLIP_LOG_CHARS).alias("summary_clipped"),
+                       clip_text(F.col(rationale), CLIP_LOG_CHARS).alias("rationale_clipped"))
+    if train_loss in out.columns:
+        msg = _message_udf(metrics)(F.col(step), F.col(train_loss), F.col(val_loss), F.col("summary_clipped"),
+                                    F.col("rationale_clipped"), *[F.col(m) for m in metrics])
+        out = out.withColumn("message", msg)
+    return out
 
 
 def append_versions(versions: DataFrame, path: str) -> None:

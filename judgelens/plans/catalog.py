@@ -226,15 +226,17 @@ def q_fallback_direction(spark, d):
 
 def _versions(spark, d):
     h = fx.eval_history(spark, d)
-    return h.select("run_id", "step", "val_loss", F.col("ts").alias("committed_at"),
+    return h.select("run_id", "step", "val_loss", (F.col("val_loss") * F.lit(0.9)).alias("train_loss"),
+                    "kendall_tau", "score_entropy", "mean_self_consistency_var", F.col("ts").alias("committed_at"),
                     F.repeat(F.col("props"), F.col("k") % 25).alias("gradient_summary"),
                     F.concat(F.lit("lower loss at step "), F.col("step").cast("string"), F.lit(": "),
                              F.repeat(F.lit("ab"), F.col("k"))).alias("rationale"))
 
 
 def q_version_log_summary(spark, d):
-    v = prompts.version_log(_versions(spark, d))
-    return r6(v.select("run_id", "step", "val_loss", "summary_clipped", "rationale_clipped",
+    v = prompts.version_log(_versions(spark, d), metrics=["kendall_tau", "score_entropy",
+                                                          "mean_self_consistency_var"])
+    return r6(v.select("run_id", "step", "val_loss", "summary_clipped", "rationale_clipped", "message",
                        F.length("gradient_summary").cast("bigint").alias("summary_chars")))
 
 

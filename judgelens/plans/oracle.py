@@ -514,11 +514,20 @@ FROM prompt_sections o FULL OUTER JOIN applied n ON o.prompt_id = n.prompt_id AN
 
 # ---- version log ---------------------------------------------------------------------------
 
-VERS = ("versions", """SELECT run_id, step, val_loss, ts AS committed_at, repeat(props, CAST(k % 25 AS BIGINT)) AS gradient_summary,
+VERS = ("versions", """SELECT run_id, step, val_loss, val_loss * 0.9e0 AS train_loss, kendall_tau, score_entropy,
+  mean_self_consistency_var, ts AS committed_at, repeat(props, CAST(k % 25 AS BIGINT)) AS gradient_summary,
   'lower loss at step ' || CAST(step AS VARCHAR) || ': ' || repeat('ab', CAST(k AS BIGINT)) AS rationale FROM eval_history""")
+_msg = (f"concat_ws({NL}, 'Step ' || CAST(step AS VARCHAR) || ': Prompt optimization update', '', "
+        f"printf('Train Loss: %.4f', train_loss), printf('Val Loss: %.4f', val_loss), '', 'Metrics:', "
+        f"printf('  kendall_tau: %.4f', kendall_tau), printf('  score_entropy: %.4f', score_entropy), "
+        f"printf('  mean_self_consistency_var: %.4f', mean_self_consistency_var), '', 'Gradient Summary:', "
+        f"{clip('gradient_summary', 200)}, "
+        f"CASE WHEN {clip('rationale', 200)} <> '' THEN '' END, "
+        f"CASE WHEN {clip('rationale', 200)} <> '' THEN 'Modification Rationale:' END, "
+        f"CASE WHEN {clip('rationale', 200)} <> '' THEN {clip('rationale', 200)} END)")
 Q["version_log_summary"] = sql(["eval_history"], [VERS], f"""SELECT run_id, step, {r('val_loss', 'val_loss')},
   {clip('gradient_summary', 200)} AS summary_clipped, {clip('rationale', 200)} AS rationale_clipped,
-  CAST(length(gradient_summary) AS BIGINT) AS summary_chars FROM versions""")
+  {_msg} AS message, CAST(length(gradient_summary) AS BIGINT) AS summary_chars FROM versions""")
 Q["version_history"] = sql(["eval_history"], [VERS], f"""SELECT run_id, step, {r('val_loss', 'val_loss')},
   CAST(row_number() OVER (PARTITION BY run_id ORDER BY committed_at DESC, step DESC) AS BIGINT) AS recency
 FROM versions QUALIFY recency <= 10""")
