@@ -21,9 +21,16 @@ def test_every_query_has_an_oracle():
     assert set(se.queries()) == set(se.oracle_sql())
 
 
+SQL_TYPES = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+             "BooleanType": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(se.queries()))
 def test_query_matches_oracle(spark, con, name):
-    got = se.queries()[name](spark, SF_SMALL).toPandas()
+    df = se.queries()[name](spark, SF_SMALL)
+    types = {f.name: SQL_TYPES.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    assert types == {r[0]: r[1] for r in con.execute(f"DESCRIBE {se.oracle_sql()[name]}").fetchall()}
+    got = df.toPandas()
     exp = con.execute(se.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert len(got) == len(exp)
