@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from judgelens.operators import sampling
 
@@ -47,3 +48,11 @@ def test_small_group_is_one_batch(spark):
 def test_strata_each_row_once(spark):
     s = sampling.score_strata(spark.createDataFrame(pd.DataFrame({"human_score": [5.0] * 6}))).toPandas()
     assert (s.stratum == "high").all()
+
+
+def test_gather_batch(spark):
+    samples = _scores(spark, 50).withColumn("response", F.concat(F.lit("r"), F.col("sample_id").cast("string")))
+    b = sampling.epoch_batches(samples, batch_size=10, epochs=1)
+    got = sampling.gather_batch(b, samples, epoch=0, batch_no=2).toPandas()
+    assert len(got) == 10 and set(got.response) == {f"r{i}" for i in got.sample_id}
+    assert sorted(got.position) == list(range(20, 30))
