@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from judgelens.llm import decontam, mixing, near_dup, pii, quality
 from judgelens.llm.queries import quality_model
@@ -35,12 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; personal data in text is replaced by its kind in brackets, n_chars follows."""
-    found = pii.find_pii(docs, redacted=True)
-    changed = F.size("pii") > 0
-    new = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.char_length("clean_text").cast("long")).otherwise(F.col("n_chars"))
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return pii.redact_texts(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

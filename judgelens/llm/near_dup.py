@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     word (null counts as empty) are linked only with equal texts. Repeated rows are copies like any
     other; rows with a null id take part, and a class of such rows alone has a null class_id. An
     empty table gives no rows. Other columns are not read."""
-    texts = with_ref(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_ref(F.col(id_col), F.col(text_col)).alias("ref"))
     signed, classes, comps, sets = linked(texts, words, threshold, recall)
     return counted(signed, classes, comps, sets, threshold)
 
@@ -179,21 +179,18 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that ``near_duplicates`` leaves one of each class: that of the
     smallest doc_id (ids before nulls); of repeated rows one, the first by a hash of all columns."""
-    rows = with_ref(docs, id_col, text_col)
-    texts = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(REF).alias("ref"))
+    rows = docs.select(row_ref(F.col(id_col), F.col(text_col)).alias("ref"), F.struct(*docs.columns).alias("row"))
+    texts = rows.select("ref", F.col(f"row.{id_col}").cast("long").alias("doc_id"), F.col(f"row.{text_col}").alias("text"))
     _, classes, comps, _ = linked(texts, words, threshold, recall)
     kept = (classes.join(comps, "key", "left").groupBy(F.coalesce("comp", "key"))
-            .agg(F.min(F.struct("no_id", "rep", "ref")).alias("least")).select(F.col("least.ref").alias(REF)))
-    first = F.row_number().over(Window.partitionBy(REF).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
-    return rows.join(kept, REF, "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+            .agg(F.min(F.struct("no_id", "rep", "ref")).alias("least")).select(F.col("least.ref").alias("ref")))
+    first = F.row_number().over(Window.partitionBy("ref").orderBy(F.xxhash64("row")))
+    return rows.join(kept, "ref", "left_semi").withColumn("nth", first).filter("nth = 1").select("row.*")
 
 
-#: Names a row's id and text; what repeats it is an equal row.
-REF = "ref"
-
-
-def with_ref(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.withColumn(REF, F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+def row_ref(doc_id: Column, text: Column) -> Column:
+    """Names a row's id and text; a row of the same name is an equal one."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
 
 
 def linked(texts: DataFrame, words: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from judgelens.llm.common import batched, text_rows
+
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
@@ -134,36 +136,41 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", redacted: bool = False) -> DataFrame:
-    """``docs`` with the column ``pii``: an array of (kind, start, end, score), offsets in code
-    points, end exclusive, by kind as listed, then start; with ``redacted`` also ``clean_text``.
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pii) of each row: an array of (kind, start, end, score), offsets in code points, end
+    exclusive, by kind as listed, then start.
 
-    Each row is scanned alone, in whole. A null text is an empty one (its clean text stays null).
-    All other columns are kept as they are; a clashing ``pii`` or ``clean_text`` is replaced."""
-    docs = docs.drop("pii", "clean_text")
+    Each row is scanned alone, in whole; equal texts give equal spans. A null text is an empty one
+    and has none. An empty table gives no rows. Other columns are not read."""
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("pii", pa.list_(item))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(((i, spans_of(text or "")) for i, text in text_rows(batches, "doc_id", "text")), schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        scan, "doc_id long, pii array<struct<kind:string,start:bigint,end:bigint,score:double>>")
+
+
+def redact_texts(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the spans in ``text_col`` replaced by their kinds; ``chars_col``, if there, is set to
+    the new length where the text changed. All other values, and rows without spans, stay as they are."""
+    names = docs.columns
+    chars = names.index(chars_col) if chars_col in names else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            pii, clean = [], []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                spans = spans_of(text or "")
-                pii.append([dict(zip(("kind", "start", "end", "score"), s)) for s in spans])
-                if redacted:
-                    clean.append(text if text is None else redact(text, spans))
-            columns = [*batch.columns, pa.array(pii, pa.list_(item)), *([pa.array(clean, pa.string())] if redacted else [])]
-            names = [*batch.schema.names, "pii", *["clean_text"] * redacted]
-            if not redacted:  # the text need not travel back
-                k = names.index(text_col)
-                del columns[k], names[k]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    fields = [f for f in docs.schema.fields if redacted or f.name != text_col]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields),
-                     "pii array<struct<kind:string,start:bigint,end:bigint,score:double>>", *["clean_text string"] * redacted])
-    return docs.mapInArrow(scan, ddl)
+            k = names.index(text_col)
+            texts = [v.as_py() for v in batch.column(k)]
+            found = [spans_of(t or "") for t in texts]
+            columns = list(batch.columns)
+            new = [redact(t, s) if s else t for t, s in zip(texts, found)]
+            columns[k] = pa.array(new, batch.schema.types[k])
+            if chars is not None:
+                columns[chars] = pa.array([len(t) if s else n.as_py() for t, s, n in zip(new, found, columns[chars])], batch.schema.types[chars])
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def digest(spans_found: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
