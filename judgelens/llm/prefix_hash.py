@@ -26,7 +26,9 @@ BASES = (1000003, 999983)
 #: Code points that are hashed at a time; the arrays of longer texts carry on from piece to piece.
 PIECE = 1 << 18
 #: The ladder: lengths 2^(j/4), rounded down.
-LADDER = tuple(sorted({int(2 ** (j / 4)) for j in range(128)}))
+LADDER = np.array(sorted({int(2 ** (j / 4)) for j in range(128)}), np.int64)
+#: Bring the two hashes of a ladder step together in 32 bits.
+SHORTENERS = np.array((0x3C6EF372, 0x1B873593), np.int64)
 #: Bytes of text in a partition of the ordered pass, about.
 PARTITION_BYTES = 16 << 20
 #: Ranges at most: beyond, they grow instead; a range is sorted on disk and read as a stream.
@@ -60,6 +62,17 @@ class PrefixHashes:
             self.held = (piece, self._carry(self.marks[piece], low, max(0, min(PIECE, self.n - low))))
         return self.held[1][:, i - piece * PIECE]
 
+    def at_many(self, index: np.ndarray) -> np.ndarray:
+        """(2, len(index)): H at each index, in any order; each piece is worked out once."""
+        if self.n <= PIECE:
+            self.at(0)
+            return self.held[1][:, index]
+        out, piece = np.empty((2, len(index)), np.int64), np.minimum(index // PIECE, len(self.marks) - 2)
+        for k in np.unique(piece):
+            self.at(int(k) * PIECE)
+            out[:, piece == k] = self.held[1][:, index[piece == k] - k * PIECE]
+        return out
+
     def span(self, start: int, end: int) -> np.ndarray:
         """H[end] - H[start]: the span's hash times m^start."""
         return (self.at(end) - self.at(start)) % self.powers.primes[:, 0]
@@ -70,14 +83,27 @@ class Powers:
 
     def __init__(self):
         self.primes = np.array(PRIMES, np.int64)[:, None]
+        self.table = self._table(BASES)
+        self.inverses = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES))
+        self.inverse_table = self._table(self.inverses)
+
+    @staticmethod
+    def _table(bases: tuple[int, ...]) -> np.ndarray:
         table = np.ones((2, PIECE + 1), np.int64)
         for k in range(2):  # doubling: m^(j + w) = m^j * m^w
             w = 1
             while w <= PIECE:
                 n = min(w, PIECE + 1 - w)
-                table[k, w:w + n] = table[k, :n] * pow(BASES[k], w, PRIMES[k]) % PRIMES[k]
+                table[k, w:w + n] = table[k, :n] * pow(bases[k], w, PRIMES[k]) % PRIMES[k]
                 w *= 2
-        self.table = table
+        return table
+
+    def inverse(self, j: np.ndarray) -> np.ndarray:
+        """(2, len(j)): m^-j modulo each prime."""
+        if not len(j) or int(j.max()) <= PIECE:
+            return self.inverse_table[:, j]
+        far = np.array([[pow(b, int(q) * PIECE, p) for q in j // PIECE] for b, p in zip(self.inverses, PRIMES)], np.int64)
+        return self.inverse_table[:, j % PIECE] * far % self.primes
 
     def of(self, j: int) -> np.ndarray:
         return self.table[:, j] if j <= PIECE else np.array([pow(b, j, p) for b, p in zip(BASES, PRIMES)], np.int64)
@@ -94,6 +120,8 @@ def code_points(text: str) -> np.ndarray:
 def equal_spans(a: PrefixHashes, i: int, b: PrefixHashes, j: int, length: int) -> bool:
     """Whether a[i:i + length] and b[j:j + length] are equal (up to a collision modulo both primes)."""
     pw, p = a.powers, a.powers.primes[:, 0]
+    if i == j == 0:
+        return bool((a.at(length) == b.at(length)).all())
     x, y = a.span(i, i + length), b.span(j, j + length)
     # bring both to the same power of the base
     if i < j:
@@ -115,21 +143,22 @@ def longest_common_extension(a: PrefixHashes, i: int, b: PrefixHashes, j: int) -
     return low
 
 
-def ladder_hashes(h: PrefixHashes) -> tuple[str, list[str], list[str]]:
+def ladder_hashes(h: PrefixHashes) -> tuple[str, str, str]:
     """Hash of the whole text, of its prefixes and of its suffixes on the ladder, as hex."""
-    pw, p = h.powers, h.powers.primes[:, 0]
-    steps = [g for g in LADDER if g <= h.n]
-    show = lambda v: f"{int(v[0]):08x}{int(v[1]):08x}"
-    short = lambda v: f"{(int(v[0]) * 0x9E3779B1 ^ int(v[1]) * 0x85EBCA6B) & 0xFFFFFFFF:08x}"
+    steps = LADDER[:int(np.searchsorted(LADDER, h.n, "right"))]
+    marks = h.at_many(np.concatenate([h.n - steps[::-1], steps, [h.n]]))
+    whole = marks[:, -1]
     # a suffix is brought down by the inverse of the power at its start
-    back = lambda g: h.span(h.n - g, h.n) * np.array([pow(int(x), -1, q) for x, q in zip(pw.of(h.n - g), PRIMES)], np.int64) % p
-    return show(h.at(h.n)), [short(h.at(g)) for g in steps], [short(back(g)) for g in reversed(steps)][::-1]
+    back = (whole[:, None] - marks[:, :len(steps)]) % h.powers.primes * h.powers.inverse(h.n - steps[::-1]) % h.powers.primes
+    short = (np.concatenate([marks[:, len(steps):-1], back[:, ::-1]], axis=1) * SHORTENERS[:, None]).sum(axis=0) & 0xFFFFFFFF
+    text = short.astype(">u4").tobytes().hex()
+    return f"{int(whole[0]):08x}{int(whole[1]):08x}", text[:8 * len(steps)], text[8 * len(steps):]
 
 
 def fingerprint(h: PrefixHashes) -> str:
     """length:hash of the whole:prefix ladder:suffix ladder. Equal texts have equal fingerprints."""
     whole, prefixes, suffixes = ladder_hashes(h)
-    return f"{h.n}:{whole}:{''.join(prefixes)}:{''.join(suffixes)}"
+    return f"{h.n}:{whole}:{prefixes}:{suffixes}"
 
 
 def likeness(x: str, y: str) -> float:
@@ -145,7 +174,7 @@ def likeness(x: str, y: str) -> float:
         while low < high:  # equal up to a step means equal on all steps before
             mid = (low + high + 1) // 2
             low, high = (mid, high) if a[8 * mid - 8:8 * mid] == b[8 * mid - 8:8 * mid] else (low, mid - 1)
-        found += LADDER[low - 1] if low else 0
+        found += int(LADDER[low - 1]) if low else 0
     # texts that differ are never fully alike
     return min(found, shorter, longer - 1) / longer
 
@@ -165,11 +194,12 @@ def ordered_with_heads(docs: DataFrame, partition_bytes: int = PARTITION_BYTES)
     one range, in the order of their texts."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n"))
     total, n = size.first()
-    parts = max(1, min(int(n or 0), -(-int(total or 0) // partition_bytes), MAX_PARTITIONS))
+    wanted = max(-(-int(total or 0) // partition_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, min(int(n or 0), wanted, MAX_PARTITIONS))
     bounds = [] if parts == 1 else docs.select(F.percentile_approx(
         "doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
     cuts = sorted(set(bounds))
-    # how many cuts lie at or below the id
+    # how many cuts lie at or below the id: the number of the partition that the row goes to
     part = F.lit(0) if not cuts else F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))), F.lit(0))
     placed = docs.select("doc_id", "text").withColumn("part", part.cast("int"))
     # one row per range, in order: no more rows than partitions
@@ -182,7 +212,7 @@ def ordered_with_heads(docs: DataFrame, partition_bytes: int = PARTITION_BYTES)
         copies = docs.sparkSession.createDataFrame([(i, p) for i, ps in where.items() for p in ps], "_id long, part int")
         guests = docs.select("doc_id", "text").join(F.broadcast(copies), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "part", F.lit(1).alias("last"))
         rows = rows.unionByName(guests)
-    return rows.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    return rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
