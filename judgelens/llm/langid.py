@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from judgelens.llm.common import batched, bounded_sample, text_rows
 
 #: Texts sampled per language for training, and their words in all, at most.
-DOCS_PER_LANG, TRAIN_WORDS = 150, 300_000
+DOCS_PER_LANG, TRAIN_WORDS = 120, 150_000
 #: Hash buckets of the n-gram and affix features; words in the lexicon per language.
 BUCKETS, LEXICON = 1 << 16, 2000
 #: Words in a spliced training sequence; spans of this many words on average come from one text.
@@ -78,16 +78,21 @@ def features(codes: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndar
     affixes = np.stack([bucket(41, c[s], c[s + 1]), bucket(43, c[s], c[s + 1], np.where(e - s >= 2, c[s + 2], 0).astype(np.uint32)),
                         bucket(47, c[e - 1], c[e]), bucket(53, np.where(e - s >= 2, c[e - 2], 0).astype(np.uint32), c[e - 1], c[e])], axis=1)
     # a word's hash: a polynomial in its letters, by prefix sums modulo 2^64
-    m = np.uint64(0x9E3779B97F4A7C15)
-    back = np.uint64(pow(int(m), -1, 1 << 64))
-    up = np.cumprod(np.concatenate([[1], np.full(len(codes), m, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-    down = np.cumprod(np.concatenate([[1], np.full(len(codes), back, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    m = 0x9E3779B97F4A7C15
+    up, down = powers(m, len(codes)), powers(pow(m, -1, 1 << 64), len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1)) * up[:-1], out=sums[1:])
+    np.cumsum((codes.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1)) * up[:len(codes)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
     return starts, ends, np.stack([bigrams, trigrams]), affixes, hashes
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n modulo 2^64."""
+    a = np.full(n + 1, base, np.uint64)
+    a[0] = 1
+    return np.cumprod(a, dtype=np.uint64)
+
+
 def emissions(model: Model, codes: np.ndarray, letter: np.ndarray) -> np.ndarray:
     """(words, K) scores of the words of a stretch of text."""
     starts, ends, grams, affixes, hashes = features(codes, letter)

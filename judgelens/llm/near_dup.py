@@ -39,9 +39,10 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     best = None
     for rows in range(1, max_hashes + 1):
         p = threshold**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
-        if bands * rows <= max_hashes:
-            best = (bands, rows)
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
+        if bands * rows > max_hashes:
+            break
+        best = (bands, rows)
     if best is None:
         raise ValueError("max_hashes is too small for this recall")
     return best
