@@ -2,9 +2,10 @@
 
 The index is of the benchmark, the queries are passages of the corpus: every document is cut into
 overlapping windows of words. Postings are kept in blocks of items with the largest impact of each
-term in each block. For a window the block maxima of its terms add up to an upper bound; blocks
-whose bound stays below their smallest item threshold are skipped, and only the others are scored.
-An item's threshold is a share of its own BM25 score, so all windows above it are retrieved. A
+term in each block. An item's threshold is a share of its own BM25 score, and impacts are kept
+divided by it, so a window meets an item at 1. For a window the block maxima of its terms add up to an
+upper bound; blocks whose bound stays below 1 are skipped, only the others are scored, and all
+windows above a threshold are retrieved. A
 retrieved pair is verified by the n-grams of the item's question and answer parts that the window has.
 """
 
@@ -22,8 +23,8 @@ from judgelens.llm.common import batched, text_rows
 
 #: BM25's constants; the share of an item's own score that a window must reach.
 K1, B, MIN_SHARE = 1.2, 0.75, 0.6
-#: Items in a block of a postings list.
-BLOCK_ITEMS = 16
+#: Items in a block of a postings list at least; more where the table of block maxima would pass MAX_CELLS.
+BLOCK_ITEMS, MAX_CELLS = 4, 1 << 24
 #: Words in an n-gram of the check; shares of question and answer n-grams that a window must hold.
 GRAM, MIN_QUESTION, MIN_ANSWER = 3, 0.6, 0.6
 #: Words of half a window at least; windows start at every half, so items up to that length lie within one.
@@ -31,7 +32,7 @@ HALF = 64
 #: Windows that are scored at a time.
 STRETCH = 512
 #: Items that one index holds. Larger benchmarks are queried shard by shard, each by one pass.
-SHARD_ITEMS = 20000
+SHARD_ITEMS = 2000
 
 _WORD = re.compile(r"\w+")
 
@@ -60,7 +61,8 @@ class Index:
         self.parts = [question_and_answer(t or "") for _, t in items]
         lengths = np.array([len(w) for w in self.words], np.float64)
         self.term = {t: k for k, t in enumerate(sorted({t for w in self.words for t in w}))}
-        self.blocks = -(-len(items) // BLOCK_ITEMS)
+        self.block_items = max(BLOCK_ITEMS, -(-len(items) * len(self.term) // MAX_CELLS))
+        self.blocks = max(1, -(-len(items) // self.block_items))
         counts: dict[tuple[int, int], int] = {}
         for d, w in enumerate(self.words):
             for t in w:
@@ -76,29 +78,12 @@ class Index:
         own = np.zeros(len(items))
         np.add.at(own, self.post_item, self.post_impact)
         self.threshold = (MIN_SHARE * own).astype(np.float32)
-        self.threshold[lengths == 0] = np.inf  # an item without a word is never met
-        block_of = self.post_item // BLOCK_ITEMS
-        # block maxima, one entry for each (term, block) with postings
-        key = cells[:, 0] * max(1, self.blocks) + block_of
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.max_start = np.searchsorted(cells[first, 0], np.arange(len(self.term) + 1))
-        self.max_block, self.max_impact = block_of[first], np.maximum.reduceat(self.post_impact, first) if len(first) else self.post_impact
-        padded = np.full(max(1, self.blocks) * BLOCK_ITEMS, np.inf, np.float32)
-        padded[:len(items)] = self.threshold
-        self.block_threshold = padded.reshape(-1, BLOCK_ITEMS).min(axis=1)
+        self.post_share = self.post_impact / self.threshold[self.post_item]  # an item without a word has no posting
+        # the largest share of a threshold that each term brings in each block of items
+        self.block_max = np.zeros((len(self.term), self.blocks), np.float32)
+        np.maximum.at(self.block_max, (cells[:, 0], self.post_item // self.block_items), self.post_share)
         self.half = max([HALF, *(len(w) for w in self.words)])
 
-    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, term): the distinct index terms of each window of two neighbouring halves."""
-        at = np.flatnonzero(ids >= 0)
-        half, n = at // self.half, len(self.term)
-        cells = np.unique(half * n + ids[at])  # distinct in each half
-        last = max(0, (len(ids) - 1) // self.half)
-        half, term = cells // n, cells % n
-        # a half is the first part of its own window and the second of the one before
-        both = np.unique(np.concatenate([half[half < max(1, last)] * n + term[half < max(1, last)], (half[half > 0] - 1) * n + term[half > 0]]))
-        return both // n, both % n
-
     def search(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(window, item, score) for all windows and items with a score at the item's threshold or
         above. Long texts are read in stretches that overlap by one half."""
@@ -108,25 +93,32 @@ class Index:
                 yield window + k // self.half, item, score
 
     def _stretch(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
-        window, term = self.windows(ids)
-        if not len(window):
+        at = np.flatnonzero(ids >= 0)
+        if not len(at):
             return []
-        # upper bounds by window and block
-        w, k = _expand(window, term, self.max_start)
-        n = int(window[-1]) + 1
-        bound = np.bincount(w * self.blocks + self.max_block[k], self.max_impact[k], n * self.blocks).reshape(n, self.blocks)
-        alive = bound >= self.block_threshold * np.float32(0.9999)
-        if not alive.any():
+        n = len(self.term)
+        half, term = np.divmod(np.unique(at // self.half * n + ids[at]), n)  # the distinct terms of each half
+        # a window's bound is that of its two halves together
+        runs = np.flatnonzero(np.diff(half, prepend=-1))
+        bounds = np.zeros(((len(ids) - 1) // self.half + 1, self.blocks), np.float32)
+        bounds[half[runs]] = np.add.reduceat(self.block_max[term], runs, axis=0)
+        if len(bounds) > 1:
+            bounds = bounds[:-1] + bounds[1:]
+        alive = bounds >= 0.9999
+        open_ = alive.any(axis=1)
+        if not open_.any():
             return []
-        # exact scores where a block may reach its threshold
-        some = alive.any(axis=1)[window]
+        # exact scores, over the distinct terms of the windows where a block may reach its threshold
+        own, before = half < len(open_), half > 0
+        window, term = np.divmod(np.unique(np.concatenate([half[own] * n + term[own], (half[before] - 1) * n + term[before]])), n)
+        some = open_[window]
         w, k = _expand(window[some], term[some], self.post_start)
         item = self.post_item[k]
-        kept = alive[w, item // BLOCK_ITEMS]
+        kept = alive[w, item // self.block_items]
         cells, slot = np.unique(w[kept] * self.n + item[kept], return_inverse=True)
-        score = np.bincount(slot, self.post_impact[k[kept]])
-        good = score >= self.threshold[cells % self.n] * (1 - 1e-6)
-        return [(int(c // self.n), int(c % self.n), float(s)) for c, s in zip(cells[good], score[good])]
+        share = np.bincount(slot, self.post_share[k[kept]])
+        good = share >= 1 - 1e-6
+        return [(int(c // self.n), int(c % self.n), float(s * self.threshold[c % self.n])) for c, s in zip(cells[good], share[good])]
 
     def verify(self, words: list[str], item: int) -> tuple[float, float]:
         """Shares of the n-grams of the item's question and answer that the window's words hold."""
@@ -142,7 +134,8 @@ class Index:
         """The verified items of a text: score, share of the item's own score, overlaps of question
         and answer, first word of the best window."""
         words = words_of(text)
-        ids = np.fromiter((self.term.get(w, -1) for w in words), np.int64, len(words))
+        known = self.term.get
+        ids = np.array([known(w, -1) for w in words], np.int64)
         best: dict[int, tuple[float, float, float, float, int]] = {}
         for window, item, score in self.search(ids):
             start = window * self.half
