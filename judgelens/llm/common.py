@@ -126,3 +126,16 @@ class WordHasher:
         for j in range(1, k):
             h = h * np.uint64(0xD1342543DE82EF95) + words[j:j + n]
         return self.mix(h)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(id, label, text) of at most ``per_class`` documents for each label, whole, spread over all
+    labelled documents, and the number of labelled documents by label.
+
+    Only ids and labels are shuffled; the chosen ids, bounded by ``per_class``, go to the texts.
+    Null ids and labels are left out; a document with several labels counts for each."""
+    known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null").distinct()
+             .join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"))
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label
+    chosen = bounded_sample(known, "label", "id", per_class)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text"), counts

@@ -8,6 +8,7 @@ turns the margin into a score.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgelens.llm.common import batched, bounded_sample, text_rows
+from judgelens.llm.common import batched, labelled_sample, text_rows
 
 #: Lengths of the byte n-grams; hash buckets; texts sampled per class for fitting, at most.
 GRAMS, BUCKETS, ROWS_PER_CLASS = (1, 2, 3), 1 << 15, 2000
@@ -142,25 +143,22 @@ def margin(model: Model, text: str | None) -> float:
     return float(model.scaled[seen].sum(dtype=np.float64)) / norm + model.bias if norm > 0 else model.bias
 
 
-def fit_on(rows: DataFrame, per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> Model:
-    """Fit on at most ``per_class`` rows of each label, whole texts, spread over all labelled rows.
+def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text",
+           label_col: str = "quality") -> Model:
+    """Fit on at most ``per_class`` documents of each label, whole texts, spread over all labelled ones.
 
     The tasks send the positions of the indicators; texts stay where they are. Rows with a null
     label or id are not learned from; a null text is an empty one."""
-    known = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).filter(
-        "label is not null and id is not null")
-    ids = bounded_sample(known, "label", "id", per_class)
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per label
+    picked, counts = labelled_sample(docs, labels, per_class, id_col, text_col, label_col)
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("seen", pa.list_(pa.int32()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(((i, y, np.flatnonzero(indicators(t)).astype(np.int32)) for i, y, t in text_rows(batches, "id", "label", "text")), schema)
 
-    picked = known.join(F.broadcast(ids.distinct()), ["label", "id"], "left_semi")  # per_class ids for each label
-    sample = picked.select("id", "label", "text").mapInArrow(scan, "id long, label int, seen array<int>").toArrow()
+    sample = picked.mapInArrow(scan, "id long, label int, seen array<int>").toArrow()
     found = sorted(zip(sample["id"].to_pylist(), sample["label"].to_pylist(), range(sample.num_rows)))
     lists = sample["seen"]
-    taken = {y: sum(1 for _, l, _ in found if l == y) for y in counts}
+    taken = Counter(y for _, y, _ in found)
     return fit([(np.asarray(lists[k].values.to_numpy(zero_copy_only=False), np.int64), y, counts[y] / taken[y]) for _, y, k in found])
 
 

@@ -20,14 +20,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_words", "switches")
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label is not null").distinct()
-    return docs.select("doc_id", "text").join(labels, "doc_id")
-
-
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
-    return quality.fit_on(labelled(spark, sf_dir, docs.filter(fold_of("doc_id", 3) != 1), "quality"))
+    return quality.fit_on(docs.filter(fold_of("doc_id", 3) != 1), table(spark, sf_dir, "labels"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +50,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = toxicity.graded_sample(labelled(spark, sf_dir, docs, "toxic"), grade_col="label")
+    sample = toxicity.graded_sample(docs, table(spark, sf_dir, "labels"), grade_col="toxic")
     return toxicity.score_toxicity(docs, toxicity.train(toxicity.split_severe(sample)))
 
 

@@ -9,6 +9,7 @@ P(grade > k). Weights are shared by all thresholds.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgelens.llm.common import batched, bounded_sample, text_rows
+from judgelens.llm.common import batched, labelled_sample, text_rows
 
 #: Texts sampled per grade for fitting, and word features kept, at most.
 ROWS_PER_GRADE, FEATURES = 3000, 2000
@@ -112,25 +113,19 @@ def severity(model: Model, text: str | None) -> tuple[float, int, float]:
     return float(above.sum()), int(p.argmax()), float(above[0])
 
 
-def graded_sample(rows: DataFrame, per_grade: int = ROWS_PER_GRADE, id_col: str = "doc_id", text_col: str = "text",
+def graded_sample(docs: DataFrame, labels: DataFrame, per_grade: int = ROWS_PER_GRADE, id_col: str = "doc_id", text_col: str = "text",
                   grade_col: str = "grade") -> list[tuple[str, int, float]]:
-    """(text, grade, rows it stands for) of at most ``per_grade`` whole texts of each grade, spread over
-    all labelled rows. Rows with a null grade, id or text are not learned from."""
-    known = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).filter(
-        "grade is not null and id is not null and text is not null")
-    ids = bounded_sample(known, "grade", "id", per_grade)
-    counts = {r["grade"]: r["n"] for r in known.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per grade
+    """(words, grade, rows it stands for) of at most ``per_grade`` documents of each grade, whole texts,
+    spread over all labelled ones. Rows with a null grade or id are not learned from; a null text is
+    an empty one."""
+    picked, counts = labelled_sample(docs, labels, per_grade, id_col, text_col, grade_col)
     schema = pa.schema([("grade", pa.int32()), ("words", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(((g, " ".join(sorted(words_in(t)))) for g, t in text_rows(batches, "grade", "text")), schema)
 
-    # per_grade ids for each grade
-    found = (known.join(F.broadcast(ids.distinct()), ["grade", "id"], "left_semi").select("grade", "text")
-             .mapInArrow(scan, "grade int, words string").collect())
-    taken: dict[int, int] = {}
-    for r in found:
-        taken[r["grade"]] = taken.get(r["grade"], 0) + 1
+    found = picked.select(F.col("label").alias("grade"), "text").mapInArrow(scan, "grade int, words string").collect()
+    taken = Counter(r["grade"] for r in found)
     return sorted((r["words"], r["grade"], counts[r["grade"]] / taken[r["grade"]]) for r in found)
 
 
