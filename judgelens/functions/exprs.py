@@ -94,7 +94,7 @@ def lr_at(index: Column, initial_lr: float | Column, min_lr: float | Column,
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     i, hi, lo, m, w = lit(index).cast("double"), lit(initial_lr), lit(min_lr), lit(max_steps), lit(warmup_steps)
     warm = lo + (hi - lo) * F.try_divide(i, w.cast("double"))
-    progress = F.least(F.try_divide(i - w, (m - w).cast("double")), F.lit(1.0))
+    progress = F.when(m != w, F.least(F.try_divide(i - w, (m - w).cast("double")), F.lit(1.0)))  # least() skips NULL
     cosine = lo + (hi - lo) * (F.lit(0.5) * (F.lit(1.0) + F.cos(F.lit(math.pi) * progress)))
     return F.when(i < w, warm).otherwise(cosine)
 

@@ -241,6 +241,6 @@ def lr_trace(runs: DataFrame, keys: list[str] | None = None, max_steps: str = "m
     """Learning rate of every training step of every run: step s uses schedule index s - 1.
     ``runs`` has one row per run with its ``max_steps``; NULL when max_steps equals warm-up."""
     keys = list(keys or ["run_id"])
-    s = runs.select(*keys, max_steps, F.explode(F.sequence(F.lit(1), F.col(max_steps))).alias("step"))
+    s = runs.filter(F.col(max_steps) >= 1).select(*keys, max_steps, F.explode(F.sequence(F.lit(1), F.col(max_steps))).alias("step"))
     lr = lr_at(F.col("step") - 1, initial_lr, min_lr, F.col(max_steps), warmup_steps)
     return s.select(*keys, F.col("step").cast("bigint").alias("step"), lr.alias("learning_rate"))

@@ -132,8 +132,8 @@ def version_log(evals: DataFrame, summary: str = "gradient_summary", rationale:
     out = evals.select("*", clip_text(F.col(summary), CLIP_LOG_CHARS).alias("summary_clipped"),
                        clip_text(F.col(rationale), CLIP_LOG_CHARS).alias("rationale_clipped"))
     if train_loss in out.columns:
-        msg = _message_udf(metrics)(F.col(step), F.col(train_loss), F.col(val_loss), F.col("summary_clipped"),
-                                    F.col("rationale_clipped"), *[F.col(m) for m in metrics])
+        msg = _message_udf(metrics)(F.col(step), F.col(train_loss), F.col(val_loss), F.coalesce("summary_clipped", F.lit("")),
+                                    F.coalesce("rationale_clipped", F.lit("")), *[F.col(m) for m in metrics])
         out = out.withColumn("message", msg)
     return out
 

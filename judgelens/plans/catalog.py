@@ -81,7 +81,7 @@ def q_evaluation_report(spark, d):
 def q_judge_human_join(spark, d):
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("sample_id"),
-        round_half_up(F.lit(1.0) + F.lit(9.0) * F.least(F.col("n_chars"), F.lit(6000)) / F.lit(6000.0), 1)
+        round_half_up(F.lit(1.0) + F.lit(9.0) * F.col("n_chars") / (F.col("n_chars") + F.lit(3000.0)), 1)
         .alias("judge_score"))
     human = table(spark, d, "labels").select(
         F.col("doc_id").alias("sample_id"),

@@ -28,7 +28,7 @@ def judged_docs(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("sample_id"), "source", "lang", F.col("text").alias("response"),
         (F.lit(1) + F.lit(6) * F.col("quality") + F.lit(3) * (F.lit(1) - F.col("toxic"))).cast("double")
         .alias("human_score"),
-        round_half_up(F.lit(1.0) + F.lit(9.0) * F.least(F.col("n_chars"), F.lit(6000)) / F.lit(6000.0), 1)
+        round_half_up(F.lit(1.0) + F.lit(9.0) * F.col("n_chars") / (F.col("n_chars") + F.lit(3000.0)), 1)
         .alias("judge_score"),
         F.least(F.lit(10.0), F.greatest(F.lit(1.0), F.length("text") / F.lit(20.0) + F.lit(5.0)))
         .alias("judge_len"),
@@ -120,7 +120,7 @@ def prompt_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judge_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Free-text judge replies; half of them carry the whole document after the verdict."""
+    """Free-text judge replies; each carries the whole document after the verdict."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     m, n = F.col("doc_id") % 6, (F.col("doc_id") % 10).cast("string")
     head = (F.when(m == 0, F.concat(F.lit("Score: "), n, F.lit(".5\nReasoning follows.")))
@@ -129,17 +129,17 @@ def judge_replies(spark: SparkSession, d: str) -> DataFrame:
             .when(m == 3, F.concat(F.lit("I think about "), n, F.lit(" out of 10")))
             .when(m == 4, F.lit("I give .5"))
             .otherwise(F.lit("no verdict given")))
-    reply = F.when(F.col("doc_id") % 12 >= 6, F.concat(head, F.lit("\n"), F.col("text"))).otherwise(head)
+    reply = F.concat(head, F.lit("\n"), F.col("text"))
     return docs.select(F.col("doc_id").alias("sample_id"), reply.alias("reply"))
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    """Assistant turns with the user turn just before them as the prompt."""
+    """Assistant turns with the user turn just before them as the prompt, empty if there is none."""
     cv = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     a = cv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("response"))
     u = cv.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),
                                                    F.col("text").alias("prompt"))
-    return (a.join(u, ["conv_id", "turn"])
+    return (a.join(u, ["conv_id", "turn"], "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
             .select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
                     .alias("sample_id"), "prompt", "response"))
 

@@ -44,7 +44,7 @@ FIXTURES: dict[str, str] = {
     "judged_docs": f"""
 SELECT d.doc_id AS sample_id, d.source, d.lang, d.text AS response,
        CAST(1 + 6 * l.quality + 3 * (1 - l.toxic) AS DOUBLE) AS human_score,
-       {half_up("1e0 + 9e0 * least(d.n_chars, 6000) / 6000e0", 1)} AS judge_score,
+       {half_up("1e0 + 9e0 * d.n_chars / (d.n_chars + 3000e0)", 1)} AS judge_score,
        least(10e0, greatest(1e0, length(d.text) / 20e0 + 5e0)) AS judge_len
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "judged_versions": """
@@ -79,7 +79,7 @@ SELECT c_custkey AS prompt_id, 1 AS version, s.pos, s.section,
        'criteria ' || s.section || ' for customer ' || CAST(c_custkey AS VARCHAR) AS content, s.is_meta
 FROM customer, (VALUES (1, '1-URGENT', true), (2, '2-HIGH', false), (3, '3-MEDIUM', false)) s(pos, section, is_meta)""",
     "judge_replies": f"""
-SELECT doc_id AS sample_id, CASE WHEN doc_id % 12 >= 6 THEN head || {NL} || text ELSE head END AS reply FROM (
+SELECT doc_id AS sample_id, head || {NL} || text AS reply FROM (
   SELECT doc_id, text, CASE doc_id % 6
     WHEN 0 THEN 'Score: ' || n || '.5' || {NL} || 'Reasoning follows.'
     WHEN 1 THEN 'The rating:' || n || ' seems fair'
@@ -89,8 +89,8 @@ SELECT doc_id AS sample_id, CASE WHEN doc_id % 12 >= 6 THEN head || {NL} || text
     ELSE 'no verdict given' END AS head
   FROM (SELECT doc_id, text, CAST(doc_id % 10 AS VARCHAR) AS n FROM documents))""",
     "responses": """
-SELECT CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS sample_id, u.text AS prompt, a.text AS response
-FROM conversations a JOIN conversations u ON a.conv_id = u.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
+SELECT CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS sample_id, coalesce(u.text, '') AS prompt, a.text AS response
+FROM conversations a LEFT JOIN conversations u ON a.conv_id = u.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
 WHERE a.role = 'assistant'""",
     "raw_scored_rows": f"""
 SELECT sample_id,
@@ -273,7 +273,7 @@ Q["evaluation_report"] = sql(["judged_versions"], _rank_ctes + entropy_ctes("jud
 FROM b JOIN k_pm k USING ({GK}) JOIN s_sp s USING ({GK}) JOIN e_en e USING ({GK})""")
 
 Q["judge_human_join"] = f"""SELECT d.doc_id AS sample_id,
-  {r(half_up('1e0 + 9e0 * least(d.n_chars, 6000) / 6000e0', 1), 'judge_score')},
+  {r(half_up('1e0 + 9e0 * d.n_chars / (d.n_chars + 3000e0)', 1), 'judge_score')},
   {r('CAST(1 + 6 * l.quality + 3 * (1 - l.toxic) AS DOUBLE)', 'human_score')}
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 

@@ -27,12 +27,19 @@ def test_clean_section_text(spark):
     assert [None if pd.isna(x) else x for x in got] == [c[2] for c in cases]
 
 
-def test_json_span_rules():
-    span = audit._first_json_span
-    assert span('```json\n{"modifications": []}\n```') == '{"modifications": []}'
-    assert span('text {"a": {"b": 1}} tail') == '{"a": {"b": 1}}'
-    assert span("[1, [2]] then {x}") == "{x}"
-    assert span("no json") == "no json"
+def test_json_span_rules(spark):
+    cases = [('```json\n{"modifications": []}\n```', '{"modifications": []}'), ('text {"a": {"b": 1}} tail', '{"a": {"b": 1}}'), ("[1, [2]] then {x}", "{x}"),
+             ("no json", "no json"), ("a { b [1, [2]] c", "[1, [2]]"), ("} [ {", "} [ {"), ("", ""), (None, None), ("{}{}", "{}"), ("[ ] {", "[ ]")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, reply string")
+    got = df.select("i", audit.json_span(F.col("reply")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == [c[1] for c in cases]
+
+
+def test_bad_elements_leave_the_others(spark):
+    df = spark.createDataFrame([(1, '{"modifications": ["oops", {"action": "add", "section_name": "A"}, 3, null, {"action": {"x": [1]}}]}')], "prompt_id int, reply string")
+    mods, bad = audit.parse_gradient_replies(df)
+    assert [(r["seq"], r["action"]) for r in mods.orderBy("seq").collect()] == [(1, "add"), (4, '{"x":[1]}')]
+    assert bad.count() == 0
 
 
 def test_parse_gradient_replies(spark):
