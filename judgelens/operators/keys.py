@@ -27,3 +27,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
                          *[c for c in r.columns if not c.startswith("_rk_") and c not in left.columns])
         return out
     return out.drop(*["_rk_" + k for k in keys])
+
+
+def with_group_row(left: DataFrame, group: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``group``, which has one row per key. Without keys ``group`` is
+    a single row and is read as a scalar subquery, so no join on a constant is planned."""
+    if keys:
+        return join_on(left, group, keys, how)
+    row = group.select(F.struct(*group.columns).alias("_row")).scalar()
+    return left.select(*left.columns, row.alias("_group")).select(
+        *left.columns, *[F.col("_group")[c].alias(c) for c in group.columns])

@@ -4,13 +4,17 @@ evaluation cadence and the learning-rate schedule.
 Per-run sequences are computed with :func:`running`: a window when every run fits one task
 (checked first), else a range-partitioned pass that spreads a very long run over many tasks.
 For hot runs, "value k entries ago" is an equi-join on ``(run, index)`` rather than a window.
-No per-run list is ever collected. The one exception is ``min_delta > 0``, a sequential
-recurrence evaluated per run by the streaming monitor's state function.
+No per-run list is ever collected. With ``min_delta > 0`` the best loss is a sequential recurrence;
+it is folded over each run's strict running minima only, in a stream that holds one number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lr_at
@@ -19,9 +23,9 @@ from .keys import join_on
 from .prefix import Running, all_keys_small, running
 
 
-def _monitor_base(history: DataFrame, keys: list[str], step: str, loss: str) -> DataFrame:
-    clean = F.when(F.isnan(F.col(loss)), F.lit(None).cast("double")).otherwise(F.col(loss))
-    return history.withColumn("_loss", clean).withColumn("_one", F.lit(1.0))
+def _present(col: str) -> Column:
+    """The value as a double; a missing metric (NULL or NaN) is NULL."""
+    return F.when(~F.isnan(F.col(col)), F.col(col).cast("double"))
 
 
 def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: str = "step",
@@ -32,173 +36,127 @@ def early_stop_trace(history: DataFrame, keys: list[str] | None = None, step: st
                      entropy: str = "score_entropy", variance: str = "mean_self_consistency_var") -> DataFrame:
     """One row per evaluation with the early-stopping state after it.
 
-    improved: loss < best so far (strict; a NaN loss never improves); best_step / best_loss;
-    counter: evaluations since the last improvement; warnings (see
-    :func:`degeneration_warnings`); stop_now: counter >= patience or >= 2 warnings;
-    stopped: sticky once true. ``patience = 0`` disables everything but best tracking.
-    Rows after the first stop are flagged, not dropped. ``min_delta > 0`` makes "best" a true
-    recurrence; that case runs the per-run state function of the streaming monitor
-    (:mod:`judgelens.streaming.monitor_stream`) on the batch.
+    improved: loss < best - min_delta (strict; a NaN loss never improves), where best is the loss of
+    the last improvement; best_step / best_loss; counter: evaluations since the last improvement;
+    warnings (see :func:`degeneration_warnings`); stop_now: counter >= patience or >= 2 warnings;
+    stopped: sticky once true. ``patience = 0`` disables everything but best tracking. Rows after
+    the first stop are flagged, not dropped. Rows that repeat a step count as evaluations of their
+    own, in order of their loss and metrics. ``min_delta`` must not be negative.
     """
+    if not min_delta >= 0.0:
+        raise ValueError("min_delta must be at least 0")
     keys = list(keys or ["run_id"])
-    if min_delta != 0.0:
-        return _early_stop_recurrence(history, keys, step, loss, patience, min_delta, monitor_rank_corr,
-                                      monitor_entropy, monitor_variance, entropy_threshold,
-                                      variance_threshold, tau, entropy, variance)
-    x = _monitor_base(history, keys, step, loss)
+    x = history.select(*keys, step, loss, _present(loss).alias("_loss"), F.lit(1.0).alias("_one"),
+                       _present(tau).alias("_tau"), _present(entropy).alias("_ent"), _present(variance).alias("_var"))
     small = all_keys_small(history, keys)
-    # Pass 1: row number, best loss before / up to each row, and the metric histories.
-    hist_sel, hist_specs = ([], []) if small else _history_columns({"tau": tau, "ent": entropy, "var": variance})
-    specs = [Running("_rn", "sum", "_one"), Running("_best_before", "min", "_loss", inclusive=False),
-             Running("best_loss", "min", "_loss")] + hist_specs
+    # Pass 1: row number, best loss before each row, and how many values of each metric came so far.
+    x = x.select("*", *[F.col("_" + m).isNotNull().cast("double").alias("_n_" + m) for m in _METRICS])
+    specs = [Running("_rn", "sum", "_one"), Running("_best_before", "min", "_loss", inclusive=False)]
+    x = running(x, keys, [step, "_loss", *["_" + m for m in _METRICS]],
+                specs + [Running("_n_" + m, "sum", "_n_" + m) for m in _METRICS], small=small)
     # Materialised: read by the warnings, the second pass and the stop summary.
-    x = cut_lineage(running(x.select("*", *hist_sel), keys, [step], specs, small=small))
-    improved = F.col("_loss").isNotNull() & (F.col("_best_before").isNull() | (F.col("_loss") < F.col("_best_before")))
-    x = (x.withColumn("improved", improved)
-         .withColumn("_imp_rn", F.when(F.col("improved"), F.col("_rn")))
-         .withColumn("_imp_step", F.when(F.col("improved"), F.col(step).cast("double"))))
-    warn = _warnings(x, keys, step, tau, entropy, variance, entropy_threshold, variance_threshold,
-                     monitor_rank_corr, monitor_entropy, monitor_variance, small, rows=None if small else x)
-    # Pass 2: the last improving row (needs pass 1's "improved").
-    x = running(x, keys, [step], [Running("_last_imp_rn", "max", "_imp_rn"),
-                                  Running("_best_step", "max", "_imp_step")], small=small)
-    x = join_on(x, warn, [*keys, step], "left")
+    x = cut_lineage(x)
+    lower = F.col("_loss").isNotNull() & (F.col("_best_before").isNull() | (F.col("_loss") < F.col("_best_before")))
+    if min_delta == 0.0:
+        x = x.withColumn("improved", lower)
+    else:
+        better = _improvements(x.filter(lower), keys, min_delta).withColumn("improved", F.lit(True))
+        x = join_on(x, better, [*keys, "_rn"], "left").withColumn("improved", F.coalesce("improved", F.lit(False)))
+    x = _with_warnings(x, keys, "_rn", entropy_threshold, variance_threshold,
+                       (monitor_rank_corr, monitor_entropy, monitor_variance), small)
+    # Pass 2: the last improving row (needs "improved"); losses fall and steps rise with each one.
+    x = x.withColumns({c: F.when(F.col("improved"), F.col(v).cast("double"))
+                       for c, v in (("_imp_rn", "_rn"), ("_imp_step", step), ("_imp_loss", "_loss"))})
+    x = running(x, keys, ["_rn"], [Running("_last_imp_rn", "max", "_imp_rn"), Running("_best_step", "max", "_imp_step"),
+                                   Running("best_loss", "min", "_imp_loss")], small=small)
     counter = (F.col("_rn") - F.coalesce(F.col("_last_imp_rn"), F.lit(0.0))).cast("bigint")
     x = x.withColumn("counter", counter)
     stop_now = F.lit(False) if patience == 0 else (
         (F.col("counter") >= F.lit(patience)) | (F.col("n_warnings") >= 2))
     x = x.withColumn("stop_now", stop_now)
-    first = x.filter("stop_now").groupBy(*keys).agg(F.min(step).alias("first_stop_step"))
+    first = x.filter("stop_now").groupBy(*keys).agg(F.min(step).alias("first_stop_step"),
+                                                    F.min("_rn").alias("_stop_rn"))
     x = join_on(x, first, keys, "left")
     return x.select(
         *keys, step, loss, "improved",
         F.coalesce(F.col("_best_step"), F.lit(0.0)).cast("bigint").alias("best_step"),
         "best_loss", "counter", "stop_now",
-        F.coalesce(F.col(step) >= F.col("first_stop_step"), F.lit(False)).alias("stopped"),
+        F.coalesce(F.col("_rn") >= F.col("_stop_rn"), F.lit(False)).alias("stopped"),
         "first_stop_step")
 
 
-def _early_stop_recurrence(history, keys, step, loss, patience, min_delta, rank_on, ent_on, var_on,
-                           entropy_threshold, variance_threshold, tau, entropy, variance) -> DataFrame:
-    """With ``min_delta > 0`` "best" only moves on improvement, a sequential recurrence per run
-    (its steps do not compose into a running aggregate). It runs as the per-run state function
-    of the streaming monitor, applied per run to the batch (``applyInPandas``)."""
-    from ..streaming.monitor_stream import monitor_batch
-
-    if keys != ["run_id"]:
-        raise ValueError("the recurrence form is keyed by run_id")
-    cols = history.select("run_id", step, loss, tau, entropy, variance).toDF(
-        "run_id", "step", "val_loss", "kendall_tau", "score_entropy", "mean_self_consistency_var")
-    out = cut_lineage(monitor_batch(cols, patience=patience, min_delta=min_delta,
-                                     entropy_threshold=entropy_threshold, variance_threshold=variance_threshold,
-                                     monitor_rank_corr=rank_on, monitor_entropy=ent_on, monitor_variance=var_on))
-    first = out.filter("stop_now").groupBy("run_id").agg(F.min("step").alias("first_stop_step"))
-    return out.join(first, "run_id", "left").select(
-        "run_id", F.col("step").alias(step), F.col("val_loss").alias(loss), "improved", "best_step",
-        "best_loss", "counter", "stop_now", "stopped", "first_stop_step")
-
-
-def _history_columns(cols: dict[str, str]):
-    """Select expressions and running specs for metric histories: per row, how many non-null
-    values of each metric were seen so far and their running sum."""
-    sel, specs = [], []
-    for name, col in cols.items():
-        # A missing metric (NULL or NaN) does not enter its history.
-        v = F.when(F.isnan(F.col(col)), F.lit(None).cast("double")).otherwise(F.col(col).cast("double"))
-        sel += [v.alias(f"_x_{name}"), v.isNotNull().cast("double").alias(f"_c_{name}"),
-                F.coalesce(v, F.lit(0.0)).alias(f"_v_{name}")]
-        specs += [Running(f"_c_{name}", "sum", f"_c_{name}"), Running(f"_s_{name}", "sum", f"_v_{name}")]
-    return sel, specs
-
-
-def _history_tables(y: DataFrame, keys: list[str], cols: dict[str, str]) -> dict[str, DataFrame]:
-    """Per metric, a table from (key, count) to the running sum and the value at that count."""
-    return {name: y.filter(F.col(f"_x_{name}").isNotNull()).select(
-        *keys, F.col(f"_c_{name}").alias("_idx"), F.col(f"_s_{name}").alias("_sum"),
-        F.col(f"_x_{name}").alias("_val")) for name in cols}
-
-
-def _histories(x: DataFrame, keys: list[str], step: str, cols: dict[str, str], small: bool):
-    sel, specs = _history_columns(cols)
-    y = running(x.select(*keys, step, *sel), keys, [step], specs, small=small)
-    return y, _history_tables(y, keys, cols)
-
-
-def _at(rows: DataFrame, table: DataFrame, keys: list[str], idx_col, prefix: str) -> DataFrame:
-    t = table.select(*keys, F.col("_idx").alias(prefix + "idx"), F.col("_sum").alias(prefix + "sum"),
-                     F.col("_val").alias(prefix + "val"))
-    return join_on(rows.withColumn(prefix + "idx", idx_col), t, [*keys, prefix + "idx"], "left")
-
-
-def _flags(rank, ent, var, rank_on: bool, ent_on: bool, var_on: bool):
-    rank = rank if rank_on else F.lit(False)
-    ent = ent if ent_on else F.lit(False)
-    var = var if var_on else F.lit(False)
-    return [F.coalesce(rank, F.lit(False)).alias("rank_decline"),
-            F.coalesce(ent, F.lit(False)).alias("entropy_collapse"),
-            F.coalesce(var, F.lit(False)).alias("variance_increase")]
-
-
-def _with_count(out: DataFrame) -> DataFrame:
-    n = (F.col("rank_decline").cast("int") + F.col("entropy_collapse").cast("int")
-         + F.col("variance_increase").cast("int"))
-    return out.withColumn("n_warnings", n.cast("bigint"))
-
-
-def _warnings_window(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str, variance: str,
-                     entropy_threshold: float, variance_threshold: float, rank_on: bool, ent_on: bool,
-                     var_on: bool) -> DataFrame:
-    """Runs that fit one task (checked): windows over each run, no lookups."""
-    clean = lambda c: F.when(F.isnan(F.col(c)), F.lit(None).cast("double")).otherwise(F.col(c).cast("double"))
-    y = x.select(*keys, step, clean(tau).alias("_t"), clean(entropy).alias("_e"), clean(variance).alias("_v"))
-    run = Window.partitionBy(*keys).orderBy(step)
-    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Means over the non-null tau history: the last 3 and the 3 before, computed on the tau rows
-    # and carried forward to the rows without a tau.
-    t = y.filter(F.col("_t").isNotNull())
-    t = t.select(*keys, step, F.count(F.lit(1)).over(upto).alias("_ct"),
-                 F.avg("_t").over(run.rowsBetween(-2, 0)).alias("_r3"),
-                 F.avg("_t").over(run.rowsBetween(-5, -3)).alias("_e3"))
-    y = join_on(y, t, [*keys, step], "left")
-    y = y.select(*keys, step,
-                 F.last("_ct", ignorenulls=True).over(upto).alias("_ct"),
-                 F.last("_r3", ignorenulls=True).over(upto).alias("_r3"),
-                 F.last("_e3", ignorenulls=True).over(upto).alias("_e3"),
-                 F.count("_e").over(upto).alias("_ce"), F.last("_e", ignorenulls=True).over(upto).alias("_le"),
-                 F.count("_v").over(upto).alias("_cv"), F.last("_v", ignorenulls=True).over(upto).alias("_lv"))
-    rank = (F.col("_ct") > 5) & (F.col("_r3") < F.col("_e3") - F.lit(0.05))
-    ent = (F.col("_ce") >= 2) & (F.col("_le") < F.lit(entropy_threshold))
-    var = (F.col("_cv") >= 2) & (F.col("_lv") > F.lit(variance_threshold))
-    return _with_count(y.select(*keys, step, *_flags(rank, ent, var, rank_on, ent_on, var_on)))
-
-
-def _warnings(x: DataFrame, keys: list[str], step: str, tau: str, entropy: str, variance: str,
-              entropy_threshold: float, variance_threshold: float, rank_on: bool, ent_on: bool,
-              var_on: bool, small: bool, rows: DataFrame | None = None) -> DataFrame:
-    """Warning flags per row; ``rows`` may already carry the running history columns."""
+def _improvements(lower: DataFrame, keys: list[str], min_delta: float) -> DataFrame:
+    """The rows among each run's strict running minima (``lower``) that beat the last improvement by
+    more than ``min_delta``: (keys, _rn).
+
+    Each improvement is such a minimum, so only those rows are shuffled, sorted by run and row
+    number and folded in a stream of Arrow batches that remembers one loss. Losses fall within a run,
+    so the next improvement is found by binary search. Keys pass through as they are.
+    """
+    rows = (lower.select(*keys, "_rn", "_loss", F.col("_best_before").isNull().alias("_starts"))
+            .repartition(*keys).sortWithinPartitions(*keys, "_rn"))
+
+    def fold(batches):
+        best = math.inf
+        for batch in batches:
+            loss = batch.column("_loss").to_numpy()
+            starts = np.flatnonzero(batch.column("_starts").to_numpy(zero_copy_only=False))
+            taken = []
+            for k, (a, b) in enumerate(zip([0, *starts], [*starts, len(loss)])):
+                if k:
+                    best = math.inf
+                falling = -loss[a:b]
+                at = int(np.searchsorted(falling, min_delta - best, side="right"))
+                while at < b - a:
+                    taken.append(a + at)
+                    best = float(loss[a + at])
+                    at = int(np.searchsorted(falling, min_delta - best, side="right"))
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    return rows.mapInArrow(fold, rows.schema).select(*keys, "_rn")
+
+
+_METRICS = ("tau", "ent", "var")
+
+
+def _mean3(a: Column, b: Column, c: Column) -> Column:
+    """Mean of three in this order of addition, so that every form compares the same doubles."""
+    return (a + b + c) / F.lit(3.0)
+
+
+def _with_warnings(x: DataFrame, keys: list[str], order: str, entropy_threshold: float, variance_threshold: float,
+                   on: tuple[bool, bool, bool], small: bool) -> DataFrame:
+    """``x`` with the three warning flags and their count. It holds the cleaned metrics ``_tau``,
+    ``_ent``, ``_var`` and the numbers of values so far ``_n_*``; ``order`` is unique within keys."""
     if small:
-        return _warnings_window(x, keys, step, tau, entropy, variance, entropy_threshold,
-                                variance_threshold, rank_on, ent_on, var_on)
-    cols = {"tau": tau, "ent": entropy, "var": variance}
-    if rows is None:
-        rows, t = _histories(x, keys, step, cols, small)
+        # Runs that fit one task (checked): all windows of a run share one shuffle on the keys.
+        run = Window.partitionBy(*keys).orderBy(order)
+        of_kind = Window.partitionBy(*keys, F.col("_tau").isNull()).orderBy(order)
+        lags = [F.lag("_tau", i).over(of_kind) for i in range(6)]
+        x = x.repartition(*keys).withColumn("_means", F.when(F.col("_tau").isNotNull(), F.struct(
+            _mean3(lags[2], lags[1], lags[0]).alias("recent"), _mean3(lags[5], lags[4], lags[3]).alias("earlier"))))
+        upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        x = x.withColumns({f"_at_{c}": F.last(c, ignorenulls=True).over(upto) for c in ("_means", "_ent", "_var")})
+        recent, earlier = F.col("_at__means")["recent"], F.col("_at__means")["earlier"]
     else:
-        t = _history_tables(rows, keys, cols)
-    rows = rows.select(*keys, step, *[f"_{p}_{n}" for n in cols for p in ("c", "s")])
-    t_tau, t_ent, t_var = t["tau"], t["ent"], t["var"]
-    c = F.col("_c_tau")
-    rows = _at(rows, t_tau, keys, c - 3, "_m3")
-    rows = _at(rows, t_tau, keys, c - 6, "_m6")
-    s3 = F.when(c - 3 == 0, F.lit(0.0)).otherwise(F.col("_m3sum"))
-    s6 = F.when(c - 6 == 0, F.lit(0.0)).otherwise(F.col("_m6sum"))
-    recent = (F.col("_s_tau") - s3) / F.lit(3.0)
-    earlier = (s3 - s6) / F.lit(3.0)
-    rank = (c > 5) & (recent < earlier - F.lit(0.05))
-    rows = _at(rows, t_ent, keys, F.col("_c_ent"), "_e")
-    rows = _at(rows, t_var, keys, F.col("_c_var"), "_v")
-    ent = (F.col("_c_ent") >= 2) & (F.col("_eval") < F.lit(entropy_threshold))
-    var = (F.col("_c_var") >= 2) & (F.col("_vval") > F.lit(variance_threshold))
-    return _with_count(rows.select(*keys, step, *_flags(rank, ent, var, rank_on, ent_on, var_on)))
+        # A run over many tasks: what stands at a number of values is an equi-join on that number.
+        # A tau takes part in the means at its own number and the five after it.
+        n, at = F.col("_n_tau"), F.explode(F.sequence(F.lit(0), F.lit(5)))
+        near = x.filter(F.col("_tau").isNotNull()).select(*keys, n, "_tau", at.alias("_back"))
+        back = [F.max(F.when(F.col("_back") == i, F.col("_tau"))) for i in range(6)]
+        means = near.groupBy(*keys, (n + F.col("_back")).alias("_n_tau")).agg(
+            _mean3(back[2], back[1], back[0]).alias("_recent"), _mean3(back[5], back[4], back[3]).alias("_earlier"))
+        x = join_on(x, means, [*keys, "_n_tau"], "left")
+        for m in ("ent", "var"):
+            seen = x.filter(F.col("_" + m).isNotNull()).select(*keys, "_n_" + m, F.col("_" + m).alias("_at__" + m))
+            x = join_on(x, seen, [*keys, "_n_" + m], "left")
+        recent, earlier = F.col("_recent"), F.col("_earlier")
+    flags = {"rank_decline": (F.col("_n_tau") > 5) & (recent < earlier - F.lit(0.05)),
+             "entropy_collapse": (F.col("_n_ent") >= 2) & (F.col("_at__ent") < F.lit(entropy_threshold)),
+             "variance_increase": (F.col("_n_var") >= 2) & (F.col("_at__var") > F.lit(variance_threshold))}
+    x = x.withColumns({f: F.coalesce(c, F.lit(False)) if use else F.lit(False)
+                       for (f, c), use in zip(flags.items(), on)})
+    return x.withColumn("n_warnings", sum((F.col(f).cast("bigint") for f in flags), F.lit(0).cast("bigint")))
 
 
 def degeneration_warnings(history: DataFrame, keys: list[str] | None = None, step: str = "step",
@@ -208,11 +166,18 @@ def degeneration_warnings(history: DataFrame, keys: list[str] | None = None, ste
     """Per evaluation: rank-correlation decline (more than 5 taus seen and the mean of the last 3
     below the mean of the 3 before minus 0.05), entropy collapse (at least 2 entropies and the
     last below 0.5), variance increase (at least 2 variances and the last above 0.1). Missing
-    metrics do not enter their history."""
+    metrics do not enter their history. Rows that repeat a step are evaluations of their own."""
     keys = list(keys or ["run_id"])
     small = all_keys_small(history, keys)
-    return _warnings(history, keys, step, tau, entropy, variance, entropy_threshold,
-                     variance_threshold, True, True, True, small)
+    x = history.select(*keys, step, F.lit(1.0).alias("_one"), _present(tau).alias("_tau"),
+                       _present(entropy).alias("_ent"), _present(variance).alias("_var"))
+    x = x.select("*", *[F.col("_" + m).isNotNull().cast("double").alias("_n_" + m) for m in _METRICS])
+    x = running(x, keys, [step, *["_" + m for m in _METRICS]],
+                [Running("_rn", "sum", "_one"), *[Running("_n_" + m, "sum", "_n_" + m) for m in _METRICS]], small=small)
+    if not small:
+        x = cut_lineage(x)  # read once per metric and for the rows
+    x = _with_warnings(x, keys, "_rn", entropy_threshold, variance_threshold, (True, True, True), small)
+    return x.select(*keys, step, "rank_decline", "entropy_collapse", "variance_increase", "n_warnings")
 
 
 def best_checkpoint(history: DataFrame, keys: list[str] | None = None, step: str = "step",

@@ -2,32 +2,33 @@
 
 ``Window.partitionBy(key)`` sends every row of a key to one task, which breaks when one run,
 group or stratum holds a third of the data. Here the rows are range-partitioned on
-``(keys, order)`` (Spark samples the bounds, so a hot key is cut into many partitions and tiny
-keys are packed together), each partition computes its running values locally in one sorted
-pass, and values are carried across partition boundaries through a table with one row per
-partition (its first key and its last key). That table is bounded by the partition count, so
-broadcasting it is safe. Keys small enough for one task (checked per key) keep the plain
-window, which is one sort-based stage.
+``(keys, order)`` (Spark samples the bounds, so a hot key is cut into many slices and tiny keys
+are packed together) and written to the checkpoint folder with their partition number. Running
+values come from a window within each slice, and what a slice takes over from the slices before
+it is a running aggregate over the per-slice totals: only the first key of a partition can
+continue, so that table has at most one row per partition and its broadcast is bounded.
+
+Everything is a DataFrame expression: types, NULL, NaN and wide integers pass through untouched,
+and both forms fold with the same Spark aggregates. Keys that all fit one task (checked) keep
+the plain window, which is one sort-based stage.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-_FNS = ("sum", "min", "max")
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 @dataclass(frozen=True)
 class Running:
-    """One running aggregate: ``out = fn(column) over rows before (and, if inclusive, at) this row``."""
+    """One running aggregate: ``out = fn(column) over rows before (and, if inclusive, at) this row``.
+    Values are doubles; a sum over nothing is 0, a minimum or maximum over nothing is NULL."""
 
     out: str
     fn: str
@@ -35,214 +36,81 @@ class Running:
     inclusive: bool = True
 
     def __post_init__(self):
-        if self.fn not in _FNS:
-            raise ValueError(f"fn must be one of {_FNS}, got {self.fn!r}")
+        if self.fn not in _AGG:
+            raise ValueError(f"fn must be one of {tuple(_AGG)}, got {self.fn!r}")
 
+    def over(self, window) -> Column:
+        rows = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if self.inclusive else -1)
+        return _AGG[self.fn](F.col(self.column).cast("double")).over(rows)
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def total(self) -> Column:
+        return _AGG[self.fn](F.col(self.column).cast("double"))
 
-
-def _cum(values: pd.Series, gid: pd.Series, fn: str) -> pd.Series:
-    g = values.groupby(gid, sort=False)
-    if fn == "sum":
-        return g.cumsum()
-    if fn == "min":
-        return g.cummin()
-    return g.cummax()
-
-
-def _combine(a, b, fn: str):
-    """Combine two running values; NaN means 'nothing seen yet'."""
-    if fn == "sum":
-        return np.nan_to_num(a, nan=0.0) + np.nan_to_num(b, nan=0.0)
-    if fn == "min":
-        return np.fmin(a, b)
-    return np.fmax(a, b)
-
-
-def _local_pass(keys: list[str], specs: list[Running]):
-    """Per-partition sorted pass: running values within each key, carried across Arrow batches."""
-
-    def run(batches):
-        carry_key = None          # key tuple of the last row seen in this partition
-        carry = {}                # inclusive running value per spec for carry_key
-        held = None               # previous output batch, held back to flag the partition's last row
-        first = True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            n = len(pdf)
-            if keys:
-                codes = pdf.groupby(keys, sort=False, dropna=False).ngroup()
-                gid = (codes != codes.shift()).cumsum()
-                head_key = tuple(pdf.loc[0, k] for k in keys)
-                tail_key = tuple(pdf.loc[n - 1, k] for k in keys)
-            else:
-                gid = pd.Series(np.ones(n, dtype=np.int64))
-                head_key = tail_key = ()
-            continues = carry_key is not None and _same_key(head_key, carry_key)
-            in_first_group = (gid == gid.iloc[0]).to_numpy()
-            out = pdf.copy()
-            new_carry = {}
-            for s in specs:
-                vals = pd.to_numeric(pdf[s.column], errors="coerce").astype("float64")
-                inc = _cum(vals.fillna(0.0) if s.fn == "sum" else vals, gid, s.fn).to_numpy(copy=True)
-                if s.fn != "sum":
-                    # cummin/cummax leave NaN where nothing was seen yet; forward fill within the group
-                    inc = pd.Series(inc).groupby(gid.to_numpy(), sort=False).ffill().to_numpy(copy=True)
-                if continues:
-                    prev = carry[s.out]
-                    inc[in_first_group] = _combine(inc[in_first_group], prev, s.fn)
-                if s.inclusive:
-                    res = inc
-                else:
-                    res = pd.Series(inc).groupby(gid.to_numpy(), sort=False).shift(1).to_numpy(copy=True)
-                    first_rows = (gid != gid.shift()).to_numpy()
-                    empty = 0.0 if s.fn == "sum" else np.nan
-                    res[first_rows] = empty
-                    if continues:
-                        res[0] = carry[s.out]
-                    if s.fn == "sum":
-                        res = np.nan_to_num(res, nan=0.0)
-                out["_o_" + s.out] = res
-                out["_tail_" + s.out] = inc
-                new_carry[s.out] = inc[-1]
-            out["_first"] = False
-            out["_last"] = False
-            if first:
-                out.loc[0, "_first"] = True
-                first = False
-            carry_key, carry = tail_key, new_carry
-            if held is not None:
-                yield held
-            held = out
-        if held is not None:
-            held.loc[len(held) - 1, "_last"] = True
-            yield held
-
-    return run
-
-
-def _same_key(a: tuple, b: tuple) -> bool:
-    for x, y in zip(a, b):
-        if pd.isna(x) and pd.isna(y):
-            continue
-        if pd.isna(x) or pd.isna(y) or x != y:
-            return False
-    return True
+    def joined(self, carried: Column, local: Column) -> Column:
+        """The value over earlier slices and the value within this one, as one value."""
+        if self.fn == "sum":
+            return F.coalesce(carried, F.lit(0.0)) + F.coalesce(local, F.lit(0.0))
+        return (F.least if self.fn == "min" else F.greatest)(carried, local)
 
 
 def max_key_rows(spark) -> int:
-    """Largest key that may be handled by one window task (rows)."""
+    """Largest key that may be handled by one window task (rows). It chooses a plan, never a result."""
     return int(spark.conf.get("judgelens.maxKeyRows", "250000"))
 
 
-def _null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]):
-    r = right.select(*[F.col(k).alias("_k_" + k) for k in keys])
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col("_k_" + k))
-        cond = c if cond is None else cond & c
-    return r, cond
-
-
 def running(df: DataFrame, keys: list[str], order: list[str], specs: list[Running],
             partitions: int | None = None, key_rows: int | None = None,
             small: bool | None = None) -> DataFrame:
     """Add one column per spec holding the running aggregate within ``keys`` in ``order``.
 
-    Keys with at most ``key_rows`` rows use a plain window, one task per key; larger keys take
-    the range-partitioned path, which spreads one key over many tasks. Whether any key is
-    that large is checked first with one small aggregate job (it returns at most one row);
-    callers that already checked a bound on every key pass ``small=True`` / ``False``.
-    Rows that tie on ``(keys, order)`` are taken in an arbitrary but fixed order, so callers
-    make the order unique (or aggregate ties first, as :func:`prefix_before` does).
+    When every key has at most ``key_rows`` rows a plain window is used, one task per key;
+    otherwise the range-partitioned form, which spreads one key over many tasks. The check is one
+    small aggregate job; callers that already checked a bound on every key pass ``small=True`` /
+    ``False``. Rows that tie on ``(keys, order)`` are taken in an arbitrary but fixed order, so
+    callers make the order unique (or aggregate ties first, as :func:`prefix_before` does).
     """
-    limit = key_rows or max_key_rows(df.sparkSession)
-    if not keys:
-        out = running(df.withColumn("_all_", F.lit(0)), ["_all_"], order, specs, partitions, limit, small)
-        return out.drop("_all_")
-    if small:
-        return _running_window(df, keys, order, specs)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > F.lit(limit)).select(*keys)
-    if small is None and hot.isEmpty():
-        # Every key fits one task: the plain window is the cheapest exact plan.
-        return _running_window(df, keys, order, specs)
-    r, cond = _null_safe_keys(df, hot, keys)
-    cold_rows = df.join(r, cond, "left_anti")
-    hot_rows = df.join(r, cond, "left_semi")
-    out = _running_window(cold_rows, keys, order, specs).unionByName(
-        _running_ranged(hot_rows, keys, order, specs, partitions))
-    return cut_lineage(out)
+    if small is None:
+        small = all_keys_small(df, keys, key_rows)
+    return (_running_window if small else _running_ranged)(df, keys, order, specs, partitions)
+
 
+def _kept(df: DataFrame, specs: list[Running]) -> list[str]:
+    return [c for c in df.columns if c not in {s.out for s in specs}]
 
-def _running_window(df: DataFrame, keys: list[str], order: list[str], specs: list[Running]) -> DataFrame:
+
+def _running_window(df: DataFrame, keys: list[str], order: list[str], specs: list[Running],
+                    partitions: int | None = None) -> DataFrame:
     base = Window.partitionBy(*keys).orderBy(*order)
-    agg = {"sum": F.sum, "min": F.min, "max": F.max}
-    cols = []
-    for s in specs:
-        w = base.rowsBetween(Window.unboundedPreceding, Window.currentRow if s.inclusive else -1)
-        v = agg[s.fn](F.col(s.column).cast("double")).over(w)
-        cols.append((F.coalesce(v, F.lit(0.0)) if s.fn == "sum" else v).alias(s.out))
-    keep = [c for c in df.columns if c not in {s.out for s in specs}]
-    return df.select(*keep, *cols)
+    return df.select(*_kept(df, specs), *[
+        (F.coalesce(s.over(base), F.lit(0.0)) if s.fn == "sum" else s.over(base)).alias(s.out) for s in specs])
 
 
 def _running_ranged(df: DataFrame, keys: list[str], order: list[str], specs: list[Running],
                     partitions: int | None = None) -> DataFrame:
-    n = _partitions(df, partitions)
-    ranged = (df.repartitionByRange(n, *keys, *order)
-              .sortWithinPartitions(*keys, *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    extra = []
-    for s in specs:
-        extra += [T.StructField("_o_" + s.out, T.DoubleType()), T.StructField("_tail_" + s.out, T.DoubleType())]
-    schema = T.StructType(ranged.schema.fields + extra + [
-        T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
-    # Checkpointed (reliably, into spark.checkpoint.dir): the carry table and the rows then read
-    # one materialisation with one set of range bounds, a lost executor recomputes nothing
-    # upstream, and later plans start from this scan instead of repeating the lineage.
-    local = cut_lineage(ranged.mapInPandas(_local_pass(keys, specs), schema))
-
-    # Carry table: one head row and one tail row per partition, so its size is bounded by n.
-    tails = local.filter("_last").select("_pid", *keys, F.lit(1).alias("_kind"),
-                                         *[F.col("_tail_" + s.out).alias(s.out) for s in specs])
-    heads = local.filter("_first").select("_pid", *keys, F.lit(0).alias("_kind"),
-                                          *[F.lit(None).cast("double").alias(s.out) for s in specs])
-    w = Window.partitionBy(*keys).orderBy("_pid", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    agg = {"sum": F.sum, "min": F.min, "max": F.max}
-    carried = (tails.unionByName(heads)
-               .select("_pid", "_kind", *keys,
-                       *[agg[s.fn](s.out).over(w).alias("_carry_" + s.out) for s in specs])
-               .filter("_kind = 0").drop("_kind"))
-    c = carried.select(*[F.col(x).alias("_c" + x) for x in carried.columns])
-    cond = F.col("_pid") == F.col("_c_pid")
+    n = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Checkpointed (reliably, into spark.checkpoint.dir): the slices and their totals then come from
+    # one set of range bounds, and a lost executor recomputes nothing upstream.
+    sliced = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    totals = sliced.groupBy("_pid", *keys).agg(*[s.total().alias("_t_" + s.out) for s in specs],
+                                               F.lit(True).alias("_slice"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        F.col("_pid").alias("_c_pid"), *[F.col(k).alias("_ck_" + k) for k in keys],
+        *[_AGG[s.fn]("_t_" + s.out).over(before).alias("_c_" + s.out) for s in specs],
+        F.max("_slice").over(before).alias("_continues")).filter("_continues").drop("_continues")
+    same = F.col("_pid") == F.col("_c_pid")
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col("_c" + k))
-    joined = local.join(F.broadcast(c), on=cond, how="left")
-    cols = []
-    for s in specs:
-        c, v = F.col("_c_carry_" + s.out), F.col("_o_" + s.out)
-        if s.fn == "sum":
-            cols.append((v + F.coalesce(c, F.lit(0.0))).alias(s.out))
-        elif s.fn == "min":
-            cols.append(F.least(v, c).alias(s.out))
-        else:
-            cols.append(F.greatest(v, c).alias(s.out))
-    keep = [c for c in df.columns if c not in {s.out for s in specs}]
-    return joined.select(*keep, *cols)
+        same = same & F.col(k).eqNullSafe(F.col("_ck_" + k))
+    within = Window.partitionBy("_pid", *keys).orderBy(*order)
+    local = sliced.select(*_kept(sliced, specs), *[s.over(within).alias("_l_" + s.out) for s in specs])
+    return local.join(F.broadcast(carried), same, "left").select(
+        *_kept(df, specs), *[s.joined(F.col("_c_" + s.out), F.col("_l_" + s.out)).alias(s.out) for s in specs])
 
 
 def all_keys_small(df: DataFrame, keys: list[str], key_rows: int | None = None) -> bool:
     """True when no key of ``df`` has more rows than one window task may take."""
     limit = key_rows or max_key_rows(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if keys else \
-        df.agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     return sizes.filter(F.col("_rows") > F.lit(limit)).isEmpty()
 
 

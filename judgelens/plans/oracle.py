@@ -566,8 +566,8 @@ WHERE h.step % 5 = 0 OR h.step = m.last""")
 _W = "PARTITION BY run_id ORDER BY step"
 WARN = [
     ("wt", f"""SELECT run_id, step, row_number() OVER ({_W}) AS ci,
-  avg(kendall_tau) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r3,
-  avg(kendall_tau) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS e3
+  (lag(kendall_tau, 2) OVER ({_W}) + lag(kendall_tau, 1) OVER ({_W}) + kendall_tau) / 3e0 AS r3,
+  (lag(kendall_tau, 5) OVER ({_W}) + lag(kendall_tau, 4) OVER ({_W}) + lag(kendall_tau, 3) OVER ({_W})) / 3e0 AS e3
 FROM eval_history WHERE kendall_tau IS NOT NULL"""),
     ("wv", f"""SELECT run_id, step,
   count(score_entropy) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS ce,

@@ -4,8 +4,7 @@ State per run is bounded (best loss and step, counter, the last six rank correla
 entropy / variance and their counts, the sticky stop flag, the last step seen), kept in
 Spark's state store via ``applyInPandasWithState``. Each evaluation row yields one decision
 row. Rows whose step is not after the last processed step of their run are dropped and counted
-(``dropped_out_of_order`` in the state), since the rules assume evaluations in order. Unlike
-the batch form this also handles ``min_delta > 0``, where "best" is a recurrence.
+(``dropped`` in the state), since the rules assume evaluations in order.
 """
 
 from __future__ import annotations
@@ -75,9 +74,8 @@ def advance(key, pdf: pd.DataFrame, state: tuple, patience: int = 5, min_delta:
             if _present(row.mean_self_consistency_var):
                 n_var, last_var = n_var + 1, float(row.mean_self_consistency_var)
             if monitor_rank_corr and n_tau > 5:
-                recent = sum(taus[-3:]) / 3.0
-                earlier = sum(taus[-6:-3]) / 3.0
-                rank = recent < earlier - 0.05
+                a, b, c, d, e, f = taus
+                rank = (d + e + f) / 3.0 < (a + b + c) / 3.0 - 0.05
             ent = monitor_entropy and n_ent >= 2 and last_ent < entropy_threshold
             var = monitor_variance and n_var >= 2 and last_var > variance_threshold
             stop_now = counter >= patience or (rank + ent + var) >= 2
@@ -109,16 +107,3 @@ def monitor_stream(evals: DataFrame, **params) -> DataFrame:
                         "mean_self_consistency_var")
     return cols.groupBy("run_id").applyInPandasWithState(
         monitor_function(**params), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def monitor_batch(evals: DataFrame, **params) -> DataFrame:
-    """The same rules over a batch of evaluation rows: each run starts from a fresh state.
-    The recurrence is sequential per run, so one run's rows are processed together."""
-    cols = evals.select("run_id", "step", "val_loss", "kendall_tau", "score_entropy",
-                        "mean_self_consistency_var")
-
-    def per_run(key, pdf):
-        rows, _ = advance(key, pdf, FRESH_STATE, **params)
-        return rows
-
-    return cols.groupBy("run_id").applyInPandas(per_run, OUTPUT_SCHEMA)
