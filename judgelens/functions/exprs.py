@@ -39,15 +39,15 @@ STRENGTH_LARGE = "大幅度"
 STRENGTH_MODERATE = "适度"
 STRENGTH_SLIGHT = "轻微"
 # Sample formatting (one line pair per sample; category placeholder when empty).
-SAMPLE_FORMAT = "  样本%d: %s\n    人工评分: %.1f, AI评分: %.1f, 误差: %+.1f\n"
+SAMPLE_FORMAT = "  样本%d: %s\n    人工评分: %s, AI评分: %s, 误差: %s\n"  # scores with 1 decimal, the error signed
 EMPTY_CATEGORY_FORMAT = "  （无%s样本）\n"
 CATEGORY_LABELS = {"overestimated": "高估", "underestimated": "低估", "well_aligned": "对齐"}
 # Version-log message lines (values with 4 decimals; metric lines indented by two spaces).
 VERSION_TITLE = "Step %d: Prompt optimization update"
-VERSION_TRAIN_LOSS = "Train Loss: %.4f"
-VERSION_VAL_LOSS = "Val Loss: %.4f"
+VERSION_TRAIN_LOSS = "Train Loss: %s"
+VERSION_VAL_LOSS = "Val Loss: %s"
 VERSION_METRICS = "Metrics:"
-VERSION_METRIC_LINE = "  %s: %.4f"
+VERSION_METRIC_LINE = "  %s: %s"
 VERSION_SUMMARY = "Gradient Summary:"
 VERSION_RATIONALE = "Modification Rationale:"
 # ---------------------------------------------------------------------------------------------

@@ -14,22 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import huber
 from . import ranking
-from .keys import join_on
+from .keys import with_group_row
 
 LOSS_TYPES = ("pairwise", "kendall", "spearman")
 
 
-def _keyed(df: DataFrame, keys: list[str]):
-    """Global metrics (no keys) use one constant key so all joins stay equi-joins."""
-    if keys:
-        return df, list(keys), False
-    return df.withColumn("_all", F.lit(0)), ["_all"], True
-
-
-def _done(df: DataFrame, dropped: bool) -> DataFrame:
-    return df.drop("_all") if dropped else df
-
-
 def with_error_columns(df: DataFrame, human: str = "human_score", judge: str = "judge_score") -> DataFrame:
     """``error = judge - human`` and ``abs_error``."""
     e = F.col(judge) - F.col(human)
@@ -88,24 +77,23 @@ def score_entropy(df: DataFrame, keys: list[str], judge: str = "judge_score",
     Bin edges are ``lo + i * (hi - lo) / n_bins`` with the last bin closed, exactly as the
     usual histogram rule; a constant group gets the range [x - 0.5, x + 0.5]. n < 2 -> 0.0.
     """
-    src, keys, dropped = _keyed(df.filter(F.col(judge).isNotNull()), keys)
+    src = df.filter(F.col(judge).isNotNull() & ~F.isnan(F.col(judge).cast("double")))
     st = src.groupBy(*keys).agg(F.min(judge).alias("_mn"), F.max(judge).alias("_mx"),
                                 F.count(F.lit(1)).alias("n"))
     same = F.col("_mn") == F.col("_mx")
     st = (st.withColumn("_lo", F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")))
             .withColumn("_hi", F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx")))
             .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))))
-    x = join_on(src.select(*keys, judge), st.select(*keys, "_lo", "_step"), keys)
+    x = with_group_row(src.select(*keys, judge), st.select(*keys, "_lo", "_step"), keys)
     bin_ = reduce(lambda a, b: a + b, [
         (F.col(judge) >= F.lit(float(i)) * F.col("_step") + F.col("_lo")).cast("int")
         for i in range(1, n_bins)])
     counts = x.groupBy(*keys, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    p = join_on(counts, st.select(*keys, "n"), keys).withColumn("_p", F.col("_c") / F.col("n"))
-    ent = p.groupBy(*keys).agg(F.first("n").alias("n"),
+    p = with_group_row(counts, st.select(*keys, "n"), keys).withColumn("_p", F.col("_c") / F.col("n"))
+    ent = p.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"),
                                F.sum(-F.col("_p") * F.log(F.col("_p"))).alias("_e"))
-    out = ent.select(*keys, F.col("n").cast("bigint").alias("n"),
-                     F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("_e")).alias("score_entropy"))
-    return _done(out, dropped)
+    return ent.select(*keys, F.col("n").cast("bigint").alias("n"),
+                      F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("_e")).alias("score_entropy"))
 
 
 def rank_loss(df: DataFrame, keys: list[str], loss_type: str, human: str = "human_score",
@@ -126,14 +114,13 @@ def rank_loss(df: DataFrame, keys: list[str], loss_type: str, human: str = "huma
 def composite_loss(df: DataFrame, keys: list[str], loss_type: str = "pairwise", alpha: float = 1.0,
                    beta: float = 1.0, human: str = "human_score", judge: str = "judge_score") -> DataFrame:
     """``alpha * MAE + beta * rank loss`` with both components."""
-    src, k, dropped = _keyed(df, keys)
-    mae = src.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
-    rl = rank_loss(src, k, loss_type, human, judge).withColumnRenamed("rank_loss", "rank_loss_component")
-    out = join_on(mae, rl, k).select(
+    k = list(keys)
+    mae = df.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
+    rl = rank_loss(df, k, loss_type, human, judge).withColumnRenamed("rank_loss", "rank_loss_component")
+    return with_group_row(mae, rl, k, "left").select(
         *k, F.lit(loss_type).alias("loss_type"),
         (F.lit(alpha) * F.col("mae_component") + F.lit(beta) * F.col("rank_loss_component"))
         .alias("total_loss"), "mae_component", "rank_loss_component")
-    return _done(out, dropped)
 
 
 def evaluation_report(df: DataFrame, keys: list[str], loss_type: str = "pairwise",
@@ -143,18 +130,21 @@ def evaluation_report(df: DataFrame, keys: list[str], loss_type: str = "pairwise
 
     ``mean_self_consistency_var`` is NULL when no variance column is given.
     """
-    src, k, dropped = _keyed(df, keys)
+    k = list(keys)
     e = F.col(judge) - F.col(human)
-    base = src.groupBy(*k).agg(
+    base = df.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.stddev_pop(judge).alias("score_std"),
         (F.avg(variance) if variance else F.lit(None).cast("double")).alias("mean_self_consistency_var"))
-    rs = ranking.rank_statistics(src, k, human, judge).drop("n", "clear_pairs")
-    en = score_entropy(src, k, judge).select(*k, "score_entropy")
-    out = join_on(join_on(base, rs, k), en, k)
+    rs = ranking.rank_statistics(df, k, human, judge).drop("n", "clear_pairs")
+    en = score_entropy(df, k, judge).select(*k, "score_entropy")
+    out = with_group_row(with_group_row(base, rs, k, "left"), en, k, "left")
+    # A group without a scored pair keeps its row; with nothing to compare these are 0 by definition.
+    out = out.fillna(0.0, subset=["kendall_tau", "kendall_tau_loss", "spearman_rho", "spearman_loss",
+                                  "pairwise_loss", "score_entropy"])
     if loss_type == "pairwise":
         rank = F.col("pairwise_loss")
     elif loss_type == "kendall":
@@ -163,12 +153,11 @@ def evaluation_report(df: DataFrame, keys: list[str], loss_type: str = "pairwise
         rank = F.col("spearman_loss")
     else:
         raise ValueError(f"Unknown loss_type: {loss_type}")
-    out = out.select(
+    return out.select(
         *k, "n", "mae", "mse", "rmse", "kendall_tau", "spearman_rho", "score_entropy", "score_std",
         "mean_self_consistency_var", F.col("mae").alias("mae_component"),
         rank.alias("rank_loss_component"),
         (F.lit(alpha) * F.col("mae") + F.lit(beta) * rank).alias("total_loss"))
-    return _done(out, dropped)
 
 
 def split_summary(df: DataFrame, keys: list[str], score: str = "human_score") -> DataFrame:
@@ -181,18 +170,17 @@ def composite_loss_all(df: DataFrame, keys: list[str], alpha: float = 1.0, beta:
                        human: str = "human_score", judge: str = "judge_score") -> DataFrame:
     """The composite loss for every rank-loss type, one row per (group, loss_type), from one
     pass over the pairs and one rank pass."""
-    src, k, dropped = _keyed(df, keys)
-    mae = src.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
-    rs = ranking.rank_statistics(src, k, human, judge).select(*k, "pairwise_loss", "kendall_tau_loss",
+    k = list(keys)
+    mae = df.groupBy(*k).agg(F.avg(F.abs(F.col(judge) - F.col(human))).alias("mae_component"))
+    rs = ranking.rank_statistics(df, k, human, judge).select(*k, "pairwise_loss", "kendall_tau_loss",
                                                               "spearman_loss")
-    j = join_on(mae, rs, k)
+    j = with_group_row(mae, rs, k, "left").fillna(0.0, subset=["pairwise_loss", "kendall_tau_loss", "spearman_loss"])
     per_type = F.explode(F.array(*[
         F.struct(F.lit(t).alias("loss_type"), F.col(c).alias("rank_loss_component"))
         for t, c in (("pairwise", "pairwise_loss"), ("kendall", "kendall_tau_loss"),
                      ("spearman", "spearman_loss"))])).alias("_t")
-    out = j.select(*k, "mae_component", per_type).select(
+    return j.select(*k, "mae_component", per_type).select(
         *k, F.col("_t.loss_type").alias("loss_type"),
         (F.lit(alpha) * F.col("mae_component") + F.lit(beta) * F.col("_t.rank_loss_component"))
         .alias("total_loss"),
         "mae_component", F.col("_t.rank_loss_component").alias("rank_loss_component"))
-    return _done(out, dropped)

@@ -6,10 +6,8 @@ render order, so it is a real column and never a map key.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import (CLIP_DIFF_CHARS, CLIP_LOG_CHARS, VERSION_METRIC_LINE, VERSION_METRICS,
                                VERSION_RATIONALE, VERSION_SUMMARY, VERSION_TITLE, VERSION_TRAIN_LOSS,
@@ -36,6 +34,13 @@ def render_prompt(sections: DataFrame, keys: list[str] | None = None) -> DataFra
     return sections.groupBy(*keys).agg(text.alias("text"), F.count(F.lit(1)).alias("n_sections"))
 
 
+def newest_sections(sections: DataFrame) -> DataFrame:
+    """The sections of each prompt's newest version."""
+    base = sections.select("prompt_id", "version", "pos", "section", "content", "is_meta")
+    newest = base.groupBy("prompt_id").agg(F.max("version").alias("version"))
+    return base.join(newest, ["prompt_id", "version"], "left_semi")
+
+
 def apply_edits(sections: DataFrame, edits: DataFrame, new_version: int | None = None) -> DataFrame:
     """Apply accepted edits in ``seq`` order to each prompt, as one set operation.
 
@@ -44,9 +49,10 @@ def apply_edits(sections: DataFrame, edits: DataFrame, new_version: int | None =
     missing section does nothing; meta sections are never changed. The final content of a
     section is its last action's; an updated section keeps its place, a new or re-added one goes
     after the existing ones in the order it was (re)inserted. Per-section facts come from
-    aggregates (partial, map-side), not from replaying the sequence.
+    aggregates (partial, map-side), not from replaying the sequence. Of several versions of a
+    prompt the newest is edited.
     """
-    base = sections.select("prompt_id", "version", "pos", "section", "content", "is_meta")
+    base = newest_sections(sections)
     meta = base.filter("is_meta").select("prompt_id", F.col("section").alias("section_name"))
     # Read twice below (history and reinsertion point): materialise once, so an expensive
     # upstream (the proposal audit) is not derived twice.
@@ -82,11 +88,20 @@ def apply_edits(sections: DataFrame, edits: DataFrame, new_version: int | None =
 
 
 def applied_edit_counts(edits: DataFrame, sections: DataFrame) -> DataFrame:
-    """How many accepted edits each prompt applied (meta targets are not applied)."""
-    meta = sections.filter("is_meta").select("prompt_id", F.col("section").alias("section_name"))
-    ok = edits.filter(F.col("action").isin("edit", "add", "remove")).join(
-        meta, ["prompt_id", "section_name"], "left_anti")
-    return ok.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_applied"))
+    """Per prompt, how many edits were attempted and how many were applied to its newest version.
+
+    Edits of a meta section and other actions are not applied, nor is the removal of a section that
+    does not stand at that point: it does after an edit or add, or untouched in the prompt.
+    """
+    base = newest_sections(sections).select("prompt_id", F.col("section").alias("section_name"), "is_meta")
+    w = Window.partitionBy("prompt_id", "section_name").orderBy("seq")
+    known = F.col("action").isin("edit", "add", "remove")
+    x = edits.select("prompt_id", "section_name", "seq", "action").join(base, ["prompt_id", "section_name"], "left")
+    x = x.withColumn("_before", F.last(F.when(known, F.col("action")), ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, -1)))
+    stands = F.when(F.col("_before").isNull(), F.col("is_meta").isNotNull()).otherwise(F.col("_before") != "remove")
+    applied = known & ~F.coalesce("is_meta", F.lit(False)) & ((F.col("action") != "remove") | stands)
+    return x.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_attempted"), F.count_if(applied).alias("n_applied"))
 
 
 def section_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -103,24 +118,23 @@ def section_diff(old: DataFrame, new: DataFrame) -> DataFrame:
                     clip_text(F.col("new_content"), CLIP_DIFF_CHARS).alias("new_preview"))
 
 
-def _message_udf(metric_names: list[str]):
-    @F.pandas_udf(T.StringType())
-    def message(step: pd.Series, train: pd.Series, val: pd.Series, summary: pd.Series,
-                rationale: pd.Series, *metrics: pd.Series) -> pd.Series:
-        # Python's own %-formatting, so the 4-decimal values read as the reference writes them.
-        out = []
-        for i in range(len(step)):
-            lines = [VERSION_TITLE % int(step.iat[i]), "", VERSION_TRAIN_LOSS % train.iat[i],
-                     VERSION_VAL_LOSS % val.iat[i], "", VERSION_METRICS]
-            for name, col in zip(metric_names, metrics):
-                if not pd.isna(col.iat[i]):
-                    lines.append(VERSION_METRIC_LINE % (name, col.iat[i]))
-            lines += ["", VERSION_SUMMARY, summary.iat[i]]
-            if rationale.iat[i]:
-                lines += ["", VERSION_RATIONALE, rationale.iat[i]]
-            out.append("\n".join(lines))
-        return pd.Series(out, dtype=object)
-    return message
+def _four(c: str) -> Column:
+    """The value with 4 decimals; a missing one reads ``nan``."""
+    v = F.col(c).cast("double")
+    return F.when(v.isNull() | F.isnan(v), "nan").otherwise(F.format_number(v, "0.0000"))
+
+
+def _message(step: str, train_loss: str, val_loss: str, metrics: list[str]) -> Column:
+    """The version message; lines of missing metrics and of an empty rationale are left out."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    metric = [F.when(~F.isnan(F.col(m).cast("double")), F.format_string(VERSION_METRIC_LINE, F.lit(m), _four(m)))
+              for m in metrics]
+    why = F.when(text("rationale_clipped") != "", F.concat_ws("\n", F.lit(""), F.lit(VERSION_RATIONALE),
+                                                             F.col("rationale_clipped")))
+    return F.concat_ws("\n", F.format_string(VERSION_TITLE, F.col(step).cast("bigint")), F.lit(""),
+                       F.format_string(VERSION_TRAIN_LOSS, _four(train_loss)),
+                       F.format_string(VERSION_VAL_LOSS, _four(val_loss)), F.lit(""), F.lit(VERSION_METRICS), *metric,
+                       F.lit(""), F.lit(VERSION_SUMMARY), text("summary_clipped"), why)
 
 
 def version_log(evals: DataFrame, summary: str = "gradient_summary", rationale: str = "rationale",
@@ -132,9 +146,7 @@ def version_log(evals: DataFrame, summary: str = "gradient_summary", rationale:
     out = evals.select("*", clip_text(F.col(summary), CLIP_LOG_CHARS).alias("summary_clipped"),
                        clip_text(F.col(rationale), CLIP_LOG_CHARS).alias("rationale_clipped"))
     if train_loss in out.columns:
-        msg = _message_udf(metrics)(F.col(step), F.col(train_loss), F.col(val_loss), F.coalesce("summary_clipped", F.lit("")),
-                                    F.coalesce("rationale_clipped", F.lit("")), *[F.col(m) for m in metrics])
-        out = out.withColumn("message", msg)
+        out = out.withColumn("message", _message(step, train_loss, val_loss, metrics))
     return out
 
 
@@ -165,7 +177,9 @@ def checkout_version(versions: DataFrame, tags: DataFrame, requests: DataFrame)
     j = r.join(by_tag, ["run_id", "_req_tag"], "left").join(best, "run_id", "left")
     how = (F.when(F.col("_req_tag").isNotNull(), "tag").when(F.col("_req_step").isNotNull(), "step")
            .otherwise("best"))
+    # A tag or step that does not exist checks nothing out: status "missing", no loss.
     step = (F.when(F.col("_req_tag").isNotNull(), F.col("_tag_step"))
             .when(F.col("_req_step").isNotNull(), F.col("_req_step")).otherwise(F.col("_best_step")))
     res = j.select("run_id", how.alias("resolved_by"), step.alias("step"))
-    return res.join(versions, ["run_id", "step"], "left")
+    found = versions.withColumn("status", F.lit("found"))
+    return res.join(found, ["run_id", "step"], "left").fillna("missing", subset=["status"])

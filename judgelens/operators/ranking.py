@@ -28,47 +28,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .keys import join_on
+from .keys import join_on, with_group_row
 from .prefix import Running, all_keys_small, prefix_before, running
 
 
+#: Human scores at most this far apart express no preference in the pairwise loss (fixed value).
+CLEAR_GAP = 1e-6
+
+_EXACT = "decimal(18,0)"
+
+
 def _cells(df: DataFrame, keys: list[str], human: str, judge: str) -> DataFrame:
-    return (df.filter(F.col(human).isNotNull() & F.col(judge).isNotNull())
-            .groupBy(*keys, F.col(human).alias("_h"), F.col(judge).alias("_j"))
+    h, j = F.col(human).cast("double"), F.col(judge).cast("double")
+    return (df.filter(h.isNotNull() & j.isNotNull())
+            .groupBy(*keys, h.alias("_h"), j.alias("_j"))
             .agg(F.count(F.lit(1)).cast("double").alias("_w"))
             .withColumn("_wh", F.col("_w") * F.col("_h")))
 
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    return join_on(left, right, keys, how)
+def _is_nan() -> Column:
+    return F.isnan("_h") | F.isnan("_j")
 
 
-def _grouped(fn):
-    """Global statistics (no keys) run as one constant key, so every join stays an equi-join."""
-    def wrapper(df: DataFrame, keys: list[str], *args, **kwargs) -> DataFrame:
-        if keys:
-            return fn(df, list(keys), *args, **kwargs)
-        return fn(df.withColumn("_all", F.lit(0)), ["_all"], *args, **kwargs).drop("_all")
-    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
-    return wrapper
+def _pairs_of(count: Column) -> Column:
+    """Number of pairs among ``count`` rows, exact (decimal)."""
+    c = count.cast(_EXACT)
+    return F.floor(c * (c - 1) / 2)
 
 
 def _group_totals(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """n, tied-pair counts on h and on j per group (pairs, not rows)."""
+    """n, tied-pair counts on h and on j (pairs, not rows) and whether a score is NaN, per group."""
     def tie_pairs(col: str, name: str) -> DataFrame:
         per = cells.groupBy(*keys, col).agg(F.sum("_w").alias("_c"))
-        return per.groupBy(*keys).agg(F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias(name))
-    n = cells.groupBy(*keys).agg(F.sum("_w").alias("n"))
-    out = _join_keys(n, tie_pairs("_h", "n_h_ties"), keys)
-    return _join_keys(out, tie_pairs("_j", "n_j_ties"), keys)
+        return per.groupBy(*keys).agg(F.sum(_pairs_of(F.col("_c"))).alias(name))
+    n = cells.groupBy(*keys).agg(F.coalesce(F.sum("_w"), F.lit(0.0)).alias("n"), F.max(_is_nan()).alias("has_nan"))
+    out = with_group_row(n, tie_pairs("_h", "n_h_ties"), keys)
+    return with_group_row(out, tie_pairs("_j", "n_j_ties"), keys)
+
+
+def _near_below(keys: list[str]) -> Column:
+    """Whether a smaller human score of the group is within CLEAR_GAP of this one (window over cells)."""
+    part = "PARTITION BY " + ", ".join(f"`{k}`" for k in keys) if keys else ""
+    return F.expr(f"min(_h) OVER ({part} ORDER BY _h RANGE BETWEEN {CLEAR_GAP!r}D PRECEDING AND CURRENT ROW) < _h")
 
 
 def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman: bool = True) -> DataFrame:
     """Per group: n, n_pairs, tie counts, S = concordant - discordant, clear pairs, the summed
-    mismatch loss of the pairwise ranking loss (margin 0) and, optionally, Spearman's sums."""
+    mismatch loss of the pairwise ranking loss (margin 0) and, optionally, Spearman's sums.
+
+    A NaN human score makes no clear pair, and no pair of a NaN judge score is concordant;
+    ``has_nan`` marks the groups whose rank correlations are undefined for that reason.
+    """
     # Cells are read by every pass below: materialise them once in the checkpoint folder.
     cells = cut_lineage(_cells(df, keys, human, judge))
-    # Every prefix below is keyed by the group or a refinement of it and has at most one row
+    # Every prefix below is keyed by the group or a refinement of it and has at most three rows
     # per cell, so one check on cells per group bounds them all.
     small = all_keys_small(cells, keys)
 
@@ -79,23 +92,26 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
         g = Window.partitionBy(*keys)
         jw = F.sum("_w").over(Window.partitionBy(*keys, "_j"))
         hw = F.sum("_w").over(Window.partitionBy(*keys, "_h"))
+        # rows sharing this cell's j / h: the sum over cells of w * (W - 1) is twice the tied pairs
+        twice = lambda rows: F.col("_w").cast(_EXACT) * (rows - F.lit(1.0)).cast(_EXACT)
         ranked = (cells.withColumn("_jr", (F.dense_rank().over(g.orderBy("_j")) - 1).cast("bigint"))
                   .withColumn("_maxr", F.max("_jr").over(g))
                   .withColumn("_jb", F.sum("_w").over(g.orderBy("_j").rangeBetween(Window.unboundedPreceding, 0))
                               - jw)
-                  # rows sharing this cell's j / h: sum over cells of w * (W - 1) / 2 = tied pairs
-                  .withColumn("_tj", F.col("_w") * (jw - F.lit(1.0)) / F.lit(2.0))
-                  .withColumn("_th", F.col("_w") * (hw - F.lit(1.0)) / F.lit(2.0)))
-        totals = ranked.groupBy(*keys).agg(F.sum("_w").alias("n"), F.sum("_th").alias("n_h_ties"),
-                                           F.sum("_tj").alias("n_j_ties"))
+                  .withColumn("_tj", twice(jw)).withColumn("_th", twice(hw))
+                  .withColumn("_near", _near_below(keys)))
+        totals = ranked.groupBy(*keys).agg(
+            F.coalesce(F.sum("_w"), F.lit(0.0)).alias("n"), F.max(_is_nan()).alias("has_nan"),
+            F.floor(F.sum("_th") / 2).alias("n_h_ties"), F.floor(F.sum("_tj") / 2).alias("n_j_ties"))
     else:
-        # Hot groups: distributed running pass over the distinct j values, joined back.
+        # Hot groups: distributed running pass over the distinct j values, joined back. The clear-pair
+        # rows are kept apart from the others everywhere, which needs no look at neighbouring scores.
         jd = cells.groupBy(*keys, "_j").agg(F.sum("_w").alias("_w"), F.lit(1.0).alias("_one"))
         jp = running(jd, keys, ["_j"], [Running("_jb", "sum", "_w", inclusive=False),
                                         Running("_jr", "sum", "_one", inclusive=False)], small=False)
         jp = jp.select(*keys, "_j", "_jb", F.col("_jr").cast("bigint").alias("_jr"))
         top = jp.groupBy(*keys).agg(F.max("_jr").alias("_maxr"))
-        ranked = _join_keys(_join_keys(cells, jp, keys + ["_j"]), top, keys)
+        ranked = with_group_row(join_on(cells, jp, keys + ["_j"]), top, keys).withColumn("_near", F.lit(True))
         totals = _group_totals(cells, keys)
 
     # All pair sums come from one prefix over h, keyed by (group, level, part):
@@ -103,58 +119,100 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
     #   level -1, part = 0:       pairs with h_a < h_b;
     #   level l >= 0, part = rank(j) >> (l + 1): pairs with h_a < h_b and j_a < j_b, split by
     #   the bit level at which the two dense ranks first differ.
-    # Each row carries point weights (_p, _ph) and query weights (_q, _qh).
+    # Each row carries point weights (_p, _ph) and query weights: _q asks for h_a < h_b, _c and _ch
+    # ask for clear pairs, h_a < h_b - CLEAR_GAP. Where no score lies in that gap both ask at h_b.
     levels = F.when(F.col("_maxr") >= 1, F.floor(F.log2(F.col("_maxr") + F.lit(0.5))).cast("int") + 1) \
         .otherwise(F.lit(0))
     ranked = ranked.withColumn("_levels", levels)
-    exploded = (ranked.withColumn("_l", F.explode(F.sequence(F.lit(-2), F.col("_levels") - 1)))
+    exploded = (ranked.filter(~F.isnan("_h"))
+                .withColumn("_l", F.explode(F.sequence(F.lit(-2), F.col("_levels") - 1)))
                 .withColumn("_pk", F.when(F.col("_l") == -2, F.col("_jr")).when(F.col("_l") == -1, F.lit(0))
                             .otherwise(F.expr("shiftright(_jr, _l + 1)")))
                 .withColumn("_bit", F.when(F.col("_l") < 0, F.lit(-1)).otherwise(F.expr("shiftright(_jr, _l) & 1"))))
-    point, query = F.col("_bit") != 1, F.col("_bit") != 0
-    pts = exploded.select(
-        *keys, "_l", "_pk", "_h",
-        F.when(point, F.col("_w")).otherwise(F.lit(0.0)).alias("_p"),
-        F.when(point, F.col("_wh")).otherwise(F.lit(0.0)).alias("_ph"),
-        F.when(query, F.col("_w")).otherwise(F.lit(0.0)).alias("_q"),
-        F.when(query, F.col("_wh")).otherwise(F.lit(0.0)).alias("_qh"))
-    lv = prefix_before(pts, keys + ["_l", "_pk"], "_h", ["_p", "_ph", "_q", "_qh"], small=small)
+    point, query = F.col("_bit") != 1, (F.col("_bit") != 0) & ~((F.col("_bit") == 1) & F.isnan("_j"))
+    weigh = lambda c, w: F.when(c, F.col(w)).otherwise(F.lit(0.0))
+    none = F.lit(0.0)
+
+    def row(h, p, ph, q, c, ch):
+        return F.struct(h.alias("_h"), p.alias("_p"), ph.alias("_ph"), q.alias("_q"), c.alias("_c"), ch.alias("_ch"))
+    own = (F.col("_h"), weigh(point, "_w"), weigh(point, "_wh"), weigh(query, "_w"))
+    asked = weigh(query, "_w"), weigh(query, "_wh")
+    apart = F.array(row(*own, none, none), row(F.col("_h") - F.lit(CLEAR_GAP), none, none, none, *asked))
+    rows = F.when(F.col("_near") & query & (F.col("_l") != -2), apart).otherwise(F.array(row(*own, *asked)))
+    pts = exploded.select(*keys, "_l", "_pk", F.inline(rows))
+    lv = prefix_before(pts, keys + ["_l", "_pk"], "_h", ["_p", "_ph", "_q", "_c", "_ch"], small=small)
     lvl = F.col("_l")
+    count = lambda q: F.col(q).cast(_EXACT) * F.col("_p_before").cast(_EXACT)  # noqa: E731  exact pair counts
     sums = lv.groupBy(*keys).agg(
-        F.sum(F.when(lvl == -1, F.col("_q") * F.col("_p_before"))).alias("a_lh"),    # sum_b w_b LH(b)
-        F.sum(F.when(lvl == -1, F.col("_qh") * F.col("_p_before"))).alias("b_lh"),   # sum_b w_b h_b LH(b)
-        F.sum(F.when(lvl == -1, F.col("_q") * F.col("_ph_before"))).alias("c_lh"),   # sum_b w_b HLH(b)
-        F.sum(F.when(lvl == -2, F.col("_q") * F.col("_p_before"))).alias("a_ej"),    # equal j, h below
-        F.sum(F.when(lvl >= 0, F.col("_q") * F.col("_p_before"))).alias("a_ll"),     # sum_b w_b LL(b)
-        F.sum(F.when(lvl >= 0, F.col("_qh") * F.col("_p_before"))).alias("b_ll"),    # sum_b w_b h_b LL(b)
-        F.sum(F.when(lvl >= 0, F.col("_q") * F.col("_ph_before"))).alias("c_ll"))    # sum_b w_b HLL(b)
-
-    out = _join_keys(totals, sums, keys)
+        F.sum(F.when(lvl == -1, count("_q"))).alias("a_lh"),                         # pairs with h_a < h_b
+        F.sum(F.when(lvl == -2, count("_q"))).alias("a_ej"),                         # equal j, h below
+        F.sum(F.when(lvl >= 0, count("_q"))).alias("a_ll"),                          # concordant
+        F.sum(F.when(lvl == -1, count("_c"))).alias("clear"),
+        F.sum(F.when(lvl == -1, F.col("_ch") * F.col("_p_before"))).alias("b_lh"),   # over clear pairs, h_b
+        F.sum(F.when(lvl == -1, F.col("_c") * F.col("_ph_before"))).alias("c_lh"),   # h_a
+        F.sum(F.when(lvl >= 0, F.col("_ch") * F.col("_p_before"))).alias("b_ll"),    # over the concordant ones, h_b
+        F.sum(F.when(lvl >= 0, F.col("_c") * F.col("_ph_before"))).alias("c_ll"))    # h_a
+
+    out = with_group_row(totals, sums, keys, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    cols = [(F.col("n") * (F.col("n") - 1) / 2).alias("n_pairs"), "n_h_ties", "n_j_ties",
-            (F.lit(2.0) * z("a_ll") - z("a_lh") + z("a_ej")).alias("s"),
-            z("a_lh").alias("clear_pairs"),
+    e = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(38,0)"))
+    cols = [_pairs_of(F.col("n")).alias("n_pairs"), e("n_h_ties").alias("n_h_ties"), e("n_j_ties").alias("n_j_ties"),
+            (e("a_ll") + e("a_ll") - e("a_lh") + e("a_ej")).alias("s"), "has_nan",
+            e("clear").alias("clear_pairs"),
             ((z("b_lh") - z("b_ll")) - (z("c_lh") - z("c_ll"))).alias("mismatch_loss")]
     if spearman:
         # Average ranks from the two prefixes; centred so the sums stay well conditioned.
-        rh = lv.filter(lvl == -1).select(
+        rh = lv.filter((lvl == -1) & (F.col("_p") > 0)).select(
             *keys, "_h", (F.col("_p_before") + (F.col("_p") + F.lit(1.0)) / F.lit(2.0)).alias("_rh"))
         jw = ranked.groupBy(*keys, "_j").agg(F.first("_jb").alias("_jb"), F.sum("_w").alias("_jw"))
         rj = jw.select(*keys, "_j", (F.col("_jb") + (F.col("_jw") + F.lit(1.0)) / F.lit(2.0)).alias("_rj"))
-        c = _join_keys(_join_keys(cells, rh, keys + ["_h"]), rj, keys + ["_j"])
-        c = _join_keys(c, out.select(*keys, "n"), keys)
+        c = join_on(join_on(cells, rh, keys + ["_h"]), rj, keys + ["_j"])
+        c = with_group_row(c, out.select(*keys, "n"), keys)
         mid = (F.col("n") + F.lit(1.0)) / F.lit(2.0)
         c = c.withColumn("_ch", F.col("_rh") - mid).withColumn("_cj", F.col("_rj") - mid)
         sums = c.groupBy(*keys).agg(
             F.sum(F.col("_w") * F.col("_ch") * F.col("_cj")).alias("sxy"),
             F.sum(F.col("_w") * F.col("_ch") * F.col("_ch")).alias("sxx"),
             F.sum(F.col("_w") * F.col("_cj") * F.col("_cj")).alias("syy"))
-        out = _join_keys(out, sums, keys)
+        out = with_group_row(out, sums, keys, "left")
         cols += ["sxy", "sxx", "syy"]
     return out.select(*keys, "n", *cols)
 
 
-@_grouped
+def _margin_penalty(df: DataFrame, keys: list[str], human: str, judge: str, margin: float) -> DataFrame:
+    """Per group, the sum of ``margin - (j_b - j_a)`` over the clear pairs that the judge orders as the
+    human does, by less than ``margin``: (keys, penalty).
+
+    The pairs are those with j_a < j_b less those with j_a <= j_b - margin. Both are dominance counts as in
+    :func:`_statistics`, with the points and the two kinds of query ranked together by judge score.
+    """
+    cells = _cells(df, keys, human, judge).filter(~_is_nan())
+    kind = lambda h, j, tie, p, q: F.struct(h.alias("_h"), j.alias("_j"), F.lit(tie).alias("_tie"),
+                                            (F.col("_w") * p).alias("_p"), (F.col("_w") * q).alias("_q"),
+                                            F.col("_j").alias("_jv"))
+    asks = F.col("_h") - F.lit(CLEAR_GAP)
+    # At equal rank value: a strict query, then points, then a query that takes equal scores.
+    events = cells.select(*keys, F.inline(F.array(
+        kind(F.col("_h"), F.col("_j"), 1, F.lit(1.0), F.lit(0.0)),
+        kind(asks, F.col("_j"), 0, F.lit(0.0), F.lit(1.0)),
+        kind(asks, F.col("_j") - F.lit(float(margin)), 2, F.lit(0.0), F.lit(-1.0)))))
+    events = cut_lineage(events)
+    spots = events.select(*keys, "_j", "_tie").distinct().withColumn("_one", F.lit(1.0))
+    small = all_keys_small(events, keys)
+    spots = running(spots, keys, ["_j", "_tie"], [Running("_r", "sum", "_one", inclusive=False)], small=small)
+    spots = spots.withColumn("_r", F.col("_r").cast("bigint")).drop("_one")
+    top = spots.groupBy(*keys).agg(F.max("_r").alias("_top"))
+    x = with_group_row(join_on(events, spots, [*keys, "_j", "_tie"]), top, keys)
+    last = F.when(F.col("_top") >= 1, F.floor(F.log2(F.col("_top") + F.lit(0.5))).cast("int")).otherwise(F.lit(0))
+    x = x.withColumn("_l", F.explode(F.sequence(F.lit(0), last)))
+    x = x.filter((F.expr("shiftright(_r, _l) & 1") == 1) == (F.col("_tie") != 1))
+    x = x.select(*keys, "_l", F.expr("shiftright(_r, _l + 1)").alias("_pk"), "_h", "_p", "_q",
+                 (F.col("_p") * F.col("_jv")).alias("_pj"), (F.col("_q") * F.col("_jv")).alias("_qj"))
+    lv = prefix_before(x, [*keys, "_l", "_pk"], "_h", ["_p", "_pj", "_q", "_qj"], small=small)
+    short = (F.lit(float(margin)) * F.col("_q") - F.col("_qj")) * F.col("_p_before") + F.col("_q") * F.col("_pj_before")
+    return lv.groupBy(*keys).agg(F.coalesce(F.sum(short), F.lit(0.0)).alias("penalty"))
+
+
 def pair_sums(df: DataFrame, keys: list[str], human: str = "human_score",
               judge: str = "judge_score") -> DataFrame:
     """Per group: n, n_pairs, tie counts, S = concordant - discordant, clear pairs and the
@@ -163,13 +221,14 @@ def pair_sums(df: DataFrame, keys: list[str], human: str = "human_score",
 
 
 def _tau_b() -> Column:
-    den = F.sqrt((F.col("n_pairs") - F.col("n_h_ties")) * (F.col("n_pairs") - F.col("n_j_ties")))
-    return F.try_divide(F.col("s"), den)
+    untied = lambda ties: (F.col("n_pairs") - F.col(ties)).cast("double")
+    tau = F.try_divide(F.col("s").cast("double"), F.sqrt(untied("n_h_ties") * untied("n_j_ties")))
+    return F.when(~F.col("has_nan"), tau)
 
 
 def _rho() -> Column:
     rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
-    return F.when((F.col("sxx") > 0) & (F.col("syy") > 0), rho)
+    return F.when((F.col("sxx") > 0) & (F.col("syy") > 0) & ~F.col("has_nan"), rho)
 
 
 def _metric_cols(spearman: bool) -> list[Column]:
@@ -179,7 +238,7 @@ def _metric_cols(spearman: bool) -> list[Column]:
             F.when(small, 0.0).otherwise(F.coalesce(tau, F.lit(0.0))).alias("kendall_tau"),
             F.when(small, 0.0).otherwise(F.coalesce(F.lit(1.0) - tau, F.lit(1.0))).alias("kendall_tau_loss"),
             F.col("clear_pairs").cast("bigint").alias("clear_pairs"),
-            (F.col("mismatch_loss") / F.greatest(F.col("clear_pairs"), F.lit(1.0))).alias("pairwise_loss")]
+            (F.col("mismatch_loss") / F.greatest(F.col("clear_pairs").cast("double"), F.lit(1.0))).alias("pairwise_loss")]
     if spearman:
         rho = _rho()
         cols += [F.when(small, 0.0).otherwise(F.coalesce(rho, F.lit(0.0))).alias("spearman_rho"),
@@ -187,7 +246,6 @@ def _metric_cols(spearman: bool) -> list[Column]:
     return cols
 
 
-@_grouped
 def rank_statistics(df: DataFrame, keys: list[str], human: str = "human_score",
                     judge: str = "judge_score") -> DataFrame:
     """Kendall tau-b and its loss, the pairwise ranking loss and Spearman rho and its loss,
@@ -196,30 +254,30 @@ def rank_statistics(df: DataFrame, keys: list[str], human: str = "human_score",
     return _statistics(df, keys, human, judge, spearman=True).select(*keys, *_metric_cols(True))
 
 
-@_grouped
 def pair_metrics(df: DataFrame, keys: list[str], human: str = "human_score",
                  judge: str = "judge_score") -> DataFrame:
     """Kendall tau-b, its loss and the pairwise ranking loss from one pass over the pairs."""
     return _statistics(df, keys, human, judge, spearman=False).select(*keys, *_metric_cols(False))
 
 
-@_grouped
 def kendall_tau(df: DataFrame, keys: list[str], human: str = "human_score",
                 judge: str = "judge_score") -> DataFrame:
     """Kendall tau-b per group; metric 0.0 when undefined or n < 2, loss 1 - tau (1.0 when undefined)."""
     return pair_metrics(df, keys, human, judge).select(*keys, "n", "kendall_tau", "kendall_tau_loss")
 
 
-@_grouped
 def pairwise_ranking_loss(df: DataFrame, keys: list[str], human: str = "human_score",
                           judge: str = "judge_score", margin: float = 0.0) -> DataFrame:
-    """Mean over clear pairs of |dh| where the judge disagrees (ties included); 0.0 for n < 2."""
-    if margin != 0.0:
-        raise NotImplementedError("only margin 0 (the value every loss computation uses) is supported")
-    return pair_metrics(df, keys, human, judge).select(*keys, "n", "clear_pairs", "pairwise_loss")
+    """Mean over clear pairs (human scores more than CLEAR_GAP apart) of |dh| where the judge disagrees
+    (ties and NaN included) and of ``margin - |dj|`` where it agrees by less than ``margin``; 0.0 for n < 2."""
+    out = pair_metrics(df, keys, human, judge).select(*keys, "n", "clear_pairs", "pairwise_loss")
+    if not margin > 0.0:
+        return out
+    share = F.coalesce(F.col("penalty"), F.lit(0.0)) / F.greatest(F.col("clear_pairs").cast("double"), F.lit(1.0))
+    return with_group_row(out, _margin_penalty(df, keys, human, judge, margin), keys, "left").select(
+        *keys, "n", "clear_pairs", (F.col("pairwise_loss") + share).alias("pairwise_loss"))
 
 
-@_grouped
 def spearman_rho(df: DataFrame, keys: list[str], human: str = "human_score",
                  judge: str = "judge_score") -> DataFrame:
     """Spearman rho from average ranks; metric 0.0 when undefined or n < 2, loss 1 - rho.
@@ -241,12 +299,12 @@ def spearman_rho(df: DataFrame, keys: list[str], human: str = "human_score",
             pref = prefix_before(cells.select(*keys, col, "_w"), keys, col, ["_w"], small=False)
             return pref.select(*keys, col, (F.col("_w_before") + (F.col("_w") + F.lit(1.0)) / F.lit(2.0)).alias(out))
         n = cells.groupBy(*keys).agg(F.sum("_w").alias("n"))
-        c = _join_keys(_join_keys(_join_keys(cells, avg_rank("_h", "_rh"), keys + ["_h"]),
-                                  avg_rank("_j", "_rj"), keys + ["_j"]), n, keys)
+        c = join_on(join_on(cells, avg_rank("_h", "_rh"), keys + ["_h"]), avg_rank("_j", "_rj"), keys + ["_j"])
+        c = with_group_row(c, n, keys)
     mid = (F.col("n") + F.lit(1.0)) / F.lit(2.0)
     c = c.withColumn("_ch", F.col("_rh") - mid).withColumn("_cj", F.col("_rj") - mid)
     sums = c.groupBy(*keys).agg(
-        F.first("n").alias("n"),
+        F.coalesce(F.max("n"), F.lit(0.0)).alias("n"), F.max(_is_nan()).alias("has_nan"),
         F.sum(F.col("_w") * F.col("_ch") * F.col("_cj")).alias("sxy"),
         F.sum(F.col("_w") * F.col("_ch") * F.col("_ch")).alias("sxx"),
         F.sum(F.col("_w") * F.col("_cj") * F.col("_cj")).alias("syy"))

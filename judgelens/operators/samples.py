@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .keys import join_on
+from .keys import join_on, with_group_row
 from ..functions.exprs import (CATEGORY_LABELS, CLIP_SAMPLE_CHARS, EMPTY_CATEGORY_FORMAT,
                                SAMPLE_FORMAT, clip_text)
 
@@ -25,27 +23,27 @@ def error_samples(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "sam
     """
     extra = extra or []
     e = F.col(judge) - F.col(human)
-    x = df.select(*keys, id_col, human, judge, *extra, e.alias("error"), F.abs(e).alias("abs_error"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
-    def top(frame: DataFrame, category: str, *order) -> DataFrame:
-        w = part.orderBy(*order, F.col(id_col))
-        return (frame.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .withColumn("category", F.lit(category))
-                .withColumn("rank", F.col("rank").cast("bigint")))
-
-    over = top(x.filter(F.col("error") > 0), "overestimated", F.col("error").desc())
-    under = top(x.filter(F.col("error") < 0), "underestimated", F.col("error").asc())
-    aligned = top(x, "well_aligned", F.col("abs_error").asc())
-    return over.unionByName(under).unionByName(aligned)
+    # Only scored rows have an error; NULL and NaN scores are in no class.
+    x = (df.select(*keys, id_col, human, judge, *extra, e.alias("error"), F.abs(e).alias("abs_error"))
+         .filter(F.col("error").isNotNull() & ~F.isnan(F.col("error").cast("double"))))
+    # One scan: a row stands once for its sign and once for its closeness, each with a sort key.
+    classes = F.inline(F.filter(F.array(
+        F.struct(F.when(F.col("error") > 0, "overestimated").when(F.col("error") < 0, "underestimated")
+                 .alias("category"), (-F.col("abs_error")).alias("_by")),
+        F.struct(F.lit("well_aligned").alias("category"), F.col("abs_error").alias("_by"))),
+        lambda c: c["category"].isNotNull()))
+    w = Window.partitionBy(*keys, "category").orderBy("_by", id_col)
+    out = x.select("*", classes).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.select(*keys, id_col, human, judge, *extra, "error", "abs_error",
+                      F.col("rank").cast("bigint").alias("rank"), "category")
 
 
 def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "sample_id",
                      human: str = "human_score", judge: str = "judge_score") -> DataFrame:
     """Counts and mean/extreme errors of the selected rows per class (0.0 for an empty class),
     the overall MAE / bias / population std of the error, and all-row class totals."""
-    src, k_cols = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
-    sel = error_samples(src, k_cols, k, id_col, human, judge)
+    k_cols = list(keys)
+    sel = error_samples(df, k_cols, k, id_col, human, judge)
     cat = F.col("category")
 
     def cond(c: str, expr):
@@ -60,7 +58,7 @@ def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "
         F.count(cond("well_aligned", F.lit(1))).alias("aligned_count"),
         F.avg(cond("well_aligned", F.col("abs_error"))).alias("aligned_mean_abs_error"))
     e = F.col(judge) - F.col(human)
-    overall = src.groupBy(*k_cols).agg(
+    overall = df.groupBy(*k_cols).agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.avg(F.abs(e)).alias("overall_mae"),
         F.avg(e).alias("overall_mean_error"),
@@ -68,7 +66,7 @@ def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "
         F.count(F.when(e > 0, 1)).alias("over_total"),
         F.count(F.when(e < 0, 1)).alias("under_total"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    out = join_on(overall, chosen, k_cols, "left").select(
+    return with_group_row(overall, chosen, k_cols, "left").select(
         *k_cols, "total_samples",
         F.coalesce(F.col("over_count"), F.lit(0)).cast("bigint").alias("over_count"),
         z("over_mean_error"), z("over_max_error"),
@@ -77,14 +75,6 @@ def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "
         F.coalesce(F.col("aligned_count"), F.lit(0)).cast("bigint").alias("aligned_count"),
         z("aligned_mean_abs_error"), "overall_mae", "overall_mean_error", "overall_std_error",
         "over_total", "under_total")
-    return out if keys else out.drop("_all")
-
-
-@F.pandas_udf(T.StringType())
-def _sample_line(rank: pd.Series, text: pd.Series, human: pd.Series, judge: pd.Series) -> pd.Series:
-    # Python's own %-formatting, so rounding of the printed scores matches the reference exactly.
-    return pd.Series([SAMPLE_FORMAT % (int(r), t, h, j, j - h)
-                      for r, t, h, j in zip(rank, text, human, judge)], dtype=object)
 
 
 def format_error_samples(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "sample_id",
@@ -92,18 +82,19 @@ def format_error_samples(df: DataFrame, keys: list[str], k: int = 3, id_col: str
                          judge: str = "judge_score") -> DataFrame:
     """One text block per (group, class): numbered samples (text clipped to 200 chars + '...')
     with both scores and the signed error, or the 'no samples' line for an empty class."""
-    src, k_cols = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
-    sel = error_samples(src, k_cols, k, id_col, human, judge, extra=[text_col])
-    lines = sel.withColumn("_line", _sample_line(F.col("rank"), clip_text(F.col(text_col), CLIP_SAMPLE_CHARS),
-                                                 F.col(human), F.col(judge)))
+    k_cols = list(keys)
+    sel = error_samples(df, k_cols, k, id_col, human, judge, extra=[text_col])
+    one = lambda c, pattern="0.0": F.format_number(F.col(c).cast("double"), pattern)
+    lines = sel.withColumn("_line", F.format_string(
+        SAMPLE_FORMAT, F.col("rank"), F.coalesce(clip_text(F.col(text_col), CLIP_SAMPLE_CHARS), F.lit("")),
+        one(human), one(judge), one("error", "+0.0;-0.0")))
     blocks = lines.groupBy(*k_cols, "category").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_line"))),
                                  lambda s: s["_line"]), "").alias("text"))
     cats = F.explode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("category")
-    groups = src.select(*k_cols).distinct().select(*k_cols, cats)
+    groups = df.groupBy(*k_cols).agg(F.count(F.lit(1))).select(*k_cols, cats)
     label = F.create_map(*[x for c in CATEGORIES for x in (F.lit(c), F.lit(CATEGORY_LABELS[c]))])
-    out = join_on(groups, blocks, [*k_cols, "category"], "left").select(
+    return join_on(groups, blocks, [*k_cols, "category"], "left").select(
         *k_cols, "category",
         F.coalesce(F.col("text"), F.format_string(EMPTY_CATEGORY_FORMAT, label[F.col("category")]))
         .alias("text"))
-    return out if keys else out.drop("_all")

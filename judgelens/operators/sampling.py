@@ -11,14 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import join_on
+from .keys import with_group_row
 from .prefix import Running, all_keys_small, prefix_before, running
 
-def _keyed(df: DataFrame, keys: list[str]):
-    if keys:
-        return df, list(keys), False
-    return df.withColumn("_all", F.lit(0)), ["_all"], True
-
 
 def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[float],
                       small: bool | None = None) -> DataFrame:
@@ -27,21 +22,22 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     Distinct values with their cumulative counts come from :func:`prefix_before`; each
     requested position is matched to the value whose rank range covers it.
     """
-    src, k, dropped = _keyed(df.filter(F.col(col).isNotNull()), keys)
+    k, src = list(keys), df.filter(F.col(col).isNotNull())
     if small is None:
         small = all_keys_small(src, k)
     pref = prefix_before(src.select(*k, F.col(col).alias("_v"), F.lit(1.0).alias("_c")), k, "_v", ["_c"],
                          small=small)
     n = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    # One small table of wanted ranks (two per probability), joined once to the prefix table.
+    # Two wanted ranks per probability, put beside each distinct value of the group.
     wanted = F.explode(F.array(*[
         F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_n") - F.lit(1)).cast("double")).alias("_pos"))
         for i, p in enumerate(probs)])).alias("_w")
-    want = (n.select(*k, wanted).select(*k, "_w._i", "_w._pos")
+    want = (with_group_row(pref, n, k).select(*k, "_v", "_c", "_c_before", wanted)
+            .select(*k, "_v", "_c", "_c_before", "_w._i", "_w._pos")
             .withColumn("_lo", F.floor("_pos").cast("double")).withColumn("_hi", F.ceil("_pos").cast("double"))
             .withColumn("_t", F.col("_pos") - F.floor("_pos")))
     covers = lambda r: (F.col("_c_before") <= F.col(r)) & (F.col(r) < F.col("_c_before") + F.col("_c"))
-    hits = join_on(pref, want, k).filter(covers("_lo") | covers("_hi"))
+    hits = want.filter(covers("_lo") | covers("_hi"))
     ab = hits.groupBy(*k, "_i", "_t").agg(F.max(F.when(covers("_lo"), F.col("_v"))).alias("_a"),
                                          F.max(F.when(covers("_hi"), F.col("_v"))).alias("_b"))
     diff = F.col("_b") - F.col("_a")
@@ -50,8 +46,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
     per = ab.select(*k, "_i", val.alias("_val"))
     wide = per.groupBy(*k).agg(*[F.max(F.when(F.col("_i") == i, F.col("_val"))).alias(_pname(p))
                                  for i, p in enumerate(probs)])
-    out = join_on(n, wide, k).select(*k, F.col("_n").alias("n"), *[_pname(p) for p in probs])
-    return out.drop("_all") if dropped else out
+    return with_group_row(n, wide, k).select(*k, F.col("_n").alias("n"), *[_pname(p) for p in probs])
 
 
 def _pname(p: float) -> str:
@@ -65,31 +60,27 @@ def score_strata(df: DataFrame, keys: list[str] | None = None, score: str = "hum
     When both thresholds coincide a row qualifies for both; it goes to high, so every row is in
     exactly one stratum.
     """
-    keys = list(keys or [])
-    src, k, dropped = _keyed(df, keys)
+    src, k = df, list(keys or [])
     q = exact_percentiles(src, k, score, [low, high], small=small).select(
         *k, F.col(_pname(low)).alias("low_threshold"), F.col(_pname(high)).alias("high_threshold"))
-    j = join_on(src, q, k)
+    j = with_group_row(src, q, k, "left")
     s = F.col(score)
-    out = j.withColumn("stratum", F.when(s >= F.col("high_threshold"), "high")
+    return j.withColumn("stratum", F.when(s >= F.col("high_threshold"), "high")
                        .when(s <= F.col("low_threshold"), "low").otherwise("mid"))
-    return out.drop("_all") if dropped else out
 
 
 def train_val_split(df: DataFrame, keys: list[str] | None = None, id_col: str = "sample_id",
                     val_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Seeded exact split: the ``floor(n * val_fraction)`` rows first in ``md5(seed:id)`` order
     are validation, the rest train. Disjoint, exhaustive and deterministic."""
-    keys = list(keys or [])
-    src, k, dropped = _keyed(df, keys)
+    src, k = df, list(keys or [])
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
     x = src.withColumn("_h", h).withColumn("_one", F.lit(1.0))
     pos = running(x, k, ["_h", id_col], [Running("_pos", "sum", "_one", inclusive=False)],
                   small=all_keys_small(src, k))
     n = src.groupBy(*k).agg(F.floor(F.count(F.lit(1)) * F.lit(float(val_fraction))).alias("n_val"))
-    out = join_on(pos, n, k).withColumn(
+    return with_group_row(pos, n, k).withColumn(
         "split", F.when(F.col("_pos") < F.col("n_val"), "val").otherwise("train")).drop("_h", "_one", "_pos", "n_val")
-    return out.drop("_all") if dropped else out
 
 
 def quotas(batch_size: int) -> dict[str, int]:
@@ -110,14 +101,13 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
     """
     if batch_size < 1 or epochs < 1:
         raise ValueError("batch_size and epochs must be positive")
-    keys = list(keys or [])
-    src, k, dropped = _keyed(df, keys)
+    src, k = df, list(keys or [])
     # Every key below (group, group+epoch, group+epoch+stratum) has at most as many rows as
     # its group, so one check on the input bounds them all.
     small = all_keys_small(src, k)
     strata = score_strata(src, k, score, small=small).select(*k, id_col, score, "stratum")
     n = src.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    x = (join_on(strata, n, k)
+    x = (with_group_row(strata, n, k)
          .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") <= batch_size, F.lit(0))
                                                    .otherwise(F.lit(epochs - 1)))))
          .withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
@@ -132,10 +122,9 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
     p = p.withColumn("_wave", F.floor(F.col("_p") / quota)).withColumn("_srank", srank)
     pos = running(p, k + ["epoch"], ["_wave", "_srank", "_p"], [Running("_pos", "sum", "_one", inclusive=False)],
                   small=small)
-    out = pos.select(*k, id_col, score, "stratum", F.col("epoch").cast("int").alias("epoch"),
+    return pos.select(*k, id_col, score, "stratum", F.col("epoch").cast("int").alias("epoch"),
                      F.col("_pos").cast("bigint").alias("position"),
                      F.floor(F.col("_pos") / F.lit(batch_size)).cast("bigint").alias("batch_no"))
-    return out.drop("_all") if dropped else out
 
 
 def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -144,17 +133,15 @@ def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFra
     Positions inside an epoch are contiguous from 0, so the rows seen up to a batch are its
     largest position plus one: a plain aggregate, no running pass needed.
     """
-    keys = list(keys or [])
-    src, k, dropped = _keyed(batches, keys)
-    per = src.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).alias("batch_rows"),
+    k = list(keys or [])
+    per = batches.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).alias("batch_rows"),
                                                    (F.max("position") + 1).alias("seen"))
     # Group size from the (small) per-batch table, so the batches are derived once.
     n = per.filter(F.col("epoch") == 0).groupBy(*k).agg(F.sum("batch_rows").alias("_n"))
-    out = join_on(per, n, k).select(
+    return with_group_row(per, n, k).select(
         *k, "epoch", "batch_no", F.col("batch_rows").cast("bigint").alias("batch_rows"),
         F.col("seen").cast("bigint").alias("seen"),
         F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("seen") / F.col("_n")).alias("progress"))
-    return out.drop("_all") if dropped else out
 
 
 def gather_batch(batches: DataFrame, samples: DataFrame, epoch: int, batch_no: int,

@@ -70,6 +70,10 @@ def q_pairwise_ranking_loss(spark, d):
     return r6(ranking.pairwise_ranking_loss(fx.pair_scores(spark, d), ["group_id"]))
 
 
+def q_pairwise_ranking_loss_margin(spark, d):
+    return r6(ranking.pairwise_ranking_loss(fx.pair_scores(spark, d), ["group_id"], margin=0.5))
+
+
 def q_composite_loss(spark, d):
     return r6(metrics.composite_loss_all(fx.judged_versions(spark, d), GROUP))
 
@@ -200,6 +204,10 @@ def q_apply_edits(spark, d):
     return _applied(spark, d)
 
 
+def q_applied_edit_counts(spark, d):
+    return prompts.applied_edit_counts(audit.accepted_edits(_audit(spark, d)), fx.prompt_sections(spark, d))
+
+
 def q_proposal_audit(spark, d):
     return r6(_audit(spark, d))
 
@@ -260,8 +268,7 @@ def q_checkout_version(spark, d):
         F.when(F.col("run_id") % 3 == 0, F.lit("stable")).alias("tag"),
         F.when(F.col("run_id") % 3 == 1, F.lit(5).cast("bigint")).alias("step"))
     res = prompts.checkout_version(v.select("run_id", "step", "val_loss"), best_tags.unionByName(stable), req)
-    # A request whose tag does not exist checks nothing out (as a failed checkout does).
-    return r6(res.filter(F.col("step").isNotNull()).select("run_id", "resolved_by", "step", "val_loss"))
+    return r6(res.select("run_id", "resolved_by", "step", "status", "val_loss"))
 
 
 # ---- monitor --------------------------------------------------------------------------------
@@ -279,6 +286,10 @@ def q_early_stop_trace(spark, d):
     return r6(monitor.early_stop_trace(fx.eval_history(spark, d), patience=5))
 
 
+def q_early_stop_min_delta(spark, d):
+    return r6(monitor.early_stop_trace(fx.eval_history(spark, d), patience=5, min_delta=0.01))
+
+
 def q_degeneration_warnings(spark, d):
     return monitor.degeneration_warnings(fx.eval_history(spark, d))
 
