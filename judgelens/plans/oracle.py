@@ -248,6 +248,13 @@ Q["kendall_tau"] = sql(["pair_scores"], pair_ctes("pair_scores", ["group_id"], "
 Q["pairwise_ranking_loss"] = sql(["pair_scores"], pair_ctes("pair_scores", ["group_id"], "k"),
                                  f"SELECT group_id, n, clear_pairs, {r('pairwise_loss', 'pairwise_loss')} FROM k_pm")
 
+Q["pairwise_ranking_loss_margin"] = sql(["pair_scores"], pair_ctes("pair_scores", ["group_id"], "k") + [
+    ("short", """SELECT a.group_id, sum(a.w * b.w * (0.5e0 - (b.j - a.j))) AS penalty FROM k_c a JOIN k_c b
+  ON a.group_id = b.group_id AND b.h - a.h > 1e-6 AND b.j > a.j AND b.j - a.j < 0.5e0 GROUP BY 1""")],
+    f"""SELECT group_id, n, clear_pairs,
+  {r('pairwise_loss + coalesce(penalty, 0e0) / greatest(clear_pairs, 1)', 'pairwise_loss')}
+FROM k_pm LEFT JOIN short USING (group_id)""")
+
 Q["spearman_rho"] = sql(["pair_scores"], spearman_ctes("pair_scores", ["group_id"], "s"),
                         f"SELECT group_id, n, {r('spearman_rho', 'spearman_rho')}, "
                         f"{r('spearman_loss', 'spearman_loss')} FROM s_sp")
@@ -500,6 +507,15 @@ FROM st LEFT JOIN kept USING (prompt_id) LEFT JOIN fe USING (prompt_id)""")],
 Q["section_classes"] = sql(["prompt_sections"], [], """SELECT prompt_id, version, pos, section, is_meta,
   NOT is_meta AS is_editable FROM prompt_sections""")
 Q["apply_edits"] = sql(_PF, APPLIED, "SELECT prompt_id, version, pos, section, content, is_meta FROM applied")
+Q["applied_edit_counts"] = sql(_PF, AUDIT + [
+    ("x", """SELECT a.prompt_id, a.seq, a.section_name, a.result_action AS action, m.is_meta,
+  arg_max(p.result_action, p.seq) AS before FROM audit a
+LEFT JOIN prompt_sections m ON m.prompt_id = a.prompt_id AND m.section = a.section_name
+LEFT JOIN audit p ON p.applied AND p.prompt_id = a.prompt_id AND p.section_name = a.section_name AND p.seq < a.seq
+  AND p.result_action IN ('edit', 'add', 'remove')
+WHERE a.applied GROUP BY ALL""")], """SELECT prompt_id, count(*) AS n_attempted,
+  count(*) FILTER (WHERE NOT coalesce(is_meta, false) AND (action IN ('edit', 'add') OR (action = 'remove' AND
+    CASE WHEN before IS NULL THEN is_meta IS NOT NULL ELSE before <> 'remove' END))) AS n_applied FROM x GROUP BY 1""")
 Q["render_prompt"] = sql(_PF, APPLIED + [
     ("both_versions", """SELECT prompt_id, version, pos, section, content FROM prompt_sections
 UNION ALL SELECT prompt_id, version, pos, section, content FROM applied""")],
@@ -586,20 +602,31 @@ FROM wv ASOF LEFT JOIN wt ON wv.run_id = wt.run_id AND wv.step >= wt.step"""),
 ]
 Q["degeneration_warnings"] = sql(["eval_history"], WARN, """SELECT run_id, step, rank_decline, entropy_collapse,
   variance_increase, n_warnings FROM warnings""")
-Q["early_stop_trace"] = sql(["eval_history"], WARN + [
-    ("h0", "SELECT run_id, step, val_loss, CASE WHEN isnan(val_loss) THEN NULL ELSE val_loss END AS l FROM eval_history"),
-    ("a", f"""SELECT *, min(l) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb,
-  min(l) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS best_loss, row_number() OVER ({_W}) AS rn FROM h0"""),
-    ("b", "SELECT *, (l IS NOT NULL AND (bb IS NULL OR l < bb)) AS improved FROM a"),
+_STEPS = [
+    ("h0", "SELECT run_id, step, val_loss, CASE WHEN isnan(val_loss) THEN NULL ELSE val_loss END AS l FROM eval_history")]
+_STOP = [
     ("c", f"""SELECT *, max(CASE WHEN improved THEN rn END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS lir,
-  max(CASE WHEN improved THEN step END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS bs FROM b"""),
+  max(CASE WHEN improved THEN step END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS bs,
+  min(CASE WHEN improved THEN l END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS best_loss FROM b"""),
     ("d", "SELECT c.*, c.rn - coalesce(c.lir, 0) AS counter, w.n_warnings FROM c JOIN warnings w USING (run_id, step)"),
     ("e2", "SELECT *, (counter >= 5 OR n_warnings >= 2) AS stop_now FROM d"),
-    ("f", "SELECT run_id, min(step) AS first_stop_step FROM e2 WHERE stop_now GROUP BY 1")],
-    f"""SELECT e2.run_id, e2.step, {r('e2.val_loss', 'val_loss')}, improved, CAST(coalesce(bs, 0) AS BIGINT) AS best_step,
+    ("f", "SELECT run_id, min(step) AS first_stop_step FROM e2 WHERE stop_now GROUP BY 1")]
+_TRACE = f"""SELECT e2.run_id, e2.step, {r('e2.val_loss', 'val_loss')}, improved, CAST(coalesce(bs, 0) AS BIGINT) AS best_step,
   {r('best_loss', 'best_loss')}, CAST(counter AS BIGINT) AS counter, stop_now,
   coalesce(e2.step >= f.first_stop_step, false) AS stopped, f.first_stop_step
-FROM e2 LEFT JOIN f USING (run_id)""")
+FROM e2 LEFT JOIN f USING (run_id)"""
+Q["early_stop_trace"] = sql(["eval_history"], WARN + _STEPS + [
+    ("a", f"""SELECT *, min(l) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb,
+  row_number() OVER ({_W}) AS rn FROM h0"""),
+    ("b", "SELECT *, (l IS NOT NULL AND (bb IS NULL OR l < bb)) AS improved FROM a")] + _STOP, _TRACE)
+# The best loss as a fold over each run's losses in order: element i is the best after row i.
+Q["early_stop_min_delta"] = sql(["eval_history"], WARN + _STEPS + [
+    ("li", """SELECT run_id, list_prepend(CAST('inf' AS DOUBLE), list(coalesce(l, CAST('inf' AS DOUBLE)) ORDER BY step)) AS ls
+  FROM h0 GROUP BY 1"""),
+    ("a", f"SELECT *, row_number() OVER ({_W}) AS rn FROM h0"),
+    ("bb", """SELECT a.*, list_reduce(ls[1:a.rn], lambda x, y: CASE WHEN y < x - 0.01e0 THEN y ELSE x END) AS best
+  FROM a JOIN li USING (run_id)"""),
+    ("b", "SELECT *, coalesce(l < best - 0.01e0, false) AS improved FROM bb")] + _STOP, _TRACE)
 
 Q["best_checkpoint"] = sql(["eval_history"], [
     ("m", """SELECT run_id, min(val_loss) AS best_loss FROM eval_history

@@ -91,3 +91,58 @@ def test_null_group_key_is_kept(spark):
     exp = pair_stats(pdf.judge_score[:3].to_numpy(), pdf.human_score[:3].to_numpy())
     assert null_row.kendall_tau == pytest.approx(exp["kendall_tau"])
     assert null_row.spearman_rho == pytest.approx(exp["spearman_rho"])
+
+
+def _slow_pairwise(judge, human, margin):
+    """The pairwise loss from full tables of differences."""
+    dh, dj = (np.subtract.outer(x, x)[np.triu_indices(len(x), 1)] for x in (np.asarray(human), np.asarray(judge)))
+    clear = np.abs(dh) > 1e-6
+    wrong = clear & ~(np.sign(dh) == np.sign(dj))
+    short = clear & ~wrong & (np.abs(dj) < margin)
+    return (np.abs(dh[wrong]).sum() + (margin - np.abs(dj[short])).sum()) / max(1, clear.sum())
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.75, 3.0])
+@pytest.mark.parametrize("path", ["window", "ranged"])
+def test_pairwise_loss_margin_near_ties_and_nan(spark, request, path, margin):
+    if path == "ranged":
+        request.getfixturevalue("hot_keys")
+    pdf = _random_groups(seed=13)
+    rng = np.random.default_rng(2)
+    pdf["human_score"] += rng.choice([0.0, 5e-7, -8e-7, 3e-6], len(pdf))
+    pdf["judge_score"] += rng.choice([0.0, 0.25, 0.5], len(pdf))
+    pdf.loc[(pdf.g == 3) & (pdf.index % 4 == 0), "judge_score"] = np.nan
+    pdf.loc[(pdf.g == 4) & (pdf.index % 4 == 0), "human_score"] = np.nan
+    got = ranking.pairwise_ranking_loss(spark.createDataFrame(pdf), ["g"], margin=margin).toPandas().set_index("g")
+    for g, sub in pdf.groupby("g"):
+        exp = _slow_pairwise(sub.judge_score, sub.human_score, margin)
+        assert got.loc[g, "pairwise_loss"] == pytest.approx(exp, abs=1e-9), g
+        assert got.loc[g, "n"] == len(sub)
+    if margin == 0.0:
+        rank = ranking.rank_statistics(spark.createDataFrame(pdf), ["g"]).toPandas().set_index("g")
+        for g in (3, 4):  # undefined with a NaN score: metric 0, loss 1
+            assert rank.loc[g, ["kendall_tau", "spearman_rho"]].tolist() == [0.0, 0.0]
+            assert rank.loc[g, ["kendall_tau_loss", "spearman_loss"]].tolist() == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("path", ["window", "ranged"])
+def test_statistics_without_keys_plan_no_cross_join(spark, request, path):
+    if path == "ranged":
+        request.getfixturevalue("hot_keys")
+    pdf = _random_groups(seed=3)
+    df = spark.createDataFrame(pdf)
+    exp = pair_stats(pdf.judge_score.to_numpy(), pdf.human_score.to_numpy())
+    out = metrics.evaluation_report(df, [])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner\n" not in plan
+    r = out.toPandas().iloc[0]
+    assert r.kendall_tau == pytest.approx(exp["kendall_tau"]) and r.spearman_rho == pytest.approx(exp["spearman_rho"])
+    assert r.rank_loss_component == pytest.approx(exp["pairwise_loss"])
+
+
+def test_report_keeps_groups_without_scores(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 1.0), ("b", None, 1.0), ("b", None, 2.0)],
+                               "g string, judge_score double, human_score double")
+    r = metrics.evaluation_report(df, ["g"]).toPandas().set_index("g")
+    assert sorted(r.index) == ["a", "b"] and r.loc["b", "n"] == 2 and math.isnan(r.loc["b", "mae"])
+    assert r.loc["b", ["kendall_tau", "rank_loss_component", "score_entropy"]].tolist() == [0.0, 0.0, 0.0]

@@ -84,7 +84,31 @@ def test_lr_trace(spark):
     assert lr.loc[100, "learning_rate"] < lr.loc[50, "learning_rate"] < 0.1
 
 
-def test_min_delta_recurrence_in_batch(spark):
+@pytest.mark.parametrize("path", ["window", "ranged"])
+def test_two_decimal_taus_repeated_steps_and_string_keys(spark, request, path):
+    if path == "ranged":
+        request.getfixturevalue("hot_keys")
+    pdf = _history(seed=21, runs=8, steps=60)
+    pdf["kendall_tau"] = np.round(np.random.default_rng(4).uniform(-0.3, 0.3, len(pdf)), 2)
+    pdf.loc[pdf.step % 9 == 0, "val_loss"] = np.nan
+    pdf["step"] = (pdf.step + 1) // 2                      # every step twice
+    pdf["val_loss"] = pdf.groupby(["run_id", "step"]).val_loss.transform(lambda x: x.sort_values().to_numpy())
+    pdf["who"] = "run " + pdf.run_id.astype(str)
+    df = spark.createDataFrame(pdf)
+    for min_delta in (0.0, 0.03):
+        got = monitor.early_stop_trace(df, ["who", "run_id"], patience=4, min_delta=min_delta).toPandas()
+        assert len(got) == len(pdf)
+        exp = _expected(pdf.sort_values(["run_id", "step", "val_loss"], na_position="first"),
+                        patience=4, min_delta=min_delta)
+        for c in ["improved", "best_step", "counter"]:
+            assert (exp.groupby("run_id")[c].sum() == got.groupby("run_id")[c].sum()).all(), (c, min_delta)
+    assert len(monitor.degeneration_warnings(df).toPandas()) == len(pdf)
+
+
+@pytest.mark.parametrize("path", ["window", "ranged"])
+def test_min_delta_recurrence_in_batch(spark, request, path):
+    if path == "ranged":
+        request.getfixturevalue("hot_keys")
     pdf = _history(seed=11)
     got = monitor.early_stop_trace(spark.createDataFrame(pdf), patience=4, min_delta=0.02).toPandas()
     exp = _expected(pdf, patience=4, min_delta=0.02)

@@ -48,3 +48,17 @@ def test_global_running_without_keys(spark, hot_keys):
     df = spark.range(0, 50).withColumn("one", F.lit(1.0))
     got = running(df, [], ["id"], [Running("pos", "sum", "one", inclusive=False)]).toPandas()
     assert sorted(zip(got["id"], got["pos"])) == [(i, float(i)) for i in range(50)]
+
+
+def test_payload_passes_untouched_on_the_ranged_path(spark, hot_keys):
+    rows = [(1, i, None if i % 3 else 2**53 + 2 * i + 1, float("nan") if i % 4 == 0 else None if i % 4 == 1 else 1.5)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, o int, big bigint, x double").withColumn(
+        "ts", F.expr("timestamp'9999-12-31 00:00:00'")).withColumn("one", F.lit(1.0))
+    out = running(df, ["g"], ["o"], [Running("pos", "sum", "one"), Running("low", "min", "x")])
+    assert dict(out.dtypes)["big"] == "bigint"
+    assert out.filter("ts = timestamp'9999-12-31 00:00:00'").count() == 40
+    got = {r.o: r for r in out.drop("ts").collect()}
+    assert [got[i].big for i in range(40)] == [r[2] for r in rows]
+    assert [got[i].pos for i in range(40)] == [float(i + 1) for i in range(40)]
+    assert sum(got[i].x is None for i in range(40)) == 10 and sum(got[i].x is not None and np.isnan(got[i].x) for i in range(40)) == 10
