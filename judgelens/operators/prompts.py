@@ -121,13 +121,13 @@ def section_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def _four(c: str) -> Column:
     """The value with 4 decimals; a missing one reads ``nan``."""
     v = F.col(c).cast("double")
-    return F.when(v.isNull() | F.isnan(v), "nan").otherwise(F.format_number(v, "0.0000"))
+    return F.when(v.isNull() | F.isnan(v), "nan").otherwise(F.call_function("format_number", v, F.lit("0.0000")))
 
 
 def _message(step: str, train_loss: str, val_loss: str, metrics: list[str]) -> Column:
     """The version message; lines of missing metrics and of an empty rationale are left out."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    metric = [F.when(~F.isnan(F.col(m).cast("double")), F.format_string(VERSION_METRIC_LINE, F.lit(m), _four(m)))
+    metric = [F.when(F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")), F.format_string(VERSION_METRIC_LINE, F.lit(m), _four(m)))
               for m in metrics]
     why = F.when(text("rationale_clipped") != "", F.concat_ws("\n", F.lit(""), F.lit(VERSION_RATIONALE),
                                                              F.col("rationale_clipped")))

@@ -84,7 +84,7 @@ def format_error_samples(df: DataFrame, keys: list[str], k: int = 3, id_col: str
     with both scores and the signed error, or the 'no samples' line for an empty class."""
     k_cols = list(keys)
     sel = error_samples(df, k_cols, k, id_col, human, judge, extra=[text_col])
-    one = lambda c, pattern="0.0": F.format_number(F.col(c).cast("double"), pattern)
+    one = lambda c, pattern="0.0": F.call_function("format_number", F.col(c).cast("double"), F.lit(pattern))
     lines = sel.withColumn("_line", F.format_string(
         SAMPLE_FORMAT, F.col("rank"), F.coalesce(clip_text(F.col(text_col), CLIP_SAMPLE_CHARS), F.lit("")),
         one(human), one(judge), one("error", "+0.0;-0.0")))

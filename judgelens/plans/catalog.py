@@ -268,7 +268,8 @@ def q_checkout_version(spark, d):
         F.when(F.col("run_id") % 3 == 0, F.lit("stable")).alias("tag"),
         F.when(F.col("run_id") % 3 == 1, F.lit(5).cast("bigint")).alias("step"))
     res = prompts.checkout_version(v.select("run_id", "step", "val_loss"), best_tags.unionByName(stable), req)
-    return r6(res.select("run_id", "resolved_by", "step", "status", "val_loss"))
+    # A request that checks nothing out shows step -1, so that the column holds integers in every client.
+    return r6(res.fillna(-1, subset=["step"]).select("run_id", "resolved_by", "step", "status", "val_loss"))
 
 
 # ---- monitor --------------------------------------------------------------------------------

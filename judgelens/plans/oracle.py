@@ -562,7 +562,7 @@ QUALIFY row_number() OVER (PARTITION BY run_id, tag ORDER BY tagged_at DESC, ste
   CASE WHEN req_tag IS NOT NULL THEN tt.step WHEN req_step IS NOT NULL THEN req_step ELSE bt.step END AS step
 FROM req q LEFT JOIN t tt ON tt.run_id = q.run_id AND tt.tag = q.req_tag
 LEFT JOIN t bt ON bt.run_id = q.run_id AND bt.tag = 'best'""")],
-    f"""SELECT res.run_id, resolved_by, CAST(res.step AS BIGINT) AS step,
+    f"""SELECT res.run_id, resolved_by, CAST(coalesce(res.step, -1) AS BIGINT) AS step,
   CASE WHEN v.run_id IS NULL THEN 'missing' ELSE 'found' END AS status, {r('v.val_loss', 'val_loss')}
 FROM res LEFT JOIN versions v ON v.run_id = res.run_id AND v.step = res.step""")
 

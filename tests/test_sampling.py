@@ -56,3 +56,18 @@ def test_gather_batch(spark):
     got = sampling.gather_batch(b, samples, epoch=0, batch_no=2).toPandas()
     assert len(got) == 10 and set(got.response) == {f"r{i}" for i in got.sample_id}
     assert sorted(got.position) == list(range(20, 30))
+
+
+@pytest.mark.parametrize("path", ["window", "ranged"])
+def test_global_sampling_plans_no_pair_join(spark, request, path):
+    if path == "ranged":
+        request.getfixturevalue("hot_keys")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = _scores(spark, 60)
+        batches = sampling.epoch_batches(df, batch_size=10, epochs=2)
+        for out in (sampling.train_val_split(df), sampling.score_strata(df), batches, sampling.epoch_progress(batches)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
