@@ -13,6 +13,7 @@ from ..functions.exprs import (CLIP_DIFF_CHARS, CLIP_LOG_CHARS, VERSION_METRIC_L
                                VERSION_RATIONALE, VERSION_SUMMARY, VERSION_TITLE, VERSION_TRAIN_LOSS,
                                VERSION_VAL_LOSS, clip_text)
 from ..session import cut_lineage
+from .keys import join_on
 
 
 def section_classes(sections: DataFrame) -> DataFrame:
@@ -25,6 +26,14 @@ def get_section(sections: DataFrame, prompt_id, section: str) -> DataFrame:
     return sections.filter((F.col("prompt_id") == F.lit(prompt_id)) & (F.col("section") == F.lit(section)))
 
 
+def lookup_sections(sections: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each request ``(prompt_id, version, section, ...)`` the content of that section and whether
+    it exists; a request for what does not exist keeps its row, with NULL content."""
+    at = sections.select("prompt_id", "version", "section", "content", F.lit(True).alias("found"))
+    out = join_on(requests, at, ["prompt_id", "version", "section"], "left")
+    return out.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def render_prompt(sections: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``## name`` / content / blank line per section in ``pos`` order, joined by newlines."""
     keys = keys or ["prompt_id", "version"]

@@ -144,9 +144,11 @@ def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFra
         F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(F.col("seen") / F.col("_n")).alias("progress"))
 
 
-def gather_batch(batches: DataFrame, samples: DataFrame, epoch: int, batch_no: int,
+def gather_batch(batches: DataFrame, samples: DataFrame, epoch: int, batch_no: int | None = None,
                  id_col: str = "sample_id") -> DataFrame:
-    """The sample rows (e.g. responses and human scores) of one batch: an equi-join on the id,
-    replacing lookup by array position. The batch side is filtered before the join."""
-    chosen = batches.filter((F.col("epoch") == F.lit(epoch)) & (F.col("batch_no") == F.lit(batch_no)))
-    return samples.join(chosen.select(id_col, "position", "stratum"), id_col)
+    """The sample rows (e.g. responses and human scores) of one batch, or of all batches of an epoch:
+    an equi-join on the id, replacing lookup by array position. The batch side is filtered before the join."""
+    chosen = batches.filter(F.col("epoch") == F.lit(epoch))
+    if batch_no is not None:
+        chosen = chosen.filter(F.col("batch_no") == F.lit(batch_no))
+    return samples.join(chosen.select(id_col, "batch_no", "position", "stratum"), id_col)

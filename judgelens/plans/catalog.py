@@ -7,8 +7,10 @@ both sides so that summation order cannot change the comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +18,11 @@ from pyspark.sql import types as T
 from ..functions.exprs import round_half_up
 from ..operators import audit, metrics, monitor, prompts, ranking, samples, sampling, scoring
 from ..operators.prefix import Running, running
+from ..session import ensure_checkpoint_dir
 from ..sources import scored_files, synthetic
 from ..sources.tables import table
 from ..streaming import drift
+from ..streaming.monitor_stream import monitor_stream
 from . import fixtures as fx
 
 GROUP = ["source", "prompt_version"]
@@ -30,6 +34,11 @@ def r6(df: DataFrame) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # ---- metrics ------------------------------------------------------------------------------
 
 def q_error_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +130,11 @@ def q_epoch_batches(spark, d):
     return r6(_batches(spark, d))
 
 
+def q_gather_batches(spark, d):
+    g = sampling.gather_batch(_batches(spark, d), fx.strata_samples(spark, d), epoch=1)
+    return r6(g.select("sample_id", "human_score", "batch_no", "position", "stratum"))
+
+
 def q_epoch_progress(spark, d):
     return r6(sampling.epoch_progress(_batches(spark, d)))
 
@@ -146,16 +160,36 @@ def q_prompt_version_compare(spark, d):
 
 # ---- scoring ------------------------------------------------------------------------------
 
-def q_self_consistency(spark, d):
+def _consistency(spark, d):
     r = fx.responses(spark, d).withColumn("prompt_version", F.explode(F.array(F.lit(1), F.lit(2))))
 
     def scorer(rep):
         return scoring.length_judge(F.col("response"), F.lit("sc"), F.col("prompt_version").cast("string"),
                                     F.col("sample_id"), rep.cast("string"))
-    sc = scoring.self_consistency(r, scorer, n_samples=3, keys=["prompt_version"])
+    return scoring.self_consistency(r, scorer, n_samples=3, keys=["prompt_version"])
+
+
+def q_self_consistency(spark, d):
+    sc = _consistency(spark, d)
     return r6(sc.select("prompt_version", "sample_id", "mean_score", "variance", "n_scores"))
 
 
+def q_mean_consistency(spark, d):
+    return r6(scoring.mean_self_consistency_variance(_consistency(spark, d), ["prompt_version"]))
+
+
+def q_batch_scores(spark, d):
+    """A plugged-in scorer that gets whole Arrow batches: the share of the prompt's words in the response."""
+
+    @F.pandas_udf("double")
+    def overlap(prompt: pd.Series, response: pd.Series) -> pd.Series:
+        words = [(set(p.split(" ")), set(r.split(" "))) for p, r in zip(prompt, response)]
+        return pd.Series([len(p & r) / len(p) for p, r in words], dtype="float64")
+
+    scored = scoring.score_responses(fx.responses(spark, d).fillna("", ["response"]), overlap)
+    return r6(scored.select("sample_id", "judge_score"))
+
+
 def q_length_judge(spark, d):
     r = fx.responses(spark, d)
     return r6(r.select("sample_id", scoring.length_judge(F.col("response"), F.lit("lj"), F.col("sample_id"))
@@ -191,6 +225,13 @@ def q_section_classes(spark, d):
     return prompts.section_classes(fx.prompt_sections(spark, d))
 
 
+def q_section_lookup(spark, d):
+    o = table(spark, d, "orders")
+    req = o.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("prompt_id"),
+                   F.lit(1).alias("version"), F.col("o_orderpriority").alias("section"))
+    return prompts.lookup_sections(fx.prompt_sections(spark, d), req)
+
+
 def q_render_prompt(spark, d):
     both = fx.prompt_sections(spark, d).unionByName(_applied(spark, d))
     return prompts.render_prompt(both)
@@ -303,11 +344,56 @@ def q_daily_score_drift(spark, d):
     h = fx.eval_history(spark, d)
     x = h.select("ts", F.col("val_loss").alias("human_score"),
                  (F.col("val_loss") + (F.col("k") - F.lit(50)) / F.lit(50.0)).alias("judge_score"))
-    return r6(drift.daily_drift(x))
+    w = drift.windowed_drift(x, width="1 day")
+    return r6(w.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end"))
+
+
+def q_stream_monitor(spark, d):
+    """The run log as a stream of files through the stateful monitor; its decisions, read back."""
+    base = scratch(spark, "stream-monitor")
+    log = fx.eval_history(spark, d).select("run_id", "step", "val_loss", "kendall_tau", "score_entropy",
+                                           "mean_self_consistency_var")
+    log.write.parquet(f"{base}/log")
+    stream = spark.readStream.schema(log.schema).parquet(f"{base}/log")
+    run = (monitor_stream(stream, patience=5).writeStream.format("parquet").outputMode("append")
+           .option("checkpointLocation", f"{base}/state").option("path", f"{base}/decisions")
+           .trigger(availableNow=True).start())
+    run.awaitTermination()
+    decisions = spark.read.parquet(f"{base}/decisions")
+    return r6(decisions.select("run_id", "step", "val_loss", "improved", "best_step", "best_loss", "counter",
+                               "n_warnings", "stop_now", "stopped", "late"))
 
 
 # ---- sources ------------------------------------------------------------------------------
 
+def q_scored_files(spark, d):
+    """Scored rows written as JSON lines, loaded again: samples with their copy number, and quarantine."""
+    path = f"{scratch(spark, 'scored-files')}/lines"
+    fx.raw_scored_rows(spark, d).select(F.to_json(F.struct("prompt", "response", "score")).alias("value")).write.text(path)
+    ok, bad = scored_files.load_scored(spark, path)
+    ok = ok.select("prompt", "response", F.col("human_score").alias("score"), F.lit("ok").alias("status"),
+                   F.substring_index("sample_id", "-", -1).cast("bigint").alias("copy"))
+    bad = bad.select("prompt", "response", "score", "status", F.lit(0).cast("bigint").alias("copy"))
+    return r6(ok.unionByName(bad))
+
+
+def q_prompt_files(spark, d):
+    """Prompts written as documents and read again, sections in order."""
+    path = f"{scratch(spark, 'prompt-files')}/prompts"
+    scored_files.write_prompt_files(fx.prompt_sections(spark, d), path)
+    return scored_files.read_prompt_lines(spark, path, id_type="bigint")[0]
+
+
+def q_run_history(spark, d):
+    """A run log saved, its even runs saved again with half the loss, and each run read as last saved."""
+    path = f"{scratch(spark, 'run-history')}/history"
+    h = fx.eval_history(spark, d).select("run_id", "step", "val_loss")
+    scored_files.write_history(h, path)
+    again = h.filter(F.col("run_id") % 2 == 0).withColumn("val_loss", F.col("val_loss") / F.lit(2.0))
+    scored_files.write_history(again, path)
+    return r6(scored_files.read_history(spark, path).select("run_id", "step", "val_loss"))
+
+
 def q_parse_required_fields(spark, d):
     raw = fx.raw_scored_rows(spark, d)
     return r6(scored_files.parse_required_fields(raw).select("sample_id", "prompt", "response", "score", "status"))

@@ -329,6 +329,8 @@ BATCHES = STRATA + [
 ]
 Q["epoch_batches"] = sql(["strata_samples"], BATCHES,
                          f"SELECT sample_id, {r('human_score', 'human_score')}, stratum, epoch, position, batch_no FROM eb")
+Q["gather_batches"] = sql(["strata_samples"], BATCHES,
+                          f"SELECT sample_id, {r('human_score', 'human_score')}, batch_no, position, stratum FROM eb WHERE epoch = 1")
 Q["epoch_progress"] = sql(["strata_samples"], BATCHES + [
     ("per", "SELECT epoch, batch_no, count(*) AS batch_rows FROM eb GROUP BY ALL"),
     ("nn", "SELECT count(*) AS n FROM eb WHERE epoch = 0"),
@@ -396,11 +398,19 @@ FROM cmp GROUP BY source""")
 # ---- scoring ------------------------------------------------------------------------------
 
 _noise_sc = md5n("'sc'", "CAST(prompt_version AS VARCHAR)", "sample_id", "CAST(rep AS VARCHAR)")
-Q["self_consistency"] = sql(["responses"], [
+CONSISTENCY = [
     ("rv", "SELECT r.*, v.prompt_version FROM responses r, (VALUES (1), (2)) v(prompt_version)"),
     ("rep", "SELECT rv.*, t.rep FROM rv, range(1, 4) t(rep)"),
     ("sc", f"""SELECT prompt_version, sample_id,
-  least(10e0, greatest(1e0, length(response) / 20e0 + 5e0 + {_noise_sc})) AS s FROM rep""")],
+  least(10e0, greatest(1e0, length(response) / 20e0 + 5e0 + {_noise_sc})) AS s FROM rep""")]
+Q["mean_consistency"] = sql(["responses"], CONSISTENCY + [
+    ("per", "SELECT prompt_version, sample_id, var_pop(s) AS variance FROM sc GROUP BY ALL")],
+    f"SELECT prompt_version, {r('avg(variance)', 'mean_self_consistency_var')} FROM per GROUP BY 1")
+_words = "list_distinct(string_split(prompt, ' '))"
+Q["batch_scores"] = sql(["responses"], [], f"""SELECT sample_id,
+  {r(f"len(list_intersect({_words}, string_split(coalesce(response, ''), ' '))) / CAST(len({_words}) AS DOUBLE)", 'judge_score')}
+FROM responses""")
+Q["self_consistency"] = sql(["responses"], CONSISTENCY,
     f"""SELECT prompt_version, sample_id, {r('avg(s)', 'mean_score')}, {r('var_pop(s)', 'variance')},
   count(s) AS n_scores FROM sc GROUP BY ALL""")
 
@@ -506,6 +516,11 @@ FROM st LEFT JOIN kept USING (prompt_id) LEFT JOIN fe USING (prompt_id)""")],
     AS opti_direction FROM fb""")
 Q["section_classes"] = sql(["prompt_sections"], [], """SELECT prompt_id, version, pos, section, is_meta,
   NOT is_meta AS is_editable FROM prompt_sections""")
+Q["section_lookup"] = sql(["prompt_sections"], [], """SELECT o_orderkey AS request_id, o_custkey AS prompt_id, 1 AS version,
+  o_orderpriority AS section, s.content, s.section IS NOT NULL AS found
+FROM orders LEFT JOIN prompt_sections s ON s.prompt_id = o_custkey AND s.section = o_orderpriority""")
+Q["prompt_files"] = sql(["prompt_sections"], [],
+                        "SELECT prompt_id, version, pos, section, content, is_meta FROM prompt_sections")
 Q["apply_edits"] = sql(_PF, APPLIED, "SELECT prompt_id, version, pos, section, content, is_meta FROM applied")
 Q["applied_edit_counts"] = sql(_PF, AUDIT + [
     ("x", """SELECT a.prompt_id, a.seq, a.section_name, a.result_action AS action, m.is_meta,
@@ -619,6 +634,12 @@ Q["early_stop_trace"] = sql(["eval_history"], WARN + _STEPS + [
     ("a", f"""SELECT *, min(l) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb,
   row_number() OVER ({_W}) AS rn FROM h0"""),
     ("b", "SELECT *, (l IS NOT NULL AND (bb IS NULL OR l < bb)) AS improved FROM a")] + _STOP, _TRACE)
+Q["stream_monitor"] = sql(["eval_history"], WARN + _STEPS + [
+    ("a", f"""SELECT *, min(l) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb,
+  row_number() OVER ({_W}) AS rn FROM h0"""),
+    ("b", "SELECT *, (l IS NOT NULL AND (bb IS NULL OR l < bb)) AS improved FROM a")] + _STOP + [
+    ("trace", _TRACE)], """SELECT t.run_id, t.step, t.val_loss, t.improved, t.best_step, t.best_loss, t.counter,
+  w.n_warnings, t.stop_now, t.stopped, false AS late FROM trace t JOIN warnings w USING (run_id, step)""")
 # The best loss as a fold over each run's losses in order: element i is the best after row i.
 Q["early_stop_min_delta"] = sql(["eval_history"], WARN + _STEPS + [
     ("li", """SELECT run_id, list_prepend(CAST('inf' AS DOUBLE), list(coalesce(l, CAST('inf' AS DOUBLE)) ORDER BY step)) AS ls
@@ -647,6 +668,15 @@ Q["parse_required_fields"] = sql(["raw_scored_rows"], [
     f"""SELECT sample_id, coalesce(prompt, '') AS prompt, response,
   {r("CASE WHEN status = 'ok' THEN TRY_CAST(score AS DOUBLE) END", 'score')}, status FROM st""")
 
+Q["scored_files"] = sql(["raw_scored_rows"], [
+    ("st", """SELECT coalesce(prompt, '') AS prompt, response, TRY_CAST(score AS DOUBLE) AS score,
+  CASE WHEN response IS NULL THEN 'missing_response' WHEN score IS NULL THEN 'missing_score'
+  WHEN TRY_CAST(score AS DOUBLE) IS NULL THEN 'bad_score' ELSE 'ok' END AS status FROM raw_scored_rows""")],
+    f"""SELECT prompt, response, {r("CASE WHEN status = 'ok' THEN score END", 'score')}, status,
+  CASE WHEN status = 'ok' THEN row_number() OVER (PARTITION BY prompt, response, score, status) ELSE 0 END AS copy FROM st""")
+Q["run_history"] = sql(["eval_history"], [], f"""SELECT run_id, step,
+  {r('CASE WHEN run_id % 2 = 0 THEN val_loss / 2e0 ELSE val_loss END', 'val_loss')} FROM eval_history""")
+
 _uc, _ur, _us = (md5u(repr(s), "CAST(sample_id AS VARCHAR)") for s in ("class", "repeat", "score"))
 Q["synthetic_scores"] = sql(["responses"], [
     ("u", f"SELECT sample_id, {_uc} AS uc, {_ur} AS ur, {_us} AS us FROM responses"),

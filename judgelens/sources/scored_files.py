@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.keys import join_on
+from ..operators.prefix import Running, running
+
 
 def read_scored_lines(spark: SparkSession, path: str, prompt_field: str = "prompt",
                       response_field: str = "response", score_field: str = "score") -> DataFrame:
@@ -45,11 +48,21 @@ def parse_required_fields(raw: DataFrame, prompt_field: str = "prompt", response
 
 
 def load_scored(spark: SparkSession, path: str, **fields) -> tuple[DataFrame, DataFrame]:
-    """(samples, quarantine) from a JSON-lines path; samples get a stable ``sample_id``."""
+    """(samples, quarantine) from a JSON-lines path.
+
+    ``sample_id`` is the md5 of prompt, response and score, a dash, and the number of the copy (from
+    1) among equal lines: every line has its own id, and ids do not change when files move or are
+    cut differently. Copies are numbered by :func:`running`, so a line that fills a third of the
+    input is spread over many tasks.
+    """
     parsed = parse_required_fields(read_scored_lines(spark, path, **fields), **fields)
-    ok = parsed.filter(F.col("status") == "ok")
-    samples = ok.select(F.xxhash64("file_path", "prompt", "response", "score").alias("sample_id"),
-                        "prompt", "response", F.col("score").alias("human_score"))
+    content = F.md5(F.to_json(F.struct("prompt", "response", "score")))
+    ok = parsed.filter(F.col("status") == "ok").select(
+        content.alias("_content"), "prompt", "response", F.col("score").alias("human_score"),
+        F.lit(1.0).alias("_one"), F.monotonically_increasing_id().alias("_at"))
+    ok = running(ok, ["_content"], ["_at"], [Running("_copy", "sum", "_one")])
+    samples = ok.select(F.concat_ws("-", "_content", F.col("_copy").cast("bigint")).alias("sample_id"),
+                        "prompt", "response", "human_score")
     quarantine = parsed.filter(F.col("status") != "ok")
     return samples, quarantine
 
@@ -69,7 +82,12 @@ def read_prompt_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     exist, is quarantined with the reason.
     """
     files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("prompt_id"), F.col("value").alias("raw"))
+        F.col("_metadata.file_path").alias("prompt_id"), F.lit(1).alias("version"), F.col("value").alias("raw"))
+    return parse_prompts(files)
+
+
+def parse_prompts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, quarantine) of prompt documents ``(prompt_id, version, raw)``."""
     p = files.withColumn("_obj", F.from_json("raw", PROMPT_SCHEMA)).withColumn(
         "_order", F.json_object_keys(F.get_json_object("raw", "$.sections")))
     has_meta = F.col("_obj.meta_sections").isNotNull()
@@ -83,11 +101,11 @@ def read_prompt_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
               .when(unknown, "unknown_meta_section"))
     p = p.withColumn("reason", reason).withColumn("_meta", meta)
     good = p.filter(F.col("reason").isNull())
-    sections = (good.select("prompt_id", "_obj", "_meta", F.posexplode("_order").alias("pos", "section"))
-                .select("prompt_id", F.lit(1).alias("version"), (F.col("pos") + 1).cast("int").alias("pos"),
+    sections = (good.select("prompt_id", "version", "_obj", "_meta", F.posexplode("_order").alias("pos", "section"))
+                .select("prompt_id", "version", (F.col("pos") + 1).cast("int").alias("pos"),
                         "section", F.col("_obj.sections")[F.col("section")].alias("content"),
                         F.array_contains("_meta", F.col("section")).alias("is_meta")))
-    return sections, p.filter(F.col("reason").isNotNull()).select("prompt_id", "raw", "reason")
+    return sections, p.filter(F.col("reason").isNotNull()).select("prompt_id", "version", "raw", "reason")
 
 
 def prompt_documents(sections: DataFrame) -> DataFrame:
@@ -101,11 +119,34 @@ def prompt_documents(sections: DataFrame) -> DataFrame:
 
 
 def write_prompt_files(sections: DataFrame, path: str) -> None:
-    """Write prompts as JSON text (UTF-8, not ASCII-escaped), one directory per prompt id."""
-    prompt_documents(sections).select(F.col("json").alias("value"), "prompt_id").write.mode(
-        "overwrite").partitionBy("prompt_id").text(path)
+    """Write prompts as JSON lines ``{prompt_id, version, prompt}`` (UTF-8, not ASCII-escaped), where
+    ``prompt`` is the document as text: many prompts to a file, no folder per prompt."""
+    line = F.to_json(F.struct("prompt_id", "version", F.col("json").alias("prompt")))
+    prompt_documents(sections).select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_prompt_lines(spark: SparkSession, path: str, id_type: str = "string") -> tuple[DataFrame, DataFrame]:
+    """(sections, quarantine) of what :func:`write_prompt_files` wrote. A line that is no such object
+    is quarantined as a whole, without id."""
+    schema = f"prompt_id {id_type}, version int, prompt string"
+    rows = spark.read.text(path).select("value", F.from_json("value", schema).alias("_l"))
+    return parse_prompts(rows.select("_l.prompt_id", "_l.version",
+                                     F.coalesce("_l.prompt", "value").alias("raw")))
+
+
+def write_history(history: DataFrame, path: str, run: str = "run_id", buckets: int = 64) -> None:
+    """Append training history rows with the time of saving, in ``buckets`` folders by the run's hash.
+
+    Rows of other runs, and earlier savings of the same run, stay; :func:`read_history` shows each
+    run as last saved. All rows of one call carry one time.
+    """
+    saved = history.withColumns({"saved_at": F.current_timestamp(),
+                                 "run_bucket": F.pmod(F.xxhash64(run), F.lit(buckets))})
+    saved.write.mode("append").partitionBy("run_bucket").parquet(path)
 
 
-def write_history(history: DataFrame, path: str, fmt: str = "json") -> None:
-    """Training history rows, partitioned by run."""
-    history.write.mode("overwrite").partitionBy("run_id").format(fmt).save(path)
+def read_history(spark: SparkSession, path: str, run: str = "run_id") -> DataFrame:
+    """Each run's rows as last saved."""
+    rows = spark.read.parquet(path).drop("run_bucket")
+    last = rows.groupBy(run).agg(F.max("saved_at").alias("saved_at"))
+    return join_on(rows, last, [run, "saved_at"], "left_semi")

@@ -1,6 +1,6 @@
 """Judge drift over time: bias, MAE and judge-score spread per tumbling event-time window.
 
-The same aggregation runs in batch (:func:`daily_drift`) and as a stream
+The same aggregation runs in batch (:func:`windowed_drift`) and as a stream
 (:func:`drift_stream`), where a watermark bounds the state kept for late rows.
 """
 
@@ -16,11 +16,13 @@ def _drift_aggs(human: str, judge: str):
             F.stddev_pop(judge).alias("judge_std")]
 
 
-def daily_drift(df: DataFrame, ts: str = "ts", human: str = "human_score", judge: str = "judge_score",
+def windowed_drift(df: DataFrame, ts: str = "ts", human: str = "human_score", judge: str = "judge_score",
                 width: str = "1 day", keys: list[str] | None = None) -> DataFrame:
+    """One row per window of ``width`` and keys: its start and end, and the drift figures."""
     keys = list(keys or [])
     g = df.groupBy(F.window(ts, width).alias("w"), *keys).agg(*_drift_aggs(human, judge))
-    return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), *keys, "n", "bias", "mae", "judge_std")
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys,
+                    "n", "bias", "mae", "judge_std")
 
 
 def drift_stream(stream: DataFrame, ts: str = "ts", human: str = "human_score", judge: str = "judge_score",

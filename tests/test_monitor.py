@@ -116,3 +116,29 @@ def test_min_delta_recurrence_in_batch(spark, request, path):
     assert len(m) == len(pdf)
     for c in ["improved", "best_step", "counter", "stop_now", "stopped"]:
         assert (m[c].astype("int64") == m[c + "_g"].astype("int64")).all(), c
+
+
+def test_stream_takes_string_runs_flags_late_rows_and_ends_idle_runs(spark, tmpdir_path):
+    pdf = pd.DataFrame({"who": "run a", "step": [1, 2, 2, 3], "val_loss": [3.0, 2.0, 2.5, 1.0], "kendall_tau": 0.1,
+                        "score_entropy": 1.0, "mean_self_consistency_var": 0.0,
+                        "ts": pd.to_datetime(["2024-01-01"] * 4)})
+    src, out = (os.path.join(tmpdir_path, n) for n in ("evals", "out"))
+
+    def batch(rows):
+        spark.createDataFrame(rows).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+        q = (monitor_stream(stream, run="who", ts="ts", watermark="1 hour", idle_hours=24).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", os.path.join(tmpdir_path, "ckpt"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        return spark.read.parquet(out).toPandas()
+
+    first = batch(pdf.iloc[[0, 1, 3]])
+    assert set(first.run_id) == {"run a"} and not first.late.any()
+    second = batch(pdf.iloc[[2]])
+    assert second[second.late][["step", "n_late", "best_loss"]].values.tolist() == [[2, 1, 1.0]]
+    batch(pdf.iloc[[3]].assign(who="run b", ts=pd.Timestamp("2024-02-01")))
+    batch(pdf.iloc[[3]].assign(who="run b", step=4, ts=pd.Timestamp("2024-02-02")))
+    again = batch(pdf.iloc[[0]].assign(step=1, val_loss=9.0, ts=pd.Timestamp("2024-02-02")))
+    fresh = again[(again.run_id == "run a") & (again.val_loss == 9.0)]
+    assert fresh[["late", "counter", "best_loss"]].values.tolist() == [[False, 0, 9.0]]

@@ -87,7 +87,7 @@ def test_prompt_round_trip_and_version_table(spark, tmpdir_path):
         "content": ["评分 rules", "1-10", "Score: n"], "is_meta": [False, True, True]}))
     out = os.path.join(tmpdir_path, "prompt_out")
     scored_files.write_prompt_files(sections, out)
-    back, quarantine = scored_files.read_prompt_files(spark, out)
+    back, quarantine = scored_files.read_prompt_lines(spark, out)
     b = back.toPandas().sort_values("pos")
     assert b.section.tolist() == ["Criteria", "Scale", "Format"]
     assert b.content.tolist() == ["评分 rules", "1-10", "Score: n"] and b.is_meta.tolist() == [False, True, True]
@@ -99,3 +99,38 @@ def test_prompt_round_trip_and_version_table(spark, tmpdir_path):
     prompts.append_versions(v, table)
     prompts.append_versions(v.selectExpr("run_id", "step + 10 AS step", "val_loss"), table)
     assert sorted(r.step for r in spark.read.parquet(table).collect()) == [5, 10, 15, 20]
+
+
+def test_equal_lines_keep_ids_of_their_own(spark, tmpdir_path, hot_keys):
+    line = '{"prompt": "p", "response": "r", "score": 2}\n'
+    ids = []
+    for d, names in (("a", ["x.jsonl"]), ("b", ["y.jsonl", "z.jsonl"])):
+        os.makedirs(os.path.join(tmpdir_path, d))
+        for name in names:
+            with open(os.path.join(tmpdir_path, d, name), "w") as f:
+                f.write(line * (20 // len(names)))
+        s, _ = scored_files.load_scored(spark, os.path.join(tmpdir_path, d))
+        ids.append(sorted(r.sample_id for r in s.collect()))
+    assert len(set(ids[0])) == 20 and ids[0] == ids[1]      # also after moving and cutting the files
+
+
+def test_history_keeps_other_runs(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "history")
+    h = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.4), ("b", 1, 0.9)], "run_id string, step long, val_loss double")
+    scored_files.write_history(h.filter("run_id = 'a'"), path)
+    scored_files.write_history(h.filter("run_id = 'b'"), path)
+    scored_files.write_history(h.filter("step = 1 AND run_id = 'a'"), path)
+    got = sorted((r.run_id, r.step) for r in scored_files.read_history(spark, path).collect())
+    assert got == [("a", 1), ("b", 1)]
+
+
+def test_prompt_versions_and_bad_lines(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "prompts")
+    rows = [("p", v, i, n, f"{n}{v}", n == "S") for v in (1, 2) for i, n in ((1, "C"), (2, "S"))]
+    sections = spark.createDataFrame(rows, "prompt_id string, version int, pos int, section string, content string, is_meta boolean")
+    scored_files.write_prompt_files(sections, out)
+    with open(os.path.join(out, "more.txt"), "w") as f:
+        f.write("no json\n")
+    back, bad = scored_files.read_prompt_lines(spark, out)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert [(r.prompt_id, r.raw, r.reason) for r in bad.collect()] == [(None, "no json", "invalid_json")]
