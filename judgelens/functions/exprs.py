@@ -53,14 +53,18 @@ VERSION_RATIONALE = "Modification Rationale:"
 # ---------------------------------------------------------------------------------------------
 
 
+#: The characters that ``str.strip()`` removes: all that Python calls whitespace (none lies above U+3000).
+STRIP_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def clip_text(c: Column, n: int) -> Column:
     """First ``n`` characters plus ``...`` when longer, else unchanged."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(c, r"\A[" + PY_SPACE + r"]+|[" + PY_SPACE + r"]+\z", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode whitespace (linear in the text)."""
+    return F.btrim(c, F.lit(STRIP_CHARS))
 
 
 def md5_unit(*parts: Column | str) -> Column:

@@ -81,3 +81,11 @@ def test_audit_rules(spark):
     assert a.stage1_reason.tolist()[:5] == ["missing_fields", "invalid_action", "lr_threshold", "meta_section",
                                             "missing_direction"]
     assert pd.isna(a.stage1_reason.iloc[5]) and bool(a.applied.iloc[5])
+
+
+def test_strip_equals_python(spark):
+    from judgelens.functions.exprs import STRIP_CHARS, py_strip
+    texts = [None, "", " ", STRIP_CHARS, f"{STRIP_CHARS}a {STRIP_CHARS} b{STRIP_CHARS}", "\u200b x \u200b", "评 分\u3000",
+             "a" + " " * 5000 + "b \x85"] + [c + "x" + c for c in STRIP_CHARS]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", py_strip(F.col("t")).alias("t"))
+    assert [r.t for r in df.orderBy("i").collect()] == [t if t is None else t.strip() for t in texts]
