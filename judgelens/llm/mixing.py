@@ -6,8 +6,10 @@ finishes at virtual time (words the source has given so far) / target. Sorting e
 virtual finish time interleaves the sources in proportion to their targets, and the stream is cut
 where its words reach the total budget.
 
-Nothing is collected and no window holds a whole source: running sums are taken in two levels, over
-hash buckets of a few thousand rows and then over the bucket totals.
+Nothing is collected and no window holds a whole source: running sums within a source are taken in
+two levels, over hash buckets of a few thousand rows and then over the bucket totals. The services are
+range-partitioned and sorted by virtual finish time; their running words are taken within each range
+and over the range totals.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from judgelens.operators.prefix import Running, running
+from judgelens.session import cut_lineage
+
 #: Rows that a bucket of the two-level running sums holds on average.
 ROWS_PER_BUCKET = 2000
 #: How often a document may be taken at most.
@@ -65,15 +70,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
             .select("source", "source_size", "n_docs", target.alias("target")))
 
 
-def fair_queue(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS,
-               seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def fair_queue(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix",
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None) -> DataFrame:
     """Every document with its place in the mix.
 
     Returns one row per row of ``docs``: doc_id, source, size, source_size, target, taken (words
     the mix takes from it, repeats counted), starts (words its source gives before it in one round),
     and services: an array, one entry per time that it is served, of (virtual_finish, words).
-    Virtual time 1 is where the words served reach the total budget (the sum of the targets); the
-    service running then gives its words up to the cut, so each source gives its target rounded down.
+    The services of all sources are sorted by virtual finish time, and the mix ends where its words
+    reach ``budget``: by default the sum of the targets, each rounded down, which is virtual time 1.
+    The service running in a source at virtual time 1 is two, parted there, so each source gives its
+    target rounded down.
 
     Null texts and texts without a word have size 0 and are never served. Null sources are one
     source. Rows with equal ids come in an order fixed by size; equal rows are interchangeable.
@@ -81,7 +88,8 @@ def fair_queue(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: i
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"))
-    base = base.withColumn("k", shuffle_key(F.col("doc_id"), seed))
+    # read by the targets, the running sums and the services; texts are read once
+    base = cut_lineage(base.withColumn("k", shuffle_key(F.col("doc_id"), seed)))
     targets = source_targets(base, weights, max_repeats)
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_BUCKET)).cast("long")
     # the bucket follows the shuffled order, so earlier buckets hold earlier documents
@@ -90,20 +98,37 @@ def fair_queue(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: i
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(
         Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    order = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size")
+    placed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.withColumn("nth", F.row_number().over(order))
     placed = _null_safe_join(placed, offsets, "source", "bucket").withColumn("starts", F.col("inner") + F.col("offset"))
+    total = targets.agg(F.sum(F.floor("target").cast("long")).alias("budget")) if budget is None else docs.sparkSession.range(1).select(F.lit(int(budget)).cast("long").alias("budget"))
+    row = ["doc_id", "source", "bucket", "nth", "size", "source_size", "target", "starts"]
+    return (_served(placed, total, max_repeats).groupBy(*row)
+            .agg(F.sum("words").cast("long").alias("taken"),
+                 F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct("virtual_finish", "words")))).alias("services"))
+            .select("doc_id", "source", "size", "source_size", "target", "taken", "starts", "services"))
+
+
+def _served(placed: DataFrame, total: DataFrame, max_repeats: int) -> DataFrame:
+    """``placed`` with a row per service, of virtual_finish and words: what is left of it by the cut
+    where the words of all services, sorted by virtual finish time over all sources, reach the budget.
+    Documents of size 0 have one row without words."""
 
-    def service(i: Column) -> Column:
+    def parts(i: Column) -> Column:
         start = i.cast("long") * F.col("source_size") + F.col("starts")
-        words = F.least(F.col("size"), F.floor(F.col("target")).cast("long") - start)
-        return F.struct(((start + words) / F.col("target")).alias("virtual_finish"), words.alias("words"))
-
-    rounds = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), service)
-    served = F.when(F.col("size") > 0, F.filter(rounds, lambda s: s["words"] > 0)).otherwise(F.filter(rounds, lambda s: F.lit(False)))
-    out = placed.withColumn("services", served)
-    taken = F.aggregate("services", F.lit(0).cast("long"), lambda acc, s: acc + s["words"])
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "starts", "services")
+        first = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")).cast("long") - start))
+        return F.array(F.struct((start + first).alias("finish"), first.alias("words")),
+                       F.struct((start + F.col("size")).alias("finish"), (F.col("size") - first).alias("words")))
+
+    rounds = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), parts))
+    services = placed.withColumn("s", F.explode_outer(F.filter(rounds, lambda s: s["words"] > 0))).select(
+        *placed.columns, F.try_divide(F.col("s.finish").cast("double"), F.col("target")).alias("virtual_finish"), F.col("source").isNull().alias("unnamed"),
+        F.col("s.finish").alias("finish"), F.coalesce("s.words", F.lit(0)).cast("long").alias("all_words"))
+    # virtual time and source name a service; k spreads the rows without words
+    before = running(services, [], ["virtual_finish", "unnamed", "source", "finish", "k"], [Running("before", "sum", "all_words", inclusive=False)], small=False)
+    left = F.greatest(F.lit(0), F.col("budget") - F.col("before").cast("long"))
+    return before.crossJoin(F.broadcast(total)).withColumn("words", F.least(F.col("all_words"), left))
 
 
 def mix_stream(queue: DataFrame) -> DataFrame:

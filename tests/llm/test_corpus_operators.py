@@ -61,6 +61,28 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mix_is_cut_in_the_order_of_all_sources(spark):
+    rng = np.random.RandomState(6)
+    rows = [(i, " ".join("w" * rng.randint(0, 20)), ["a", None, "c"][min(2, rng.randint(9))]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    whole = mixing.fair_queue(docs).collect()
+    services = []
+    for r in whole:
+        for i in range(mixing.MAX_REPEATS):
+            start, quota = i * r["source_size"] + r["starts"], math.floor(r["target"])
+            cut = min(max(quota, start), start + r["size"])
+            services += [(e / r["target"], r["source"] is None, r["source"] or "", e, e - b, r["doc_id"]) for b, e in ((start, cut), (cut, start + r["size"])) if e > b]
+    everything = sum(math.floor(t) for t in {r["source"]: r["target"] for r in whole}.values())
+    for budget in (None, 0, 1, 500, everything - 1, everything + 40):
+        left, exp = everything if budget is None else budget, dict.fromkeys(range(300), 0)
+        for *_, words, doc_id in sorted(services):
+            exp[doc_id] += min(words, left)
+            left -= min(words, left)
+        got = mixing.fair_queue(docs, budget=budget).collect()
+        assert {r["doc_id"]: r["taken"] for r in got} == exp
+        assert all(r["taken"] == sum(s["words"] for s in r["services"]) for r in got)
+
+
 def grams(text):
     words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else {text})
