@@ -38,7 +38,15 @@ _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# the head of an account number, and ahead of it all that could belong to it
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+#: Characters of an account number by country (ISO 13616).
+IBAN_LENGTHS = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for code in codes.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[A-Z0-9]{20})(?![A-Za-z0-9])")
 _WORD = re.compile(r"[a-z]+")
@@ -77,6 +85,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: the length that the country fixes, for other codes the longest of 15 to 34
+    characters, that ends a word and meets the checksum, whatever words and numbers follow."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        places = [i for i in range(m.start(), m.end(1)) if text[i] != " "]  # of the characters
+        fixed = IBAN_LENGTHS.get(m[0][:2])
+        for n in (fixed,) if fixed else range(len(places), 14, -1):
+            if n <= len(places) and not _ALNUM.match(text, end := places[n - 1] + 1) and mod97(text[m.start():end].replace(" ", "")):
+                yield m.start(), end
+                done = end
+                break
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -96,9 +120,8 @@ def propose(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    for s, e in _ibans(text):
+        yield "iban", s, e
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()

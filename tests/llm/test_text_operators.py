@@ -295,6 +295,20 @@ def test_checksums_and_context():
     assert pii.redact("a b@c.de f", pii.spans_of("a b@c.de f")) == "a [EMAIL] f"
 
 
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+@pytest.mark.parametrize("after", ["", " now", " BIC COBADEFFXXX", " EUR", " 100 EUR", " 2024 A", ".", " DE89 3704 0044 0532 0130 01"])
+def test_account_numbers_before_capitals_and_numbers(iban, after):
+    text = f"REF AB12 3456 7890 1234 IBAN {iban}{after}"
+    spans = [text[s:e] for k, s, e in pii.propose(text) if k == "iban"]
+    assert spans == [iban]
+    assert not [k for k, _, _ in pii.propose(f"IBAN {iban[:-1]}{(int(iban[-1]) + 1) % 10 if iban[-1].isdigit() else 'T'}{after}") if k == "iban"]
+
+
+def test_account_numbers_of_unlisted_codes_end_at_a_group():
+    text = next(t for c in range(100) if pii.mod97((t := f"ZZ{c:02} 1234 5678 9012 3456").replace(" ", "")))
+    assert [text[s:e] for k, s, e in pii.propose(f"{text} USD") if k == "iban"] == [text]
+
+
 def test_long_runs_stay_linear():
     for text in ("a" * 400_000 + "@", "1" * 400_000, "1.1.1" * 80_000, "a@" * 100_000, "+1" + "-" * 300_000, "A1" * 200_000):
         pii.spans_of(text)
