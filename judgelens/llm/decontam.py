@@ -6,7 +6,9 @@ term in each block. An item's threshold is a share of its own BM25 score, and im
 divided by it, so a window meets an item at 1. For a window the block maxima of its terms add up to an
 upper bound; blocks whose bound stays below 1 are skipped, only the others are scored, and all
 windows above a threshold are retrieved. A
-retrieved pair is verified by the n-grams of the item's question and answer parts that the window has.
+retrieved pair is verified by what the window has of the item's question and of its answer, or of the
+whole item if no answer is marked: the share of its n-grams or, if larger, of the words that are left
+by the fewest edits.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from judgelens.llm.common import batched, text_rows
 K1, B, MIN_SHARE = 1.2, 0.75, 0.6
 #: Items in a block of a postings list at least; more where the table of block maxima would pass MAX_CELLS.
 BLOCK_ITEMS, MAX_CELLS = 4, 1 << 24
-#: Words in an n-gram of the check; shares of question and answer n-grams that a window must hold.
+#: Words in an n-gram of the check; shares of question and answer that a window must hold.
 GRAM, MIN_QUESTION, MIN_ANSWER = 3, 0.6, 0.6
 #: Words of half a window at least; windows start at every half, so items up to that length lie within one.
 HALF = 64
@@ -41,15 +43,27 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """The words of an item's question and answer: parted behind the last question mark that words
-    follow, else before the last fifth of the words (one at least)."""
+def question_and_answer(text: str) -> tuple[list[str], ...]:
+    """The words of an item's question and answer, parted behind the last question mark that words
+    follow; an item without a marked answer is one part."""
     head, mark, tail = text.rpartition("?")
     if mark and words_of(tail) and words_of(head):
         return words_of(head), words_of(tail)
-    w = words_of(text)
-    cut = len(w) - max(1, len(w) // 5)
-    return w[:cut], w[cut:]
+    return (words_of(text),)
+
+
+def share_in_order(part: list[str], words: list[str]) -> float:
+    """1 less the fewest edits (a word replaced, added or left out) that turn ``part`` into any stretch
+    of ``words``, as a share of the part's words: an edit costs one word, not the n-grams around it."""
+    name = {w: k for k, w in enumerate(part)}
+    have = np.array([name.get(w, -1) for w in words], np.int64)
+    at = np.arange(len(words) + 1)
+    edits = np.zeros(len(words) + 1, np.int64)  # of the part so far, against the stretches that end here
+    for w in part:
+        step = edits + 1
+        np.minimum(step[1:], edits[:-1] + (have != name[w]), out=step[1:])
+        edits = np.minimum.accumulate(step - at) + at
+    return 1 - int(edits.min()) / len(part)
 
 
 class Index:
@@ -121,14 +135,18 @@ class Index:
         return [(int(c // self.n), int(c % self.n), float(s * self.threshold[c % self.n])) for c, s in zip(cells[good], share[good])]
 
     def verify(self, words: list[str], item: int) -> tuple[float, float]:
-        """Shares of the n-grams of the item's question and answer that the window's words hold."""
-        shares = []
-        for part in self.parts[item]:
+        """Shares of the item's question and answer that the window's words hold; of an item in one
+        part, its share as both. In-order shares are worked out where they can reach the threshold."""
+        shares, held = [], set(words)
+        for part, least in zip(self.parts[item], (MIN_QUESTION, MIN_ANSWER)):
             g = min(GRAM, len(part))
             have = {tuple(words[i:i + g]) for i in range(len(words) - g + 1)} if g else set()
             want = [tuple(part[i:i + g]) for i in range(len(part) - g + 1)] if g else []
-            shares.append(sum(x in have for x in want) / len(want) if want else 1.0)
-        return shares[0], shares[1]
+            share = sum(x in have for x in want) / len(want) if want else 1.0
+            if share < 1 and sum(w in held for w in part) >= least * len(part):
+                share = max(share, share_in_order(part, words))
+            shares.append(share)
+        return shares[0], shares[-1]
 
     def matches(self, text: str | None) -> dict[int, tuple[float, float, float, float, int]]:
         """The verified items of a text: score, share of the item's own score, overlaps of question

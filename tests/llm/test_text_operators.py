@@ -195,6 +195,47 @@ def test_planted_items_and_nothing_else(spark, documents):
     assert len(got) <= len(planted) + 2
 
 
+def test_edited_items_are_found(spark):
+    """Copies of the benchmark's items with one to three words replaced, left out or added, anywhere."""
+    rng = np.random.RandomState(3)
+    plain = [r["text"] for r in spark.read.parquet(f"{MID}/benchmark.parquet").collect()]
+    plain = [t for t in plain if len(decontam.words_of(t)) >= 15][:60]
+    asked = [" ".join(w[:-7]) + "? " + " ".join(w[-7:]) for w in map(str.split, plain[:20])]
+    index = decontam.Index(list(enumerate(plain + asked)))
+    missed = tried = 0
+    for n, text in enumerate(plain + asked):
+        for edits in (1, 2, 3):
+            for kind in ("replace", "leave out", "add"):
+                words = text.split()
+                # an answer of seven words bears two replaced words: the rest go to the question
+                last = len(words) if n < len(plain) else len(words) - 7
+                for at in sorted(rng.choice(last, edits, replace=False), reverse=True):
+                    words[at:at + 1] = {"replace": ["xq"], "leave out": [], "add": [words[at], "xq"]}[kind]
+                tried += 1
+                missed += n not in index.matches("some words before " + " ".join(words) + " and some behind")
+        if n < len(plain):  # in the middle of the last fifth, which used to be the answer
+            words = text.split()
+            words[-1 - len(words) // 10] = "xq"
+            assert n in index.matches(" ".join(words))
+    assert missed <= 0.02 * tried
+
+
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), st.lists(st.sampled_from("abcd"), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_share_in_order_is_the_least_edit_distance(part, words):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            new = [i + 1]
+            for j, b in enumerate(y):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    least = min(distance(part, words[i:j]) for i in range(len(words) + 1) for j in range(i, len(words) + 1))
+    assert decontam.share_in_order(part, words) == 1 - least / len(part)
+
+
 # ---- toxicity
 
 def test_more_toxic_words_are_more_severe():
