@@ -3,9 +3,11 @@
 The prefix array H[i] = sum of (code point j + 1) * m^j for j < i, modulo a prime, answers the
 equality of any two spans with one subtraction and one multiplication, and finds the longest common
 extension of two positions by binary search. Two primes near 2^31 are used side by side. A
-fingerprint keeps the hash of the whole text and the hashes of a fixed geometric ladder of prefixes
-and suffixes, so the likeness of two texts is read from their fingerprints alone: the longest common
-prefix and suffix on the ladder, found by binary search, over the longer text.
+fingerprint keeps the hash of the whole text, the hashes of a fixed geometric ladder of prefixes
+and suffixes, and the smallest hashes of the spans of a fixed length at all places of the text. The
+likeness of two texts is read from their fingerprints alone: the longest common prefix and suffix on
+the ladder, found by binary search, or what the share of common spans says that they have in common,
+the larger, over the longer text.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PIECE = 1 << 18
 LADDER = np.array(sorted({int(2 ** (j / 4)) for j in range(128)}), np.int64)
 #: Bring the two hashes of a ladder step together in 32 bits.
 SHORTENERS = np.array((0x3C6EF372, 0x1B873593), np.int64)
+#: Code points of a span, and how many span hashes, the smallest, a fingerprint keeps.
+SPAN, KEPT_SPANS = 12, 64
 #: Bytes of text in a partition of the ordered pass, about.
 PARTITION_BYTES = 16 << 20
 #: Ranges at most: beyond, they grow instead; a range is sorted on disk and read as a stream.
@@ -155,18 +159,50 @@ def ladder_hashes(h: PrefixHashes) -> tuple[str, str, str]:
     return f"{int(whole[0]):08x}{int(whole[1]):08x}", text[:8 * len(steps)], text[8 * len(steps):]
 
 
+def span_hashes(h: PrefixHashes) -> np.ndarray:
+    """The ``KEPT_SPANS`` smallest different hashes of the text's spans, modulo the first prime, ascending."""
+    p, places, best = PRIMES[0], h.n - SPAN + 1, np.zeros(0, np.int64)
+    for low in range(0, places, PIECE):
+        n = min(PIECE, places - low)
+        if h.n <= PIECE:
+            h.at(0)
+            marks = h.held[1][0]
+            start, end = marks[:n], marks[SPAN:SPAN + n]
+        else:
+            at = np.arange(low, low + n)
+            start, end = h.at_many(at)[0], h.at_many(at + SPAN)[0]
+        # brought down by the inverse of the power at the span's start
+        v = (end - start) * h.powers.inverse_table[0, :n] % p
+        if low:
+            v = v * pow(h.powers.inverses[0], low, p) % p
+        small = np.unique(v[v < p // n * 4 * KEPT_SPANS])
+        if len(small) < KEPT_SPANS:  # a short or repetitive text
+            small = np.unique(v)
+        best = np.union1d(best, small[:KEPT_SPANS])[:KEPT_SPANS]
+    return best
+
+
 def fingerprint(h: PrefixHashes) -> str:
-    """length:hash of the whole:prefix ladder:suffix ladder. Equal texts have equal fingerprints."""
+    """length:hash of the whole:prefix ladder:suffix ladder:spans. Equal texts have equal fingerprints."""
     whole, prefixes, suffixes = ladder_hashes(h)
-    return f"{h.n}:{whole}:{prefixes}:{suffixes}"
+    return f"{h.n}:{whole}:{prefixes}:{suffixes}:{span_hashes(h).astype('>u4').tobytes().hex()}"
+
+
+def common_spans(x: str, y: str) -> float:
+    """The share of different spans of two texts that both have, from the smallest of both together."""
+    a, b = ({s[i:i + 8] for i in range(0, len(s), 8)} for s in (x, y))
+    smallest = sorted(a | b)[:KEPT_SPANS]
+    return sum(s in a and s in b for s in smallest) / len(smallest) if smallest else 0.0
 
 
 def likeness(x: str, y: str) -> float:
-    """From two fingerprints alone: 1 if they are equal, else the longest common prefix and suffix on
-    the ladder over the longer length, at most the shorter over the longer; 0 if only one is empty."""
+    """From two fingerprints alone: 1 if they are equal, else what the texts have in common over the
+    longer length, at most the shorter over the longer; 0 if only one is empty. In common they have
+    the longest common prefix and suffix on the ladder or, if larger, the length that the share of
+    common spans stands for (an estimate from ``KEPT_SPANS`` spans)."""
     if x == y:
         return 1.0
-    (n, _, *left), (m, _, *right) = x.split(":"), y.split(":")
+    (n, _, *left, spans), (m, _, *right, others) = x.split(":"), y.split(":")
     longer, shorter = max(int(n), int(m)), min(int(n), int(m))
     found = 0
     for a, b in zip(left, right):
@@ -175,6 +211,8 @@ def likeness(x: str, y: str) -> float:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if a[8 * mid - 8:8 * mid] == b[8 * mid - 8:8 * mid] else (low, mid - 1)
         found += int(LADDER[low - 1]) if low else 0
+    share = common_spans(spans, others)
+    found = max(found, share / (1 + share) * (longer + shorter))
     # texts that differ are never fully alike
     return min(found, shorter, longer - 1) / longer
 

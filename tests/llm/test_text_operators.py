@@ -158,6 +158,43 @@ def test_fingerprints_of_all_documents(spark, documents):
         assert r["near_edited"] > r["near_next"] or text == edited or documents[ids[(k + 1) % len(ids)]]["text"] == text
 
 
+def test_near_copies_are_alike():
+    rng = np.random.RandomState(7)
+    pw = prefix_hash.Powers()
+    like = lambda x, y: prefix_hash.likeness(*(prefix_hash.fingerprint(prefix_hash.PrefixHashes(pw, t)) for t in (x, y)))
+    draw = lambda: ["".join(chr(97 + c) for c in rng.randint(0, 26, rng.randint(3, 9))) for _ in range(500)]
+    for _ in range(20):
+        words = draw()
+        text = " ".join(words)
+        assert like(text, "#" + text[1:-1] + "#") > 0.85
+        assert like(text, " ".join(draw())) < 0.1
+        for edits, least in ((2, 0.8), (4, 0.75), (8, 0.65)):
+            copy = list(words)
+            for at in rng.choice(500, edits, replace=False):
+                copy[at] = f"x{rng.randint(10**6)}"
+            assert like(text, " ".join(copy)) >= least
+        half = len(text) // 2
+        assert like(text, text[:-half] + " ".join(draw())[:half]) >= 0.4
+        # a piece moved is still there, and half a text is at most half of it
+        assert like(text, text[half:] + text[:half]) > 0.8
+        assert like(text, text[200:200 + half]) <= 0.5
+
+
+@given(st.integers(0, 10**6), st.sampled_from([16, 40, 1 << 18]))
+@settings(max_examples=20, deadline=None)
+def test_kept_spans_are_the_smallest(seed, piece):
+    rng = np.random.RandomState(seed)
+    text = "".join(rng.choice(list("ab "), rng.randint(0, 300))) * rng.randint(1, 3)
+    old, prefix_hash.PIECE = prefix_hash.PIECE, piece
+    try:
+        got = prefix_hash.span_hashes(prefix_hash.PrefixHashes(prefix_hash.Powers(), text)).tolist()
+    finally:
+        prefix_hash.PIECE = old
+    n, p, m = prefix_hash.SPAN, prefix_hash.PRIMES[0], prefix_hash.BASES[0]
+    spans = {text[i:i + n] for i in range(len(text) - n + 1)}
+    assert got == sorted({sum((ord(c) + 1) * pow(m, j, p) for j, c in enumerate(s)) % p for s in spans})[:prefix_hash.KEPT_SPANS]
+
+
 # ---- decontamination
 
 def test_all_items_above_their_threshold_are_retrieved():
