@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,21 @@ def share_in_order(part: list[str], words: list[str]) -> float:
     return 1 - int(edits.min()) / len(part)
 
 
+@dataclass
+class Statistics:
+    """What all shards of a benchmark share: number of items, mean and largest words of an item, items by term."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Inverted index of test items: for each term the impact per item, and its maximum per block."""
+    """Inverted index of test items: for each term the impact per item, and its maximum per block.
+    The items of a shard take the ``statistics`` of the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         self.n = len(items)
         self.words = [words_of(t) for _, t in items]
         self.parts = [question_and_answer(t or "") for _, t in items]
@@ -84,9 +96,11 @@ class Index:
         cells = np.array(sorted(counts), np.int64).reshape(-1, 2)
         tf = np.array([counts[t, d] for t, d in cells.tolist()], np.float64)
         self.post_start = np.searchsorted(cells[:, 0], np.arange(len(self.term) + 1))
-        df = np.diff(self.post_start)
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if len(lengths) else 1.0))
+        df, n, mean, longest = np.diff(self.post_start), len(items), lengths.mean() if len(lengths) else 1.0, max(map(len, self.words), default=0)
+        if statistics:
+            df, n, mean, longest = np.array([statistics.df[t] for t in self.term], np.int64), statistics.n, statistics.mean, statistics.longest
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         self.post_item = cells[:, 1]
         self.post_impact = (idf[cells[:, 0]] * tf * (K1 + 1) / (tf + norm[cells[:, 1]])).astype(np.float32)
         own = np.zeros(len(items))
@@ -96,7 +110,7 @@ class Index:
         # the largest share of a threshold that each term brings in each block of items
         self.block_max = np.zeros((len(self.term), self.blocks), np.float32)
         np.maximum.at(self.block_max, (cells[:, 0], self.post_item // self.block_items), self.post_share)
-        self.half = max([HALF, *(len(w) for w in self.words)])
+        self.half = max(HALF, longest)
 
     def search(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(window, item, score) for all windows and items with a score at the item's threshold or
@@ -179,8 +193,9 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITE
 
     Nulls are empty texts and match nothing, as do items without a word; equal items match alike.
     Items with equal id are indexed apart. Either table may be empty. Other columns are not read.
-    The benchmark is read in shards of ``shard_items`` (its index travels to the tasks)."""
-    found = [search_shard(docs, shard, id_col, text_col) for shard in shards_of(items, shard_items, item_id_col, item_text_col)]
+    The benchmark is read in shards of ``shard_items`` (its index travels to the tasks); the matches
+    are the same for any number of shards."""
+    found = [search_shard(docs, shard, stats, id_col, text_col) for shard, stats in shards_of(items, shard_items, item_id_col, item_text_col)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -191,10 +206,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITEMS
                item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that match no test item. Rows are judged where they are read,
     by one shard of the benchmark after the other."""
-    for shard in shards_of(items, shard_items, item_id_col, item_text_col):
+    for shard, stats in shards_of(items, shard_items, item_id_col, item_text_col):
 
-        def scan(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
-            index = Index(shard)
+        def scan(batches: Iterator[pa.RecordBatch], shard=shard, stats=stats) -> Iterator[pa.RecordBatch]:
+            index = Index(shard, stats)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not index.matches(texts[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
@@ -203,20 +218,45 @@ def keep_clean(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITEMS
     return docs
 
 
-def shards_of(items: DataFrame, shard_items: int, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in lists of about ``shard_items``, dealt by a hash of id and text, each in a fixed order."""
+def shards_of(items: DataFrame, shard_items: int, id_col: str, text_col: str) -> list[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The items in lists of about ``shard_items``, dealt by a hash of id and text, each in a fixed
+    order, with the statistics of all items for the list's terms (None if one list holds all)."""
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-rows.count() // shard_items))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    return [sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("shard") == k).collect()), key=str) for k in range(shards)]
+    lists = [sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("shard") == k).collect()), key=str) for k in range(shards)]
+    if shards == 1:
+        return [(lists[0], None)]
+    whole = statistics_of(rows)
+    return [(part, Statistics(whole.n, whole.mean, whole.longest, {t: whole.df[t] for _, text in part for t in words_of(text)})) for part in lists]
+
+
+def statistics_of(rows: DataFrame) -> Statistics:
+    """The statistics of the items in ``text``, counted by Spark; a row per term comes back."""
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            for (text,) in text_rows(batches, "text"):
+                words = words_of(text)
+                yield None, len(words)
+                yield from ((t, 1) for t in set(words))
+
+        yield from batched(out(), schema)
+
+    counted = rows.select("text").mapInArrow(scan, "term string, n long").groupBy("term").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).collect()
+    df = {r["term"]: r["items"] for r in counted}
+    of_items = next(r for r in counted if r["term"] is None)
+    return Statistics(of_items["items"], of_items["words"] / of_items["items"], of_items["longest"], df)
 
 
-def search_shard(docs: DataFrame, items: list[tuple[int, str]], id_col: str, text_col: str) -> DataFrame:
+def search_shard(docs: DataFrame, items: list[tuple[int, str]], stats: Statistics | None, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("share", pa.float64()),
                         ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, stats)
 
         def out():
             for doc_id, text in text_rows(batches, "doc_id", "text"):

@@ -273,6 +273,17 @@ def test_share_in_order_is_the_least_edit_distance(part, words):
     assert decontam.share_in_order(part, words) == 1 - least / len(part)
 
 
+def test_matches_do_not_depend_on_shards(spark):
+    rng = np.random.RandomState(8)
+    items = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.randint(10, 90)) if x < 10**6) or "w") for i in range(120)]
+    docs = [(i, " ".join(t.split()[:max(1, int(len(t.split()) * rng.uniform(0.5, 0.9)))]) + " and more") for i, t in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b, shard_items=n).collect()} for n in (1000, 30))
+    assert one and set(one) == set(many)
+    assert all(np.allclose(list(one[k])[2:], list(many[k])[2:], rtol=1e-5) for k in one)
+    assert decontam.keep_clean(d, b, shard_items=30).count() == 120 - len({k for k, _ in one})
+
+
 # ---- toxicity
 
 def test_more_toxic_words_are_more_severe():
