@@ -28,12 +28,14 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 @dataclass(frozen=True)
 class Running:
     """One running aggregate: ``out = fn(column) over rows before (and, if inclusive, at) this row``.
-    Values are doubles; a sum over nothing is 0, a minimum or maximum over nothing is NULL."""
+    Values are read as ``kind`` (doubles unless told otherwise; a sum of decimals widens it); a sum
+    over nothing is 0, a minimum or maximum over nothing is NULL."""
 
     out: str
     fn: str
     column: str
     inclusive: bool = True
+    kind: str = "double"
 
     def __post_init__(self):
         if self.fn not in _AGG:
@@ -41,15 +43,15 @@ class Running:
 
     def over(self, window) -> Column:
         rows = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if self.inclusive else -1)
-        return _AGG[self.fn](F.col(self.column).cast("double")).over(rows)
+        return _AGG[self.fn](F.col(self.column).cast(self.kind)).over(rows)
 
     def total(self) -> Column:
-        return _AGG[self.fn](F.col(self.column).cast("double"))
+        return _AGG[self.fn](F.col(self.column).cast(self.kind))
 
     def joined(self, carried: Column, local: Column) -> Column:
         """The value over earlier slices and the value within this one, as one value."""
         if self.fn == "sum":
-            return F.coalesce(carried, F.lit(0.0)) + F.coalesce(local, F.lit(0.0))
+            return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
         return (F.least if self.fn == "min" else F.greatest)(carried, local)
 
 
@@ -82,7 +84,7 @@ def _running_window(df: DataFrame, keys: list[str], order: list[str], specs: lis
                     partitions: int | None = None) -> DataFrame:
     base = Window.partitionBy(*keys).orderBy(*order)
     return df.select(*_kept(df, specs), *[
-        (F.coalesce(s.over(base), F.lit(0.0)) if s.fn == "sum" else s.over(base)).alias(s.out) for s in specs])
+        (F.coalesce(s.over(base), F.lit(0)) if s.fn == "sum" else s.over(base)).alias(s.out) for s in specs])
 
 
 def _running_ranged(df: DataFrame, keys: list[str], order: list[str], specs: list[Running],
