@@ -66,15 +66,16 @@ class WordHasher:
     """64-bit hashes of the words of a text, from one polynomial prefix sum over its bytes.
 
     With H[i] the running sum of scramble(byte) * m^j modulo 2^64, a word's hash is
-    (H[end] - H[start]) * m^-start, so a text costs a handful of array operations.
+    (H[end] - H[start]) * m^-start, so a text costs a handful of array operations. Texts are taken
+    in pieces; a word across their borders has the hash that it has within one.
     """
 
     MULTIPLIER = 0x9E3779B97F4A7C15
 
-    def __init__(self, piece: int = PIECE_BYTES):
+    def __init__(self, piece: int = PIECE_BYTES, word_bytes: bytes = WORD_BYTES):
         self.piece = piece
         self.is_word = np.zeros(256, bool)
-        self.is_word[list(WORD_BYTES)] = True
+        self.is_word[list(word_bytes)] = True
         seeds = np.random.RandomState(20240501).randint(1, 2**62, 256, dtype=np.int64)
         self.scramble = seeds.astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.pow = self._powers(self.MULTIPLIER, piece + 1)
@@ -94,28 +95,41 @@ class WordHasher:
 
     def words(self, data: bytes) -> np.ndarray:
         """Hash of every word of the (already lower-cased) UTF-8 text, in order."""
-        if len(data) <= self.piece:
-            return self._piece(np.frombuffer(data, np.uint8))
+        return self.spans(data)[0]
+
+    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts, ends) of the words of the text, in order, whatever their length.
+
+        A word that a piece does not end is carried on: its parts' sums, each moved by the bytes
+        before it, add up to the sum that one piece would have had."""
         a, found, start = np.frombuffer(data, np.uint8), [], 0
+        open_sum, open_start = 0, -1  # of the word that runs into the piece
         while start < len(a):
-            end = min(start + self.piece, len(a))
-            if end < len(a):  # cut behind the last byte that is in no word; a longer word is cut where it is
-                gaps = np.flatnonzero(~self.is_word[a[start:end]])
-                end = start + int(gaps[-1]) + 1 if len(gaps) else end
-            found.append(self._piece(a[start:end]))
-            start = end
-        return np.concatenate(found)
-
-    def _piece(self, a: np.ndarray) -> np.ndarray:
-        if not len(a):
-            return np.zeros(0, np.uint64)
-        inside = np.zeros(len(a) + 2, np.int8)
-        inside[1:-1] = self.is_word[a]
-        edges = np.flatnonzero(np.diff(inside))
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(self.scramble[a] * self.pow[:len(a)], out=sums[1:])
-        return self.mix((sums[ends] - sums[starts]) * self.inv[starts] + (ends - starts).astype(np.uint64))
+            piece = a[start:start + self.piece]
+            inside = np.zeros(len(piece) + 2, np.int8)
+            inside[1:-1] = self.is_word[piece]
+            edges = np.flatnonzero(np.diff(inside))
+            starts, ends = edges[::2], edges[1::2]
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(self.scramble[piece] * self.pow[:len(piece)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * self.inv[starts]
+            starts, ends = starts + start, ends + start
+            if open_start >= 0:
+                if len(starts) and starts[0] == start:
+                    moved = pow(self.MULTIPLIER, start - open_start, 1 << 64)
+                    h[0] = (open_sum + int(h[0]) * moved) % (1 << 64)
+                    starts[0] = open_start
+                else:
+                    h, starts, ends = (np.concatenate([x, y]) for x, y in ((np.array([open_sum], np.uint64), h), (np.array([open_start]), starts), (np.array([start]), ends)))
+                open_start = -1
+            start += len(piece)
+            if len(ends) and ends[-1] == start < len(a):
+                open_sum, open_start = int(h[-1]), int(starts[-1])
+                h, starts, ends = h[:-1], starts[:-1], ends[:-1]
+            found.append((self.mix(h + (ends - starts).astype(np.uint64)), starts, ends))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
 
     def grams(self, words: np.ndarray, k: int) -> np.ndarray:
         """Hash of every run of ``k`` consecutive words."""
