@@ -77,19 +77,20 @@ def score_entropy(df: DataFrame, keys: list[str], judge: str = "judge_score",
     Bin edges are ``lo + i * (hi - lo) / n_bins`` with the last bin closed, exactly as the
     usual histogram rule; a constant group gets the range [x - 0.5, x + 0.5]. n < 2 -> 0.0.
     """
-    src = df.filter(F.col(judge).isNotNull() & ~F.isnan(F.col(judge).cast("double")))
-    st = src.groupBy(*keys).agg(F.min(judge).alias("_mn"), F.max(judge).alias("_mx"),
-                                F.count(F.lit(1)).alias("n"))
+    # equal scores are counted once (map-side); ranges and bins both read these cells, whose shuffle is shared
+    src = (df.filter(F.col(judge).isNotNull() & ~F.isnan(F.col(judge).cast("double")))
+           .groupBy(*keys, judge).agg(F.count(F.lit(1)).alias("_w")))
+    st = src.groupBy(*keys).agg(F.min(judge).alias("_mn"), F.max(judge).alias("_mx"), F.sum("_w").alias("n"))
     same = F.col("_mn") == F.col("_mx")
     st = (st.withColumn("_lo", F.when(same, F.col("_mn") - F.lit(0.5)).otherwise(F.col("_mn")))
             .withColumn("_hi", F.when(same, F.col("_mx") + F.lit(0.5)).otherwise(F.col("_mx")))
             .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))))
-    x = with_group_row(src.select(*keys, judge), st.select(*keys, "_lo", "_step"), keys)
+    x = with_group_row(src, st.select(*keys, "n", "_lo", "_step"), keys)
     bin_ = reduce(lambda a, b: a + b, [
         (F.col(judge) >= F.lit(float(i)) * F.col("_step") + F.col("_lo")).cast("int")
         for i in range(1, n_bins)])
-    counts = x.groupBy(*keys, bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
-    p = with_group_row(counts, st.select(*keys, "n"), keys).withColumn("_p", F.col("_c") / F.col("n"))
+    p = x.groupBy(*keys, bin_.alias("_bin")).agg(F.sum("_w").alias("_c"), F.max("n").alias("n")).withColumn(
+        "_p", F.col("_c") / F.col("n"))
     ent = p.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"),
                                F.sum(-F.col("_p") * F.log(F.col("_p"))).alias("_e"))
     return ent.select(*keys, F.col("n").cast("bigint").alias("n"),
@@ -123,6 +124,22 @@ def composite_loss(df: DataFrame, keys: list[str], loss_type: str = "pairwise",
         .alias("total_loss"), "mae_component", "rank_loss_component")
 
 
+def contraction_loss(df: DataFrame, keys: list[str], loss_type: str = "pairwise", alpha: float = 1.0, beta: float = 1.0,
+                     gamma: float = 1.0, human: str = "human_score", judge: str = "judge_score") -> DataFrame:
+    """The composite loss plus ``gamma`` times the contraction of the judge's scores.
+
+    ``contraction`` is the share by which the judge's spread falls short of the human one,
+    ``max(0, 1 - std(judge) / std(human))``: a judge that gives everything the same middling score pays 1, one
+    that spreads its scores at least as widely pays nothing. 0 where human scores don't vary.
+    """
+    k = list(keys)
+    spread = df.groupBy(*k).agg(F.stddev_pop(judge).alias("_js"), F.stddev_pop(human).alias("_hs"))
+    short = F.when(F.col("_hs") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_js") / F.col("_hs"))).otherwise(0.0)
+    out = with_group_row(composite_loss(df, k, loss_type, alpha, beta, human, judge), spread, k, "left").withColumn("contraction", short)
+    return out.select(*k, "loss_type", (F.col("total_loss") + F.lit(gamma) * F.col("contraction")).alias("total_loss"),
+                      "mae_component", "rank_loss_component", "contraction")
+
+
 def evaluation_report(df: DataFrame, keys: list[str], loss_type: str = "pairwise",
                       alpha: float = 1.0, beta: float = 1.0, human: str = "human_score",
                       judge: str = "judge_score", variance: str | None = None) -> DataFrame:

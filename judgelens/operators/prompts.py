@@ -6,7 +6,10 @@ render order, so it is a real column and never a map key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (CLIP_DIFF_CHARS, CLIP_LOG_CHARS, VERSION_METRIC_LINE, VERSION_METRICS,
@@ -35,11 +38,12 @@ def lookup_sections(sections: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def render_prompt(sections: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``## name`` / content / blank line per section in ``pos`` order, joined by newlines."""
+    """``## name`` / content / blank line per section in ``pos`` order, joined by newlines. A NULL content
+    is an empty one: the section keeps its heading."""
     keys = keys or ["prompt_id", "version"]
     parts = F.sort_array(F.collect_list(F.struct("pos", "section", "content")))
     text = F.array_join(F.transform(parts, lambda s: F.concat(F.lit("## "), s["section"], F.lit("\n"),
-                                                             s["content"], F.lit("\n"))), "\n")
+                                                             F.coalesce(s["content"], F.lit("")), F.lit("\n"))), "\n")
     return sections.groupBy(*keys).agg(text.alias("text"), F.count(F.lit(1)).alias("n_sections"))
 
 
@@ -113,18 +117,23 @@ def applied_edit_counts(edits: DataFrame, sections: DataFrame) -> DataFrame:
     return x.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n_attempted"), F.count_if(applied).alias("n_applied"))
 
 
+def section_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both texts of every section that stands in either version of a prompt, and its status: added,
+    removed, changed or unchanged. A section whose content is NULL stands all the same."""
+    o = old.select("prompt_id", "section", F.col("content").alias("old_content"), F.lit(True).alias("_old"))
+    n = new.select("prompt_id", "section", F.col("content").alias("new_content"), F.lit(True).alias("_new"))
+    j = join_on(o, n, ["prompt_id", "section"], "full_outer")
+    status = (F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
+              .when(~F.col("old_content").eqNullSafe(F.col("new_content")), "changed").otherwise("unchanged"))
+    return j.select("prompt_id", "section", status.alias("status"), "old_content", "new_content")
+
+
 def section_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Added / removed / changed / unchanged sections between two versions of each prompt,
     with previews clipped to 100 characters plus ``...``."""
-    o = old.select("prompt_id", "section", F.col("content").alias("old_content"))
-    n = new.select("prompt_id", "section", F.col("content").alias("new_content"))
-    j = o.join(n, ["prompt_id", "section"], "full_outer")
-    status = (F.when(F.col("old_content").isNull(), "added")
-              .when(F.col("new_content").isNull(), "removed")
-              .when(F.col("old_content") != F.col("new_content"), "changed").otherwise("unchanged"))
-    return j.select("prompt_id", "section", status.alias("status"),
-                    clip_text(F.col("old_content"), CLIP_DIFF_CHARS).alias("old_preview"),
-                    clip_text(F.col("new_content"), CLIP_DIFF_CHARS).alias("new_preview"))
+    return section_pairs(old, new).select(
+        "prompt_id", "section", "status", clip_text(F.col("old_content"), CLIP_DIFF_CHARS).alias("old_preview"),
+        clip_text(F.col("new_content"), CLIP_DIFF_CHARS).alias("new_preview"))
 
 
 def _four(c: str) -> Column:
@@ -159,9 +168,53 @@ def version_log(evals: DataFrame, summary: str = "gradient_summary", rationale:
     return out
 
 
-def append_versions(versions: DataFrame, path: str) -> None:
-    """Append to the version table (Parquet, partitioned by run); never rewrites history."""
-    versions.write.mode("append").partitionBy("run_id").parquet(path)
+#: Columns that the version table adds: the commit that wrote a row, its time, and the run's folder.
+_COMMIT = ["commit_key", "committed_in", "run_bucket"]
+
+
+def append_versions(versions: DataFrame, path: str, commit_key: str | None = None, buckets: int = 64) -> int:
+    """Commit rows to the version table once: a repeated commit of the same key changes nothing. Without a
+    key each call is a commit of its own.
+
+    Rows are appended as Parquet into ``buckets`` folders by the run's hash, whatever the number of runs,
+    and never rewritten. A commit whose key is in the table already is skipped (a filter pushed to
+    the scan of one column); of two that run at the same time both may write, and
+    :func:`read_versions` shows the first. Returns the rows written, 0 if the commit was there.
+    """
+    spark, commit_key = versions.sparkSession, commit_key or uuid.uuid4().hex
+    if table_exists(spark, path) and not spark.read.parquet(path).filter(F.col("commit_key") == commit_key).isEmpty():
+        return 0
+    # one attempt for the whole call tells concurrent writers of a key apart; the checkpoint fixes what is written and counted
+    rows = cut_lineage(versions.withColumns({"commit_key": F.lit(commit_key), "committed_in": F.lit(uuid.uuid4().hex),
+                                             "run_bucket": F.pmod(F.xxhash64("run_id"), F.lit(buckets))}))
+    rows.repartition("run_bucket").write.mode("append").partitionBy("run_bucket").parquet(path)
+    return rows.count()
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table can be read at ``path``, on any file system that Spark reads."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The committed rows, each commit once: where two writers of a key met, those of the smaller attempt."""
+    rows = spark.read.parquet(path)
+    first = rows.groupBy("commit_key").agg(F.min("committed_in").alias("committed_in"))
+    return rows.join(first, ["commit_key", "committed_in"], "left_semi").drop(*_COMMIT)
+
+
+def compact_versions(spark: SparkSession, path: str, to: str, buckets: int = 64) -> None:
+    """Write the table anew at ``to``, a file for each of the folders; commits and their keys are kept, rows of writers
+    that lost are not. Readers move to ``to`` once this returns; ``path`` is left as it is."""
+    rows = spark.read.parquet(path)
+    first = rows.groupBy("commit_key").agg(F.min("committed_in").alias("committed_in"))
+    kept = rows.join(first, ["commit_key", "committed_in"], "left_semi").withColumn(
+        "run_bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)))
+    kept.repartition("run_bucket").write.partitionBy("run_bucket").parquet(to)
 
 
 def version_history(versions: DataFrame, max_count: int = 10, keys: list[str] | None = None,

@@ -18,8 +18,7 @@ All three prefixes run as one pass over ``(group, level, part)`` keys (the first
 extra pseudo-levels). Dense ranks, tie counts and Spearman's average ranks come from windows
 over the cells when every group fits one task (checked first), and from distributed running
 passes otherwise. Spearman is then a centred Pearson correlation of the average ranks. All
-results are exact; the one documented difference from the reference is that two human scores
-closer than 1e-6 but unequal still count as a clear pair.
+results are exact. Human scores at most 1e-6 apart (``CLEAR_GAP``) express no preference.
 """
 
 from __future__ import annotations
@@ -38,11 +37,13 @@ CLEAR_GAP = 1e-6
 _EXACT = "decimal(18,0)"
 
 
-def _cells(df: DataFrame, keys: list[str], human: str, judge: str) -> DataFrame:
+def _cells(df: DataFrame, keys: list[str], human: str, judge: str, rows: str | None = None) -> DataFrame:
+    """Cells of equal scores with their number of rows; ``rows`` names a column that holds numbers of rows."""
     h, j = F.col(human).cast("double"), F.col(judge).cast("double")
+    n = F.sum(rows) if rows else F.count(F.lit(1))
     return (df.filter(h.isNotNull() & j.isNotNull())
             .groupBy(*keys, h.alias("_h"), j.alias("_j"))
-            .agg(F.count(F.lit(1)).cast("double").alias("_w"))
+            .agg(n.cast("double").alias("_w"))
             .withColumn("_wh", F.col("_w") * F.col("_h")))
 
 
@@ -72,7 +73,8 @@ def _near_below(keys: list[str]) -> Column:
     return F.expr(f"min(_h) OVER ({part} ORDER BY _h RANGE BETWEEN {CLEAR_GAP!r}D PRECEDING AND CURRENT ROW) < _h")
 
 
-def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman: bool = True) -> DataFrame:
+def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman: bool = True, rows: str | None = None,
+                cells: DataFrame | None = None) -> DataFrame:
     """Per group: n, n_pairs, tie counts, S = concordant - discordant, clear pairs, the summed
     mismatch loss of the pairwise ranking loss (margin 0) and, optionally, Spearman's sums.
 
@@ -80,7 +82,7 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
     ``has_nan`` marks the groups whose rank correlations are undefined for that reason.
     """
     # Cells are read by every pass below: materialise them once in the checkpoint folder.
-    cells = cut_lineage(_cells(df, keys, human, judge))
+    cells = cut_lineage(_cells(df, keys, human, judge, rows)) if cells is None else cells
     # Every prefix below is keyed by the group or a refinement of it and has at most three rows
     # per cell, so one check on cells per group bounds them all.
     small = all_keys_small(cells, keys)
@@ -179,14 +181,14 @@ def _statistics(df: DataFrame, keys: list[str], human: str, judge: str, spearman
     return out.select(*keys, "n", *cols)
 
 
-def _margin_penalty(df: DataFrame, keys: list[str], human: str, judge: str, margin: float) -> DataFrame:
+def _margin_penalty(cells: DataFrame, keys: list[str], margin: float) -> DataFrame:
     """Per group, the sum of ``margin - (j_b - j_a)`` over the clear pairs that the judge orders as the
     human does, by less than ``margin``: (keys, penalty).
 
     The pairs are those with j_a < j_b less those with j_a <= j_b - margin. Both are dominance counts as in
     :func:`_statistics`, with the points and the two kinds of query ranked together by judge score.
     """
-    cells = _cells(df, keys, human, judge).filter(~_is_nan())
+    cells = cells.filter(~_is_nan())
     kind = lambda h, j, tie, p, q: F.struct(h.alias("_h"), j.alias("_j"), F.lit(tie).alias("_tie"),
                                             (F.col("_w") * p).alias("_p"), (F.col("_w") * q).alias("_q"),
                                             F.col("_j").alias("_jv"))
@@ -247,11 +249,28 @@ def _metric_cols(spearman: bool) -> list[Column]:
 
 
 def rank_statistics(df: DataFrame, keys: list[str], human: str = "human_score",
-                    judge: str = "judge_score") -> DataFrame:
+                    judge: str = "judge_score", rows: str | None = None) -> DataFrame:
     """Kendall tau-b and its loss, the pairwise ranking loss and Spearman rho and its loss,
     all from one set of passes. Metrics are 0.0 when undefined or n < 2; losses are 1 - metric
     (1.0 when undefined; 0.0 for n < 2)."""
-    return _statistics(df, keys, human, judge, spearman=True).select(*keys, *_metric_cols(True))
+    return _statistics(df, keys, human, judge, spearman=True, rows=rows).select(*keys, *_metric_cols(True))
+
+
+def rank_statistics_rollup(df: DataFrame, levels: list[str], human: str = "human_score",
+                           judge: str = "judge_score") -> DataFrame:
+    """:func:`rank_statistics` at every rollup level of ``levels``, the grand total included.
+
+    Rank metrics of a level don't follow from those below it, but its score cells do: the cells of the
+    finest level are counted once, each is expanded to the levels it belongs to, and all levels are
+    re-aggregated and ranked in the same passes, with ``grouping_level`` (the grouping id, 0 the finest) as one
+    more key. So the input is read once and no level is a job of its own.
+    """
+    h, j = F.col(human).cast("double"), F.col(judge).cast("double")
+    fine = df.filter(h.isNotNull() & j.isNotNull()).groupBy(*levels, h.alias(human), j.alias(judge)).agg(F.count(F.lit(1)).alias("_rows"))
+    per = [F.struct(*[(F.col(c) if i < n else F.lit(None).cast(fine.schema[c].dataType)).alias(c) for i, c in enumerate(levels)],
+                    F.lit((1 << len(levels) - n) - 1).cast("bigint").alias("grouping_level")) for n in range(len(levels), -1, -1)]
+    wide = fine.select(human, judge, "_rows", F.explode(F.array(*per)).alias("_level")).select("_level.*", human, judge, "_rows")
+    return rank_statistics(wide, [*levels, "grouping_level"], human, judge, rows="_rows")
 
 
 def pair_metrics(df: DataFrame, keys: list[str], human: str = "human_score",
@@ -270,11 +289,13 @@ def pairwise_ranking_loss(df: DataFrame, keys: list[str], human: str = "human_sc
                           judge: str = "judge_score", margin: float = 0.0) -> DataFrame:
     """Mean over clear pairs (human scores more than CLEAR_GAP apart) of |dh| where the judge disagrees
     (ties and NaN included) and of ``margin - |dj|`` where it agrees by less than ``margin``; 0.0 for n < 2."""
-    out = pair_metrics(df, keys, human, judge).select(*keys, "n", "clear_pairs", "pairwise_loss")
+    cells = cut_lineage(_cells(df, keys, human, judge))  # read by the pair sums and by the penalty
+    out = _statistics(df, keys, human, judge, spearman=False, cells=cells).select(*keys, *_metric_cols(False)).select(
+        *keys, "n", "clear_pairs", "pairwise_loss")
     if not margin > 0.0:
         return out
     share = F.coalesce(F.col("penalty"), F.lit(0.0)) / F.greatest(F.col("clear_pairs").cast("double"), F.lit(1.0))
-    return with_group_row(out, _margin_penalty(df, keys, human, judge, margin), keys, "left").select(
+    return with_group_row(out, _margin_penalty(cells, keys, margin), keys, "left").select(
         *keys, "n", "clear_pairs", (F.col("pairwise_loss") + share).alias("pairwise_loss"))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import md5_unit
+from ..session import cut_lineage
 from .keys import with_group_row
 from .prefix import Running, all_keys_small, prefix_before, running
 
@@ -83,6 +85,19 @@ def train_val_split(df: DataFrame, keys: list[str] | None = None, id_col: str =
         "split", F.when(F.col("_pos") < F.col("n_val"), "val").otherwise("train")).drop("_h", "_one", "_pos", "n_val")
 
 
+def hash_split(df: DataFrame, id_col: str = "sample_id", val_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Seeded split in one pass: a row's side follows from ``md5(seed:id)`` alone.
+
+    No count, sort or shuffle, so it also runs on a stream, and a row never changes sides when others
+    are added or go; rows of equal id stay together. The share of ``val`` is ``val_fraction`` up to binomial
+    noise (:func:`train_val_split` meets it exactly, at the cost of an order over all rows).
+    """
+    if not 0.0 <= val_fraction <= 1.0:
+        raise ValueError("val_fraction must be from 0 to 1")
+    u = md5_unit(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    return df.withColumn("split", F.when(u < F.lit(float(val_fraction)), "val").otherwise("train"))
+
+
 def quotas(batch_size: int) -> dict[str, int]:
     """Per-batch slots: a third each; a remainder of 1 goes to high, of 2 to high and low."""
     base, rem = divmod(batch_size, 3)
@@ -101,7 +116,9 @@ def epoch_batches(df: DataFrame, keys: list[str] | None = None, id_col: str = "s
     """
     if batch_size < 1 or epochs < 1:
         raise ValueError("batch_size and epochs must be positive")
-    src, k = df, list(keys or [])
+    k = list(keys or [])
+    # The size check, percentiles, strata and counts all read these columns: the source is read once.
+    src = cut_lineage(df.select(*k, id_col, score))
     # Every key below (group, group+epoch, group+epoch+stratum) has at most as many rows as
     # its group, so one check on the input bounds them all.
     small = all_keys_small(src, k)
@@ -134,9 +151,9 @@ def epoch_progress(batches: DataFrame, keys: list[str] | None = None) -> DataFra
     largest position plus one: a plain aggregate, no running pass needed.
     """
     k = list(keys or [])
-    per = batches.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).alias("batch_rows"),
-                                                   (F.max("position") + 1).alias("seen"))
-    # Group size from the (small) per-batch table, so the batches are derived once.
+    # Kept, so that the batches are derived once: the group size below comes from this small table too.
+    per = cut_lineage(batches.groupBy(*k, "epoch", "batch_no").agg(F.count(F.lit(1)).alias("batch_rows"),
+                                                               (F.max("position") + 1).alias("seen")))
     n = per.filter(F.col("epoch") == 0).groupBy(*k).agg(F.sum("batch_rows").alias("_n"))
     return with_group_row(per, n, k).select(
         *k, "epoch", "batch_no", F.col("batch_rows").cast("bigint").alias("batch_rows"),

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import round_half_up
-from ..operators import audit, metrics, monitor, prompts, ranking, samples, sampling, scoring
+from ..operators import (audit, bulk_scoring, consensus, edit_limits, metrics, monitor, prompts, ranking, samples,
+                         sampling, scoring, sketches)
 from ..operators.prefix import Running, running
 from ..session import ensure_checkpoint_dir
 from ..sources import scored_files, synthetic
@@ -91,6 +92,34 @@ def q_evaluation_report(spark, d):
     return r6(metrics.evaluation_report(fx.judged_versions(spark, d), GROUP, loss_type="pairwise"))
 
 
+def q_rank_statistics_rollup(spark, d):
+    return r6(ranking.rank_statistics_rollup(fx.judged_docs(spark, d), ["source", "lang"]))
+
+
+def q_contraction_loss(spark, d):
+    return r6(metrics.contraction_loss(fx.judged_versions(spark, d), GROUP, loss_type="kendall", gamma=0.5))
+
+
+def q_stratum_ranking_loss(spark, d):
+    """The pairwise loss among each group's best and worst scored rows."""
+    strata = sampling.score_strata(fx.pair_scores(spark, d), ["group_id"]).filter("stratum <> 'mid'")
+    return r6(ranking.pairwise_ranking_loss(strata, ["group_id", "stratum"]))
+
+
+def _consensus_places(df):
+    """Fitted values settle to 1e-9 in either engine: four places of them are compared."""
+    fitted = ("fitted_score", "bias", "residual")
+    return df.select(*[F.round(c, 4 if c in fitted else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def q_human_consensus(spark, d):
+    return _consensus_places(consensus.human_consensus(fx.ratings(spark, d)))
+
+
+def q_annotator_bias(spark, d):
+    return _consensus_places(consensus.fit_annotators(consensus.rating_cells(fx.ratings(spark, d))).annotators)
+
+
 def q_judge_human_join(spark, d):
     docs = table(spark, d, "documents").select(
         F.col("doc_id").alias("sample_id"),
@@ -113,6 +142,21 @@ def q_train_val_split(spark, d):
     return r6(_split(spark, d).select("sample_id", "human_score", "split"))
 
 
+def q_hash_split(spark, d):
+    return r6(sampling.hash_split(fx.strata_samples(spark, d), val_fraction=0.2, seed=42))
+
+
+def q_strata_sketch(spark, d):
+    """Sketches kept per run and day, merged by day: whether the thresholds' measured rank error meets the bound."""
+    path = f"{scratch(spark, 'strata-sketch')}/parts"
+    x = fx.eval_history(spark, d).select("run_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("val_loss").alias("human_score"))
+    sketches.score_sketches(x, ["run_id", "day"]).write.parquet(path)
+    thresholds = sketches.sketch_thresholds(sketches.merge_sketches(spark.read.parquet(path), ["day"]), ["day"])
+    bound = sketches.rank_error_bound(400)
+    return sketches.rank_errors(x, thresholds, ["day"]).select(
+        "day", "n", (F.col("low_error") <= bound).alias("low_within"), (F.col("high_error") <= bound).alias("high_within"))
+
+
 def q_split_summary(spark, d):
     return r6(metrics.split_summary(_split(spark, d), ["split"]))
 
@@ -190,6 +234,19 @@ def q_batch_scores(spark, d):
     return r6(scored.select("sample_id", "judge_score"))
 
 
+def q_bulk_scores(spark, d):
+    """A scorer that raises for some rows, recovers for others and says nothing for some: every row comes back."""
+
+    def scorer(prompt: str, response: str, attempt: int) -> float | None:
+        kind = len(response) % 5
+        if kind == 0 or kind == 1 and attempt == 1:
+            raise ValueError(f"no verdict on {len(response)} characters")
+        return None if kind == 2 else len(response) / 10.0
+
+    scored = bulk_scoring.score_rows(fx.responses(spark, d).fillna("", ["response"]), scorer, ["prompt", "response"], attempts=3)
+    return r6(scored.select("sample_id", "judge_score", "status", "reason", "n_attempts"))
+
+
 def q_length_judge(spark, d):
     r = fx.responses(spark, d)
     return r6(r.select("sample_id", scoring.length_judge(F.col("response"), F.lit("lj"), F.col("sample_id"))
@@ -241,6 +298,16 @@ def q_section_diff(spark, d):
     return prompts.section_diff(fx.prompt_sections(spark, d), _applied(spark, d))
 
 
+def q_edit_audit(spark, d):
+    old, new, rates = fx.section_updates(spark, d)
+    return edit_limits.edit_audit(old, new, rates, initial_lr=1.0, max_chars=200)
+
+
+def q_modal_strength(spark, d):
+    old, new, _ = fx.section_updates(spark, d)
+    return edit_limits.modal_strength(old, new)
+
+
 def q_apply_edits(spark, d):
     return _applied(spark, d)
 
@@ -289,6 +356,16 @@ def q_version_log_summary(spark, d):
                        F.length("gradient_summary").cast("bigint").alias("summary_chars")))
 
 
+def q_version_commits(spark, d):
+    """Two commits, the first of them repeated, then the table compacted and read: each version once."""
+    base = scratch(spark, "versions")
+    v = _versions(spark, d).select("run_id", "step", "val_loss", "committed_at")
+    written = [prompts.append_versions(v.filter(part), f"{base}/log", key) for key, part in
+               (("first", "step % 2 = 1"), ("second", "step % 2 = 0"), ("first", "step % 2 = 1"))]
+    prompts.compact_versions(spark, f"{base}/log", f"{base}/compact")
+    return r6(prompts.read_versions(spark, f"{base}/compact").select("run_id", "step", "val_loss", F.lit(written[2]).cast("bigint").alias("repeated")))
+
+
 def q_version_history(spark, d):
     return r6(prompts.version_history(_versions(spark, d), max_count=10)
               .select("run_id", "step", "val_loss", "recency"))
@@ -348,6 +425,25 @@ def q_daily_score_drift(spark, d):
     return r6(w.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end"))
 
 
+def q_stream_drift(spark, d):
+    """The score log arriving in three parts, the last of them late, through the drift stream: the windows
+    that the watermark closed, and how many rows of theirs came too late."""
+    base = scratch(spark, "stream-drift")
+    h = fx.eval_history(spark, d)
+    x = h.select(F.col("ts").cast("timestamp").alias("ts"), F.col("val_loss").alias("human_score"), (F.col("val_loss") + (F.col("k") - F.lit(50)) / F.lit(50.0)).alias("judge_score"),
+                 ((F.col("k") % 10 == 0) & (F.col("ts") < F.lit("2024-01-06").cast("timestamp"))).alias("late"))
+    cut = F.col("ts") < F.lit("2024-01-21").cast("timestamp")
+    cols = ["ts", "human_score", "judge_score"]
+    late = F.coalesce("late", F.lit(False))
+    for part in (~late & cut, ~late & ~cut, late):
+        x.filter(part).select(*cols).write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(x.select(*cols).schema).parquet(f"{base}/log")
+        (drift.drift_stream(stream, width="1 day", watermark="2 days").writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{base}/state").option("path", f"{base}/windows").trigger(availableNow=True).start().awaitTermination())
+    out = drift.late_counts(spark.read.parquet(f"{base}/windows"), spark.read.parquet(f"{base}/log"))
+    return r6(out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end"))
+
+
 def q_stream_monitor(spark, d):
     """The run log as a stream of files through the stateful monitor; its decisions, read back."""
     base = scratch(spark, "stream-monitor")

@@ -174,3 +174,31 @@ def gradient_replies(spark: SparkSession, d: str) -> DataFrame:
                                      '{"action": "edit", "section_name": "2-HIGH", "opti_direction": "tighten"}]}'))
              .otherwise(F.concat(F.lit("no json in this reply for "), prio)))
     return o.select(k.alias("reply_id"), F.col("o_custkey").alias("prompt_id"), reply.alias("reply"))
+
+
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as ratings: parts scored by several suppliers, each with a bias of its own."""
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity")
+    return li.select(F.col("l_partkey").alias("sample_id"), F.col("l_suppkey").alias("annotator"),
+                     (F.lit(1.0) + F.lit(9.0) * (F.col("l_quantity") - F.lit(1.0)) / F.lit(49.0)
+                      + (F.col("l_suppkey") % 7) / F.lit(10.0)).alias("score"))
+
+
+MODALS = ("can", "should", "must", "always")
+
+
+def section_updates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns as prompt sections before and after an update, and the update's learning rate: sections left
+    alone, with another modal word, with text added, emptied (NULL), removed and new."""
+    cv = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").withColumn("k", (F.col("conv_id") * 7 + F.col("turn")) % 6)
+    word = lambda off: F.element_at(F.array(*[F.lit(m) for m in MODALS]), ((F.col("conv_id") + F.col("turn") + off) % 4 + 1).cast("int"))
+    body = lambda off: F.concat(F.lit("You "), word(off), F.lit(" reward detail. "), F.col("text"))
+    old_text = F.when((F.col("conv_id") + F.col("turn")) % 17 != 0, body(0))
+    new_text = (F.when(F.col("k") == 0, old_text).when(F.col("k") == 1, body(2))
+                .when(F.col("k") == 2, F.concat(body(0), F.lit(" Scores MUST always follow the scale.")))
+                .when(F.col("k") == 4, F.concat(body(0), F.repeat(F.lit(" Be strict."), (F.col("conv_id") % 30).cast("int")))))
+    key = [F.col("conv_id").alias("prompt_id"), F.concat(F.substring("role", 1, 1), F.col("turn").cast("string")).alias("section")]
+    old = cv.filter("role = 'assistant'").select(*key, old_text.alias("content"))
+    new = cv.filter("k <> 3 and (role = 'assistant' or turn % 3 = 0)").select(*key, new_text.alias("content"))
+    rates = cv.filter("conv_id % 13 <> 0").select(F.col("conv_id").alias("prompt_id"), ((F.col("conv_id") % 11) / F.lit(10.0)).alias("learning_rate")).distinct()
+    return old, new, rates

@@ -710,3 +710,109 @@ FROM (SELECT reply_id, prompt_id, {_unfenced} AS t FROM gradient_replies)"""),
     """SELECT reply_id, prompt_id, CAST(i - 1 AS BIGINT) AS seq, mods[i].action AS action,
   mods[i].section_name AS section_name, mods[i].opti_direction AS opti_direction FROM ex""")
 ORACLE_SQL["parse_gradient_replies"] = Q["parse_gradient_replies"]
+
+# ---- consensus, limits of an update, sketches, bulk scoring, commits --------------------------------
+
+FIXTURES["ratings"] = """
+SELECT l_partkey AS sample_id, l_suppkey AS annotator, 1e0 + 9e0 * (l_quantity - 1e0) / 49e0 + (l_suppkey % 7) / 10e0 AS score FROM lineitem"""
+_word = lambda off: f"['can', 'should', 'must', 'always'][((conv_id + turn + {off}) % 4 + 1)::INT]"
+_body = lambda off: f"'You ' || {_word(off)} || ' reward detail. ' || text"
+_old = f"CASE WHEN (conv_id + turn) % 17 <> 0 THEN {_body(0)} END"
+_sec = "conv_id AS prompt_id, substr(role, 1, 1) || turn::VARCHAR AS section"
+FIXTURES["section_changes"] = f"""
+SELECT coalesce(o.prompt_id, n.prompt_id) AS prompt_id, coalesce(o.section, n.section) AS section, o.content AS oc, n.content AS nc,
+  CASE WHEN o.here IS NULL THEN 'added' WHEN n.here IS NULL THEN 'removed' WHEN o.content IS DISTINCT FROM n.content THEN 'changed' ELSE 'unchanged' END AS status
+FROM (SELECT {_sec}, {_old} AS content, 1 AS here FROM conversations WHERE role = 'assistant') o
+FULL JOIN (SELECT {_sec}, CASE (conv_id * 7 + turn) % 6 WHEN 0 THEN {_old} WHEN 1 THEN {_body(2)}
+             WHEN 2 THEN {_body(0)} || ' Scores MUST always follow the scale.' WHEN 4 THEN {_body(0)} || repeat(' Be strict.', (conv_id % 30)::INT) END AS content, 1 AS here
+           FROM conversations WHERE (conv_id * 7 + turn) % 6 <> 3 AND (role = 'assistant' OR turn % 3 = 0)) n
+  ON o.prompt_id = n.prompt_id AND o.section = n.section"""
+
+
+def fit_ctes(rounds: int) -> list[tuple[str, str]]:
+    """Alternating means, ``rounds`` times: CTEs ``c`` (cells), ``s{i}`` (effects), ``b{i}`` (biases)."""
+    out = [("c", "SELECT sample_id, annotator, sum(score) AS total, count(*)::DOUBLE AS weight FROM ratings GROUP BY ALL"),
+           ("b0", "SELECT annotator, sum(weight) AS weight, 0e0 AS bias FROM c GROUP BY annotator")]
+    for i in range(1, rounds + 1):
+        out += [(f"s{i}", f"SELECT sample_id, sum(total - c.weight * bias) / sum(c.weight) AS effect FROM c JOIN b{i - 1} USING (annotator) GROUP BY sample_id"),
+                (f"r{i}", f"SELECT annotator, sum(weight) AS weight, sum(total - weight * effect) / sum(weight) AS b FROM c JOIN s{i} USING (sample_id) GROUP BY annotator"),
+                (f"b{i}", f"SELECT annotator, weight, b - (SELECT sum(weight * b) / sum(weight) FROM r{i}) AS bias FROM r{i}")]
+    out = [(n, body) for n, body in out]
+    return out + [("s", f"SELECT sample_id, sum(total - c.weight * bias) / sum(c.weight) AS effect FROM c JOIN b{rounds} USING (annotator) GROUP BY sample_id")]
+
+
+_ROUNDS = 14
+ORACLE_SQL["human_consensus"] = sql(["ratings"], fit_ctes(_ROUNDS) + [
+    ("m", "SELECT *, total / weight AS mv, round(total / weight, 9) AS v FROM c"),
+    ("p", """SELECT sample_id, CASE WHEN count(*) OVER (PARTITION BY annotator) > 1
+  THEN (rank() OVER (PARTITION BY annotator ORDER BY v) - 1 + (count(*) OVER (PARTITION BY annotator, v) - 1) / 2e0)
+       / (count(*) OVER (PARTITION BY annotator) - 1) ELSE 0.5e0 END AS place FROM m"""),
+    ("bo", "SELECT sample_id, avg(place) AS borda FROM p GROUP BY sample_id")],
+    f"""SELECT m.sample_id, sum(weight)::BIGINT AS n_ratings, count(*) AS n_annotators, {r('sum(total) / sum(weight)', 'mean_score')},
+  {r('stddev_pop(mv)', 'annotator_spread')}, {r('any_value(borda)', 'borda')}, round(any_value(effect), 4) AS fitted_score
+FROM m JOIN bo USING (sample_id) JOIN s USING (sample_id) GROUP BY m.sample_id""")
+ORACLE_SQL["annotator_bias"] = sql(["ratings"], fit_ctes(_ROUNDS), f"""SELECT annotator, sum(c.weight)::BIGINT AS n_ratings,
+  round(any_value(bias), 4) AS bias, round(sqrt(sum(c.weight * (total / c.weight - effect - bias) ** 2) / sum(c.weight)), 4) AS residual
+FROM c JOIN s USING (sample_id) JOIN b{_ROUNDS} USING (annotator) GROUP BY annotator""")
+
+ORACLE_SQL["edit_audit"] = sql(["section_changes"], [
+    ("t", "SELECT prompt_id, section, status, coalesce(oc, '') AS a, coalesce(nc, '') AS b FROM section_changes WHERE status <> 'unchanged'"),
+    ("dd", """SELECT *, CASE WHEN a = '' THEN length(b) WHEN b = '' THEN length(a) ELSE levenshtein(a, b) END AS dist,
+  CASE WHEN prompt_id % 13 = 0 THEN 0 ELSE floor(200e0 * least(1e0, (prompt_id % 11) / 10e0 / 1e0))::INT END AS char_limit,
+  row_number() OVER (PARTITION BY prompt_id ORDER BY section)::INT AS section_no FROM t""")],
+    """SELECT prompt_id, section, status, char_limit, CASE WHEN dist <= char_limit THEN dist::INT END AS chars_changed, section_no,
+  CASE WHEN section_no > 1 THEN 'too_many_sections' WHEN dist > char_limit THEN 'too_long' ELSE 'ok' END AS verdict FROM dd""")
+
+_count = lambda col, w: f"len(list_filter(regexp_extract_all(lower(coalesce({col}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w = '{w}'))"
+_modal = ("can", "should", "must", "always")
+ORACLE_SQL["modal_strength"] = sql(["section_changes"], [
+    ("t", "SELECT prompt_id, section, status, " + ", ".join(f"{_count(c, w)} AS {c}{i}" for c in ("oc", "nc") for i, w in enumerate(_modal, 1))
+     + " FROM section_changes WHERE status <> 'unchanged'")],
+    """SELECT prompt_id, section, status, oc1 + 2 * oc2 + 3 * oc3 + 4 * oc4 AS old_strength, nc1 + 2 * nc2 + 3 * nc3 + 4 * nc4 AS new_strength,
+  (nc1 + 2 * nc2 + 3 * nc3 + 4 * nc4) - (oc1 + 2 * oc2 + 3 * oc3 + 4 * oc4) AS rise,
+  CASE WHEN oc4 > 0 THEN 4 WHEN oc3 > 0 THEN 3 WHEN oc2 > 0 THEN 2 WHEN oc1 > 0 THEN 1 ELSE 0 END AS old_level,
+  CASE WHEN nc4 > 0 THEN 4 WHEN nc3 > 0 THEN 3 WHEN nc2 > 0 THEN 2 WHEN nc1 > 0 THEN 1 ELSE 0 END AS new_level,
+  nc1 + nc2 < oc1 + oc2 AND nc3 + nc4 > oc3 + oc4 AS soft_to_hard FROM t""")
+
+ORACLE_SQL["hash_split"] = sql(["strata_samples"], [], f"""SELECT sample_id, {r('human_score', 'human_score')},
+  CASE WHEN {md5u("'42'", "CAST(sample_id AS VARCHAR)")} < 0.2e0 THEN 'val' ELSE 'train' END AS split FROM strata_samples""")
+ORACLE_SQL["strata_sketch"] = sql(["eval_history"], [], """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, true AS low_within, true AS high_within
+FROM eval_history WHERE val_loss IS NOT NULL AND NOT isnan(val_loss) GROUP BY ALL""")
+
+_roll = sql(["judged_docs"], [
+    ("x", """SELECT coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, 0::BIGINT AS grouping_level, human_score, judge_score FROM judged_docs
+UNION ALL SELECT coalesce(source, '<null>'), '<all>', 1, human_score, judge_score FROM judged_docs
+UNION ALL SELECT '<all>', '<all>', 3, human_score, judge_score FROM judged_docs""")]
+    + pair_ctes("x", ["source", "lang", "grouping_level"], "q") + spearman_ctes("x", ["source", "lang", "grouping_level"], "w"),
+    f"""SELECT CASE WHEN q.source NOT IN ('<all>', '<null>') THEN q.source END AS source, CASE WHEN q.lang NOT IN ('<all>', '<null>') THEN q.lang END AS lang,
+  q.grouping_level, q.n, {r('kendall_tau', 'kendall_tau')}, {r('kendall_tau_loss', 'kendall_tau_loss')}, clear_pairs, {r('pairwise_loss', 'pairwise_loss')},
+  {r('spearman_rho', 'spearman_rho')}, {r('spearman_loss', 'spearman_loss')} FROM q_pm q JOIN w_sp w USING (source, lang, grouping_level)""")
+ORACLE_SQL["rank_statistics_rollup"] = _roll
+
+ORACLE_SQL["contraction_loss"] = sql(["judged_versions"], pair_ctes("judged_versions", G, "q") + [
+    ("ms", f"""SELECT {GK}, avg(abs(judge_score - human_score)) AS mae, stddev_pop(judge_score) AS js, stddev_pop(human_score) AS hs
+FROM judged_versions GROUP BY ALL"""),
+    ("z", f"SELECT ms.*, kendall_tau_loss, CASE WHEN hs > 0 THEN greatest(0e0, 1e0 - js / hs) ELSE 0e0 END AS con FROM ms JOIN q_pm USING ({GK})")],
+    f"""SELECT {GK}, 'kendall' AS loss_type, {r('mae + kendall_tau_loss + 0.5e0 * con', 'total_loss')}, {r('mae', 'mae_component')},
+  {r('kendall_tau_loss', 'rank_loss_component')}, {r('con', 'contraction')} FROM z""")
+
+ORACLE_SQL["stratum_ranking_loss"] = sql(["pair_scores"], [
+    ("th", "SELECT group_id, quantile_cont(human_score, 0.25) AS lo, quantile_cont(human_score, 0.75) AS hi FROM pair_scores GROUP BY group_id"),
+    ("x", """SELECT group_id, CASE WHEN human_score >= hi THEN 'high' WHEN human_score <= lo THEN 'low' ELSE 'mid' END AS stratum, human_score, judge_score
+FROM pair_scores JOIN th USING (group_id)"""),
+    ("y", "SELECT * FROM x WHERE stratum <> 'mid'")] + pair_ctes("y", ["group_id", "stratum"], "q"),
+    f"SELECT group_id, stratum, n, clear_pairs, {r('pairwise_loss', 'pairwise_loss')} FROM q_pm")
+
+ORACLE_SQL["bulk_scores"] = sql(["responses"], [("t", "SELECT sample_id, length(coalesce(response, '')) AS len FROM responses")],
+    f"""SELECT sample_id, {r('CASE WHEN len % 5 IN (1, 3, 4) THEN len / 10e0 END', 'judge_score')},
+  CASE len % 5 WHEN 0 THEN 'failed' WHEN 2 THEN 'no_score' ELSE 'ok' END AS status,
+  CASE WHEN len % 5 = 0 THEN 'ValueError: no verdict on ' || len::VARCHAR || ' characters' END AS reason,
+  CASE len % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS n_attempts FROM t""")
+ORACLE_SQL["version_commits"] = sql(["eval_history"], [], f"SELECT run_id, step, {r('val_loss', 'val_loss')}, 0::BIGINT AS repeated FROM eval_history")
+
+ORACLE_SQL["stream_drift"] = sql(["eval_history"], [
+    ("x", """SELECT ts, val_loss AS h, val_loss + (k - 50) / 50e0 AS j, coalesce(k % 10 = 0 AND ts < TIMESTAMP '2024-01-06', false) AS late FROM eval_history"""),
+    ("closed", "SELECT max(ts) - INTERVAL 2 DAY AS mark FROM x WHERE NOT late")],
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (NOT late) AS n, {r('avg(j - h) FILTER (NOT late)', 'bias')},
+  {r('avg(abs(j - h)) FILTER (NOT late)', 'mae')}, {r('stddev_pop(j) FILTER (NOT late)', 'judge_std')}, count(*) FILTER (late) AS late_rows
+FROM x, closed GROUP BY 1 HAVING count(*) FILTER (NOT late) > 0 AND date_trunc('day', min(ts)) + INTERVAL 1 DAY <= any_value(mark)""")
