@@ -72,21 +72,18 @@ def gram_hasher() -> WordHasher:
     return hasher
 
 
-def held_texts(batches: Iterator[pa.RecordBatch], hasher: WordHasher, held_bytes: int = HELD_BYTES) -> Iterator[tuple[str, Grams]]:
-    """(lang, its n-grams), language by language, whenever ``held_bytes`` have been read. Texts stay whole."""
+def held_texts(batches: Iterator[pa.RecordBatch], hasher: WordHasher, held_bytes: int | None = None) -> Iterator[list[tuple[str, Grams]]]:
+    """The languages and n-grams of the texts read, whenever they reach ``held_bytes``. Texts stay whole."""
     held, size = {}, 0
     for lang, text in text_rows(batches, "lang", "text"):
         data = text.encode()
         held.setdefault(lang, []).append(data)
         size += len(data) + 1
-        if size >= held_bytes:
-            while held:
-                name, texts = held.popitem()
-                yield name, Grams(hasher, name, texts)
-            size = 0
-    while held:
-        name, texts = held.popitem()
-        yield name, Grams(hasher, name, texts)
+        if size >= (held_bytes or HELD_BYTES):
+            yield [(name, Grams(hasher, name, texts)) for name, texts in held.items()]
+            held, size = {}, 0
+    if held:
+        yield [(name, Grams(hasher, name, texts)) for name, texts in held.items()]
 
 
 def summarise(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -112,8 +109,9 @@ def survivors(docs: DataFrame, n_parts: int, max_words: int = MAX_WORDS, min_cou
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             hasher = gram_hasher()
-            for _, grams in held_texts(batches, hasher):
-                key, n = np.unique(np.concatenate([grams.of(k)[0] for k in range(1, max_words + 1)]) >> np.uint64(64 - bits - _KEY_BITS), return_counts=True)
+            for held in held_texts(batches, hasher):
+                hashes = np.concatenate([grams.of(k)[0] for _, grams in held for k in range(1, max_words + 1)])
+                key, n = np.unique(hashes >> np.uint64(64 - bits - _KEY_BITS), return_counts=True)
                 ends = np.searchsorted(key, np.arange(1, n_parts + 1, dtype=np.uint64) << np.uint64(_KEY_BITS))
                 low, n = key.astype(np.uint32), n.astype(np.uint32)
                 start = 0
@@ -189,7 +187,7 @@ def count_phrases(docs: DataFrame, marked: np.ndarray, n_parts: int, max_words:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             hasher, flags = gram_hasher(), sent.value
-            for lang, grams in held_texts(batches, hasher):
+            for lang, grams in (x for held in held_texts(batches, hasher) for x in held):
                 yield lang, 0, None, len(grams.words)
                 for n in range(1, max_words + 1):
                     h, at = grams.of(n)
@@ -216,7 +214,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     mass = max_words * (size // 2 + 1)  # a word has a byte, and so has what follows it
-    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slack * mass // (min_count * max_counters))
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slack * mass // (min_count * max_counters))
     n_parts = 1 << max(0, parts - 1).bit_length()
     marked = bitmap(survivors(docs, n_parts, max_words, min_count, slack), bits)
     return count_phrases(docs, marked, n_parts, max_words).filter((F.col("count") >= min_count) | (F.col("words") == 0))

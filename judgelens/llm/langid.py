@@ -296,24 +296,34 @@ def text_emissions(model: Model, text: str, letter: np.ndarray) -> np.ndarray:
     if len(codes) <= CHUNK:
         return emissions(model, codes, letter)
     out, low = [], 0
-    while low < len(codes):  # cut behind the last code point that is no letter; a longer word where it is
+    while low < len(codes):  # cut behind the last code point that is no letter; a longer word goes whole
         high = min(low + CHUNK, len(codes))
         if high < len(codes):
             gaps = np.flatnonzero(~letter[codes[low:high]])
-            high = low + int(gaps[-1]) + 1 if len(gaps) else high
+            high = low + int(gaps[-1]) + 1 if len(gaps) else word_end(codes, letter, high)
         out.append(emissions(model, codes[low:high], letter))
         low = high
     return np.concatenate(out)
 
 
+def word_end(codes: np.ndarray, letter: np.ndarray, at: int) -> int:
+    """The place behind the word that reaches ``at``: that of the next code point that is no letter, or the end."""
+    while at < len(codes):
+        gaps = np.flatnonzero(~letter[codes[at:at + CHUNK]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at = min(at + CHUNK, len(codes))
+    return at
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The language of each text: doc_id, lang_pred, score (mean posterior of that label, 0 to 1),
     n_words, switches (neighbouring words whose best labels differ).
 
     A null text, or one without a letter, is ``und`` with score 0; ties go to the first label in
     code point order. A model trained on one language predicts it for every text with a letter, one
-    trained on none ``und``. Each row is judged alone; an empty table gives no rows. Other columns
-    are not read."""
+    trained on none ``und``. A word of any length is one word. Each row is judged alone; an empty table gives no
+    rows. Other columns are not read."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("switches", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

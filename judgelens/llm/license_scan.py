@@ -3,9 +3,10 @@
 All rolling word k-gram hashes of all documents are joined to the k-gram hashes of the license
 templates. A hit at word p of the document and word t of the template votes for the diagonal
 p - t; an unbroken copy of a template puts all its votes on one diagonal, an inserted or dropped
-word moves the rest to a neighbouring one. Votes are summed by diagonal, diagonals at most
-``max_drift`` apart are merged, and a merged run is a license if it covers enough of the
-template's words within a span of about the template's length.
+word moves the rest to a neighbouring one. Votes are summed by diagonal, and diagonals at most
+``max_drift`` apart form a run. From each diagonal on, as many of its run are merged as an allowed
+span can hold; what they cover of the template's words is verified, and of overlapping spans the one
+that covers most, then the shortest, stands. So fragments repeated around a notice don't hide it.
 """
 
 from __future__ import annotations
@@ -126,14 +127,41 @@ def license_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, min_cover: f
     by = Window.partitionBy("row_key", "template").orderBy("diagonal")
     runs = (votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(by) > max_drift).cast("int"))
             .withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(by)))
-    merged = runs.groupBy("row_key", "template", "label", "template_words", "run").agg(
-        F.min("first").alias("start_word"), (F.max("last") + k).alias("end_word"),
-        F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + k - 1)))))
-    return (merged.withColumn("cover", covered / F.col("template_words"))
-            .filter((F.col("cover") >= min_cover)
-                    & (F.col("end_word") - F.col("start_word") <= F.col("template_words") * max_stretch + max_drift))
-            .select("row_key", "label", "template", "start_word", "end_word", "cover"))
+    # diagonals that a span no longer than allowed can hold: words to spare over the template's length
+    spare = F.col("template_words") * (max_stretch - 1) + max_drift
+    reach = int(max((len(words_of(WordHasher(), text)) for _, text in templates), default=0) * (max_stretch - 1) + max_drift)
+    ahead = Window.partitionBy("row_key", "template", "run").orderBy("diagonal").rangeBetween(0, reach)
+    merged = runs.withColumn("held", F.collect_list(F.struct("diagonal", "first", "last", "ts")).over(ahead)).withColumn(
+        "held", F.filter("held", lambda v: v["diagonal"] - F.col("diagonal") <= spare))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten("held.ts"), lambda t: F.sequence(t, t + k - 1)))))
+    verified = merged.select("row_key", "label", "template", F.array_min("held.first").alias("start_word"), (F.array_max("held.last") + k).alias("end_word"),
+                             (covered / F.col("template_words")).alias("cover")).filter(F.col("cover") >= min_cover)
+    return best_spans(verified)
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """Of the overlapping spans of a text and template, the one of largest cover, then shortest, then first."""
+    names = ["row_key", "label", "template", "start_word", "end_word", "cover"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            held = None
+            for row in text_rows(batches, *names):
+                if held and row[0] == held[0] and row[2] == held[2] and row[3] < held[4]:
+                    held = min(held, row, key=lambda r: (-r[5], r[4] - r[3], r[3]))
+                else:
+                    if held:
+                        yield held
+                    held = row
+            if held:
+                yield held
+
+        yield from batched(rows(), pa.schema([("row_key", pa.string()), ("label", pa.string()), ("template", pa.int32()),
+                                              ("start_word", pa.int64()), ("end_word", pa.int64()), ("cover", pa.float64())]))
+
+    return (spans.select(*[F.col(c).cast("long") if c.endswith("_word") else F.col(c) for c in names]).repartition("row_key", "template")
+            .sortWithinPartitions("row_key", "template", "start_word", "end_word")
+            .mapInArrow(pick, "row_key string, label string, template int, start_word long, end_word long, cover double"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -143,7 +171,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     voting; both distinct, sorted, comma-joined, empty if none), score (1 for a base phrase, else the
     largest cover of a verified template span, else 0). Nulls are empty texts. Rows with equal id and
     text get equal results, rows with equal id and different texts are scanned apart. An empty table
-    gives no rows. Other columns are not read."""
+    gives no rows. A word of any length is one word. Other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select(
         "doc_id", "text", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"),
                                    F.md5(F.coalesce("text", F.lit("")))).alias("row_key"))

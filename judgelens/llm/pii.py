@@ -138,23 +138,26 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     """All kept spans, by kind as listed, then start. Base kinds are kept once confirmed, whatever
-    their score; the other kinds from ``MIN_SCORE`` on, where no base span overlaps."""
+    their score; the other kinds from ``MIN_SCORE`` on, unless they lie within a base span."""
     found = sorted((KINDS.index(k), s, e) for k, s, e in propose(text))
     base = sorted((s, e) for k, s, e in found if k < len(BASE_KINDS))
     kept = []
     for k, s, e in found:
         p = score(text, KINDS[k], s, e)
-        if k < len(BASE_KINDS) or p >= MIN_SCORE and not any(s < e2 and s2 < e for s2, e2 in base):
+        if k < len(BASE_KINDS) or p >= MIN_SCORE and not any(s2 <= s and e <= e2 for s2, e2 in base):
             kept.append((KINDS[k], s, e, p))
     return kept
 
 
 def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
-    """The text with each span replaced by its kind in brackets; overlapping spans are one."""
-    out, done = [], 0
+    """The text with each span replaced by its kind in brackets; overlapping spans are one, of the longest one's kind."""
+    out, done, longest = [], 0, 0
     for s, e, kind in sorted((s, e, k) for k, s, e, _ in spans):
         if s >= done:
             out += [text[done:s], f"[{kind.upper()}]"]
+            longest = e - s
+        elif e - s > longest:
+            out[-1], longest = f"[{kind.upper()}]", e - s
         done = max(done, e)
     return "".join([*out, text[done:]])
 

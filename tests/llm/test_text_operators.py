@@ -31,8 +31,24 @@ def test_word_hashes_name_words(text, piece):
     assert len(got) == len(words)
     names = {}
     assert all(names.setdefault(w, h) == h for w, h in zip(words, got.tolist())) and len(set(names.values())) == len(names)
-    if all(len(w) < piece for w in words):
-        assert WordHasher(piece).words(text.lower().encode()).tolist() == got.tolist()
+    for n in (1, 2, piece):
+        h, starts, ends = WordHasher(n).spans(text.lower().encode())
+        assert h.tolist() == got.tolist() and [text.lower().encode()[a:b] for a, b in zip(starts, ends)] == words
+
+
+def test_words_longer_than_a_piece(spark):
+    texts = ["a" * 1_200_000 + " mit license", "b " + "é" * 700_000 + "! mit license", "x" * (1 << 19) + " y", "x" * ((1 << 19) - 1) + "- y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(rows).collect()}
+    assert [got[i]["n_words"] for i in range(4)] == [3, 4, 2, 2]
+    assert [(got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) for i in range(2)] == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_language_of_words_longer_than_a_chunk(spark):
+    model = langid.train([("the cat and the dog sat on the mat", "en"), ("der hund und die katze lagen auf der matte", "de")])
+    texts = ["the " + "a" * 600_000 + " dog", "b" * (1 << 18) + " der hund", "c" * ((1 << 18) + 1)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i]["n_words"] for i in range(3)] == [3, 3, 1]
 
 
 # ---- language identification
@@ -341,6 +357,50 @@ def test_near_verbatim_notices(spark):
     assert got[0]["score"] == 1.0 and got[1]["score"] > 0.8 and got[3]["n_base"] == 2
 
 
+def test_notices_behind_repeated_fragments(spark):
+    first = {label: text for label, text in reversed(license_scan.TEMPLATES) if label in ("mit", "bsd")}
+    mit, bsd = next(t for _, t in license_scan.TEMPLATES if t.startswith("Permission is hereby granted, free")), first["bsd"]
+    texts = ["Permission is hereby granted. " * 8 + mit, "Redistribution and use in " * 9 + bsd, mit + " " + "Permission is hereby granted. " * 30,
+             f"{bsd} {bsd} and again {bsd}", "Redistribution and use in source " * 40]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(5)] == ["mit", "bsd", "mit", "bsd", ""]
+    spans = license_scan.license_spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "row_key string, text string")).collect()
+    n = len(bsd.split())
+    assert sorted((r["start_word"], r["end_word"]) for r in spans if r["row_key"] == "3") == [(0, n), (n, 2 * n), (2 * n + 2, 3 * n + 2)]
+    assert [(r["start_word"], r["end_word"], r["cover"]) for r in spans if r["row_key"] == "1"] == [(36, 36 + n, 1.0)]
+
+
+def test_voting_equals_a_scan_over_all_windows(spark):
+    """Templates among fragments, gaps and noise: a label is found if some window of the allowed length and drift covers enough."""
+    rng = np.random.RandomState(7)
+    templates = (("p", " ".join(f"p{i}" for i in range(12))), ("q", " ".join(f"q{i}" for i in range(20))))
+    texts = []
+    for _ in range(120):
+        out = []
+        for _ in range(rng.randint(1, 7)):
+            label, text = templates[rng.randint(2)]
+            ws = text.split()
+            a, b = sorted(rng.randint(0, len(ws) + 1, 2))
+            out += ws if rng.rand() < 0.3 else ws[a:b]
+            out += ["z"] * rng.randint(0, 8)
+        texts.append(" ".join(out))
+    spans = license_scan.license_spans(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "row_key string, text string"), templates=templates).collect()
+    found = {(int(r["row_key"]), r["label"]) for r in spans}
+    for i, text in enumerate(texts):
+        words = text.split()
+        for label, template in templates:
+            ws = template.split()
+            spare = int(len(ws) * 0.5 + license_scan.MAX_DRIFT)
+            hits = [(p - t, t) for t in range(len(ws) - 2) for p in range(len(words) - 2) if words[p:p + 3] == ws[t:t + 3]]
+            diagonals, runs = sorted({d for d, _ in hits}), []
+            for d in diagonals:
+                runs.append(runs[-1] if runs and d - prev <= license_scan.MAX_DRIFT else d)
+                prev = d
+            run = dict(zip(diagonals, runs))
+            best = max((len({t + j for e, t in hits if d <= e <= d + spare and run[e] == run[d] for j in range(3)}) for d in diagonals), default=0)
+            assert ((i, label) in found) == (best / len(ws) >= license_scan.MIN_COVER), (text, label)
+
+
 # ---- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -393,6 +453,21 @@ def test_account_numbers_before_capitals_and_numbers(iban, after):
     assert not [k for k, _, _ in pii.propose(f"IBAN {iban[:-1]}{(int(iban[-1]) + 1) % 10 if iban[-1].isdigit() else 'T'}{after}") if k == "iban"]
 
 
+@pytest.mark.parametrize("country, n", [("NO", 15), ("BE", 16), ("DK", 18), ("AT", 20), ("CH", 21), ("DE", 22)])
+def test_no_account_number_is_lost_to_a_card(country, n):
+    rng = np.random.RandomState(3)
+    cards = 0
+    for _ in range(2000):
+        digits = "".join(map(str, rng.randint(0, 10, n - 4)))
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{digits}{country}00")) % 97
+        text = f"IBAN {country}{check:02}{digits} EUR"
+        spans = pii.spans_of(text)
+        assert ("iban", 5, 5 + n) in [s[:3] for s in spans] and [s[:3] for s in spans if s[0] in pii.BASE_KINDS] == plain_pii(text)
+        assert pii.redact(text, spans) == "IBAN [IBAN] EUR"
+        cards += any(s[0] == "card" for s in spans)
+    assert cards if n <= 21 else True
+
+
 def test_account_numbers_of_unlisted_codes_end_at_a_group():
     text = next(t for c in range(100) if pii.mod97((t := f"ZZ{c:02} 1234 5678 9012 3456").replace(" ", "")))
     assert [text[s:e] for k, s, e in pii.propose(f"{text} USD") if k == "iban"] == [text]
