@@ -32,8 +32,9 @@ MAX_WORDS, MIN_COUNT, SCALE, REPLACED, TOP = 4, 30, 2_000_000, 80, 2000
 SLACK = 4
 #: Counters of a summary (16 bytes each): there are as many hash partitions as this bound asks for.
 MAX_COUNTERS = 1 << 21
-#: Bytes of text that a task counts before it hands on; bits of the bitmap of survivors (32 MB).
-HELD_BYTES, BITS = 1 << 23, 1 << 28
+#: Bytes of text whose n-grams a task holds at a time (some forty bytes of arrays each), phrases whose counts it
+#: holds; bits of the bitmap of survivors (32 MB).
+HELD_BYTES, HELD_PHRASES, BITS = 1 << 21, 1 << 18, 1 << 28
 
 _BREAKS, _BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -186,18 +187,23 @@ def count_phrases(docs: DataFrame, marked: np.ndarray, n_parts: int, max_words:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            hasher, flags = gram_hasher(), sent.value
-            for lang, grams in (x for held in held_texts(batches, hasher) for x in held):
-                yield lang, 0, None, len(grams.words)
+            hasher, flags, held = gram_hasher(), sent.value, {}
+            for lang, grams in (x for texts in held_texts(batches, hasher) for x in texts):
+                held[lang, 0, None] = held.get((lang, 0, None), 0) + len(grams.words)
                 for n in range(1, max_words + 1):
                     h, at = grams.of(n)
                     bit = h >> shift & mask
                     hit = (flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     _, first, many = np.unique(h[hit], return_index=True, return_counts=True)
                     for i, c in zip(at[hit][first].tolist(), many.tolist()):
-                        yield lang, n, grams.phrase(i, n), c
-
-        yield from batched(rows(), out, max_rows=20_000)
+                        key = lang, n, grams.phrase(i, n)
+                        held[key] = held.get(key, 0) + c
+                if len(held) >= HELD_PHRASES:
+                    yield from ((*key, c) for key, c in held.items())
+                    held.clear()
+            yield from ((*key, c) for key, c in held.items())
+
+        yield from batched(rows(), out, max_rows=10_000)
 
     return (docs.select("lang", "text").mapInArrow(count, "lang string, words int, phrase string, count long")
             .groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count")))

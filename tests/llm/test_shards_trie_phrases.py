@@ -230,6 +230,7 @@ def test_phrases_equal_brute_force(spark):
 
 def test_phrases_with_small_summaries_and_bitmap(spark, monkeypatch):
     monkeypatch.setattr(collocation, "HELD_BYTES", 1 << 12)
+    monkeypatch.setattr(collocation, "HELD_PHRASES", 16)
     rows = phrase_rows(2)
     exp = plain_phrases(rows, top=20)
     assert phrases_of(spark, rows, top=20, slack=1, bits=1 << 16, max_counters=16) == exp
