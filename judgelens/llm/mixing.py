@@ -6,10 +6,9 @@ finishes at virtual time (words the source has given so far) / target. Sorting e
 virtual finish time interleaves the sources in proportion to their targets, and the stream is cut
 where its words reach the total budget.
 
-Nothing is collected and no window holds a whole source: running sums within a source are taken in
-two levels, over hash buckets of a few thousand rows and then over the bucket totals. The services are
-range-partitioned and sorted by virtual finish time; their running words are taken within each range
-and over the range totals.
+Nothing is collected and no window holds a whole source or id: documents are range-partitioned in the
+shuffled order of their source, and running sums are taken within each range and over the range totals.
+So are those of the services, range-partitioned and sorted by virtual finish time.
 """
 
 from __future__ import annotations
@@ -20,11 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from judgelens.operators.keys import with_group_row
 from judgelens.operators.prefix import Running, running
 from judgelens.session import cut_lineage
 
-#: Rows that a bucket of the two-level running sums holds on average.
-ROWS_PER_BUCKET = 2000
 #: How often a document may be taken at most.
 MAX_REPEATS = 3
 WEIGHTS = (5, 2, 1)
@@ -86,28 +84,47 @@ def fair_queue(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: i
     source. Rows with equal ids come in an order fixed by size; equal rows are interchangeable.
     An empty table gives no rows. Columns other than the three named are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+                       F.monotonically_increasing_id().alias("row"))
+    return _queue(base, weights, max_repeats, seed, budget).drop("row")
+
+
+def _queue(base: DataFrame, weights: Sequence[int], max_repeats: int, seed: str, budget: int | None) -> DataFrame:
+    """The queue of (doc_id, source, size, row) rows; ``row`` is a number of their own."""
     # read by the targets, the running sums and the services; texts are read once
     base = cut_lineage(base.withColumn("k", shuffle_key(F.col("doc_id"), seed)))
     targets = source_targets(base, weights, max_repeats)
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_BUCKET)).cast("long")
-    # the bucket follows the shuffled order, so earlier buckets hold earlier documents
-    dealt = _null_safe_join(base, targets, "source").withColumn(
-        "bucket", F.least(F.floor(F.col("k") / F.lit(float(16**15)) * n_buckets).cast("long"), n_buckets - 1))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(
-        Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size")
-    placed = dealt.withColumn("inner", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.withColumn("nth", F.row_number().over(order))
-    placed = _null_safe_join(placed, offsets, "source", "bucket").withColumn("starts", F.col("inner") + F.col("offset"))
-    total = targets.agg(F.sum(F.floor("target").cast("long")).alias("budget")) if budget is None else docs.sparkSession.range(1).select(F.lit(int(budget)).cast("long").alias("budget"))
-    row = ["doc_id", "source", "bucket", "nth", "size", "source_size", "target", "starts"]
+    # a source is cut into slices however many of its rows share an id: row parts them
+    placed = running(_null_safe_join(base, targets.drop("n_docs"), "source"), ["source"], ["k", "doc_id", "size", "row"],
+                     [Running("starts", "sum", "size", inclusive=False)], small=False).withColumn("starts", F.col("starts").cast("long"))
+    total = (targets.agg(F.sum(F.floor("target").cast("long")).alias("budget")) if budget is None
+             else targets.agg(F.lit(int(budget)).cast("long").alias("budget")))
+    row = ["doc_id", "source", "row", "size", "source_size", "target", "starts"]
     return (_served(placed, total, max_repeats).groupBy(*row)
             .agg(F.sum("words").cast("long").alias("taken"),
                  F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct("virtual_finish", "words")))).alias("services"))
-            .select("doc_id", "source", "size", "source_size", "target", "taken", "starts", "services"))
+            .select("row", "doc_id", "source", "size", "source_size", "target", "taken", "starts", "services"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix",
+                    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whole, each with its place in the mix: size, source_size, target, taken, and
+    services as in ``fair_queue``. New columns replace columns of the same name. The rows are numbered
+    and kept, so rows of equal or null id are told apart."""
+    kept = cut_lineage(docs.select(F.struct(*docs.columns).alias("whole"), F.monotonically_increasing_id().alias("row")))
+    base = kept.select(F.col(f"whole.{id_col}").alias("doc_id"), F.col(f"whole.{source_col}").alias("source"),
+                       word_count(F.col(f"whole.{text_col}")).alias("size"), "row")
+    new = ["size", "source_size", "target", "taken", "services"]
+    queue = _queue(base, weights, max_repeats, seed, budget).select("row", *new)
+    return kept.join(queue, "row").select(*[F.col(f"whole.{c}").alias(c) for c in docs.columns if c not in new], *new)
+
+
+def text_stream(mixed: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The training stream of ``mixed_documents``: a row per service, globally range-sorted by virtual finish time:
+    doc_id, source, text, words (that the mix takes of it, from its start), virtual_finish."""
+    return (mixed.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.explode("services").alias("s"))
+            .select("doc_id", "source", "text", F.col("s.words").alias("words"), F.col("s.virtual_finish").alias("virtual_finish"))
+            .orderBy("virtual_finish", F.col("source").asc_nulls_last(), "doc_id"))
 
 
 def _served(placed: DataFrame, total: DataFrame, max_repeats: int) -> DataFrame:
@@ -128,7 +145,7 @@ def _served(placed: DataFrame, total: DataFrame, max_repeats: int) -> DataFrame:
     # virtual time and source name a service; k spreads the rows without words
     before = running(services, [], ["virtual_finish", "unnamed", "source", "finish", "k"], [Running("before", "sum", "all_words", inclusive=False)], small=False)
     left = F.greatest(F.lit(0), F.col("budget") - F.col("before").cast("long"))
-    return before.crossJoin(F.broadcast(total)).withColumn("words", F.least(F.col("all_words"), left))
+    return with_group_row(before, total, []).withColumn("words", F.least(F.col("all_words"), left))
 
 
 def mix_stream(queue: DataFrame) -> DataFrame:

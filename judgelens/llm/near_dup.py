@@ -8,7 +8,8 @@ if the Jaccard similarity of the full sets reaches the threshold.
 No step lists the pairs of a bucket. First each member of a bucket is compared with the bucket's
 least member, which ties large groups of near copies together with one comparison per member.
 Buckets that then still hold members of several components are compared in full, in blocks inside
-tasks that emit links only. Links are counted in the same way, within each component.
+tasks that emit links only. Links are counted within each component: members close to its least
+member are linked with each other by the triangle inequality, and only the others are compared in blocks.
 """
 
 from __future__ import annotations
@@ -103,15 +104,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, threshold: float, apart: bool) -> DataFrame:
-    """Compare the members (group, key, comp, weight, grams) of each group, all with all, in blocks.
-
-    A group is dealt into blocks by a hash of the key; each pair of blocks is one task group, so a
-    member is copied once for each block of its group, and pairs exist only inside a task. With
-    ``apart``, members of different comp are compared and links (a, b) emitted; else the result is
-    (key, n): the summed weight of the members it is linked with."""
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.size("grams")) / BLOCK_CELLS)).alias("n_blocks"))
-    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")))
-    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select(
+    """Compare the members (group, key, comp, weight, grams, near) of each group, all with all but near with near, in blocks.
+
+    A group is dealt into blocks by a hash of the key, near members and others apart; each pair of blocks is
+    one task group, so a member is copied once for each block that it is compared with, and pairs exist
+    only inside a task. With ``apart``, members of different comp are compared and links (a, b)
+    emitted; else the result is (key, n): the summed weight of the members it is linked with."""
+    blocks = lambda near: F.greatest(F.ceil(F.count_if(near) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(near, F.size("grams"))), F.lit(0)) / BLOCK_CELLS))
+    sizes = members.groupBy("group").agg(blocks(F.col("near")).alias("n_near"), blocks(~F.col("near")).alias("n_rest"))
+    dealt = members.join(sizes, "group").withColumn("block", F.when(F.col("near"), F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.col("n_near"))))
+                                                    .otherwise(F.col("n_near") + F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.col("n_rest")))))
+    first, last = F.when(F.col("near"), F.col("n_near")).otherwise(F.lit(0)).cast("long"), (F.col("n_near") + F.col("n_rest") - 1).cast("long")
+    copies = dealt.filter(first <= last).withColumn("other", F.explode(F.sequence(first, last))).select(
         "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "comp", "weight", "grams")
     out = "a string, b string" if apart else "key string, n long"
 
@@ -253,16 +257,33 @@ def unresolved(buckets: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFra
                                           F.expr("bit_xor(xxhash64(key))").alias("x"), F.expr("bit_xor(xxhash64('2', key))").alias("y"))
              .filter("lo != hi and n > 2").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
     return (placed.join(mixed, "bucket").join(sets, "key")
-            .select(F.col("bucket").cast("string").alias("group"), "key", "comp", F.lit(1).cast("long").alias("weight"), "grams"))
+            .select(F.col("bucket").cast("string").alias("group"), "key", "comp", F.lit(1).cast("long").alias("weight"), "grams",
+                    F.lit(False).alias("near")))
+
+
+def near_hubs(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(group, key, weight, near) of the members (group, key, weight): whether a member is within half of the
+    distance 1 - threshold of its group's least key. The Jaccard distance is a metric, so any two near
+    members are linked, whatever else they hold. One comparison a member."""
+    hubs = members.groupBy("group").agg(F.min("key").alias("key")).join(sets, "key").select("group", F.col("grams").alias("hub_grams"))
+    common = F.size(F.array_intersect("grams", "hub_grams"))
+    distance = 1 - common / (F.size("grams") + F.size("hub_grams") - common)
+    return members.join(sets, "key").join(hubs, "group").select(
+        "group", "key", "weight", (distance <= (1 - threshold) / 2 - 1e-9).alias("near"))
 
 
 def counted(signed: DataFrame, classes: DataFrame, comps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     members = comps.join(classes.select("key", "rep", "weight"), "key")
     totals = members.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("weight").alias("class_docs"), F.count(F.lit(1)).alias("n_keys"))
-    # in a component of two classes each is linked with the other; larger ones are compared in full
+    # in a component of two classes each is linked with the other; in larger ones near members are linked with one
+    # another, which is counted by sums, and the others are compared in full with all
     two = members.join(totals.filter("n_keys = 2"), "comp").select("key", (F.col("class_docs") - F.col("weight")).alias("n"))
-    large = members.join(totals.filter("n_keys > 2").select("comp"), "comp").join(sets, "key").select(F.col("comp").alias("group"), "key", "comp", "weight", "grams")
-    links = two.unionByName(in_blocks(large, threshold, apart=False))
+    large = members.join(totals.filter("n_keys > 2").select("comp"), "comp").select(F.col("comp").alias("group"), "key", "weight")
+    placed = cut_lineage(near_hubs(large, sets, threshold))
+    sums = placed.groupBy("group").agg(F.sum(F.when(F.col("near"), F.col("weight"))).alias("near_weight"), F.max(~F.col("near")).alias("open"))
+    alike = placed.filter("near").join(sums, "group").select("key", (F.col("near_weight") - F.col("weight")).alias("n"))
+    rest = placed.join(sums.filter("open").select("group"), "group").join(sets, "key").withColumn("comp", F.col("group"))
+    links = two.unionByName(alike).unionByName(in_blocks(rest, threshold, apart=False)).groupBy("key").agg(F.sum("n").alias("n"))
     by_key = (classes.select("key", "rep", "weight").join(members.select("key", "comp"), "key", "left").join(totals, "comp", "left").join(links, "key", "left")
               .select("key", F.coalesce("class_id", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
                       F.coalesce("class_docs", "weight").alias("class_docs")))

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from judgelens.llm import mixing, near_dup
 
@@ -142,3 +143,77 @@ def test_bands_reach_their_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = near_dup.choose_bands(threshold, 0.999, 200)
         assert 1 - (1 - threshold**rows) ** bands >= 0.999 and bands * rows <= 200
+
+
+def test_links_of_large_components_equal_all_pairs(spark, monkeypatch):
+    """A hub with near copies, copies farther off that reach only some of them, and chains; small blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 3)
+    rng = np.random.RandomState(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(40):
+        ws = list(base)
+        for _ in range(rng.randint(0, 4) if k < 28 else rng.randint(2, 5)):
+            ws[rng.randint(120)] = f"x{rng.randint(10**6)}"
+        texts += [" ".join(ws)] * (1 + k % 2)
+    chain = list(base[:100]) + ["tail"]
+    for k in range(14):  # each a step further from the first
+        chain[k * 7] = f"c{k}"
+        texts.append(" ".join(chain))
+    texts += ["", "", "one word", "one word", " ".join(f"z{i}" for i in range(50))]
+    got = {r["doc_id"]: r for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = []
+    for t in texts:
+        ws = t.split()
+        n = min(5, len(ws)) or 1
+        sets.append(frozenset(tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)) or None)
+    linked = lambda a, b: sets[a] is None and sets[b] is None or bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    exp = [sum(linked(i, j) for j in range(len(texts)) if j != i) for i in range(len(texts))]
+    assert [got[i]["n_links"] for i in range(len(texts))] == exp
+    sizes = {r["class_id"]: r["class_docs"] for r in got.values()}
+    assert max(sizes.values()) > 40 and len({e for e in exp[:60]}) > 5  # a large component whose members differ in links
+
+
+def test_near_copies_are_copied_in_proportion(spark):
+    """The members of a class of near copies that a full comparison would copy for each block: none."""
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(900):
+        ws = list(base)
+        ws[(k * 37) % 400] = f"x{k}"
+        texts.append(" ".join(ws))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = near_dup.near_duplicates(df).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 899)}
+    sets = spark.createDataFrame([(str(i), [i, *range(10**6, 10**6 + 99)]) for i in range(600)], "key string, grams array<bigint>")
+    placed = near_dup.near_hubs(spark.createDataFrame([("g", str(i), 1) for i in range(600)], "group string, key string, weight long"), sets, 0.8)
+    assert placed.filter("near").count() == 600
+
+
+def test_mix_of_one_id_and_one_source(spark):
+    docs = spark.createDataFrame([(7, "a b c " * (i % 5), "s") for i in range(3000)], "doc_id long, text string, source string").repartition(6)
+    queue = mixing.fair_queue(docs).collect()
+    total = sum(3 * (i % 5) for i in range(3000))
+    starts = sorted((r["starts"], r["size"]) for r in queue if r["size"])
+    assert len(queue) == 3000 and sum(r["taken"] for r in queue) == total and starts[0][0] == 0
+    assert all(a + s == b for (a, s), (b, _) in zip(starts, starts[1:]))
+    nulls = docs.withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit(None).cast("string"))
+    assert sum(r["taken"] for r in mixing.fair_queue(nulls).collect()) == total
+
+
+def test_mixed_documents_are_whole(spark):
+    rows = [(i % 40 if i % 7 else None, f"text {i} " + "w " * (i % 9), ["a", "b", None][i % 3], i) for i in range(300)] + [(None, None, "a", 5), (3, "", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").withColumn("size", F.lit("clash")).withColumn("row", F.lit("kept")).withColumn("whole", F.lit("kept"))
+    mixed = mixing.mixed_documents(docs.repartition(3))
+    got = mixed.collect()
+    assert sorted((r["doc_id"], r["text"], r["source"], r["extra"]) for r in got if r["doc_id"] is not None and r["text"] and r["source"]) == sorted(
+        x for x in rows if x[0] is not None and x[1] and x[2])
+    assert len(got) == 302 and all(r["size"] == len((r["text"] or "").split()) and r["row"] == "kept" and r["whole"] == "kept" for r in got)
+    queue = mixing.fair_queue(docs).collect()
+    assert sum(r["taken"] for r in got) == sum(r["taken"] for r in queue)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(r["doc_id"]), r["size"]) for r in queue)
+    stream = mixing.text_stream(mixed).collect()
+    times = [r["virtual_finish"] for r in stream]
+    assert times == sorted(times) and sum(r["words"] for r in stream) == sum(r["taken"] for r in got)
+    assert all(r["words"] <= len(r["text"].split()) for r in stream)
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.text_stream(mixed.limit(0)).count() == 0
