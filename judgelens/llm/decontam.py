@@ -34,8 +34,9 @@ GRAM, MIN_QUESTION, MIN_ANSWER = 3, 0.6, 0.6
 HALF = 64
 #: Windows that are scored at a time.
 STRETCH = 512
-#: Items that one index holds. Larger benchmarks are queried shard by shard, each by one pass.
-SHARD_ITEMS = 2000
+#: Items that one index holds; larger benchmarks are queried shard by shard. Bytes of text that a task holds
+#: while it opens the shards.
+SHARD_ITEMS, HELD_BYTES = 2000, 1 << 25
 
 _WORD = re.compile(r"\w+")
 
@@ -193,29 +194,66 @@ def contaminated(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITE
 
     Nulls are empty texts and match nothing, as do items without a word; equal items match alike.
     Items with equal id are indexed apart. Either table may be empty. Other columns are not read.
-    The benchmark is read in shards of ``shard_items`` (its index travels to the tasks); the matches
-    are the same for any number of shards."""
-    found = [search_shard(docs, shard, stats, id_col, text_col) for shard, stats in shards_of(items, shard_items, item_id_col, item_text_col)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    The benchmark travels to the tasks as its texts, in shards of ``shard_items`` whose indexes are made there, one
+    at a time and in one Python node; so its texts must fit the driver and a worker, its indexes need
+    not. The matches are the same for any number of shards."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("share", pa.float64()),
+                        ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())])
+    shards = shards_of(items, shard_items, item_id_col, item_text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            for held, indexes in stretches(batches, shards, "text"):
+                for listed, index in indexes:
+                    for doc_id, text in text_rows(held, "doc_id", "text"):
+                        best = index.matches(text)
+                        for item in sorted(best):
+                            yield (doc_id, listed[item][0], *best[item])
+
+        yield from batched(out(), schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        scan, "doc_id long, item_id long, score double, share double, question_overlap double, answer_overlap double, start_word long")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, shard_items: int = SHARD_ITEMS, text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that match no test item. Rows are judged where they are read,
     by one shard of the benchmark after the other."""
-    for shard, stats in shards_of(items, shard_items, item_id_col, item_text_col):
+    shards = shards_of(items, shard_items, item_id_col, item_text_col)
 
-        def scan(batches: Iterator[pa.RecordBatch], shard=shard, stats=stats) -> Iterator[pa.RecordBatch]:
-            index = Index(shard, stats)
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                yield batch.filter(pa.array([not index.matches(texts[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, indexes in stretches(batches, shards, text_col):
+            clean = [np.ones(batch.num_rows, bool) for batch in held]
+            for _, index in indexes:
+                for batch, mark in zip(held, clean):
+                    texts = batch.column(batch.schema.get_field_index(text_col))
+                    for i in np.flatnonzero(mark):
+                        mark[i] = not index.matches(texts[int(i)].as_py())
+            for batch, mark in zip(held, clean):
+                yield batch.filter(pa.array(mark))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def stretches(batches: Iterator[pa.RecordBatch], shards: list, text_col: str) -> Iterator[tuple[list[pa.RecordBatch], Iterator[tuple[list, Index]]]]:
+    """Batches whose texts take about ``HELD_BYTES``, with the shards' items and indexes. A task opens one shard
+    after the other for each stretch, so it holds one index whatever the size of the benchmark; the
+    index of a single shard is made once."""
+    only = [(items, Index(items, stats)) for items, stats in shards] if len(shards) == 1 else None
+
+    def indexes():
+        yield from only or ((items, Index(items, stats)) for items, stats in shards)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(text_col)).nbytes
+        if only or size >= HELD_BYTES:
+            yield held, indexes()
+            held, size = [], 0
+    if held:
+        yield held, indexes()
 
 
 def shards_of(items: DataFrame, shard_items: int, id_col: str, text_col: str) -> list[tuple[list[tuple[int, str]], Statistics | None]]:
@@ -224,7 +262,10 @@ def shards_of(items: DataFrame, shard_items: int, id_col: str, text_col: str) ->
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     shards = max(1, -(-rows.count() // shard_items))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    lists = [sorted(((r["item_id"], r["text"]) for r in dealt.filter(F.col("shard") == k).collect()), key=str) for k in range(shards)]
+    lists: list[list[tuple[int, str]]] = [[] for _ in range(shards)]
+    for r in dealt.toLocalIterator():  # the table is read once
+        lists[r["shard"]].append((r["item_id"], r["text"]))
+    lists = [sorted(part, key=str) for part in lists]
     if shards == 1:
         return [(lists[0], None)]
     whole = statistics_of(rows)
@@ -249,22 +290,3 @@ def statistics_of(rows: DataFrame) -> Statistics:
     df = {r["term"]: r["items"] for r in counted}
     of_items = next(r for r in counted if r["term"] is None)
     return Statistics(of_items["items"], of_items["words"] / of_items["items"], of_items["longest"], df)
-
-
-def search_shard(docs: DataFrame, items: list[tuple[int, str]], stats: Statistics | None, id_col: str, text_col: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("share", pa.float64()),
-                        ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, stats)
-
-        def out():
-            for doc_id, text in text_rows(batches, "doc_id", "text"):
-                best = index.matches(text)
-                for item in sorted(best):
-                    yield (doc_id, items[item][0], *best[item])
-
-        yield from batched(out(), schema)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        scan, "doc_id long, item_id long, score double, share double, question_overlap double, answer_overlap double, start_word long")
