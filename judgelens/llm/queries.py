@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from judgelens.llm import (collocation, decontam, langid, license_scan, mixing, near_dup, pii, prefix_hash, prefix_trie, quality, sharding,
                            toxicity, warc)
 from judgelens.llm.common import cut_lineage, fold_of
-from judgelens.session import ensure_checkpoint_dir
+from judgelens.session import ensure_checkpoint_dir, remove_folder
 from judgelens.sources.tables import table
 
 
@@ -38,7 +38,9 @@ def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.resolve_revisits(cut_lineage(warc.read_archives(spark, path)))
+    records = cut_lineage(warc.read_archives(spark, path))
+    remove_folder(spark, path)
+    return warc.resolve_revisits(records)
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

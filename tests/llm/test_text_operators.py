@@ -1,6 +1,7 @@
 """Operators against brute force and held-out accuracy."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -8,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from judgelens.llm import decontam, langid, license_scan, pii, prefix_hash, quality, toxicity
 from judgelens.llm.common import WordHasher
 from judgelens.llm.queries import QUERIES
@@ -326,6 +329,61 @@ def test_toxic_documents_are_found(spark, documents):
     assert np.mean([rows[i]["toxic"] for i, t in labels.items() if not t]) < 0.01
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Learned from two thirds of the labels, judged on the others."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learn = docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) != 1")
+    model = toxicity.train(toxicity.split_severe(toxicity.graded_sample(learn, labels, grade_col="toxic")))
+    held = docs.join(learn.select("doc_id"), "doc_id", "left_anti").join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id")
+    got = toxicity.score_toxicity(held, model).select("doc_id", "toxic", "severity").join(held.select("doc_id", "truth", "text"), "doc_id").collect()
+    words = {w for w, x in model.weights.items() if x > 2}
+    clean, toxic = ([r for r in got if r["truth"] == t] for t in (0, 1))
+    telling = [r for r in toxic if toxicity.words_in(r["text"]) & words]
+    assert len(clean) > 800 and len(telling) > 20
+    assert np.mean([r["toxic"] for r in clean]) < 0.01                        # false alarms
+    assert np.mean([r["toxic"] for r in telling]) > 0.95                      # of those with a word that tells
+    assert np.mean([r["severity"] for r in telling]) > 20 * np.mean([r["severity"] for r in clean])
+
+
+def test_fit_is_the_best_of_its_likelihood():
+    """The fitted weights and thresholds against a plain likelihood: no small change of any of them is better."""
+    rng = np.random.RandomState(2)
+    texts = [{w for w in "abcdef" if rng.rand() < 0.3} for _ in range(900)]
+    position = [2.0 * ("a" in t) + 1.0 * ("b" in t) - 1.0 * ("c" in t) for t in texts]
+    grades = np.array([int(rng.logistic() + p > 1) + int(rng.logistic() + p > 2.5) for p in position])
+    model = toxicity.fit(texts, grades, np.ones(900), 3)
+
+    def loss(weights, cuts):
+        total = 0.0
+        for t, g in zip(texts, grades):
+            p = sum(weights.get(w, 0.0) for w in t)
+            at_most = [0.0, *(1 / (1 + math.exp(p - c)) for c in cuts), 1.0]
+            total -= math.log(at_most[g + 1] - at_most[g])
+        return total / 900 + toxicity.L2 * 0.005 * sum(x * x for x in weights.values())
+
+    best = loss(model.weights, model.thresholds)
+    for d in (-0.05, 0.05):
+        assert all(loss({**model.weights, w: x + d}, model.thresholds) > best - 1e-6 for w, x in model.weights.items())
+        assert all(loss(model.weights, model.thresholds + d * np.eye(2)[k]) > best - 1e-6 for k in range(2))
+    for t in texts[:50]:
+        p = sum(model.weights.get(w, 0.0) for w in t)
+        above = [1 - 1 / (1 + math.exp(p - c)) for c in model.thresholds]
+        severity, grade, any_ = toxicity.severity(model, " ".join(t))
+        assert severity == pytest.approx(sum(above)) and any_ == pytest.approx(above[0])
+        assert grade == int(np.argmax([1 - above[0], above[0] - above[1], above[1]]))
+
+
+def test_odd_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(None, "no id")], "doc_id long, text string").withColumn("toxic", F.lit("clash")).withColumn("label", F.lit("clash"))
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 1), (2, None), (None, 1), (3, 4), (99, 1)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    got = toxicity.graded_sample(docs, labels, grade_col="toxic")
+    assert sorted((g, w) for w, g, _ in got) == [(0, "text"), (1, "text"), (1, "text"), (4, "text")]  # repeated once, contradictory for each, others as given
+    assert toxicity.graded_sample(docs, labels.limit(0), grade_col="toxic") == []
+    empty = toxicity.train([])
+    assert [r["severity"] for r in toxicity.score_toxicity(docs.limit(1), empty).collect()] == [0.0]
+
+
 # ---- licenses
 
 def plain_scan(text):
