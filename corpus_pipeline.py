@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from judgelens.llm import decontam, mixing, near_dup, pii, quality
 from judgelens.llm.queries import quality_model
-from judgelens.session import ensure_checkpoint_dir
+from judgelens.session import ensure_checkpoint_dir, remove_folder
 from judgelens.sources.tables import table
 
 
@@ -38,8 +38,9 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its words in the mix: doc_id, source, size, source_size, target, taken."""
-    return mixing.fair_queue(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """Every document whole, with its words in the mix (size, source_size, target, taken) and the services in which
+    they are taken; ``mixing.text_stream`` reads them in the order of the mix."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
@@ -55,11 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what each writes goes to the shared checkpoint folder."""
+    """Apply all stages to ``documents``; what each writes goes to the shared checkpoint folder, and goes once the
+    next stage is written."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs

@@ -19,7 +19,7 @@ from ..functions.exprs import round_half_up
 from ..operators import (audit, bulk_scoring, consensus, edit_limits, metrics, monitor, prompts, ranking, samples,
                          sampling, scoring, sketches)
 from ..operators.prefix import Running, running
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, remove_folder
 from ..sources import scored_files, synthetic
 from ..sources.tables import table
 from ..streaming import drift
@@ -363,6 +363,7 @@ def q_version_commits(spark, d):
     written = [prompts.append_versions(v.filter(part), f"{base}/log", key) for key, part in
                (("first", "step % 2 = 1"), ("second", "step % 2 = 0"), ("first", "step % 2 = 1"))]
     prompts.compact_versions(spark, f"{base}/log", f"{base}/compact")
+    remove_folder(spark, f"{base}/log")
     return r6(prompts.read_versions(spark, f"{base}/compact").select("run_id", "step", "val_loss", F.lit(written[2]).cast("bigint").alias("repeated")))
 
 
@@ -440,6 +441,7 @@ def q_stream_drift(spark, d):
         stream = spark.readStream.schema(x.select(*cols).schema).parquet(f"{base}/log")
         (drift.drift_stream(stream, width="1 day", watermark="2 days").writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{base}/state").option("path", f"{base}/windows").trigger(availableNow=True).start().awaitTermination())
+    remove_folder(spark, f"{base}/state")
     out = drift.late_counts(spark.read.parquet(f"{base}/windows"), spark.read.parquet(f"{base}/log"))
     return r6(out.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start", "window_end"))
 
@@ -455,6 +457,8 @@ def q_stream_monitor(spark, d):
            .option("checkpointLocation", f"{base}/state").option("path", f"{base}/decisions")
            .trigger(availableNow=True).start())
     run.awaitTermination()
+    for part in ("log", "state"):
+        remove_folder(spark, f"{base}/{part}")
     decisions = spark.read.parquet(f"{base}/decisions")
     return r6(decisions.select("run_id", "step", "val_loss", "improved", "best_step", "best_loss", "counter",
                                "n_warnings", "stop_now", "stopped", "late"))

@@ -54,3 +54,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     later plans start from the checkpointed data instead of repeating the lineage)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data that nothing reads any more, on any file system that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
