@@ -150,7 +150,8 @@ def _served(placed: DataFrame, total: DataFrame, max_repeats: int) -> DataFrame:
 
 def mix_stream(queue: DataFrame) -> DataFrame:
     """The training stream of a ``fair_queue``: one row per service, globally range-sorted by
-    virtual finish time, whose words add up to the budget: doc_id, source, words, virtual_finish."""
+    virtual finish time, whose words add up to the budget: doc_id, source, words, virtual_finish. At equal times a
+    null source comes last; rows without words have no service, an empty queue gives no rows."""
     return (queue.select("doc_id", "source", F.explode("services").alias("s"))
             .select("doc_id", "source", F.col("s.words").alias("words"), F.col("s.virtual_finish").alias("virtual_finish"))
             .orderBy("virtual_finish", F.col("source").asc_nulls_last(), "doc_id"))

@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     words. A class is a connected group; class_id is its smallest doc_id, n_links the number of other
     rows that the row is linked with directly, class_docs the rows of the class. Texts without a
     word (null counts as empty) are linked only with equal texts. Repeated rows are copies like any
-    other; rows with a null id take part, and a class of such rows alone has a null class_id. An
-    empty table gives no rows. Other columns are not read."""
+    other; rows with a null id take part, and a class of such rows alone has a null class_id. A word of
+    any length is one word. An empty table gives no rows. Other columns are not read."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_ref(F.col(id_col), F.col(text_col)).alias("ref"))
     signed, classes, comps, sets = linked(texts, words, threshold, recall)
     return counted(signed, classes, comps, sets, threshold)
@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that ``near_duplicates`` leaves one of each class: that of the
-    smallest doc_id (ids before nulls); of repeated rows one, the first by a hash of all columns."""
+    smallest doc_id (ids before nulls); of repeated rows one, the first by a hash of all columns. An empty table
+    keeps none."""
     rows = docs.select(row_ref(F.col(id_col), F.col(text_col)).alias("ref"), F.struct(*docs.columns).alias("row"))
     texts = rows.select("ref", F.col(f"row.{id_col}").cast("long").alias("doc_id"), F.col(f"row.{text_col}").alias("text"))
     _, classes, comps, _ = linked(texts, words, threshold, recall)
