@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .keys import join_on, with_group_row
 from ..functions.exprs import (CATEGORY_LABELS, CLIP_SAMPLE_CHARS, EMPTY_CATEGORY_FORMAT,
                                SAMPLE_FORMAT, clip_text)
@@ -43,6 +44,8 @@ def error_statistics(df: DataFrame, keys: list[str], k: int = 3, id_col: str = "
     """Counts and mean/extreme errors of the selected rows per class (0.0 for an empty class),
     the overall MAE / bias / population std of the error, and all-row class totals."""
     k_cols = list(keys)
+    # Read by the selection and by the totals; often a join of judge and human scores, so kept, without texts.
+    df = cut_lineage(df.select(*k_cols, id_col, human, judge))
     sel = error_samples(df, k_cols, k, id_col, human, judge)
     cat = F.col("category")
 

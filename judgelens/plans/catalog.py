@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import round_half_up
+from ..functions.exprs import md5_unit, round_half_up
 from ..operators import (audit, bulk_scoring, consensus, edit_limits, metrics, monitor, prompts, ranking, samples,
                          sampling, scoring, sketches)
 from ..operators.prefix import Running, running
@@ -202,6 +202,12 @@ def q_prompt_version_compare(spark, d):
     return r6(scoring.version_compare_summary(pairs, ["source"]))
 
 
+def q_prompt_version_pairs(spark, d):
+    """Every sample under both prompt versions: scores, errors, change and outcome."""
+    pairs = scoring.prompt_version_compare(fx.judged_versions(spark, d), 1, 2, keys=["source"])
+    return r6(pairs.select("source", "sample_id", "score_a", "score_b", "abs_error_a", "abs_error_b", "abs_error_delta", "outcome"))
+
+
 # ---- scoring ------------------------------------------------------------------------------
 
 def _consistency(spark, d):
@@ -477,6 +483,19 @@ def q_scored_files(spark, d):
     return r6(ok.unionByName(bad))
 
 
+def q_mapped_fields(spark, d):
+    """Lines whose fields have other names, with broken and blank lines between them: every row and its status."""
+    path = f"{scratch(spark, 'mapped-fields')}/lines"
+    raw = fx.raw_scored_rows(spark, d).withColumn("u", md5_unit(F.lit("line"), F.col("sample_id")))
+    line = F.when(F.col("u") < 0.1, F.lit('{"input": "broken')).otherwise(
+        F.to_json(F.struct(F.col("prompt").alias("input"), F.col("response").alias("output"), F.col("score").alias("rating"))))
+    lines = raw.select(F.explode(F.when(F.col("u") > 0.9, F.array(line, F.lit(""))).otherwise(F.array(line))).alias("value"))
+    lines.write.text(path)
+    names = {"prompt_field": "input", "response_field": "output", "score_field": "rating"}
+    rows = scored_files.parse_required_fields(scored_files.read_scored_lines(spark, path, **names), **names)
+    return r6(rows.select("prompt", "response", "score", "status"))
+
+
 def q_prompt_files(spark, d):
     """Prompts written as documents and read again, sections in order."""
     path = f"{scratch(spark, 'prompt-files')}/prompts"

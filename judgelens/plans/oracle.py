@@ -816,3 +816,17 @@ ORACLE_SQL["stream_drift"] = sql(["eval_history"], [
     f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (NOT late) AS n, {r('avg(j - h) FILTER (NOT late)', 'bias')},
   {r('avg(abs(j - h)) FILTER (NOT late)', 'mae')}, {r('stddev_pop(j) FILTER (NOT late)', 'judge_std')}, count(*) FILTER (late) AS late_rows
 FROM x, closed GROUP BY 1 HAVING count(*) FILTER (NOT late) > 0 AND date_trunc('day', min(ts)) + INTERVAL 1 DAY <= any_value(mark)""")
+
+ORACLE_SQL["prompt_version_pairs"] = sql(["judged_versions"], [
+    ("cmp", """SELECT a.source, a.sample_id, a.judge_score AS sa, b.judge_score AS sb, abs(a.judge_score - a.human_score) AS ea, abs(b.judge_score - a.human_score) AS eb
+FROM judged_versions a JOIN judged_versions b ON a.source IS NOT DISTINCT FROM b.source AND a.sample_id = b.sample_id
+WHERE a.prompt_version = 1 AND b.prompt_version = 2""")],
+    f"""SELECT source, sample_id, {r('sa', 'score_a')}, {r('sb', 'score_b')}, {r('ea', 'abs_error_a')}, {r('eb', 'abs_error_b')}, {r('eb - ea', 'abs_error_delta')},
+  CASE WHEN eb < ea THEN 'better' WHEN eb = ea THEN 'same' ELSE 'worse' END AS outcome FROM cmp""")
+
+_ul = md5u("'line'", "sample_id")
+ORACLE_SQL["mapped_fields"] = sql(["raw_scored_rows"], [
+    ("st", f"""SELECT *, CASE WHEN {_ul} < 0.1e0 THEN 'corrupt' WHEN response IS NULL THEN 'missing_response' WHEN score IS NULL THEN 'missing_score'
+  WHEN TRY_CAST(score AS DOUBLE) IS NULL THEN 'bad_score' ELSE 'ok' END AS status FROM raw_scored_rows""")],
+    f"""SELECT CASE WHEN status = 'corrupt' THEN '' ELSE coalesce(prompt, '') END AS prompt, CASE WHEN status <> 'corrupt' THEN response END AS response,
+  {r("CASE WHEN status = 'ok' THEN CAST(score AS DOUBLE) END", 'score')}, status FROM st""")
