@@ -101,11 +101,25 @@ def summarise(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.n
     return keys[stay], counts[stay] - taken, taken
 
 
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 32-bit keys and their counts as compressed bytes: gaps and counts, equal places of their bytes together."""
+    gaps = np.diff(keys, prepend=keys.dtype.type(0))
+    planes = np.concatenate([gaps, counts.astype(np.uint32)]).view(np.uint8).reshape(2, len(keys), 4).transpose(0, 2, 1)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` keys and counts of ``packed``."""
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, 4, n)
+    gaps, counts = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32).reshape(2, n)
+    return np.cumsum(gaps, dtype=np.uint32), counts.astype(np.int64)
+
+
 def survivors(docs: DataFrame, n_parts: int, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, slack: int = SLACK) -> DataFrame:
     """(key): the first log2(n_parts) + 32 bits of the hash of every n-gram that may occur ``min_count`` times,
     for (lang, text) rows. The first log2(n_parts) of them are the hash partition."""
     bits = n_parts.bit_length() - 1
-    part = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    part = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("mass", pa.int64()), ("size", pa.int32()), ("data", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -114,14 +128,13 @@ def survivors(docs: DataFrame, n_parts: int, max_words: int = MAX_WORDS, min_cou
                 hashes = np.concatenate([grams.of(k)[0] for _, grams in held for k in range(1, max_words + 1)])
                 key, n = np.unique(hashes >> np.uint64(64 - bits - _KEY_BITS), return_counts=True)
                 ends = np.searchsorted(key, np.arange(1, n_parts + 1, dtype=np.uint64) << np.uint64(_KEY_BITS))
-                low, n = key.astype(np.uint32), n.astype(np.uint32)
+                low = key.astype(np.uint32)
                 start = 0
                 for p, end in enumerate(ends.tolist()):
                     if end > start:
                         mass = int(n[start:end].sum())
-                        yield p, 0, mass, None, None  # sorted ahead: a summary knows its mass before it begins
-                        small = n[start:end].max() < 256
-                        yield p, 1, mass, low[start:end].tobytes(), n[start:end].astype(np.uint8 if small else np.uint32).tobytes()
+                        yield p, 0, mass, 0, None  # sorted ahead: a summary knows its mass before it begins
+                        yield p, 1, mass, end - start, packed(low[start:end], n[start:end])
                     start = end
 
         yield from batched(rows(), part)
@@ -143,7 +156,7 @@ def survivors(docs: DataFrame, n_parts: int, max_words: int = MAX_WORDS, min_cou
                     yield (frequent.astype(np.int64) + (now << _KEY_BITS)).tolist(),
 
             mass = 0
-            for p, kind, m, keys, counts in text_rows(batches, "part", "kind", "mass", "keys", "counts"):
+            for p, kind, m, size, data in text_rows(batches, "part", "kind", "mass", "size", "data"):
                 if p != now:
                     if now is not None:
                         yield from kept()
@@ -153,9 +166,8 @@ def survivors(docs: DataFrame, n_parts: int, max_words: int = MAX_WORDS, min_cou
                     mass += m
                     capacity = slack * mass // min_count + 1
                     continue
-                keys = np.frombuffer(keys, np.uint32)
-                state[3] += [keys, np.frombuffer(counts, np.uint8 if len(counts) == len(keys) else np.uint32).astype(np.int64)]
-                state[4] += len(keys)
+                state[3] += unpacked(data, size)
+                state[4] += size
                 if state[4] > max(capacity, 1 << 16):
                     cut(capacity)
             if now is not None:
@@ -163,7 +175,7 @@ def survivors(docs: DataFrame, n_parts: int, max_words: int = MAX_WORDS, min_cou
 
         yield from batched(rows(), pa.schema([("keys", pa.list_(pa.int64()))]))
 
-    dealt = docs.select("lang", "text").mapInArrow(count, "part int, kind byte, mass long, keys binary, counts binary")
+    dealt = docs.select("lang", "text").mapInArrow(count, "part int, kind byte, mass long, size int, data binary")
     return (dealt.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge, "keys array<bigint>")
             .select(F.explode("keys").alias("key")))
 

@@ -237,6 +237,14 @@ def test_phrases_with_small_summaries_and_bitmap(spark, monkeypatch):
     assert phrases_of(spark, [], ) == [] and phrases_of(spark, [("en", None), (None, "one two")]) == []
 
 
+@given(st.dictionaries(st.integers(0, 2**32 - 1), st.integers(1, 10**6), min_size=1, max_size=50))
+@settings(max_examples=100, deadline=None)
+def test_packed_counts_come_back(counts):
+    keys = np.array(sorted(counts), np.uint32)
+    got, n = collocation.unpacked(collocation.packed(keys, np.array([counts[k] for k in sorted(counts)])), len(keys))
+    assert got.tolist() == sorted(counts) and dict(zip(got.tolist(), n.tolist())) == counts
+
+
 @given(st.lists(st.lists(st.integers(0, 30), max_size=60), max_size=8), st.integers(1, 12))
 @settings(max_examples=200, deadline=None)
 def test_merged_summaries_keep_their_bound(batches, capacity):
