@@ -13,6 +13,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,23 +32,24 @@ CRLF = "\r\n"
 RECORD_END = CRLF + CRLF
 
 
-def payload_headers(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(page_id, payload_bytes, payload_digest): the headers that are shuffled in place of payloads."""
+def payload_headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest): the headers that are shuffled in place of payloads."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    return pages.select(F.col(id_col).alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"),
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"),
                         F.sha2(payload, 256).alias("payload_digest"))
 
 
 def originals(headers: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the rows that revisit an earlier page.
+    """(page_id, payload_digest, refers_to, refers_url) of the rows that revisit an earlier page.
 
     The smallest id of each digest is a grouped minimum, combined before the shuffle. Headers of a
     digest that many pages share meet it in a join, whose skewed side Spark splits."""
     big = headers.filter(F.col("payload_bytes") >= min_payload)
-    first = (big.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").drop("n"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("least")
+    first = (big.groupBy("payload_digest").agg(least, F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .select("payload_digest", F.col("least.page_id").alias("refers_to"), F.col("least.url").alias("refers_url")))
     return (big.select("page_id", "payload_digest").join(first, "payload_digest")
-            .filter("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct())
+            .filter("page_id > refers_to").select("page_id", "payload_digest", "refers_to", "refers_url").distinct())
 
 
 def records(pages: DataFrame, revisits: DataFrame, date: str, partitions: int, id_col: str = "page_id", url_col: str = "url",
@@ -67,13 +69,14 @@ def records(pages: DataFrame, revisits: DataFrame, date: str, partitions: int, i
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     # control characters in a URL would end the header line
-    url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "_")
+    plain = lambda c: F.regexp_replace(c, r"[\x00-\x20\x7F]", "_")
     head = F.concat(
         F.lit(VERSION + CRLF), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", record_id("page_id", "payload_digest")), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", url),
+        line("WARC-Record-ID", record_id("page_id", "payload_digest")), line("WARC-Date", F.lit(date)), line("WARC-Target-URI", plain("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
         line("WARC-Profile", F.when(revisit, REVISIT_PROFILE)),
         line("WARC-Refers-To", F.when(revisit, record_id("refers_to", "payload_digest"))),
+        line("WARC-Refers-To-Target-URI", F.when(revisit, plain("refers_url"))), line("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         line("X-Page-Id", F.col("page_id").cast("string")), line("X-Refers-To-Page-Id", F.col("refers_to").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block.cast("binary")).cast("string")))
@@ -87,13 +90,15 @@ def record_id(page_id: str, digest: str):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", min_payload: int = MIN_PAYLOAD,
+def write_archives(pages: DataFrame, path: str, date: str | None = None, min_payload: int = MIN_PAYLOAD,
                    file_bytes: int = FILE_BYTES) -> None:
     """Write the pages' records as gzip-compressed archives under ``path`` through Spark's writer, in
     files of about ``file_bytes`` before compression (a single larger record has its file alone or not).
 
-    A null payload is empty; a null URL or id has no header line. Rows with equal id and payload are
+    All records carry ``date``, by default the time of the call. Spark's text writer makes one gzip member of
+    a file and names it ``.txt.gz``. A null payload is empty; a null URL or id has no header line. Rows with equal id and payload are
     of one type. An empty table writes no record."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     headers = payload_headers(pages)
     total = headers.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
     n_files = max(1, math.ceil(total / file_bytes))

@@ -145,3 +145,22 @@ def test_pipeline_stages_change_only_what_they_decide(spark):
     for r in docs.collect():
         spans = pii.spans_of(r["text"])
         assert redacted[r["doc_id"]] == (pii.redact(r["text"], spans) if spans else r["text"])
+
+
+def test_warc_headers_of_revisits(spark, tmpdir_path):
+    body = "same payload " * 20
+    pages = spark.createDataFrame([(5, "http://a/5", body), (2, "http://a/2 x", body), (9, None, body), (7, "http://a/7", "other " * 30)], "page_id long, url string, html string")
+    warc.write_archives(pages, f"{tmpdir_path}/w", date="2024-05-06T07:08:09Z")
+    found = {}
+    for row in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{tmpdir_path}/w").select("content").collect():
+        for head, block in warc.parse_archive(warc.gunzip(bytes(row["content"]))):
+            found[int(head["X-Page-Id"])] = head, block
+    assert {i: h["WARC-Type"] for i, (h, _) in found.items()} == {2: "response", 5: "revisit", 7: "response", 9: "revisit"}
+    for i in (5, 9):
+        head = found[i][0]
+        assert head["WARC-Refers-To"] == found[2][0]["WARC-Record-ID"] and head["WARC-Refers-To-Target-URI"] == "http://a/2_x"
+        assert head["WARC-Refers-To-Date"] == head["WARC-Date"] == "2024-05-06T07:08:09Z" and body.encode() not in found[i][1]
+    assert "WARC-Refers-To-Date" not in found[2][0] and "WARC-Target-URI" not in found[9][0]
+    warc.write_archives(pages, f"{tmpdir_path}/now")
+    [first] = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{tmpdir_path}/now").limit(1).select("content").collect()
+    assert next(warc.parse_archive(warc.gunzip(bytes(first["content"]))))[0]["WARC-Date"] > "2025"
