@@ -34,7 +34,9 @@ SLACK = 4
 MAX_COUNTERS = 1 << 21
 #: Bytes of text whose n-grams a task holds at a time (some forty bytes of arrays each), phrases whose counts it
 #: holds; bits of the bitmap of survivors (32 MB).
-HELD_BYTES, HELD_PHRASES, BITS = 1 << 21, 1 << 18, 1 << 28
+HELD_BYTES, HELD_PHRASES, BITS = 1 << 21, 1 << 19, 1 << 28
+#: Bytes of text that a task of the exact count reads at most, where there are more than two tasks a core.
+COMBINED_BYTES = 1 << 29
 
 _BREAKS, _BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -51,12 +53,14 @@ class Grams:
         self.piece = np.searchsorted(breaks, self.starts)
         self.seed = np.frombuffer(hashlib.md5(lang.encode()).digest()[:8], np.uint64)
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, first words) of the runs of ``n`` words within a piece."""
+    def of(self, n: int, open_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, first words) of the runs of ``n`` words within a piece; only of those whose first and last
+        ``n`` - 1 words are both runs that ``open_`` marks, if it is given."""
         if len(self.words) < n:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         last = len(self.words) - n + 1
-        at = np.flatnonzero(self.piece[:last] == self.piece[n - 1:])
+        alike = self.piece[:last] == self.piece[n - 1:]
+        at = np.flatnonzero(alike if open_ is None else alike & open_[:last] & open_[1:last + 1])
         h = np.full(len(at), n, np.uint64) + self.seed
         for j in range(n):
             h = h * np.uint64(0xD1342543DE82EF95) + self.words[at + j]
@@ -201,19 +205,25 @@ def count_phrases(docs: DataFrame, marked: np.ndarray, n_parts: int, max_words:
         def rows():
             hasher, flags, held = gram_hasher(), sent.value, {}
             for lang, grams in (x for texts in held_texts(batches, hasher) for x in texts):
-                held[lang, 0, None] = held.get((lang, 0, None), 0) + len(grams.words)
+                own = held.setdefault((lang, 0), {})
+                own[None] = own.get(None, 0) + len(grams.words)
+                open_ = None
                 for n in range(1, max_words + 1):
-                    h, at = grams.of(n)
+                    h, at = grams.of(n, open_)  # a frequent run begins and ends with frequent shorter ones
                     bit = h >> shift & mask
                     hit = (flags[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                    _, first, many = np.unique(h[hit], return_index=True, return_counts=True)
-                    for i, c in zip(at[hit][first].tolist(), many.tolist()):
-                        key = lang, n, grams.phrase(i, n)
-                        held[key] = held.get(key, 0) + c
-                if len(held) >= HELD_PHRASES:
-                    yield from ((*key, c) for key, c in held.items())
+                    h, at = h[hit], at[hit]
+                    open_ = np.zeros(len(grams.words) + 1, bool)
+                    open_[at] = True
+                    _, first, many = np.unique(h, return_index=True, return_counts=True)
+                    own = held.setdefault((lang, n), {})
+                    for i, c in zip(at[first].tolist(), many.tolist()):
+                        phrase = grams.phrase(i, n)
+                        own[phrase] = own.get(phrase, 0) + c
+                if sum(map(len, held.values())) >= HELD_PHRASES:
+                    yield from ((*key, phrase, c) for key, own in held.items() for phrase, c in own.items())
                     held.clear()
-            yield from ((*key, c) for key, c in held.items())
+            yield from ((*key, phrase, c) for key, own in held.items() for phrase, c in own.items())
 
         yield from batched(rows(), out, max_rows=10_000)
 
@@ -235,7 +245,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slack * mass // (min_count * max_counters))
     n_parts = 1 << max(0, parts - 1).bit_length()
     marked = bitmap(survivors(docs, n_parts, max_words, min_count, slack), bits)
-    return count_phrases(docs, marked, n_parts, max_words).filter((F.col("count") >= min_count) | (F.col("words") == 0))
+    # most tasks hold most frequent phrases: fewer, longer tasks add up more before they hand on
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // COMBINED_BYTES))
+    return count_phrases(docs.coalesce(tasks), marked, n_parts, max_words).filter((F.col("count") >= min_count) | (F.col("words") == 0))
 
 
 def scored(counts: DataFrame) -> DataFrame:
