@@ -76,21 +76,25 @@ def _banded(limit: int):
 BUILT_IN_CHARS = 2048
 
 
-def bounded_distance(old: Column, new: Column, limit: int) -> Column:
-    """Edit distance of two texts in characters, or -1 where it is above ``limit``.
+def with_distance(df: DataFrame, old: str, new: str, limit: int, out: str = "distance") -> DataFrame:
+    """``df`` with the edit distance of two text columns in characters, or -1 where it is above ``limit``.
 
     What both share at either end is cut off first, as an update mostly touches one spot. What is left
     goes to the built-in distance if it is short, else to a banded table in Arrow batches, whose cost is the
-    length times the limit and which stops early for unlike texts.
+    length times the limit and which stops early for unlike texts. Each step is a projection of its own, so
+    that what several later ones read is worked out once.
     """
-    head = _common(old, new)
-    a, b = F.substring(old, head + 1, F.length(old)), F.substring(new, head + 1, F.length(new))
-    tail = _common(F.reverse(a), F.reverse(b))
-    a, b = F.substring(a, F.lit(1), F.length(a) - tail), F.substring(b, F.lit(1), F.length(b) - tail)
+    cols = [F.col(c) for c in df.columns if c not in ("_a", "_b", "_n", out)]
+    a, b, n = F.col("_a"), F.col("_b"), F.col("_n")
+    x = df.select(*cols, F.col(old).alias("_a"), F.col(new).alias("_b"))
+    x = x.select(*cols, "_a", "_b", _common(a, b).alias("_n"))
+    x = x.select(*cols, F.substring(a, n + 1, F.length(a)).alias("_a"), F.substring(b, n + 1, F.length(b)).alias("_b"))
+    x = x.select(*cols, "_a", "_b", _common(F.reverse(a), F.reverse(b)).alias("_n"))
+    x = x.select(*cols, F.substring(a, F.lit(1), F.length(a) - n).alias("_a"), F.substring(b, F.lit(1), F.length(b) - n).alias("_b"))
     apart = F.abs(F.length(a) - F.length(b)) > limit
     long = ~apart & (F.greatest(F.length(a), F.length(b)) > BUILT_IN_CHARS)
-    return (F.when(apart, F.lit(-1)).when(long, _banded(limit)(F.when(long, a), F.when(long, b)))
-            .otherwise(F.levenshtein(F.when(~long & ~apart, a), F.when(~long & ~apart, b), limit)))
+    return x.select(*cols, F.when(apart, F.lit(-1)).when(long, _banded(limit)(F.when(long, a), F.when(long, b)))
+                    .otherwise(F.levenshtein(F.when(~long & ~apart, a), F.when(~long & ~apart, b), limit)).alias(out))
 
 
 def edit_audit(old: DataFrame, new: DataFrame, rates: DataFrame, initial_lr: float = 1.0, max_chars: int = 200,
@@ -100,7 +104,7 @@ def edit_audit(old: DataFrame, new: DataFrame, rates: DataFrame, initial_lr: flo
     ``old`` and ``new`` are sections of one version each, ``rates(prompt_id, learning_rate)`` the rate of
     the update; without one nothing may change. Per touched section: status (added, removed, changed),
     char_limit, chars_changed (edit distance between both texts, NULL where it is above the limit, see
-    :func:`bounded_distance`), section_no (its place among
+    :func:`with_distance`), section_no (its place among
     the prompt's touched sections by name) and verdict: ``ok``, ``too_many_sections`` (beyond
     ``max_sections``) or ``too_long``.
     """
@@ -109,7 +113,7 @@ def edit_audit(old: DataFrame, new: DataFrame, rates: DataFrame, initial_lr: flo
         "char_limit", char_limit(F.col("learning_rate"), initial_lr, max_chars))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     # distances are cut at max_chars, the same for all rows, and then held against the row's own limit
-    limited = limited.withColumn("_d", bounded_distance(text("old_content"), text("new_content"), max_chars))
+    limited = with_distance(limited.withColumns({c: text(c) for c in ("old_content", "new_content")}), "old_content", "new_content", max_chars, "_d")
     within = (F.col("_d") >= 0) & (F.col("_d") <= F.col("char_limit"))
     place = F.row_number().over(Window.partitionBy("prompt_id").orderBy("section"))
     return limited.select(

@@ -79,7 +79,7 @@ def test_bounded_distance_equals_the_full_one(spark, monkeypatch, built_in):
         rows.append((a, "".join(b) if rng.random() < 0.8 else text(rng.randint(0, 30))))
     df = spark.createDataFrame(rows, "a string, b string")
     for limit in (0, 1, 5, 12):
-        got = df.select("a", "b", edit_limits.bounded_distance(F.col("a"), F.col("b"), limit).alias("d")).collect()
+        got = edit_limits.with_distance(df, "a", "b", limit, "d").collect()
         for r in got:
             d = distance(r.a, r.b)
             assert r.d == (d if d <= limit else -1), (r.a, r.b, limit)
