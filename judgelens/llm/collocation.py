@@ -33,8 +33,8 @@ SLACK = 4
 #: Counters of a summary (16 bytes each): there are as many hash partitions as this bound asks for.
 MAX_COUNTERS = 1 << 21
 #: Bytes of text whose n-grams a task holds at a time (some forty bytes of arrays each), phrases whose counts it
-#: holds; bits of the bitmap of survivors (8 MB).
-HELD_BYTES, HELD_PHRASES, BITS = 1 << 20, 1 << 19, 1 << 26
+#: holds (some 200 bytes each); bits of the bitmap of survivors (8 MB).
+HELD_BYTES, HELD_PHRASES, BITS = 1 << 20, 1 << 20, 1 << 26
 #: Bytes of text that a task of the exact count reads at most, where there are more than two tasks a core.
 COMBINED_BYTES = 1 << 29
 
