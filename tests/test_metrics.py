@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -146,3 +147,16 @@ def test_report_keeps_groups_without_scores(spark):
     r = metrics.evaluation_report(df, ["g"]).toPandas().set_index("g")
     assert sorted(r.index) == ["a", "b"] and r.loc["b", "n"] == 2 and math.isnan(r.loc["b", "mae"])
     assert r.loc["b", ["kendall_tau", "rank_loss_component", "score_entropy"]].tolist() == [0.0, 0.0, 0.0]
+
+
+def test_margin_loss_copies_no_row_and_writes_no_checkpoint(spark):
+    pdf = _random_groups(seed=21)
+    folder = spark.sparkContext.getCheckpointDir()
+    before = {f for _, _, names in os.walk(folder.removeprefix("file:")) for f in names}
+    out = ranking.pairwise_ranking_loss(spark.createDataFrame(pdf), ["g"], margin=0.75)
+    assert {f for _, _, names in os.walk(folder.removeprefix("file:")) for f in names} == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    got = {r.g: r.pairwise_loss for r in out.collect()}
+    for g, sub in pdf.groupby("g"):
+        assert got[g] == pytest.approx(_slow_pairwise(sub.judge_score, sub.human_score, 0.75), abs=1e-9)
