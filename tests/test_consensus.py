@@ -70,3 +70,30 @@ def test_more_rounds_never_fit_worse(spark):
         b = {r.annotator: r.bias for r in fit.annotators.collect()}
         errors.append(((df.score - df.sample_id.map(e) - df.annotator.map(b)) ** 2).sum())
     assert errors[0] >= errors[1] - 1e-9 and errors[1] >= errors[2] - 1e-9
+
+
+def test_consensus_of_null_keys_by_every_path(spark, monkeypatch):
+    """Whole samples with broadcast biases, without a broadcast, and samples split over tasks agree."""
+    df = some_ratings(seed=8).astype({"annotator": "object", "sample_id": "object"})
+    df.loc[df.annotator == 2, "annotator"] = None
+    df.loc[df.sample_id == 3, "sample_id"] = None
+    rows = spark.createDataFrame(list(df.itertuples(index=False, name=None)), "sample_id int, annotator int, score double")
+
+    def run():
+        return {r.sample_id: (r.n_annotators, round(r.borda, 9), round(r.fitted_score, 6)) for r in consensus.human_consensus(rows, tol=1e-8).collect()}
+    cells, whole = consensus._by_sample(consensus.rating_cells(rows))
+    assert whole and cells.filter("_first").count() == df.sample_id.nunique(dropna=False)
+    blocks = run()
+    monkeypatch.setattr(consensus, "BROADCAST_ANNOTATORS", 0)
+    assert run() == blocks
+    spark.conf.set("judgelens.maxKeyRows", "5")
+    try:
+        assert run() == blocks
+    finally:
+        spark.conf.unset("judgelens.maxKeyRows")
+
+
+def test_a_round_shuffles_no_cell(spark):
+    fit = consensus.fit_annotators(consensus.rating_cells(spark.createDataFrame(some_ratings())), max_rounds=2)
+    plan = fit.annotators._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan  # the partial sums by annotator
