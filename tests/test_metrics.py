@@ -3,9 +3,10 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from judgelens.operators import metrics, ranking
+from judgelens.operators import dominance, metrics, ranking, sampling
 from tests.reference_rules import pair_stats
 
 GOLDEN = pd.DataFrame({"sample_id": [0, 1, 2, 3, 4], "judge_score": [8.0, 6.5, 7.0, 9.0, 5.5],
@@ -160,3 +161,48 @@ def test_margin_loss_copies_no_row_and_writes_no_checkpoint(spark):
     got = {r.g: r.pairwise_loss for r in out.collect()}
     for g, sub in pdf.groupby("g"):
         assert got[g] == pytest.approx(_slow_pairwise(sub.judge_score, sub.human_score, 0.75), abs=1e-9)
+
+
+def test_one_hot_group_leaves_the_others_whole(spark):
+    """Groups over the limit are split over tasks, the rest counted whole; both by the same rules."""
+    pdf = _random_groups(seed=5)
+    pdf["human_score"] += np.random.default_rng(1).choice([0.0, 5e-7, 3e-6], len(pdf))
+    spark.conf.set("judgelens.maxKeyRows", "40")
+    try:
+        out = ranking.pairwise_ranking_loss(spark.createDataFrame(pdf), ["g"])
+    finally:
+        spark.conf.unset("judgelens.maxKeyRows")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: r for r in out.collect()}
+    assert len(got) == pdf.g.nunique()
+    for g, sub in pdf.groupby("g"):
+        assert got[g].pairwise_loss == pytest.approx(_slow_pairwise(sub.judge_score, sub.human_score, 0.0), abs=1e-9)
+
+
+def test_kendall_tau_over_blocks_of_rows(spark, monkeypatch):
+    """No row is copied per bit level, and a group that ends within a block is counted once."""
+    out = ranking.kendall_tau(spark.createDataFrame(_random_groups(seed=9)), ["g"])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dominance, "BLOCK_ROWS", 10)
+    pdf = _random_groups(seed=9).sort_values(["g", "human_score", "judge_score"])
+    rows = pa.table({"g": pdf.g, "_h": pdf.human_score, "_j": pdf.judge_score, "_w": np.ones(len(pdf)), "_first": ~pdf.g.duplicated()},
+                    schema=pa.schema([("g", pa.int64()), ("_h", pa.float64()), ("_j", pa.float64()), ("_w", pa.float64()), ("_first", pa.bool_())]))
+    blocks = dominance.grouped_pairs(1e-6, 0.0, ["n", "s", "n_h_ties", "n_j_ties"])(iter(rows.to_batches(max_chunksize=7)))
+    got = pa.Table.from_batches(list(blocks)).to_pylist()
+    assert [r["g"] for r in got] == sorted(pdf.g.unique())
+    for r, (_, sub) in zip(got, pdf.groupby("g")):
+        dh, dj = (np.subtract.outer(x, x)[np.triu_indices(len(x), 1)] for x in (sub.human_score.to_numpy(), sub.judge_score.to_numpy()))
+        assert [r["n"], r["s"], r["n_h_ties"], r["n_j_ties"]] == [len(sub), (np.sign(dh) * np.sign(dj)).sum(), (dh == 0).sum(), (dj == 0).sum()]
+
+
+def test_loss_within_strata_copies_no_row(spark):
+    pdf = _random_groups(seed=17)
+    strata = sampling.score_strata(spark.createDataFrame(pdf), ["g"]).filter("stratum <> 'mid'")
+    out = ranking.pairwise_ranking_loss(strata, ["g", "stratum"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "shiftright" not in plan
+    kept = strata.toPandas()
+    got = {(r.g, r.stratum): r.pairwise_loss for r in out.collect()}
+    assert set(got) == set(map(tuple, kept[["g", "stratum"]].values))
+    for key, sub in kept.groupby(["g", "stratum"]):
+        assert got[key] == pytest.approx(_slow_pairwise(sub.judge_score, sub.human_score, 0.0), abs=1e-9)
