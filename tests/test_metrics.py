@@ -206,3 +206,27 @@ def test_loss_within_strata_copies_no_row(spark):
     assert set(got) == set(map(tuple, kept[["g", "stratum"]].values))
     for key, sub in kept.groupby(["g", "stratum"]):
         assert got[key] == pytest.approx(_slow_pairwise(sub.judge_score, sub.human_score, 0.0), abs=1e-9)
+
+
+def test_spearman_copies_no_row_and_writes_no_checkpoint(spark):
+    """Ranks come from one sorted pass over whole groups, NULL key, NaN scores and constant scores included."""
+    pdf = _random_groups(seed=23)
+    pdf["g"] = pdf.g.astype("Int64").where(pdf.g != 2)
+    pdf.loc[(pdf.g == 3).fillna(False) & (pdf.index % 4 == 0), "judge_score"] = np.nan
+    pdf.loc[(pdf.g == 4).fillna(False), "human_score"] = 3.0
+    df = spark.createDataFrame([(None if pd.isna(g) else int(g), h, j) for g, h, j in pdf.itertuples(index=False)],
+                               "g bigint, human_score double, judge_score double")
+    folder = spark.sparkContext.getCheckpointDir()
+    before = {f for _, _, names in os.walk(folder.removeprefix("file:")) for f in names}
+    out = ranking.spearman_rho(df, ["g"])
+    assert {f for _, _, names in os.walk(folder.removeprefix("file:")) for f in names} == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Exchange") == 1
+    got = {r.g: r for r in out.collect()}
+    assert len(got) == pdf.g.nunique(dropna=False)
+    for g, sub in pdf.groupby("g", dropna=False):
+        exp = pair_stats(sub.judge_score.to_numpy(), sub.human_score.to_numpy())
+        key = None if pd.isna(g) else int(g)
+        want = (0.0, 1.0) if key in (3, 4) else (exp["spearman_rho"], exp["spearman_loss"])
+        assert (got[key].spearman_rho, got[key].spearman_loss) == pytest.approx(want, abs=1e-12)
+        assert got[key].n == len(sub)
